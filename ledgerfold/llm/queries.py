@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.line_dedup import dedup_lines
 from ledgerfold.llm.url_filter import filter_urls
 
 
@@ -37,5 +38,21 @@ f as (
 select page_id, host, path, w.rule as rule, coalesce(w.verdict, 'allow') as verdict from f
 """
 
-QUERIES = {"op7_url_filter": op7_url_filter}
-ORACLES = {"op7_url_filter": OP7_SQL}
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+r as (select key, max(doc_id) keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+d as (select k.*, r.key is not null and k.doc_id <> r.keeper as gone from k left join r on k.key = r.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from d group by doc_id
+"""
+
+QUERIES = {"op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup}
+ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL}
