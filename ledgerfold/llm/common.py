@@ -6,9 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters that end a word: space and the five ASCII controls tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -96,3 +100,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def rows_bound(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit
+
+
+def append_columns(df: DataFrame, inputs: list[str], schema: str, start: Callable, *, omit: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without ``omit``, with the columns of ``schema`` computed in Arrow batches from ``inputs``.
+
+    ``start()`` runs once a task and returns a function from the input columns (lists of Python values)
+    to the lists of the new columns. Columns of ``df`` named like new ones are replaced.
+    """
+    new = T.StructType.fromDDL(schema)
+    kept = [f for f in df.schema.fields if f.name.lower() not in {x.name.lower() for x in new} | {x.lower() for x in omit}]
+    wide = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)])
+    n, types = len(kept), [to_arrow_type(f.dataType) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            got = work(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
+            columns = [*[batch.column(i) for i in range(n)], *[pa.array(x, t) for x, t in zip(got, types, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    return wide.mapInArrow(run, T.StructType([*kept, *new.fields]))

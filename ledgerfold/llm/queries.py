@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
 from ledgerfold.llm.url_filter import filter_urls
 
@@ -54,5 +55,10 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(
 from d group by doc_id
 """
 
-QUERIES = {"op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup}
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op2_html_extract": op2_html_extract, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL}
