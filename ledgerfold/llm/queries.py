@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
+from ledgerfold.llm.superminhash import near_duplicates
 from ledgerfold.llm.url_filter import filter_urls
 
 
@@ -60,5 +61,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op2_html_extract": op2_html_extract, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup}
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
+QUERIES = {"op2_html_extract": op2_html_extract, "op6_near_dedup": op6_near_dedup, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup}
 ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL}
