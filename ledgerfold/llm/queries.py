@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
+from ledgerfold.llm.mixing import mix_sources
 from ledgerfold.llm.superminhash import near_duplicates
 from ledgerfold.llm.url_filter import filter_urls
 
@@ -66,5 +67,31 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
 
-QUERIES = {"op2_html_extract": op2_html_extract, "op6_near_dedup": op6_near_dedup, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup}
-ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL}
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+
+
+OP9_SQL = """
+with s as (select source, sum(length(coalesce(text, '')))::double as size from documents group by source),
+w as (select source, size, pow(size, 0.7) as weight from s),
+t as (select sum(weight) filter (size > 0) as all_weight, sum(size) as all_size from w),
+r as (select source, case when size > 0 and all_weight > 0 then weight / all_weight * 1.0 * all_size / size else 0.0 end as rate from w, t),
+k as (select source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::int)) as k from r),
+m as (select source, k, case when rate > 0 then exp(sum(case when k = 0 then -rate else ln(rate) - ln(k) end) over (partition by source order by k rows unbounded preceding))
+  when k = 0 then 1.0 else 0.0 end as mass from k),
+c as (select source, k, sum(mass) over (partition by source order by k rows unbounded preceding) as cdf from m),
+u as (select *, (('0x' || substr(md5('17:draw:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
+n as (select u.doc_id, u.source, u.lang, u.text, (select count(*) from c where c.source is not distinct from u.source and c.cdf < u.u)::int as n_copies from u)
+select doc_id, source, lang, text, n_copies, copy_no, md5('17:place:' || coalesce(doc_id::varchar, '') || ':' || copy_no) as shuffle_key
+from (select *, unnest(generate_series(1, n_copies))::int as copy_no from n where n_copies > 0)
+"""
+
+
+QUERIES = {
+    "op2_html_extract": op2_html_extract,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_source_mix": op9_source_mix,
+}
+ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
