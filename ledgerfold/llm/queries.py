@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.llm import toxicity
+from ledgerfold.llm.common import id_bucket
 from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
 from ledgerfold.llm.mixing import mix_sources
@@ -87,7 +89,19 @@ from (select *, unnest(generate_series(1, n_copies))::int as copy_no from n wher
 """
 
 
+#: A text is called toxic from this score on.
+TOXIC_FROM = 0.3
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.training_rows(documents), toxicity.training_rows(labels))
+    scored = toxicity.score_toxicity(documents, model, keep_text=False)
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
