@@ -13,9 +13,9 @@ score is the sum, over its matched words, of weight times the product of the fac
 around them decides. A text's score comes from its worst clause and from the sum over all clauses, calibrated on labelled texts.
 
 The lexicon is itself a weighted automaton, a trie of whole words and stems (a stem accepts every word that begins with it). A short list of
-fixed words seeds it; labelled texts supply the rest. Per word and per stem, labelled texts of each label that contain it are counted,
-and it is accepted as an insult if a binomial test, corrected for the number of patterns tried, says that its share of
-toxic texts exceeds the base rate; its weight is its log odds. The labelled sample is bounded (``max_labelled`` a class), everything else covers all rows.
+fixed words seeds it; labelled texts supply the rest. Per word and per stem, occurrences in labelled texts of each label are counted (a word
+once a text), and it is accepted as an insult if a binomial bound, corrected for the number of patterns tried, says that its share of
+toxic texts exceeds the base rate; a stem must pass without the words and longer stems that passed. The weight is the log odds. The labelled sample is bounded (``max_labelled`` a class), everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ QUOTES = set('"“”«»„')
 ENDS = set(".!?;\n…")
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;…\n\"“”«»„]")
-STEMS = (4, 5, 6)
+STEMS = range(3, 9)
 MAX_LABELLED = 8_000
 ERROR = 0.01
 MIN_ODDS = 1.5
@@ -95,7 +95,7 @@ class Grammar:
             self.steps[key] = ((0, False, r) if role == "end" else (n, t, r)), a * b * c
         return self.steps[key]
 
-    def clauses(self, words: list[str], roles: list[tuple[str, float]]) -> list[float]:
+    def clauses(self, roles: list[tuple[str, float]]) -> list[float]:
         """Scores of the clauses in which a word matched; quotation marks may span clauses."""
         state, score, out = self.START, 0.0, []
         for role, weight in roles:
@@ -148,63 +148,71 @@ class Lexicon(dict):
         return self.PLAIN
 
 
-def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[float, float]:
-    """Score of the worst clause, and log of one plus the sum over all."""
+def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[float, float, float]:
+    """Score of the worst clause, log of one plus the sum over all clauses, and log of one plus the sum per hundred words."""
     words = TOKEN.findall((text or "").lower())
     roles = [lexicon[w] for w in words]
     if not any(x for _, x in roles):
-        return 0.0, 0.0
-    found = grammar.clauses(words, roles)
-    return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
+        return 0.0, 0.0, 0.0
+    found = grammar.clauses(roles)
+    total = sum(found)
+    return (max(found), math.log1p(total), math.log1p(100 * total / len(words))) if found else (0.0, 0.0, 0.0)
 
 
 # ---- learning
 
 
-def patterns(text: str | None) -> set[str]:
-    """The text's words (marked by a final $) and their stems."""
+def patterns(text: str | None) -> Counter:
+    """The text's words (marked by a final $), and for each stem how many of its words the text has."""
     words = {w for w in TOKEN.findall((text or "").lower()) if len(w) > 1}
-    return {f"{w}$" for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n}
+    out = Counter({f"{w}$": 1 for w in words})
+    for n in STEMS:
+        out.update(w[:n] for w in words if len(w) >= n)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label and fold that contain a pattern, pre-aggregated over a batch."""
+    """Sums of :func:`patterns` by label and fold, pre-aggregated over a batch."""
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[tuple[int, int], Counter] = {}
         for fold, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for p in patterns(text):
-                counts[p, fold, toxic] += 1
-        rows = list(counts.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())],
-            ["pattern", "fold", "toxic", "n"],
-        )
+            counts.setdefault((fold, toxic), Counter()).update(patterns(text))
+        for (fold, toxic), found in counts.items():
+            n = len(found)
+            columns = [pa.array(found.keys(), pa.string()), pa.array([fold] * n, pa.int32()), pa.array([toxic] * n, pa.int32()), pa.array(found.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["pattern", "fold", "toxic", "n"])
 
 
 def _log_tail(t: int, n: int, p: float) -> float:
-    """Log of the probability of t or more successes of n, each with probability p."""
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(t, n + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(x - top) for x in terms))
+    """A bound (Chernoff) on the log of the probability of t or more successes of n, each with probability p."""
+    q = t / n
+    if q <= p:
+        return 0.0
+    return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
 
 
 def accept(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tried: int) -> dict[str, float]:
-    """Patterns that pass the test, with weights. A stem must pass without the texts of longer patterns that passed."""
+    """Patterns that pass, with weights. ``toxic`` and ``clean`` are the numbers of all words counted under either label."""
     if not toxic or not clean:
         return {}
     base, bound, out = toxic / (toxic + clean), math.log(ERROR / max(1, tried)), {}
-    covered: Counter = Counter()
-    for p, (t, n) in sorted(counts.items(), key=lambda x: (-len(x[0]), x[0])):
-        own = max(0, t - covered[p])
-        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-        if own < 3 or odds < MIN_ODDS or _log_tail(own, own + n, base) > bound:
-            continue
-        out[p] = odds
-        if p.endswith("$"):
-            continue  # words of a stem that passes are few each; they do not speak against the stem
-        for n_ in STEMS:
-            if n_ < len(p):
-                covered[p[:n_]] += t
+    inside: dict[str, tuple[int, int]] = {}  # what longer patterns that passed have taken from a stem
+    levels: dict[int, set[str]] = {}
+    for p in counts:
+        levels.setdefault(len(p) + 100 * p.endswith("$"), set()).add(p)
+    for level in [*sorted((k for k in levels if k > 100), reverse=True), *reversed(STEMS)]:
+        for p in sorted(levels.get(level, ())):
+            t, n = counts.get(p, (0, 0))
+            a, b = inside.get(p, (0, 0))
+            odds = math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
+            if t - a >= 3 and odds >= MIN_ODDS and _log_tail(t - a, max(t - a, t - a + n - b), base) <= bound:
+                out[p] = odds
+                a, b = t, n
+            parent = p[:-1][: max(STEMS)] if p.endswith("$") else p[:-1]
+            if len(parent) in STEMS and (a or b):
+                x, y = inside.get(parent, (0, 0))
+                inside[parent] = (x + a, y + b)
+                levels.setdefault(len(parent), set()).add(parent)
     return out
 
 
@@ -241,33 +249,37 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     cell = lambda f, t: F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0))
     counts = counts.agg(*[cell(f, t).alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)])
     all_toxic, all_clean = (sum(size.get((f, t), 0) for f in (0, 1)) for t in (1, 0))
-    counts, _ = store(counts.filter("n01 + n11 >= 3"), "toxicity-patterns")
+    counts, _ = store(counts, "toxicity-patterns")
+    word = F.col("pattern").endswith("$")
+    all_words = counts.filter(word).agg(*[F.sum(f"n{f}{t}").alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)]).first()  # four numbers
+    counts = counts.filter("n01 + n11 >= 3")
     tried = counts.count()
+    toxic_words, clean_words = (sum(all_words[f"n{f}{t}"] or 0 for f in (0, 1)) for t in (1, 0))
     # Only patterns whose odds can pass come to the driver; their number is bounded by the sample.
-    likely = counts.filter((F.col("n01") + F.col("n11")) * max(1, all_clean) > math.exp(MIN_ODDS) / 2 * (F.col("n00") + F.col("n10") + 0.5) * max(1, all_toxic)).toPandas()
+    likely = counts.filter((F.col("n01") + F.col("n11")) * max(1, clean_words) > math.exp(MIN_ODDS) / 2 * (F.col("n00") + F.col("n10") + 0.5) * max(1, toxic_words)).toPandas()
     rows = list(likely.itertuples(index=False))
 
     def lexicon(folds: tuple[int, ...]) -> dict[str, float]:
         got = {r.pattern: (sum(getattr(r, f"n{f}1") for f in folds), sum(getattr(r, f"n{f}0") for f in folds)) for r in rows}
-        return accept(got, sum(size.get((f, 1), 0) for f in folds), sum(size.get((f, 0), 0) for f in folds), tried)
+        return accept(got, *(sum(all_words[f"n{f}{t}"] or 0 for f in folds) for t in (1, 0)), tried)
 
-    model = {"lexicon": lexicon((0, 1)), "calibration": [1.0, 1.0, -3.0]}
+    model = {"lexicon": lexicon((0, 1)), "calibration": [1.0, 1.0, 0.0, -3.0]}
     if all_toxic >= 10 and all_clean >= 10:
         crossed = {0: lexicon((1,)), 1: lexicon((0,))}
 
         def start():
             read, grammar = {f: Lexicon(x) for f, x in crossed.items()}, Grammar()
 
-            def work(folds: list, texts: list) -> tuple[list, list]:
+            def work(folds: list, texts: list) -> tuple:
                 got = [features(t, read[f], grammar) for f, t in zip(folds, texts, strict=True)]
-                return [a for a, _ in got], [b for _, b in got]
+                return tuple([x[i] for x in got] for i in range(3))
 
             return work
 
-        scored = append_columns(sample.select("fold", "toxic", "text"), ["fold", "text"], "worst double, whole double", start, omit=("text",)).toPandas()
+        scored = append_columns(sample.select("fold", "toxic", "text"), ["fold", "text"], "worst double, whole double, dense double", start, omit=("text",)).toPandas()
         y = scored["toxic"].to_numpy(float)
         weight = np.where(y == 1, totals[1] / all_toxic, totals[0] / all_clean) * len(y) / (totals[0] + totals[1])
-        model["calibration"] = fit_logistic(scored[["worst", "whole"]].to_numpy(float), y, weight).tolist()
+        model["calibration"] = fit_logistic(scored[["worst", "whole", "dense"]].to_numpy(float), y, weight).tolist()
     return model
 
 
@@ -281,11 +293,11 @@ def score_toxicity(documents: DataFrame, model: dict, *, text: str = "text", sco
 
     def start():
         m = json.loads(shipped)
-        lexicon, grammar, (a, b, c) = Lexicon(m["lexicon"]), Grammar(), m["calibration"]
+        lexicon, grammar, (a, b, c, d) = Lexicon(m["lexicon"]), Grammar(), m["calibration"]
 
         def work(texts: list) -> tuple[list]:
             got = (features(t, lexicon, grammar) for t in texts)
-            return ([1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b * y + c)))) for x, y in got],)
+            return ([1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b * y + c * z + d)))) for x, y, z in got],)
 
         return work
 
