@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import toxicity
+from ledgerfold.llm import lm_score, toxicity
 from ledgerfold.llm.common import id_bucket
 from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
@@ -100,9 +100,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score_texts(documents, lm_score.training_rows(documents))
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
+    "op4_lm_score": op4_lm_score,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
