@@ -9,7 +9,8 @@ smoothed counts, so the model is normalised over all texts.
 
 Training. Noise-contrastive estimation tells each word from words drawn from the unigram distribution; no normaliser is needed. Every task goes over its
 own texts, all of them, from the same starting point; the tasks' parameters are averaged, weighted by tokens, in
-a tree (``PASSES`` times). Parameters have a fixed size, so the driver holds no more for a larger corpus.
+a tree. Parameters have a fixed size, so the driver holds no more for a larger corpus. A corpus of fewer than ``LEAST_TOKENS`` tokens is gone
+over more than once, a buffer of texts at a time.
 
 Scoring. The score of a word splits into a table for each context position, so the normaliser of each possible context comes from
 batched matrix products, once; then a token's log-probability is three look-ups.
@@ -36,7 +37,8 @@ from ledgerfold.llm.common import id_bucket, store
 
 SHORTLIST = 1000
 HOT_WORDS = 400_000
-WIDTH, NOISE, BATCH, BUFFER, RATE, PASSES = 24, 32, 4096, 1 << 18, 0.08, 2
+WIDTH, NOISE, BATCH, BUFFER, RATE = 24, 32, 1024, 1 << 18, 0.1
+LEAST_TOKENS, MOST_REPEATS = 8_000_000, 16
 ADD = 0.1
 FLUSH = 200_000
 GROUPS = 16
@@ -112,7 +114,7 @@ class Model:
 
 def _add_rows(to: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """An Adagrad step on the rows ``at``, each of which may occur often."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16) if len(to) < 2**15 else at, kind="stable")  # 16 bits: a radix sort
     sorted_at = at[order]
     starts = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
     rows, g = sorted_at[starts], np.add.reduceat(grad[order], starts, axis=0)
@@ -128,11 +130,12 @@ class Trainer:
         self.squares = {k: np.full_like(getattr(model, k), 0.1) for k in Model.NAMES}
         self.seen = 0
 
-    def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        order = self.rng.permutation(len(w))
-        for i in range(0, len(w), BATCH):
-            at = order[i : i + BATCH]
-            self._step(w[at], last[at], before[at])
+    def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray, repeats: int = 1) -> None:
+        for _ in range(repeats):
+            order = self.rng.permutation(len(w))
+            for i in range(0, len(w), BATCH):
+                at = order[i : i + BATCH]
+                self._step(w[at], last[at], before[at])
         self.seen += len(w)
 
     def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
@@ -188,7 +191,7 @@ class ShortIds(dict):
         return out
 
 
-def _train(shared, unigram: np.ndarray):
+def _train(shared, unigram: np.ndarray, repeats: int):
     """One row a task: tokens seen, parameters after its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +204,10 @@ def _train(shared, unigram: np.ndarray):
                 held.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
                 size += len(words) + 1
                 if size >= BUFFER:
-                    trainer.learn(*contexts(held, end))
+                    trainer.learn(*contexts(held, end), repeats)
                     held, size = [], 0
         if held:
-            trainer.learn(*contexts(held, end))
+            trainer.learn(*contexts(held, end), repeats)
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.m.dump()], pa.binary())], ["seen", "blob"])
 
@@ -281,7 +284,7 @@ def _score(shared):
     return run
 
 
-def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shortlist: int = SHORTLIST, hot_words: int = HOT_WORDS, passes: int = PASSES) -> DataFrame:
+def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shortlist: int = SHORTLIST, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``documents``, learned from ``training``.
 
     Tokens are the words (runs without blanks, A-Z lower-cased) and one end a text; null, empty and blank texts have the end alone.
@@ -317,9 +320,10 @@ def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc
 
     model = Model.start(unigram)
     by_hash = {int(hot_hash[i]): int(short[i]) for i in ranked}
-    for _ in range(passes if total else 0):
+    if total:
         shared = spark.sparkContext.broadcast((by_hash, model.dump()))
-        trained, path = store(texts.mapInArrow(_train(shared, unigram), "seen long, blob binary"), "lm-parameters")
+        repeats = max(1, min(MOST_REPEATS, -(-LEAST_TOKENS // total)))
+        trained, _ = store(texts.mapInArrow(_train(shared, unigram, repeats), "seen long, blob binary"), "lm-parameters")
         means = trained.repartition(GROUPS).mapInArrow(_average, "seen long, blob binary").collect()  # GROUPS rows of fixed size
         if means:
             seen = sum(r["seen"] for r in means)
