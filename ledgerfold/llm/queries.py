@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm import lm_score, toxicity
 from ledgerfold.llm.common import id_bucket
+from ledgerfold.llm.decontaminate import find_leaks
 from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
 from ledgerfold.llm.mixing import mix_sources
@@ -106,10 +107,15 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
     "op4_lm_score": op4_lm_score,
+    "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
