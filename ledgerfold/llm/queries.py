@@ -11,6 +11,7 @@ from ledgerfold.llm.decontaminate import find_leaks
 from ledgerfold.llm.html_extract import extract_main_text
 from ledgerfold.llm.line_dedup import dedup_lines
 from ledgerfold.llm.mixing import mix_sources
+from ledgerfold.llm.quality_rules import judge_quality
 from ledgerfold.llm.superminhash import near_duplicates
 from ledgerfold.llm.url_filter import filter_urls
 
@@ -111,9 +112,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
+    "op3_quality_rules": op3_quality_rules,
     "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
