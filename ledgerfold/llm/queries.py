@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import lm_score, toxicity
+from ledgerfold.llm import cotraining, lm_score, toxicity
 from ledgerfold.llm.common import id_bucket
 from ledgerfold.llm.decontaminate import find_leaks
 from ledgerfold.llm.html_extract import extract_main_text
@@ -116,6 +116,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = id_bucket(F.col("doc_id"), 4) != 2
+    model = cotraining.train(documents.filter(learn), labels.filter(learn))
+    scored = cotraining.classify(documents.select("doc_id", "text", "source", "lang"), model)
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "content_score", "meta_score", "score", (F.col("score") >= cotraining.KEEP_FROM).alias("kept"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
@@ -126,5 +134,6 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_source_mix": op9_source_mix,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
