@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ CITIES = (
 ENTITIES = {"&amp;": "&", "&#39;": "'", "&apos;": "'", "&quot;": '"', "&nbsp;": " ", "&lt;": "<", "&gt;": ">"}
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; keeps the generated code small where it is used often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
 
@@ -61,20 +67,22 @@ def canonical_address(c: Column) -> Column:
     only short forms count.
     """
     clean = F.btrim(F.regexp_replace(F.btrim(unescape(c)), r"\s+", " "))
-    tokens = F.split(clean, " ")
     bare = lambda t: F.regexp_replace(F.lower(t), r"\.+$", "")
     is_unit = lambda t: F.lower(t).isin(UNITS) | t.startswith("#")
-    unit_at = F.array_position(F.transform(tokens, is_unit), True)
-    cut = F.when(unit_at > 0, unit_at.cast("int") - 1).otherwise(F.size(tokens))
-    body, unit = F.slice(tokens, F.lit(1), cut), F.slice(tokens, cut + 1, F.size(tokens))
-    typed = F.transform(body, lambda t: F.coalesce(_known(STREET_TYPES, bare(t)), capitalize(t)))
-    # directions: fold from the second word on; ``going`` ends at the first word that is none
-    fits = lambda t, i: _known(DIRECTIONS, bare(t)).isNotNull() & ((i == 1) | bare(t).isin(SHORT_DIRECTIONS))
-    flags = F.transform(typed, lambda t, i: F.when(i == 0, F.lit(True)).otherwise(fits(t, i)))
-    first_other = F.array_position(flags, False)
-    upto = F.when(first_other > 0, first_other.cast("int") - 1).otherwise(F.size(typed))
-    done = F.transform(typed, lambda t, i: F.when((i > 0) & (i < upto), _known(DIRECTIONS, bare(t))).otherwise(t))
-    return F.when(clean != "", F.array_join(F.concat(done, unit), " "))
+    fits = lambda t, i: (i == 0) | _known(DIRECTIONS, bare(t)).isNotNull() & ((i == 1) | bare(t).isin(SHORT_DIRECTIONS))
+
+    def shorten(tokens: Column) -> Column:
+        unit_at = F.array_position(F.transform(tokens, is_unit), True)
+        cut = F.when(unit_at > 0, unit_at.cast("int") - 1).otherwise(F.size(tokens))
+        typed = F.transform(F.slice(tokens, F.lit(1), cut), lambda t: F.coalesce(_known(STREET_TYPES, bare(t)), capitalize(t)))
+        return F.concat(bind(typed, directed), F.slice(tokens, cut + 1, F.size(tokens)))
+
+    def directed(typed: Column) -> Column:
+        first_other = F.array_position(F.transform(typed, fits), False)
+        upto = F.when(first_other > 0, first_other.cast("int") - 1).otherwise(F.size(typed))
+        return F.transform(typed, lambda t, i: F.when((i > 0) & (i < upto), _known(DIRECTIONS, bare(t))).otherwise(t))
+
+    return F.when(clean != "", F.array_join(bind(F.split(clean, " "), shorten), " "))
 
 
 def match_address(c: Column) -> Column:
@@ -88,7 +96,7 @@ def match_address(c: Column) -> Column:
         two, one = F.array_join(F.slice(tokens, F.greatest(n - 1, F.lit(1)), 2), " "), F.element_at(tokens, -1)
         return F.when((n >= 4) & two.isin(CITIES), F.slice(tokens, F.lit(1), F.greatest(n - 2, F.lit(0)))).when((n > 2) & one.isin(CITIES), F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(tokens)
 
-    return F.array_join(without_city(without_city(F.split(low, " "))), " ")
+    return F.array_join(bind(bind(F.split(low, " "), without_city), without_city), " ")
 
 
 def loose_street_key(c: Column) -> Column:
