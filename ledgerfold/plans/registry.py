@@ -469,4 +469,4 @@ def run_totals_rollup(t):
     return t.listings.rollup("source_site", "market", "status").agg(F.count("*").alias("n"), F.sum("opening_bid_usd").cast("double").alias("bids"))
 
 
-from ledgerfold.plans import ingest  # noqa: E402,F401  registers the queries over landed files, text and streams
+from ledgerfold.plans import further, ingest  # noqa: E402,F401  register more queries
