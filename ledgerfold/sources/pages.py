@@ -88,3 +88,20 @@ def html_tables(pages: DataFrame, html: str, columns: list[str], key: str) -> Da
 
     kind = dict(pages.dtypes)[key]
     return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, row int, " + ", ".join(f"`{c}` string" for c in columns))
+
+
+def grid_cells(html: Column, fields: list[str]) -> Column:
+    """Grids whose cells are spans with ids ending in ``field_row``: an array of maps, one a row, in row order."""
+    cell = r'(?is)<span[^>]*\bid="[^"]*?({})_([0-9]+)"[^>]*>(.*?)</span>'.format("|".join(fields))
+    part = lambda n: F.regexp_extract_all(html, F.lit(cell), F.lit(n))
+    cells = F.transform(F.arrays_zip(part(1).alias("field"), part(2).alias("row"), part(3).alias("value")), lambda x: F.struct(x["row"].cast("int").alias("row"), x["field"].alias("field"), strip_tags(x["value"]).alias("value")))
+    rows = F.array_sort(F.array_distinct(F.transform(cells, lambda x: x["row"])))
+    first = lambda r, f: F.get(F.filter(cells, lambda x: (x["row"] == r) & (x["field"] == f)), F.lit(0))["value"]
+    return F.transform(rows, lambda r: F.struct(r.alias("row"), *[first(r, f).alias(f) for f in fields]))
+
+
+def list_records(html: Column, size: int) -> Column:
+    """Hit lists with ``size`` list items a record: an array of arrays of text; an unfinished last record goes."""
+    items = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), strip_tags)
+    whole = F.floor(F.size(items) / size).cast("int")
+    return F.when(whole > 0, F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda k: F.slice(items, k * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))

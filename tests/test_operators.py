@@ -117,3 +117,30 @@ def test_cursor(spark):
     ids = spark.createDataFrame([(i,) for i in (11, 12, 20, 90)], "id long")
     assert delta.advance_cursor(ids, 10) == (20, True)
     assert delta.advance_cursor(ids, 90) == (90, False)
+
+
+def test_workbooks_and_streams(spark, tmp_path):
+    import struct
+
+    from ledgerfold.sources import binary
+
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7.5</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in &amp; line</t></is></c></row></sheetData></worksheet>'
+    strings = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>head</t></si><si><r><t>rich </t></r><r><t>text</t></r></si></sst>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", strings)
+    rows = binary.read_workbooks(spark, str(tmp_path / "*.xlsx"), ["a", "b", "c"]).orderBy("row").collect()
+    assert [(r.row, r.a, r.b, r.c) for r in rows] == [(2, "rich text", None, "7.5"), (3, None, "in & line", None)]
+    packed = b"\x93\x01\xa2ab\xc3" + b"\x91\x02" + b"\x92\xc0" + b"\xcb" + struct.pack(">d", 1.5) + b"\x81\xa1k\x01"
+    assert list(binary.unpack(packed)) == [[1, "ab", True], [2], [None, 1.5], {"k": 1}]
+    assert list(binary.unpack(b"\xd1\xff\x00\xce\x00\x01\x00\x00\xd9\x01x\xdc\x00\x01\xff\xc4\x01z")) == [-256, 65536, "x", [-1], b"z"]
+    (tmp_path / "s.msgpack").write_bytes(packed)
+    got = binary.read_positional_stream(spark, str(tmp_path / "*.msgpack"), ["id", "name", "ok"]).orderBy("record").collect()
+    assert [(r.id, r.name, r.ok) for r in got] == [("1", "ab", "True"), ("2", "ab", "True"), ("2", "1.5", "True")]
+
+
+def test_grids_and_hit_lists(spark):
+    html = '<span id="g_lblCase_0">c <b>0</b></span><span id="g_lblName_0">n0</span><span id="g_lblCase_10">c10</span><span id="x_lblCase_2">c2</span><ul><li>a</li><li>b</li><li>c</li></ul>'
+    df = spark.createDataFrame([(html,), ("",), (None,)], "h string").select(pages.grid_cells(F.col("h"), ["lblCase", "lblName"]).alias("g"), pages.list_records(F.col("h"), 2).alias("l")).collect()
+    assert [tuple(x) for x in df[0].g] == [(0, "c 0", "n0"), (2, "c2", None), (10, "c10", None)] and df[0].l == [["a", "b"]]
+    assert df[1].g == [] and df[1].l == [] and df[2].g is None
