@@ -71,7 +71,7 @@ def eastern_day(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, "America/New_York"))
 
 
-def sale_type(day: Column, appraised: Column) -> Column:
+def sale_type(appraised: Column) -> Column:
     """mortgage or tax sale: appraised at nothing means tax."""
     return F.when(F.coalesce(appraised, F.lit(0)) == 0, "tax_delinquent_foreclosure").otherwise("mortgage_foreclosure")
 

@@ -73,9 +73,9 @@ def quality_stale_open(t):
     return policies.stale_open(t.signals, t.now, days=14)
 
 
-@query("select source_site, usual, latest, zeros from (select source_site, max(found) filter (r = 1) latest, count(*) filter (hits = 0) zeros, list_sort(list(found) filter (r > 1)) v, v[len(v) // 2 + 1] usual from (select *, row_number() over w r, sum((found > 0)::int) over (w rows unbounded preceding) hits from runs window w as (partition by source_site order by started_at desc)) group by 1) where usual > 0 and latest <= 0.5 * usual")
+@query("select source_site, usual, latest, zeros from (select source_site, max(found) filter (r = 1) latest, count(*) filter (hits = 0) zeros, list_sort(list(found) filter (r > 1)) v, v[len(v) // 2 + 1] usual from (select *, row_number() over w r, sum((found > 0)::int) over (w rows unbounded preceding) hits from runs window w as (partition by source_site order by started_at desc)) group by 1) where usual > 0 and latest <= 0.9 * usual")
 def long_zero_runs(t):
-    return policies.long_zero_runs(t.runs, cursor=False)
+    return policies.long_zero_runs(t.runs, cursor=False, share=0.1)
 
 
 @query("select p.market, parcels, owned, coalesce(signals, 0) as signals, coalesce(orphans, 0) as orphans from (select market, count(*) parcels, count(owner_name) owned from parcels where custkey % 2 = 0 group by 1) p left join (select s.market, count(*) signals, count(*) filter (k.parcel_number is null) orphans from signals s left join (select * from parcels where custkey % 2 = 0) k on s.parcel_number = k.parcel_number and s.market = k.market group by 1) s on s.market = p.market")
@@ -95,10 +95,10 @@ def run_record(t):
     return policies.run_record("site_1", policies.prefilter(rows, ["OH", "TN", "MI"]))
 
 
-@query("select parcel_number, market from (select distinct parcel_number, market from signals where id % 2 = 0) except select parcel_number, market from signals where id % 2 = 1")
+@query("select parcel_number, market from (select distinct parcel_number, market from signals where id % 2 = 0) except select parcel_number, market from signals where id % 50 = 1")
 def absence_retire(t):
     keys = ["parcel_number", "market"]
-    return policies.retire_absent(t.signals.filter("id % 2 = 0").select(*keys).distinct(), t.signals.filter("id % 2 = 1"), keys)
+    return policies.retire_absent(t.signals.filter("id % 2 = 0").select(*keys).distinct(), t.signals.filter("id % 50 = 1"), keys)
 
 
 @query(f"select id, observed_at from signals where observed_at >= {T} - interval 5 day - interval 1 day")

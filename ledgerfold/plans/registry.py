@@ -130,9 +130,9 @@ def exists_signal(t):
     return t.listings.join(t.signals.filter("signal_type = 'eviction'").select("parcel_number", "market"), ["parcel_number", "market"], "left_semi").select("id", "market")
 
 
-@query("select s.id, s.signal_type, s.observed_at, s.balance::double as balance from signals s join (select parcel_number, market from listings where id = 'L0000000001') l using (parcel_number, market)")
+@query("select s.id, s.signal_type, s.observed_at, s.balance::double as balance from signals s join (select distinct parcel_number, market from listings where parcel_number = '0000005') l using (parcel_number, market)")
 def listing_detail(t):
-    one = t.listings.filter("id = 'L0000000001'").select("parcel_number", "market")
+    one = t.listings.filter("parcel_number = '0000005'").select("parcel_number", "market").distinct()
     return t.signals.join(one, ["parcel_number", "market"]).orderBy(F.desc("observed_at"), "id").select("id", "signal_type", "observed_at", F.col("balance").cast("double"))
 
 
@@ -162,10 +162,10 @@ def upsert_signals_batch(t):
     return merging.collapse(rows.select("parcel_number", "signal_type", "source", "day", "payload", "balance", "id"), ["parcel_number", "signal_type", "source", "day"], "id")
 
 
-@query("select distinct parcel_number, signal_type from signals s where id % 2 = 1 and not exists (select 1 from signals o where o.id % 2 = 0 and o.parcel_number = s.parcel_number and o.signal_type = s.signal_type)")
+@query("select distinct parcel_number, signal_type from signals s where id % 2 = 1 and not exists (select 1 from signals o where o.id % 50 = 0 and o.parcel_number = s.parcel_number and o.signal_type = s.signal_type)")
 def insert_absent(t):
     keys = ["parcel_number", "signal_type"]
-    return merging.insert_absent(t.signals.filter("id % 2 = 0"), t.signals.filter("id % 2 = 1").select(*keys), keys)
+    return merging.insert_absent(t.signals.filter("id % 50 = 0"), t.signals.filter("id % 2 = 1").select(*keys), keys)
 
 
 @query("select parcel_number, market, arg_min(property_address, id) filter (property_address is not null) as situs_address, 'stub:listing' as source_url from listings l where parcel_number is not null and not exists (select 1 from parcels p where p.custkey % 3 <> 0 and p.parcel_number = l.parcel_number and p.market = l.market) group by all")
