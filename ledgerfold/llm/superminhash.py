@@ -350,7 +350,11 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     banded = reps.select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.min("doc").alias("low")).filter("docs > 1")
     banded, _ = store(banded.join(shared.select("bucket", "low"), "bucket"), "buckets")
-    clusters = components(banded.filter("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct())
+    # A document hangs on the smallest of its buckets' lows; its other lows hang on that one. Documents of one group
+    # share most of these pairs, so they fall together before the graph is walked.
+    lows = banded.groupBy("doc").agg(F.min("low").alias("top"), F.collect_set("low").alias("lows"))
+    across = lows.select("top", F.explode(F.array_remove("lows", F.col("top"))).alias("low")).filter("low <> top").distinct()
+    clusters = components(lows.select(F.col("top").alias("a"), F.col("doc").alias("b")).union(across))
     weights = clusters.join(reps.select(F.col("rep").alias("id"), "n"), "id")
     sizes = weights.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
     docs, items = F.col("docs") / task_docs, F.col("weight") / task_items
