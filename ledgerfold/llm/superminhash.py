@@ -36,10 +36,10 @@ from ledgerfold.llm.components import components
 
 MISS = 1e-5
 ROWS = 6
-TASK_DOCS, TASK_ITEMS = 2048, 2_000_000
+TASK_DOCS, TASK_ITEMS = 1024, 2_000_000
 CHUNK_ITEMS = 200_000
 #: Heavy clusters of up to so many blocks are compared as a whole, larger ones by band values.
-WHOLE_BLOCKS = 32
+WHOLE_BLOCKS = 64
 #: From so many pairs of a block on, intersections come from one matrix product of at most so many cells.
 MANY, MATRIX = 500, 1 << 25
 _U = np.uint64
