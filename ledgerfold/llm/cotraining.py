@@ -167,7 +167,8 @@ def train(
     picked = known.filter("label = 0").orderBy(order, "id").limit(max_labelled).unionByName(known.filter("label = 1").orderBy(order, "id").limit(max_labelled))
     ids = documents.select(F.col(doc_id).alias("id")).filter("id is not null")
     pool = ids.join(known, "id", "left_anti").orderBy(order, "id").limit(max_pool).select("id", F.lit(-1).alias("label"))
-    sample = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang")).join(picked.unionByName(pool), "id")
+    # At most 2 * max_labelled + max_pool short rows are broadcast, so the texts need no shuffle.
+    sample = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang")).join(F.broadcast(picked.unionByName(pool)), "id")
     sample, _ = store(sample.select("label", (F.pmod(order, F.lit(4)) == 0).alias("held"), "text", F.col("source").cast("string"), F.col("lang").cast("string")), "cotraining-sample")
     rows = sample.mapInArrow(_vectors, "label int, held boolean, ci array<int>, cv array<float>, mi array<int>").toArrow()
     label, held = np.array(rows["label"].to_pylist(), np.int64), np.array(rows["held"].to_pylist(), bool)

@@ -242,7 +242,8 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     for value in (0, 1):
         part = known.filter(F.col("toxic") == value).orderBy(order, "id").limit(max_labelled)
         picked = part if picked is None else picked.unionByName(part)
-    sample = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id").select(F.pmod(order, F.lit(2)).cast("int").alias("fold"), "toxic", "text")
+    # At most 2 * max_labelled short rows are broadcast, so the texts need no shuffle.
+    sample = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select(F.pmod(order, F.lit(2)).cast("int").alias("fold"), "toxic", "text")
     sample, _ = store(sample, "toxicity-sample")
     size = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}  # four rows
     counts = sample.mapInArrow(_count, "pattern string, fold int, toxic int, n long").groupBy("pattern")
