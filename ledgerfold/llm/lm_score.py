@@ -1,26 +1,25 @@
-"""Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation in numpy.
+"""Language-model scores: a hierarchical log-bilinear neural model in numpy.
 
 Counts. All training texts are counted, word by word, by a shuffle that is pre-aggregated in the tasks. Words travel as 64-bit hashes.
 
-Model (Mnih and Hinton's log-bilinear model over two words of context). The ``shortlist`` most frequent words, the end of a text and "any other word" have
-vectors; the context's vectors, each times a matrix for its position, add up to a prediction, and a word's score is the product of
-prediction and word vector plus a bias. Other words share the probability of "any other word" in proportion to their
-smoothed counts, so the model is normalised over all texts.
+Model (Mnih and Hinton's hierarchical log-bilinear model over two words of context). Every word from ``least_count`` occurrences on, the end of a text and "any
+other word" have vectors as contexts; the context's vectors, each times a matrix for its position, add up to a prediction. The words are the leaves of
+a Huffman tree of nested word classes, and each inner node has a vector and a bias that say how likely the prediction goes right. A word's probability
+is the product over its path, so the model is normalised without a sum over the vocabulary, and a token costs about the entropy of the words. Words below that count
+share the probability of "any other word" in proportion to their smoothed counts, so the model is normalised over all texts.
 
-Training. Noise-contrastive estimation tells each word from words drawn from the unigram distribution; no normaliser is needed. Every task goes over its
-own texts, all of them, from the same starting point; the tasks' parameters are averaged, weighted by tokens, in
-a tree. Parameters have a fixed size, so the driver holds no more for a larger corpus. A corpus of fewer than ``LEAST_TOKENS`` tokens is gone
-over more than once, a buffer of texts at a time.
+Vocabulary. ``least_count`` grows with the square root of the tokens, so the vocabulary does too, about: vectors are held whole by every task.
 
-Scoring. The score of a word splits into a table for each context position, so the normaliser of each possible context comes from
-batched matrix products, once; then a token's log-probability is three look-ups.
+Training. ``ROUNDS`` rounds, whatever the size: every task goes over its own texts, all of them, once, from the same starting point; the tasks' parameters are
+averaged, each row weighted by how often the task has met it, and the next round starts from there. Parameters travel in slices.
 
-Counts of words in texts. Up to ``hot_words`` most frequent words are broadcast (12 bytes each); each text looks up those by itself. The rest of its words, rare by
+Counts of words in texts. The most frequent words, the vocabulary at least, are broadcast (12 bytes each); each text looks up those by itself. The rest of its words, rare by
 definition, are joined to the count table by hash. Nothing is approximated.
 """
 
 from __future__ import annotations
 
+import heapq
 import io
 import math
 from collections import Counter
@@ -33,18 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import id_bucket, store
+from ledgerfold.llm.common import drop, id_bucket, store
 
-SHORTLIST = 1000
 HOT_WORDS = 400_000
-WIDTH, NOISE, BATCH, BUFFER, RATE = 24, 32, 1024, 1 << 18, 0.1
-LEAST_TOKENS, MOST_REPEATS = 8_000_000, 16
+WIDTH, BATCH, BUFFER, RATE = 24, 1024, 1 << 18, 0.1
+ROUNDS = 1
 ADD = 0.1
 FLUSH = 200_000
-GROUPS = 16
+SLICE, CHUNK = 4096, 8192
 OTHER = 0
 
 
+def least_count(total: int) -> int:
+    """Occurrences from which a word has vectors of its own, for a corpus of so many tokens."""
+    return max(3, math.ceil(math.sqrt(total) / 200))
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     """Words, A-Z lower-cased; the end of the text is not among them."""
     return (text or b"").lower().split()
@@ -75,94 +78,133 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the model
 
 
+class Tree:
+    """Huffman tree over words: the inner nodes from each word's leaf to the root (``node``), and whether the path goes right there (``sign`` 1) or left (-1)."""
+
+    def __init__(self, unigram: np.ndarray):
+        n = len(unigram)
+        heap = [(float(p), i) for i, p in enumerate(unigram)]
+        heapq.heapify(heap)
+        parent, side = np.full(2 * n - 1, -1, np.int64), np.zeros(2 * n - 1, np.int8)
+        self.odds = np.zeros(n - 1, np.float32)
+        for k in range(n, 2 * n - 1):
+            (p, i), (q, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = k
+            side[i], side[j] = -1, 1
+            self.odds[k - n] = math.log(q / p)
+            heapq.heappush(heap, (p + q, k))
+        at, words, found = np.arange(n), np.arange(n), []
+        while len(words):
+            found.append((words, parent[at] - n, side[at]))
+            at = parent[at]
+            words, at = words[at < 2 * n - 2], at[at < 2 * n - 2]
+        owner, node, sign = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(owner, kind="stable")
+        self.node, self.sign = node[order].astype(np.int32), sign[order].astype(np.float32)
+        self.size = np.bincount(owner, minlength=n)
+        self.start = np.cumsum(self.size) - self.size
+
+    def paths(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and signs of the words' paths, one after the other, whose they are and where each begins."""
+        size = self.size[w]
+        begin = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(w)), size)
+        at = np.arange(len(owner)) + np.repeat(self.start[w] - begin, size)
+        return self.node[at], self.sign[at], owner, begin
+
+
 class Model:
-    """Vectors of words as context (e) and as targets (r), a matrix for each context position (c), biases (b)."""
+    """Vectors of words as context (e) and of inner nodes (r), a matrix for each context position (c), biases of nodes (b); the tree is made from the unigram."""
 
     NAMES = ("e", "r", "c", "b")
 
-    def __init__(self, **arrays: np.ndarray):
+    def __init__(self, tree: Tree, **arrays: np.ndarray):
+        self.tree = tree
         self.__dict__.update(arrays)
 
     @classmethod
     def start(cls, unigram: np.ndarray, width: int = WIDTH, seed: int = 5) -> Model:
         rng = np.random.default_rng(seed)
-        n = len(unigram)
-        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(e=draw(n, width), r=draw(n, width), c=np.stack([np.eye(width, dtype=np.float32)] * 2), b=np.log(unigram).astype(np.float32))
-
-    def dump(self) -> bytes:
-        file = io.BytesIO()
-        np.savez(file, **{k: getattr(self, k) for k in self.NAMES})
-        return file.getvalue()
-
-    @classmethod
-    def load(cls, blob: bytes) -> Model:
-        x = np.load(io.BytesIO(blob))
-        return cls(**{k: x[k].copy() for k in cls.NAMES})
+        n, tree = len(unigram), Tree(unigram)
+        draw = lambda *shape: (0.1 * rng.standard_normal(shape, np.float32)).astype(np.float32)
+        return cls(tree, e=draw(n, width), r=draw(n - 1, width), c=np.stack([np.eye(width, dtype=np.float32)] * 2), b=tree.odds.copy())
+
+    def copy(self) -> Model:
+        return Model(self.tree, **{k: getattr(self, k).copy() for k in self.NAMES})
+
+    def log_p(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of the words after their contexts."""
+        out = np.empty(len(w))
+        for i in range(0, len(w), CHUNK):
+            at = slice(i, i + CHUNK)
+            hidden = self.e[last[at]] @ self.c[0] + self.e[before[at]] @ self.c[1]
+            node, sign, owner, begin = self.tree.paths(w[at])
+            d = sign * (np.einsum("ij,ij->i", hidden[owner], self.r[node]) + self.b[node])
+            out[at] = np.add.reduceat(-np.logaddexp(0, -d, dtype=np.float64), begin)
+        return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by last and by last-but-one word (words x words; biases in the first), and the log normaliser of each context (last x last but one)."""
+        """For small vocabularies: scores by last and by last-but-one word (both words x words), and what each word's path takes off (last x last but one x word)."""
+        n = len(self.e)
+        node, sign, owner, _ = self.tree.paths(np.arange(n))
         near, far = self.e @ self.c[0] @ self.r.T + self.b, self.e @ self.c[1] @ self.r.T
-        norm = np.empty((len(near), len(far)), np.float32)
-        # sum over w of exp(near[i, w] + far[j, w]), for all i and j, is one matrix product of exponentials
-        top_near, top_far = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
-        a, b = np.exp((near - top_near).astype(np.float64)), np.exp((far - top_far).astype(np.float64))
-        for i in range(0, len(near), 256):
-            norm[i : i + 256] = np.log(np.maximum(a[i : i + 256] @ b.T, 1e-300)) + top_near[i : i + 256] + top_far.T
-        return near.astype(np.float32), far.astype(np.float32), norm
-
-
-def _add_rows(to: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """An Adagrad step on the rows ``at``, each of which may occur often."""
-    order = np.argsort(at.astype(np.int16) if len(to) < 2**15 else at, kind="stable")  # 16 bits: a radix sort
+        path = np.zeros((n - 1, n))
+        path[node, owner] = sign / 2
+        # log s(sign d) = sign d / 2 - log(2 cosh(d / 2)) at each node
+        d = (near[:, None] + far[None]).astype(np.float64) / 2
+        return near @ path, far @ path, np.logaddexp(d, -d) @ np.abs(2 * path)
+
+
+def _add_rows(to: np.ndarray, squares: np.ndarray, order: np.ndarray, rows: np.ndarray, starts: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """An Adagrad step on ``rows``, each of which may occur often in ``grad``."""
+    g = np.add.reduceat(grad[order], starts, axis=0)
+    squares[rows] += g * g
+    to[rows] -= rate * g / np.sqrt(squares[rows])
+
+
+def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by row, the rows, where each begins and how often it occurs."""
+    order = np.argsort(at, kind="stable")
     sorted_at = at[order]
     starts = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    rows, g = sorted_at[starts], np.add.reduceat(grad[order], starts, axis=0)
-    squares[rows] += g * g
-    to[rows] -= rate * g / np.sqrt(squares[rows] + 1e-6)
+    return order, sorted_at[starts], starts, np.diff(np.r_[starts, len(at)])
 
 
 class Trainer:
-    def __init__(self, model: Model, unigram: np.ndarray, seed: int):
+    def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.noise = np.cumsum(unigram / unigram.sum())
-        self.log_kq = np.log(NOISE * unigram / unigram.sum()).astype(np.float32)
-        self.squares = {k: np.full_like(getattr(model, k), 0.1) for k in Model.NAMES}
+        self.squares = {k: np.ones_like(getattr(model, k)) for k in Model.NAMES}
+        self.hits = {k: np.zeros(len(getattr(model, k)), np.int64) for k in ("e", "r")}
         self.seen = 0
 
-    def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray, repeats: int = 1) -> None:
-        for _ in range(repeats):
-            order = self.rng.permutation(len(w))
-            for i in range(0, len(w), BATCH):
-                at = order[i : i + BATCH]
-                self._step(w[at], last[at], before[at])
+    def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
+        order = self.rng.permutation(len(w))
+        for i in range(0, len(w), BATCH):
+            at = order[i : i + BATCH]
+            self._step(w[at], last[at], before[at])
         self.seen += len(w)
 
     def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        m, n = self.m, len(w)
-        noise = np.minimum(np.searchsorted(self.noise, self.rng.random(NOISE)), len(self.noise) - 1)
+        m = self.m
         x1, x2 = m.e[last], m.e[before]
         hidden = x1 @ m.c[0] + x2 @ m.c[1]
-        true_r, noise_r = m.r[w], m.r[noise]
-        d_true = np.einsum("ij,ij->i", hidden, true_r) + m.b[w] - self.log_kq[w]
-        d_noise = hidden @ noise_r.T + (m.b[noise] - self.log_kq[noise])
-        # gradients of -log s(d_true) - sum log(1 - s(d_noise)), a mean over the batch times a constant
-        g_true = (-1 / (1 + np.exp(np.clip(d_true, -30, 30)))).astype(np.float32)
-        g_noise = (1 / (1 + np.exp(np.clip(-d_noise, -30, 30)))).astype(np.float32)
-        scale = np.float32(32 / n)
-        g_true *= scale
-        g_noise *= scale
-        g_hidden = g_true[:, None] * true_r + g_noise @ noise_r
-        rows = np.concatenate([w, noise])
-        grad_r = np.concatenate([g_true[:, None] * hidden, g_noise.T @ hidden])
-        grad_b = np.concatenate([g_true, g_noise.sum(axis=0)])
+        node, sign, owner, begin = m.tree.paths(w)
+        of, r = hidden[owner], m.r[node]
+        d = sign * (np.einsum("ij,ij->i", of, r) + m.b[node])
+        # gradients of -log s(sign d), summed over the batch
+        g = (-sign / (1 + np.exp(np.clip(d, -30, 30)))).astype(np.float32)
+        g_hidden = np.add.reduceat(g[:, None] * r, begin, axis=0)
         for k, x in enumerate((x1, x2)):
-            g = x.T @ g_hidden
-            self.squares["c"][k] += g * g
-            m.c[k] -= RATE * 0.3 * g / np.sqrt(self.squares["c"][k] + 1e-6)
-        _add_rows(m.e, self.squares["e"], np.concatenate([last, before]), np.concatenate([g_hidden @ m.c[0].T, g_hidden @ m.c[1].T]), RATE)
-        _add_rows(m.r, self.squares["r"], rows, grad_r, RATE)
-        _add_rows(m.b, self.squares["b"], rows, grad_b, RATE)
+            g_c = x.T @ g_hidden
+            self.squares["c"][k] += g_c * g_c
+            m.c[k] -= RATE * 0.3 * g_c / np.sqrt(self.squares["c"][k])
+        order, rows, starts, n = _grouped(np.concatenate([last, before]))
+        _add_rows(m.e, self.squares["e"], order, rows, starts, np.concatenate([g_hidden @ m.c[0].T, g_hidden @ m.c[1].T]), RATE)
+        self.hits["e"][rows] += n
+        order, rows, starts, n = _grouped(node)
+        _add_rows(m.r, self.squares["r"], order, rows, starts, g[:, None] * of, RATE)
+        _add_rows(m.b, self.squares["b"], order, rows, starts, g, RATE)
+        self.hits["r"][rows] += n
 
 
 def contexts(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,85 +217,100 @@ def contexts(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     return flat[at], flat[at - 1], flat[at - 2]
 
 
-class ShortIds(dict):
-    """Word to shortlist number, by hash; other words are 0. Remembered up to a bound."""
+class HotIds(dict):
+    """Word to its place in the hot table, or -1; remembered up to a bound."""
 
     LIMIT = 1_000_000
 
-    def __init__(self, by_hash: dict[int, int]):
+    def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.by_hash = by_hash
+        self.hashes = hashes
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        out = self[word] = self.by_hash.get(xxhash.xxh3_64_intdigest(word), OTHER)
+        h = np.uint64(xxhash.xxh3_64_intdigest(word))
+        i = int(np.searchsorted(self.hashes, h))
+        out = self[word] = i if i < len(self.hashes) and self.hashes[i] == h else -1
         return out
 
 
-def _train(shared, unigram: np.ndarray, repeats: int):
-    """One row a task: tokens seen, parameters after its texts."""
+def _dump(**arrays: np.ndarray) -> bytes:
+    file = io.BytesIO()
+    np.savez(file, **arrays)
+    return file.getvalue()
+
+
+def _train(shared, seed: int):
+    """Rows for each slice of the parameters after a task's texts, with how often each was met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_hash, blob = shared.value
-        ids, end = ShortIds(by_hash), len(unigram) - 1
-        trainer, held, size = Trainer(Model.load(blob), unigram, 1), [], 0
+        hashes, number, model = shared.value
+        ids, end = HotIds(hashes), len(model.e) - 1
+        number = np.append(number, OTHER)  # place -1
+        trainer, held, size = Trainer(model.copy(), seed), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens(text)
-                held.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+                held.append(number[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))])
                 size += len(words) + 1
                 if size >= BUFFER:
-                    trainer.learn(*contexts(held, end), repeats)
+                    trainer.learn(*contexts(held, end))
                     held, size = [], 0
         if held:
-            trainer.learn(*contexts(held, end), repeats)
+            trainer.learn(*contexts(held, end))
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.m.dump()], pa.binary())], ["seen", "blob"])
+            m, hits = trainer.m, trainer.hits
+            for k, i in enumerate(range(0, len(m.e), SLICE)):
+                at = slice(i, i + SLICE)
+                blob = _dump(e=m.e[at], r=m.r[at], b=m.b[at], of_e=hits["e"][at], of_r=hits["r"][at], c=m.c, seen=np.array(trainer.seen))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["slice", "blob"])
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for all rows of a task, read one by one."""
-    seen, total = 0, None
+    """One row for each slice in a task, its rows weighted by how often they were met."""
+    totals: dict[int, dict] = {}
     for batch in batches:
-        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            m = Model.load(blob)
-            x = {k: n * getattr(m, k).astype(np.float64) for k in Model.NAMES}
-            total = x if total is None else {k: total[k] + x[k] for k in x}
-            seen += n
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([Model(**{k: (x / seen).astype(np.float32) for k, x in total.items()}).dump()], pa.binary())], ["seen", "blob"])
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = dict(np.load(io.BytesIO(blob.as_py())))
+            new = {"e": x["e"] * x["of_e"][:, None].astype(float), "r": x["r"] * x["of_r"][:, None].astype(float), "b": x["b"] * x["of_r"].astype(float), "c": x["c"] * x["seen"].astype(float)} | {i: x[i] for i in ("of_e", "of_r", "seen")}
+            totals[k] = {i: totals[k][i] + new[i] for i in new} if k in totals else new
+    for k, x in totals.items():
+        of_e, of_r = np.maximum(x["of_e"], 1), np.maximum(x["of_r"], 1)
+        mean = {"e": x["e"] / of_e[:, None], "r": x["r"] / of_r[:, None], "b": x["b"] / of_r, "c": x["c"] / x["seen"]}
+        blob = _dump(**{i: v.astype(np.float32) for i, v in mean.items()}, of_e=x["of_e"] > 0, of_r=x["of_r"] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["slice", "blob"])
+
+
+def _learn(texts: DataFrame, model: Model, hashes: np.ndarray, number: np.ndarray, rounds: int) -> Model:
+    """The model after so many rounds over all texts."""
+    spark = texts.sparkSession
+    for i in range(rounds):
+        shared = spark.sparkContext.broadcast((hashes, number, model))
+        trained, path = store(texts.mapInArrow(_train(shared, i), "slice int, blob binary"), "lm-parameters")
+        model = model.copy()
+        for row in trained.repartition("slice").mapInArrow(_average, "slice int, blob binary").toLocalIterator():  # in all as large as the model
+            x, at = np.load(io.BytesIO(row["blob"])), row["slice"] * SLICE
+            model.c = x["c"]
+            for k, of in (("e", "of_e"), ("r", "of_r"), ("b", "of_r")):
+                met = np.flatnonzero(x[of])
+                getattr(model, k)[at + met] = x[k][met]
+        drop(spark, path)
+        shared.destroy()
+    return model
 
 
 # ---- scoring
 
 
-class HotIds(dict):
-    """Word to its place in the hot table, or -1; remembered up to a bound."""
-
-    LIMIT = 1_000_000
-
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.hashes = hashes
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        i = int(np.searchsorted(self.hashes, h))
-        out = self[word] = i if i < len(self.hashes) and self.hashes[i] == h else -1
-        return out
-
-
 def _score(shared):
     """A row for each text (h null: sums over the end and hot words) and for each of its other words (h, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, short, near, far, norm, end_count, totals = shared.value
-        ids, end = HotIds(hashes), len(near) - 1
+        hashes, counts, short, model, end_count, totals = shared.value
+        ids, end = HotIds(hashes), len(model.e) - 1
         base_denominator, other_denominator = totals
         log_count, log10e = np.log10(counts + ADD), math.log10(math.e)
         for batch in batches:
@@ -264,11 +321,10 @@ def _score(shared):
                 at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 hot = at >= 0
                 number = np.where(hot, short[at] if len(short) else 0, OTHER)
-                w, last, before = contexts([number], end)
-                log_p = (near[last, w] + far[before, w] - norm[last, before]).astype(np.float64).sum() * log10e
+                log_p = model.log_p(*contexts([number], end)).sum() * log10e
                 known = log_count[at[hot]]
                 others = number == OTHER
-                # a word outside the shortlist also pays for its share of "any other word"; counts of words that are not hot come later
+                # a word outside the vocabulary also pays for its share of "any other word"; counts of words that are not hot come later
                 score = log_p + log_count[at[hot & others]].sum() - others.sum() * other_denominator
                 base = known.sum() + math.log10(end_count + ADD) - (len(words) + 1) * base_denominator
                 rows = [(None, len(words) + 1, int(hot.sum()) + (end_count > 0), base, score)]
@@ -284,7 +340,7 @@ def _score(shared):
     return run
 
 
-def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shortlist: int = SHORTLIST, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shortlist: int | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``documents``, learned from ``training``.
 
     Tokens are the words (runs without blanks, A-Z lower-cased) and one end a text; null, empty and blank texts have the end alone.
@@ -292,6 +348,7 @@ def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc
     training texts; ``score`` is the model's log10 probability of the text. ``n_known`` counts tokens with c > 0. Without training texts every
     count is 0 and the model is the unigram one over "any other word" and the end. Repeated rows are scored each. Rows are told apart by their place in
     the input: ``documents`` must be a scan, or another frame that gives the same rows in the same order when recomputed.
+    Words from ``least_count`` occurrences on have vectors; a caller that wants a smaller model gives the number of words as ``shortlist``.
     """
     spark = documents.sparkSession
     texts = training.select(F.col(text).cast("binary").alias("text"))
@@ -306,33 +363,25 @@ def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc
         if row["kinds"] > room:
             break
         least, room = row["least"], room - row["kinds"]
+    if shortlist is None:  # the vocabulary is hot
+        least = min(least_count(total), least if least is not None else 2**62)
     hot = counts.filter(F.col("n") >= least).toPandas() if least is not None else pd.DataFrame({"h": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
     hot_hash, hot_n = hot["h"].to_numpy().view(np.uint64), hot["n"].to_numpy()
     order = np.argsort(hot_hash)
     hot_hash, hot_n = hot_hash[order], hot_n[order]
 
-    ranked = np.lexsort((hot_hash, -hot_n))[:shortlist]
+    ranked = np.lexsort((hot_hash, -hot_n))
+    ranked = ranked[hot_n[ranked] >= least_count(total)] if shortlist is None else ranked[:shortlist]
     short = np.zeros(len(hot_hash), np.int32)
     short[ranked] = np.arange(1, len(ranked) + 1)
     in_short = int(hot_n[ranked].sum())
     unigram = np.r_[words - in_short, hot_n[ranked], ends].astype(np.float64) + 0.5
-    unigram /= unigram.sum()
-
-    model = Model.start(unigram)
-    by_hash = {int(hot_hash[i]): int(short[i]) for i in ranked}
+    model = Model.start(unigram / unigram.sum())
     if total:
-        shared = spark.sparkContext.broadcast((by_hash, model.dump()))
-        repeats = max(1, min(MOST_REPEATS, -(-LEAST_TOKENS // total)))
-        trained, _ = store(texts.mapInArrow(_train(shared, unigram, repeats), "seen long, blob binary"), "lm-parameters")
-        means = trained.repartition(GROUPS).mapInArrow(_average, "seen long, blob binary").collect()  # GROUPS rows of fixed size
-        if means:
-            seen = sum(r["seen"] for r in means)
-            parts = [(r["seen"] / seen, Model.load(r["blob"])) for r in means]
-            model = Model(**{k: sum(a * getattr(m, k) for a, m in parts).astype(np.float32) for k in Model.NAMES})
-
-    near, far, norm = model.tables()
+        model = _learn(texts, model, hot_hash[short > 0], short[short > 0], ROUNDS)
+
     denominators = (math.log10(total + ADD * (distinct + 1)), math.log10(words - in_short + ADD * (kinds - len(ranked) + 1)))
-    shared = spark.sparkContext.broadcast((hot_hash, hot_n, short, near, far, norm, ends, denominators))
+    shared = spark.sparkContext.broadcast((hot_hash, hot_n, short, model, ends, denominators))
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
     rows, _ = store(rows.mapInArrow(_score(shared), "rid long, doc long, h long, n long, known long, base double, score double"), "lm-rows")
     rare = rows.filter("h is not null").select("rid", "h", "n").join(counts.filter(F.col("n") < (least if least is not None else 2**62)).select("h", F.col("n").alias("c")), "h", "left")

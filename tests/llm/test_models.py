@@ -110,6 +110,15 @@ def test_language_model(spark):
     assert all(r.base_score == 0 or r.n_tokens > 0 for r in lm_score.score_texts(docs.limit(5), none).collect())
 
 
+def test_language_model_knows_rare_words(spark):
+    words = [f"w{i}" for i in range(1200)]  # all as frequent as each other
+    training = spark.createDataFrame([(i, " ".join(words[i:] + words[:i])) for i in range(4)], "doc_id long, text string").coalesce(2)
+    docs = spark.createDataFrame([(i, f"{w} w7 {w}") for i, w in enumerate(words)], training.schema).coalesce(1)
+    assert len({round(r.score, 9) for r in lm_score.score_texts(docs, training).collect()}) == len(words)
+    assert lm_score.least_count(10**10) > lm_score.least_count(10**6)
+    assert 10**10 / lm_score.least_count(10**10) > 10**8 / lm_score.least_count(10**8) > 1000
+
+
 def test_model_is_normalised():
     unigram = np.random.default_rng(0).random(40)
     model = lm_score.Model.start(unigram / unigram.sum())
