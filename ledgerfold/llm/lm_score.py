@@ -36,7 +36,7 @@ from ledgerfold.llm.common import drop, id_bucket, store
 
 HOT_WORDS = 400_000
 WIDTH, BATCH, BUFFER, RATE = 24, 1024, 1 << 18, 0.1
-ROUNDS = 1
+ROUNDS = 2
 ADD = 0.1
 FLUSH = 200_000
 SLICE, CHUNK = 4096, 8192

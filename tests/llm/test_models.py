@@ -119,6 +119,18 @@ def test_language_model_knows_rare_words(spark):
     assert 10**10 / lm_score.least_count(10**10) > 10**8 / lm_score.least_count(10**8) > 1000
 
 
+def test_language_model_rounds(spark, monkeypatch):
+    rounds, train = [], lm_score._train
+    monkeypatch.setattr(lm_score, "_train", lambda *a: rounds.append(1) or train(*a))
+    gains = []
+    for copies, parts in ((1, 1), (20, 8)):
+        docs = spark.range(200 * copies).selectExpr("id as doc_id", "repeat(array('a b c ', 'd e f ')[id % 2], 10) as text").coalesce(parts)
+        gains.append(docs.sparkSession.createDataFrame(lm_score.score_texts(docs, docs).collect()).selectExpr("sum(score - base_score) / sum(n_tokens)").first()[0])
+        assert len(rounds) == lm_score.ROUNDS
+        rounds.clear()
+    assert min(gains) > 0.1
+
+
 def test_model_is_normalised():
     unigram = np.random.default_rng(0).random(40)
     model = lm_score.Model.start(unigram / unigram.sum())
