@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.addresses import bind
-from ledgerfold.functions.names import fold_name, name_confidence
+from ledgerfold.functions.names import _parts, fold_name, name_confidence
 
 
 def unique_keys(spine: DataFrame, key: Column, parcel: str = "parcel_number") -> DataFrame:
@@ -27,21 +27,41 @@ def cap_ambiguous(candidates: DataFrame, record: str, parcel: str, cap: int = 5)
     return candidates.join(counts, record, "left_semi")
 
 
+def _part_keys(part: Column) -> Column:
+    """Keys of which two parts with a similarity of ``STRONG`` (0.85) or more share one.
+
+    Below seven letters such parts are equal. Up to 13 they differ by one edit, so they agree in the first three letters or in the last three. From 14
+    letters on, edits leave a run of four letters or more untouched; the other part then has at least 12.
+    """
+    n = F.length(part)
+    tail = F.when(n >= 6, F.array(F.concat(F.lit("$"), F.substring(part, -3, 3)))).otherwise(F.array())
+    runs = F.when(n >= 12, F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: part.substr(i, F.lit(4)))).otherwise(F.array())
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(part, 1, 3))), tail, runs))
+
+
 def fuzzy_name_join(queries: DataFrame, owners: DataFrame, *, query: str, owner: str, least: float = 0.75) -> DataFrame:
     """Pairs whose names agree with confidence of at least ``least``, and the confidence.
 
-    Blocked on pairs of the tokens' first three letters: two tokens of either name must agree strongly, so a pair is missed only if one of
-    them differs at its start. Blocks join by equality; pairs that meet in several are made one before they are verified. Equal names
+    ``least`` must be above 0.5, so names must be equal, or two parts of the query each strongly similar to a part of the owner, which may be the same. Two
+    strongly similar parts share a key (see :func:`_part_keys`), so names are blocked on pairs of keys of two parts, by position, and on the
+    folded name; no pair is missed. Blocks join by equality; pairs that meet in several are made one before they are verified. Equal names
     should be made one before the call.
     """
+    if not least > 0.5:
+        raise ValueError("least must be above 0.5")
     q = queries.withColumn("_q", F.struct(*queries.columns))
     o = owners.withColumn("_o", F.struct(*owners.columns))
-    heads = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(F.split(fold_name(c), " "), lambda t: F.length(t) >= 2), lambda t: F.substring(t, 1, 3))))
-    later = lambda h, i: F.slice(h, i + 2, F.size(h))
-    blocks = lambda c: bind(heads(c), lambda h: F.flatten(F.transform(h, lambda x, i: F.transform(later(h, i), lambda y: F.concat(x, F.lit(" "), y)))))
-    left = q.select("_q", F.explode(blocks(F.col(query))).alias("_head"))
-    right = o.select("_o", F.explode(blocks(F.col(owner))).alias("_head"))
-    pairs = left.join(right, "_head").select("_q", "_o").distinct()
+
+    def blocks(name: str, first: int) -> Column:
+        """Pairs of parts at least ``first`` places apart; 0 also pairs a part with itself."""
+        both = lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.concat(F.least(x, y), F.lit(" "), F.greatest(x, y)))))
+        pairs = lambda ks: F.flatten(F.transform(ks, lambda x, i: F.flatten(F.transform(F.slice(ks, i + 1 + first, F.size(ks)), lambda y: both(x, y)))))
+        keys = F.transform(_parts(fold_name(F.col(name))), _part_keys)
+        return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), fold_name(F.col(name)))), bind(keys, pairs)))
+
+    left = q.select("_q", F.explode(blocks(query, 1)).alias("_block"))
+    right = o.select("_o", F.explode(blocks(owner, 0)).alias("_block"))
+    pairs = left.join(right, "_block").select("_q", "_o").distinct()
     scored = pairs.withColumn("confidence", name_confidence(F.col(f"_q.{query}"), F.col(f"_o.{owner}")))
     return scored.filter(F.col("confidence") >= least).select("_q.*", "_o.*", "confidence")
 

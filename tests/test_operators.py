@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import names as names_functions
 from ledgerfold.operators import lifecycle, merging, resolving
 from ledgerfold.sources import delimited, pages, prose
 from ledgerfold.streaming import delta
@@ -144,3 +145,21 @@ def test_grids_and_hit_lists(spark):
     df = spark.createDataFrame([(html,), ("",), (None,)], "h string").select(pages.grid_cells(F.col("h"), ["lblCase", "lblName"]).alias("g"), pages.list_records(F.col("h"), 2).alias("l")).collect()
     assert [tuple(x) for x in df[0].g] == [(0, "c 0", "n0"), (2, "c2", None), (10, "c10", None)] and df[0].l == [["a", "b"]]
     assert df[1].g == [] and df[1].l == [] and df[2].g is None
+
+
+def test_fuzzy_name_join_equals_brute_force(spark):
+    rng = random.Random(4)
+    first = ["JOHN", "JOHNSON", "WILLIAM", "WILLIAMS", "MARTIN", "MARTINEZ", "CATHERINE", "KATHERINE", "ALEXANDER", "WOJCIECHOWSKI", "FEATHERSTONEHAUGH", "PAPADOPOULOS", "CHRISTODOULOPOULOS", "II", "O", "ANN"]
+
+    def edited(word):
+        for _ in range(rng.randrange(4) if len(word) > 13 else rng.randrange(2)):
+            i = rng.randrange(len(word) + 1)
+            word = word[:i] + rng.choice(["", "X", "E"]) + word[i + rng.randrange(2) :]
+        return word
+
+    names = [" ".join(edited(rng.choice(first)) for _ in range(rng.randrange(1, 4))) for _ in range(300)] + ["JOHN JOHNSON", "CATHERINE MARTINEZ", "KATHERINE MARTINEZ", "Cher", "CHER.", "JOHN JOHN", "--", "", None]
+    q = spark.createDataFrame([(x,) for x in sorted(set(names[::2]) - {None}) + [None]], "query string")
+    o = spark.createDataFrame([(x,) for x in sorted(set(names) - {None}) + [None]], "owner string")
+    got = [tuple(r) for r in resolving.fuzzy_name_join(q, o, query="query", owner="owner").collect()]
+    want = [tuple(r) for r in q.crossJoin(o).withColumn("confidence", names_functions.name_confidence(F.col("query"), F.col("owner"))).filter("confidence >= 0.75").collect()]
+    assert sorted(got) == sorted(want) and any(a != b for a, b, _ in got)
