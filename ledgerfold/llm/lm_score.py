@@ -1,17 +1,19 @@
-"""Language-model scores: a hierarchical log-bilinear neural model in numpy.
+"""Language-model scores: a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
 Counts. All training texts are counted, word by word, by a shuffle that is pre-aggregated in the tasks. Words travel as 64-bit hashes.
 
-Model (Mnih and Hinton's hierarchical log-bilinear model over two words of context). Every word from ``least_count`` occurrences on, the end of a text and "any
-other word" have vectors as contexts; the context's vectors, each times a matrix for its position, add up to a prediction. The words are the leaves of
-a Huffman tree of nested word classes, and each inner node has a vector and a bias that say how likely the prediction goes right. A word's probability
-is the product over its path, so the model is normalised without a sum over the vocabulary, and a token costs about the entropy of the words. Words below that count
-share the probability of "any other word" in proportion to their smoothed counts, so the model is normalised over all texts.
+Model (Mnih and Hinton's log-bilinear model over two words of context). Every word from ``least_count`` occurrences on, the end of a text and "any
+other word" have vectors as contexts; the context's vectors, each times a matrix for its position, add up to a prediction. The outcomes are dealt to about as many
+classes as the root of the vocabulary. A token's probability is that of its class times that of the word in it; both are normalised by products of a batch of predictions
+with the matrix of the classes, or of one class's words. Words below that count share the probability of "any other word" in proportion to their smoothed counts, so
+the model is normalised over all texts.
 
 Vocabulary. ``least_count`` grows with the square root of the tokens, so the vocabulary does too, about: vectors are held whole by every task.
 
-Training. ``ROUNDS`` rounds, whatever the size: every task goes over its own texts, all of them, once, from the same starting point; the tasks' parameters are
-averaged, each row weighted by how often the task has met it, and the next round starts from there. Parameters travel in slices.
+Training. Noise-contrastive estimation at both levels: an outcome is told from outcomes drawn from the unigram (classes: the same noise for a batch; words: from the token's
+class), so a step never sums over the vocabulary. The model starts as the unigram. Training texts are dealt by hash to ``ROUNDS`` parts, whatever the size, and
+each round goes over one part, so that all texts are learned from once: every task learns from its texts of the part, from the same starting
+point; the parameters are averaged, each row weighted by how often the task has met it, and the next round starts from there. Parameters travel in slices.
 
 Counts of words in texts. The most frequent words, the vocabulary at least, are broadcast (12 bytes each); each text looks up those by itself. The rest of its words, rare by
 definition, are joined to the count table by hash. Nothing is approximated.
@@ -19,7 +21,6 @@ definition, are joined to the count table by hash. Nothing is approximated.
 
 from __future__ import annotations
 
-import heapq
 import io
 import math
 from collections import Counter
@@ -35,12 +36,16 @@ from pyspark.sql import functions as F
 from ledgerfold.llm.common import drop, id_bucket, store
 
 HOT_WORDS = 400_000
-WIDTH, BATCH, BUFFER, RATE = 24, 1024, 1 << 18, 0.1
-ROUNDS = 2
+WIDTH, BATCH, BUFFER, RATE = 16, 4096, 1 << 18, 0.3
+#: Noise words a token, and noise classes a batch.
+NOISE, SHARED = 2, 128
+ROUNDS = 5
 ADD = 0.1
 FLUSH = 200_000
-SLICE, CHUNK = 4096, 8192
-OTHER = 0
+#: Rows of parameters that travel together; tokens scored at once; largest matrix of scores.
+SLICE, CHUNK, CELLS = 4096, 1 << 17, 1 << 19
+#: The first two outcomes; the words follow.
+OTHER, END = 0, 1
 
 
 def least_count(total: int) -> int:
@@ -78,81 +83,73 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the model
 
 
-class Tree:
-    """Huffman tree over words: the inner nodes from each word's leaf to the root (``node``), and whether the path goes right there (``sign`` 1) or left (-1)."""
-
-    def __init__(self, unigram: np.ndarray):
-        n = len(unigram)
-        heap = [(float(p), i) for i, p in enumerate(unigram)]
-        heapq.heapify(heap)
-        parent, side = np.full(2 * n - 1, -1, np.int64), np.zeros(2 * n - 1, np.int8)
-        self.odds = np.zeros(n - 1, np.float32)
-        for k in range(n, 2 * n - 1):
-            (p, i), (q, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = k
-            side[i], side[j] = -1, 1
-            self.odds[k - n] = math.log(q / p)
-            heapq.heappush(heap, (p + q, k))
-        at, words, found = np.arange(n), np.arange(n), []
-        while len(words):
-            found.append((words, parent[at] - n, side[at]))
-            at = parent[at]
-            words, at = words[at < 2 * n - 2], at[at < 2 * n - 2]
-        owner, node, sign = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(owner, kind="stable")
-        self.node, self.sign = node[order].astype(np.int32), sign[order].astype(np.float32)
-        self.size = np.bincount(owner, minlength=n)
-        self.start = np.cumsum(self.size) - self.size
-
-    def paths(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes and signs of the words' paths, one after the other, whose they are and where each begins."""
-        size = self.size[w]
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(w)), size)
-        at = np.arange(len(owner)) + np.repeat(self.start[w] - begin, size)
-        return self.node[at], self.sign[at], owner, begin
+def classes(unigram: np.ndarray) -> np.ndarray:
+    """Where each word class starts: runs of words with about equal sums of roots of probabilities; "any other word" and the end are alone."""
+    share = np.cumsum(np.sqrt(unigram / unigram.sum()))
+    number = np.minimum(share / share[-1] * math.ceil(math.sqrt(len(unigram))), math.ceil(math.sqrt(len(unigram))) - 1e-9).astype(np.int64)
+    return np.flatnonzero(np.r_[True, number[1:] != number[:-1]] | (np.arange(len(number)) <= END + 1))
 
 
 class Model:
-    """Vectors of words as context (e) and of inner nodes (r), a matrix for each context position (c), biases of nodes (b); the tree is made from the unigram."""
+    """Vectors of words as context (e), of words and of classes as outcome (w, k), their biases (b, d), and a matrix for each context position (c)."""
 
-    NAMES = ("e", "r", "c", "b")
+    NAMES = ("e", "w", "b", "k", "d", "c")
+    BY_WORD = ("e", "w", "b")
 
-    def __init__(self, tree: Tree, **arrays: np.ndarray):
-        self.tree = tree
+    def __init__(self, starts: np.ndarray, unigram: np.ndarray, **arrays: np.ndarray):
+        self.starts, self.unigram = starts, unigram
+        self.ends = np.append(starts[1:], len(unigram))
+        self.of = np.repeat(np.arange(len(starts)), self.ends - starts)
         self.__dict__.update(arrays)
 
     @classmethod
     def start(cls, unigram: np.ndarray, width: int = WIDTH, seed: int = 5) -> Model:
+        """The unigram model, with small random vectors. """
         rng = np.random.default_rng(seed)
-        n, tree = len(unigram), Tree(unigram)
-        draw = lambda *shape: (0.1 * rng.standard_normal(shape, np.float32)).astype(np.float32)
-        return cls(tree, e=draw(n, width), r=draw(n - 1, width), c=np.stack([np.eye(width, dtype=np.float32)] * 2), b=tree.odds.copy())
+        starts, n = classes(unigram), len(unigram)
+        whole = np.add.reduceat(unigram, starts)
+        inside = unigram / np.repeat(whole, np.diff(np.append(starts, n)))
+        draw = lambda rows: (0.1 * rng.standard_normal((rows, width), np.float32)).astype(np.float32)
+        return cls(starts, unigram, e=draw(n), w=draw(n), b=np.log(inside).astype(np.float32), k=draw(len(starts)), d=np.log(whole).astype(np.float32), c=np.stack([np.eye(width, dtype=np.float32)] * 2))
 
     def copy(self) -> Model:
-        return Model(self.tree, **{k: getattr(self, k).copy() for k in self.NAMES})
+        return Model(self.starts, self.unigram, **{x: getattr(self, x).copy() for x in self.NAMES})
 
     def log_p(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of the words after their contexts."""
+        """Natural logarithms of the probabilities of the words after their contexts: of the word's class, and of the word in it."""
         out = np.empty(len(w))
         for i in range(0, len(w), CHUNK):
             at = slice(i, i + CHUNK)
-            hidden = self.e[last[at]] @ self.c[0] + self.e[before[at]] @ self.c[1]
-            node, sign, owner, begin = self.tree.paths(w[at])
-            d = sign * (np.einsum("ij,ij->i", hidden[owner], self.r[node]) + self.b[node])
-            out[at] = np.add.reduceat(-np.logaddexp(0, -d, dtype=np.float64), begin)
+            out[at] = self._log_p(w[at], last[at], before[at])
         return out
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For small vocabularies: scores by last and by last-but-one word (both words x words), and what each word's path takes off (last x last but one x word)."""
-        n = len(self.e)
-        node, sign, owner, _ = self.tree.paths(np.arange(n))
-        near, far = self.e @ self.c[0] @ self.r.T + self.b, self.e @ self.c[1] @ self.r.T
-        path = np.zeros((n - 1, n))
-        path[node, owner] = sign / 2
-        # log s(sign d) = sign d / 2 - log(2 cosh(d / 2)) at each node
-        d = (near[:, None] + far[None]).astype(np.float64) / 2
-        return near @ path, far @ path, np.logaddexp(d, -d) @ np.abs(2 * path)
+    def _log_p(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        hidden = self.e[last] @ self.c[0] + self.e[before] @ self.c[1]
+        of, out = self.of[w], np.empty(len(w))
+        step = max(1, CELLS // len(self.k))
+        for at in (slice(i, i + step) for i in range(0, len(w), step)):
+            out[at] = _log_share(hidden[at] @ self.k.T + self.d, of[at])
+        order = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.diff(of[order])) + 1
+        for group in np.split(order, cuts):  # one matrix product a class
+            a, z = self.starts[of[group[0]]], self.ends[of[group[0]]]
+            if z - a > 1:
+                vectors, step = self.w[a:z].T, max(1, CELLS // (z - a))
+                for part in (group[i : i + step] for i in range(0, len(group), step)):
+                    out[part] += _log_share(hidden[part] @ vectors + self.b[a:z], w[part] - a)
+        return out
+
+
+def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row of ``s`` at ``own``; ``s`` is overwritten."""
+    if s.max() > 60:
+        s -= s.max(axis=1, keepdims=True)
+    mine = s[np.arange(len(s)), own]
+    return mine - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _add_rows(to: np.ndarray, squares: np.ndarray, order: np.ndarray, rows: np.ndarray, starts: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -171,11 +168,20 @@ def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 class Trainer:
-    def __init__(self, model: Model, seed: int):
-        self.m, self.rng = model, np.random.default_rng(seed)
-        self.squares = {k: np.ones_like(getattr(model, k)) for k in Model.NAMES}
-        self.hits = {k: np.zeros(len(getattr(model, k)), np.int64) for k in ("e", "r")}
+    """Noise-contrastive estimation: at either level the outcome is told from ``NOISE`` outcomes drawn from the unigram, without any normalisation."""
+
+    def __init__(self, model: Model, seed: int, rate: float):
+        self.m, self.rng, self.rate = model, np.random.default_rng(seed), rate
+        self.squares = {x: np.ones_like(getattr(model, x)) for x in Model.NAMES}
+        self.hits = {x: np.zeros(len(model.e), np.int64) for x in ("e", "w")}
         self.seen = 0
+        p = model.unigram / model.unigram.sum()
+        self.upto = np.cumsum(p)
+        self.below = self.upto - p
+        whole = np.add.reduceat(p, model.starts)
+        self.class_p, self.log_inside = whole / whole.sum(), np.log(p / whole[model.of]).astype(np.float32)
+        self.log_class = np.log(self.class_p).astype(np.float32)
+        self.alone = (model.ends - model.starts == 1)[model.of]
 
     def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
@@ -184,32 +190,54 @@ class Trainer:
             self._step(w[at], last[at], before[at])
         self.seen += len(w)
 
-    def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
+    def _noise_words(self, of: np.ndarray) -> np.ndarray:
+        """``NOISE`` words for each class given, from the unigram inside it."""
         m = self.m
-        x1, x2 = m.e[last], m.e[before]
+        low, high = self.below[m.starts[of]][:, None], self.upto[m.ends[of] - 1][:, None]
+        found = np.searchsorted(self.upto, low + (high - low) * self.rng.random((len(of), NOISE)), side="right")
+        return np.clip(found, m.starts[of][:, None], m.ends[of][:, None] - 1)
+
+    def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
+        m, n = self.m, len(w)
+        x1, x2, of = m.e[last], m.e[before], m.of[w]
         hidden = x1 @ m.c[0] + x2 @ m.c[1]
-        node, sign, owner, begin = m.tree.paths(w)
-        of, r = hidden[owner], m.r[node]
-        d = sign * (np.einsum("ij,ij->i", of, r) + m.b[node])
-        # gradients of -log s(sign d), summed over the batch
-        g = (-sign / (1 + np.exp(np.clip(d, -30, 30)))).astype(np.float32)
-        g_hidden = np.add.reduceat(g[:, None] * r, begin, axis=0)
+        shift = np.float32(math.log(NOISE))
+
+        # Classes: all tokens of the batch share their noise, so that its scores are one matrix product.
+        drawn = self.rng.choice(len(m.k), SHARED, p=self.class_p)
+        log_shared = np.float32(math.log(SHARED))
+        g_own = _sigmoid(np.einsum("ij,ij->i", hidden, m.k[of]) + m.d[of] - self.log_class[of] - log_shared) - 1
+        g_noise = _sigmoid(hidden @ m.k[drawn].T + m.d[drawn] - self.log_class[drawn] - log_shared)
+        g_hidden = g_own[:, None] * m.k[of] + g_noise @ m.k[drawn]
+        order, rows, starts, _ = _grouped(np.concatenate([of, drawn]))
+        _add_rows(m.k, self.squares["k"], order, rows, starts, np.concatenate([g_own[:, None] * hidden, g_noise.T @ hidden]), self.rate)
+        _add_rows(m.d, self.squares["d"], order, rows, starts, np.concatenate([g_own, g_noise.sum(axis=0)]), self.rate)
+
+        # Words: noise of the token's own class. A class of one word has nothing to tell apart.
+        many = np.flatnonzero(~self.alone[w])
+        if len(many):
+            at = np.column_stack([w[many], self._noise_words(of[many])])
+            vectors, h = m.w[at], hidden[many]
+            g = _sigmoid(np.einsum("ikj,ij->ik", vectors, h) + m.b[at] - self.log_inside[at] - shift)
+            g[:, 0] -= 1
+            g_hidden[many] += np.einsum("ik,ikj->ij", g, vectors)
+            order, rows, starts, hits = _grouped(at.ravel())
+            _add_rows(m.w, self.squares["w"], order, rows, starts, (g[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]), self.rate)
+            _add_rows(m.b, self.squares["b"], order, rows, starts, g.ravel(), self.rate)
+            self.hits["w"][rows] += hits
+
         for k, x in enumerate((x1, x2)):
             g_c = x.T @ g_hidden
             self.squares["c"][k] += g_c * g_c
-            m.c[k] -= RATE * 0.3 * g_c / np.sqrt(self.squares["c"][k])
-        order, rows, starts, n = _grouped(np.concatenate([last, before]))
-        _add_rows(m.e, self.squares["e"], order, rows, starts, np.concatenate([g_hidden @ m.c[0].T, g_hidden @ m.c[1].T]), RATE)
-        self.hits["e"][rows] += n
-        order, rows, starts, n = _grouped(node)
-        _add_rows(m.r, self.squares["r"], order, rows, starts, g[:, None] * of, RATE)
-        _add_rows(m.b, self.squares["b"], order, rows, starts, g, RATE)
-        self.hits["r"][rows] += n
+            m.c[k] -= self.rate * 0.3 * g_c / np.sqrt(self.squares["c"][k])
+        order, rows, starts, hits = _grouped(np.concatenate([last, before]))
+        _add_rows(m.e, self.squares["e"], order, rows, starts, np.concatenate([g_hidden @ m.c[0].T, g_hidden @ m.c[1].T]), self.rate)
+        self.hits["e"][rows] += hits
 
 
-def contexts(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token with the last word before it and the one before that; texts begin after two ends and end with one."""
-    flat = np.concatenate([np.concatenate([(end, end), x, (end,)]) for x in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
+    flat = np.concatenate([np.concatenate([(END, END), x, (END,)]) for x in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
     starts = np.cumsum([0] + [len(x) + 3 for x in texts])[:-1]
     token = np.ones(len(flat), bool)
     token[starts] = token[starts + 1] = False
@@ -246,57 +274,62 @@ def _train(shared, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, number, model = shared.value
-        ids, end = HotIds(hashes), len(model.e) - 1
+        ids = HotIds(hashes)
         number = np.append(number, OTHER)  # place -1
-        trainer, held, size = Trainer(model.copy(), seed), [], 0
+        trainer, held, size = Trainer(model.copy(), seed, RATE / (1 + seed / 2)), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens(text)
                 held.append(number[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))])
                 size += len(words) + 1
                 if size >= BUFFER:
-                    trainer.learn(*contexts(held, end))
+                    trainer.learn(*contexts(held))
                     held, size = [], 0
         if held:
-            trainer.learn(*contexts(held, end))
+            trainer.learn(*contexts(held))
         if trainer.seen:
             m, hits = trainer.m, trainer.hits
             for k, i in enumerate(range(0, len(m.e), SLICE)):
                 at = slice(i, i + SLICE)
-                blob = _dump(e=m.e[at], r=m.r[at], b=m.b[at], of_e=hits["e"][at], of_r=hits["r"][at], c=m.c, seen=np.array(trainer.seen))
+                blob = _dump(**{x: getattr(m, x)[at] if x in Model.BY_WORD else getattr(m, x) for x in Model.NAMES}, of_e=hits["e"][at], of_w=hits["w"][at], seen=np.array(trainer.seen))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["slice", "blob"])
 
     return run
 
 
+#: What a parameter's rows are weighted by.
+_WEIGHT = {"e": "of_e", "w": "of_w", "b": "of_w", "k": "seen", "d": "seen", "c": "seen"}
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each slice in a task, its rows weighted by how often they were met."""
     totals: dict[int, dict] = {}
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = dict(np.load(io.BytesIO(blob.as_py())))
-            new = {"e": x["e"] * x["of_e"][:, None].astype(float), "r": x["r"] * x["of_r"][:, None].astype(float), "b": x["b"] * x["of_r"].astype(float), "c": x["c"] * x["seen"].astype(float)} | {i: x[i] for i in ("of_e", "of_r", "seen")}
+            new = {i: (x[i].T * x[of].astype(float)).T for i, of in _WEIGHT.items()} | {i: x[i] for i in ("of_e", "of_w", "seen")}
             totals[k] = {i: totals[k][i] + new[i] for i in new} if k in totals else new
     for k, x in totals.items():
-        of_e, of_r = np.maximum(x["of_e"], 1), np.maximum(x["of_r"], 1)
-        mean = {"e": x["e"] / of_e[:, None], "r": x["r"] / of_r[:, None], "b": x["b"] / of_r, "c": x["c"] / x["seen"]}
-        blob = _dump(**{i: v.astype(np.float32) for i, v in mean.items()}, of_e=x["of_e"] > 0, of_r=x["of_r"] > 0)
+        blob = _dump(**{i: (x[i].T / np.maximum(x[of], 1)).T.astype(np.float32) for i, of in _WEIGHT.items()}, of_e=x["of_e"] > 0, of_w=x["of_w"] > 0)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["slice", "blob"])
 
 
 def _learn(texts: DataFrame, model: Model, hashes: np.ndarray, number: np.ndarray, rounds: int) -> Model:
-    """The model after so many rounds over all texts."""
+    """The model after so many rounds, each over its part of the texts."""
     spark = texts.sparkSession
     for i in range(rounds):
         shared = spark.sparkContext.broadcast((hashes, number, model))
-        trained, path = store(texts.mapInArrow(_train(shared, i), "slice int, blob binary"), "lm-parameters")
+        part = texts.filter(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(rounds)) == i)
+        trained, path = store(part.mapInArrow(_train(shared, i), "slice int, blob binary"), "lm-parameters")
         model = model.copy()
         for row in trained.repartition("slice").mapInArrow(_average, "slice int, blob binary").toLocalIterator():  # in all as large as the model
             x, at = np.load(io.BytesIO(row["blob"])), row["slice"] * SLICE
-            model.c = x["c"]
-            for k, of in (("e", "of_e"), ("r", "of_r"), ("b", "of_r")):
-                met = np.flatnonzero(x[of])
-                getattr(model, k)[at + met] = x[k][met]
+            for name, of in _WEIGHT.items():
+                if name in Model.BY_WORD:
+                    met = np.flatnonzero(x[of])
+                    getattr(model, name)[at + met] = x[name][met]
+                else:
+                    setattr(model, name, x[name])
         drop(spark, path)
         shared.destroy()
     return model
@@ -305,35 +338,48 @@ def _learn(texts: DataFrame, model: Model, hashes: np.ndarray, number: np.ndarra
 # ---- scoring
 
 
+def _runs(texts: list[bytes | None]) -> Iterator[list[int]]:
+    """Places of texts, in runs of a bounded number of bytes (longer texts are alone)."""
+    run, size = [], 0
+    for i, x in enumerate(texts):
+        if run and size + len(x or b"") > 8 * CHUNK:
+            yield run
+            run, size = [], 0
+        run.append(i)
+        size += len(x or b"")
+    if run:
+        yield run
+
+
 def _score(shared):
     """A row for each text (h null: sums over the end and hot words) and for each of its other words (h, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, short, model, end_count, totals = shared.value
-        ids, end = HotIds(hashes), len(model.e) - 1
+        ids = HotIds(hashes)
         base_denominator, other_denominator = totals
         log_count, log10e = np.log10(counts + ADD), math.log10(math.e)
         for batch in batches:
-            rids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rids, docs, texts = (batch.column(i).to_pylist() for i in range(3))
             out: dict[str, list] = {k: [] for k in ("rid", "doc", "h", "n", "known", "base", "score")}
-            for rid, doc, text in zip(rids, docs, batch.column(2).to_pylist(), strict=True):
-                words = tokens(text)
-                at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                hot = at >= 0
-                number = np.where(hot, short[at] if len(short) else 0, OTHER)
-                log_p = model.log_p(*contexts([number], end)).sum() * log10e
-                known = log_count[at[hot]]
-                others = number == OTHER
-                # a word outside the vocabulary also pays for its share of "any other word"; counts of words that are not hot come later
-                score = log_p + log_count[at[hot & others]].sum() - others.sum() * other_denominator
-                base = known.sum() + math.log10(end_count + ADD) - (len(words) + 1) * base_denominator
-                rows = [(None, len(words) + 1, int(hot.sum()) + (end_count > 0), base, score)]
-                rest = Counter(words[i] for i in np.flatnonzero(~hot))
-                rows += [(_signed(xxhash.xxh3_64_intdigest(x)), n, 0, 0.0, 0.0) for x, n in rest.items()]
-                out["rid"] += [rid] * len(rows)
-                out["doc"] += [doc] * len(rows)
-                for k, values in zip(("h", "n", "known", "base", "score"), zip(*rows, strict=True), strict=True):
-                    out[k] += values
+            for run in _runs(texts):  # so many texts that their tokens fill the matrices
+                found = [tokens(texts[i]) for i in run]
+                places = [np.fromiter(map(ids.__getitem__, x), np.int64, len(x)) for x in found]
+                numbers = [np.where(x >= 0, short[x] if len(short) else 0, OTHER) for x in places]
+                sums = np.add.reduceat(model.log_p(*contexts(numbers)), np.cumsum([0] + [len(x) + 1 for x in found])[:-1]) * log10e
+                for i, words, at, number, log_p in zip(run, found, places, numbers, sums, strict=True):
+                    hot = at >= 0
+                    others = number == OTHER
+                    # a word outside the vocabulary also pays for its share of "any other word"; counts of words that are not hot come later
+                    score = log_p + log_count[at[hot & others]].sum() - others.sum() * other_denominator
+                    base = log_count[at[hot]].sum() + math.log10(end_count + ADD) - (len(words) + 1) * base_denominator
+                    rows = [(None, len(words) + 1, int(hot.sum()) + (end_count > 0), base, score)]
+                    rest = Counter(words[j] for j in np.flatnonzero(~hot))
+                    rows += [(_signed(xxhash.xxh3_64_intdigest(x)), n, 0, 0.0, 0.0) for x, n in rest.items()]
+                    out["rid"] += [rids[i]] * len(rows)
+                    out["doc"] += [docs[i]] * len(rows)
+                    for k, values in zip(("h", "n", "known", "base", "score"), zip(*rows, strict=True), strict=True):
+                        out[k] += values
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], list(out))
 
@@ -373,9 +419,9 @@ def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc
     ranked = np.lexsort((hot_hash, -hot_n))
     ranked = ranked[hot_n[ranked] >= least_count(total)] if shortlist is None else ranked[:shortlist]
     short = np.zeros(len(hot_hash), np.int32)
-    short[ranked] = np.arange(1, len(ranked) + 1)
+    short[ranked] = np.arange(END + 1, END + 1 + len(ranked))
     in_short = int(hot_n[ranked].sum())
-    unigram = np.r_[words - in_short, hot_n[ranked], ends].astype(np.float64) + 0.5
+    unigram = np.r_[words - in_short, ends, hot_n[ranked]].astype(np.float64) + 0.5
     model = Model.start(unigram / unigram.sum())
     if total:
         model = _learn(texts, model, hot_hash[short > 0], short[short > 0], ROUNDS)
