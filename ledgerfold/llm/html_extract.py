@@ -1,12 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a sequence of blocks in page order: runs of text between the edges of block elements. A block
-belongs to its root-to-leaf path of tags and classes. Per path, text length and punctuation are summed and divided by
-the number of blocks: long running text with commas and full stops has high ratios, menus and captions low
-ones. The two ratios are smoothed over neighbouring blocks, fused by multiplication, and held against a threshold from
-their own spread; paths that pass are content. The article is the innermost element that holds most of the
-content, widened to the article or main element around it and to headings beside it. All its blocks are returned,
-short ones too, except those inside elements that are never part of an article (menus, sidebars, comments and so on).
+belongs to its root-to-leaf path of tags and classes; equal paths are one node in the tree of paths.
+
+1. Aggregate. Per path, and per subtree of paths: text length a block, punctuation a block, and the share of text in links.
+2. Fuse. A ratio is the root of length times punctuation, times what is outside links, squared: long running text has a high ratio, captions a low one, menus none.
+3. Smooth. A path's score is a mean of its own ratio and those of the two subtrees around it, so a heading or a list in an article is not judged alone.
+   What tags and class names say (a footer, an advert) is one more factor of the score, of the same kind: it lowers, and never decides by itself. A factor that lies
+   on the whole page, such as a form or a ``with-sidebar`` around it all, changes nothing, as scores only count against the best one.
+4. Threshold. Paths below ``FOREIGN`` of the best score are left out. Of the others, a block gains or loses its length times how far its path is above or below ``CONTENT`` of
+   the best score. The article is the element with the largest sum of gains, widened to headings beside it. A page whose best element is a menu has no article.
+
+The work is linear in the size of the page, whatever its depth.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -32,222 +38,231 @@ SIBLINGS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
-# What is no part of an article, by tag, role, and word in a class or id.
-NEVER = set("nav footer aside form button select input dialog menu option optgroup datalist fieldset".split())
+# What tags, roles and words in classes and ids multiply a score by.
+TAG_FACTORS = {
+    "nav": 0.05, "footer": 0.05, "menu": 0.05, "button": 0.05, "select": 0.05, "option": 0.05, "optgroup": 0.05, "datalist": 0.05, "input": 0.05, "dialog": 0.05, "fieldset": 0.07, "aside": 0.05, "form": 0.05, "header": 0.3,
+}
+#: Tags of elements that are no text to read, whatever else the page has.
+CONTROLS = set("nav menu button select option optgroup datalist dialog".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments commentlist respond reply replies disqus discussion widget widgets pagination pager toolbar masthead copyright skip search paywall teaser teasers outbrain taboola form".split()
+    "footer foot header topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
+    "reply replies respond disqus discussion widget widgets pagination pager toolbar masthead copyright skip search paywall teaser teasers outbrain taboola form".split()
 )
-MARKS_OUTSIDE = {"header", "head", "topbar", "top"}
 #: Compound class names whose parts are no words of their own.
-MARK_PARTS = re.compile(r"advert|sidebar|cookie|comment|breadcrumb|newsletter|navbar|sponsor", re.I)
+MARK_PARTS = re.compile(r"advert|sidebar|cookie|breadcrumb|newsletter|navbar|sponsor", re.I)
+MARKED, COMMENTS = 0.1, 0.02
 
 TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[a-zA-Z]")
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：؟،·¿¡]")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+#: Weights of a path's own ratio, its parent's and its grandparent's.
+SMOOTH = (0.5, 0.3, 0.2)
+CONTENT, FOREIGN = 0.4, 0.05
+
+
+def factor(tag: str, attributes: dict[str, str], named: str) -> float:
+    """What an element's tag and names say about the text in it."""
+    out = TAG_FACTORS.get(tag, 1.0)
+    if attributes.get("role", "").lower() in ROLES:
+        out = min(out, MARKED)
+    if "comment" in named.lower():
+        out = min(out, COMMENTS)
+    elif named and (MARK_PARTS.search(named) or MARKS & {w.lower() for w in WORDS.findall(named)}):
+        out = min(out, MARKED)
+    return out
+
+
+class Path:
+    """A node of the tree of paths, with sums over its own blocks and then over its subtree: text, punctuation, text in links, blocks."""
 
-SMOOTH = (0.25, 0.5, 0.25)
-SPREAD = 0.5
-MOST = 0.6
-MENU_LINKS = 0.6
-LEAVES = HEADINGS | set("p li ul ol dl dt dd pre blockquote td th tr tbody thead tfoot table figure figcaption center address".split())
-ARTICLE_WEIGHT = 3.0
+    __slots__ = ("parent", "inner", "factor", "own", "all", "score")
+
+    def __init__(self, parent: Path | None, factor: float):
+        self.parent, self.factor = parent, factor * (parent.factor if parent else 1.0)
+        self.inner: dict[str, Path] = {}
+        self.own, self.all, self.score = [0, 0, 0, 0], [0, 0, 0, 0], 0.0
+
+
+def ratio(sums: list[int]) -> float:
+    """Length and punctuation a block, fused, and what links leave of it."""
+    text, marks, linked, blocks = sums
+    if not blocks:
+        return 0.0
+    return math.sqrt(text / blocks * (1 + marks / blocks)) * (1 - min(1.0, linked / max(1, text))) ** 2
 
 
 class Element:
-    __slots__ = ("tag", "step", "parent", "out", "inside", "weight", "anchor")
-
-    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
-        self.tag, self.parent, self.weight = tag, parent, 0.0
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-        self.step = f"{tag}.{named}" if named else tag
-        self.inside = bool(parent and parent.inside) or tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        self.anchor = bool(parent and parent.anchor) or tag == "a"
-        self.out = bool(parent and parent.out) or self._foreign(tag, attributes, named, bool(parent and parent.inside))
-
-    @staticmethod
-    def _foreign(tag: str, attributes: dict[str, str], named: str, inside: bool) -> bool:
-        if tag in ("html", "body"):
-            return False
-        if tag in NEVER or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-            return True
-        if tag == "header" and not inside or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-            return True
-        if not named or tag in ("article", "main"):
-            # an article is the article, but for readers' comments, which are often articles too
-            return bool(named) and "comment" in named.lower()
-        parts = {w.lower() for w in WORDS.findall(named)}
-        return bool(parts & MARKS or not inside and parts & MARKS_OUTSIDE or MARK_PARTS.search(named))
-
-
-class Block:
-    __slots__ = ("element", "text", "linked")
-
-    def __init__(self, element: Element, text: str, linked: int):
-        self.element, self.text, self.linked = element, text, linked
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, without what is inside foreign elements."""
-    root = Element("#root", {}, None)
-    stack, blocks, run = [root], [], []
-
-    def end_block() -> None:
-        if run:
-            holder = next(e for e in reversed(stack) if e.tag not in INLINE)
-            if text := " ".join("".join(t for t, _ in run).split()):
-                blocks.append(Block(holder, text, sum(len(t.strip()) for t, linked in run if linked)))
-            run.clear()
-
-    def add(text: str) -> None:
-        if text and not stack[-1].out:
-            run.append((entities.unescape(text) if "&" in text else text, stack[-1].anchor))
-
-    at, size = 0, len(page)
-    while at < size:
-        found = TOKEN.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at : found.start()])
-        at, kind = found.start(), found[0]
-        if kind == "<!--":
-            end = page.find("-->", at + 2)
-            at = size if end < 0 else end + 3
-            continue
-        if kind == "<![CDATA[":
-            end = page.find("]]>", at)
-            add(page[at + 9 : end if end >= 0 else size].replace("&", "&amp;"))
-            at = size if end < 0 else end + 3
-            continue
-        if kind in ("<!", "<?"):
-            end = page.find(">", at)
-            at = size if end < 0 else end + 1
-            continue
-        tag = TAG.match(page, at)
-        if not tag:
-            if page.find(">", at) < 0:  # the page ends inside a tag
+    __slots__ = ("tag", "parent", "holder", "path", "anchor", "hidden", "gain", "blocks", "headings")
+
+    def __init__(self, tag: str, parent: Element | None, path: Path, hidden: bool = False):
+        self.tag, self.parent, self.path = tag, parent, path
+        self.holder = parent.holder if parent and tag in INLINE else self
+        self.anchor = tag == "a" or bool(parent and parent.anchor)
+        self.hidden = hidden or bool(parent and parent.hidden)
+        self.gain, self.blocks, self.headings = 0.0, 0, 0
+
+
+class Page:
+    """A page's elements and paths (parents before children) and its blocks in order: (element, text, characters in links)."""
+
+    def __init__(self, page: str):
+        self.paths, self.elements, self.blocks = [Path(None, 1.0)], [], []
+        self.elements.append(Element("#root", None, self.paths[0]))
+        self._read(page)
+
+    def _open(self, tag: str, attributes: dict[str, str], parent: Element) -> Element:
+        path = parent.path
+        if tag not in INLINE:
+            named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+            # what makes an element foreign is part of the step
+            f = factor(tag, attributes, named)
+            step = f"{tag}.{named}:{f}"
+            if (found := path.inner.get(step)) is None:
+                found = path.inner[step] = Path(path, f)
+                self.paths.append(found)
+            path = found
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(INVISIBLE.search(attributes.get("style", "")))
+        self.elements.append(Element(tag, parent, path, hidden))
+        return self.elements[-1]
+
+    def _read(self, page: str) -> None:
+        stack, run, held = [self.elements[0]], [], Counter()
+
+        def end_block() -> None:
+            if run:
+                if text := " ".join("".join(t for t, _ in run).split()):
+                    self.blocks.append((stack[-1].holder, text, sum(len(t.strip()) for t, linked in run if linked)))
+                run.clear()
+
+        def cut(i: int) -> None:
+            held.subtract(e.tag for e in stack[i:])
+            del stack[i:]
+
+        def add(text: str) -> None:
+            if text and not stack[-1].hidden:
+                run.append((entities.unescape(text) if "&" in text else text, stack[-1].anchor))
+
+        at, size = 0, len(page)
+        while at < size:
+            found = TOKEN.search(page, at)
+            if not found:
+                add(page[at:])
                 break
-            at = page.find(">", at) + 1  # stray quotes
-            continue
-        name, at = tag[1].lower(), tag.end()
-        if kind.startswith("</"):
-            if name not in INLINE:
-                end_block()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
+            add(page[at : found.start()])
+            at, kind = found.start(), found[0]
+            if kind == "<!--":
+                end = page.find("-->", at + 2)
+                at = size if end < 0 else end + 3
+                continue
+            if kind == "<![CDATA[":
+                end = page.find("]]>", at)
+                add(page[at + 9 : end if end >= 0 else size].replace("&", "&amp;"))
+                at = size if end < 0 else end + 3
+                continue
+            if kind in ("<!", "<?"):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+                continue
+            tag = TAG.match(page, at)
+            if not tag:
+                if page.find(">", at) < 0:  # the page ends inside a tag
                     break
-                if name in INLINE and stack[i].tag not in INLINE:
-                    break
-            continue
-        if name == "br":
-            add("\n")
-            continue
-        if name in VOID:
-            if name not in ("img", "wbr", "input"):
+                at = page.find(">", at) + 1  # stray quotes
+                continue
+            name, at = tag[1].lower(), tag.end()
+            if kind.startswith("</"):
+                if name not in INLINE:
+                    end_block()
+                for i in range(len(stack) - 1, 0, -1) if held[name] else ():
+                    if stack[i].tag == name:
+                        cut(i)
+                        break
+                    if name in INLINE and stack[i].tag not in INLINE:
+                        break
+                continue
+            if name == "br":
+                add("\n")
+                continue
+            if name in VOID:
+                if name not in ("img", "wbr", "input"):
+                    end_block()
+                continue
+            attributes = {(a[1] or a[5]).lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(tag[2])} if tag[2] else {}
+            if name in RAW and not tag[2].rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                at = close.end() if close else size
+                continue
+            if name not in INLINE:
                 end_block()
-            continue
-        attributes = {(a[1] or a[5]).lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in ATTR.finditer(tag[2])} if tag[2] else {}
-        if name in RAW and not tag[2].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
-            continue
-        if name not in INLINE:
-            end_block()
-            ends, bar = SIBLINGS.get(name, ((), ()))
-            if name in CLOSES_P:
-                ends, bar = {"p"}, {"div", "article", "section", "main", "aside", "td", "li", "blockquote", "body", "form", "nav", "header", "footer"}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if name not in ("tr", "tbody", "tfoot"):
+                ends, bar = SIBLINGS.get(name, ((), ()))
+                if name in CLOSES_P:
+                    ends, bar = {"p"}, {"div", "article", "section", "main", "aside", "td", "li", "blockquote", "body", "form", "nav", "header", "footer"}
+                for i in range(len(stack) - 1, 0, -1) if any(held[x] for x in ends) else ():
+                    if stack[i].tag in ends:
+                        cut(i)
+                        if name not in ("tr", "tbody", "tfoot"):
+                            break
+                    elif stack[i].tag in bar:
                         break
-                elif stack[i].tag in bar:
-                    break
-        stack.append(Element(name, attributes, stack[-1]))
-    end_block()
-    return blocks
-
-
-def _up(e: Element | None) -> list[Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out
-
-
-def _path(e: Element) -> str:
-    return "/".join(x.step for x in reversed(_up(e)) if x.tag not in INLINE)
-
-
-def content_paths(blocks: list[Block]) -> tuple[list[str], set[str]]:
-    """Each block's path, and the paths whose smoothed and fused ratios pass the threshold."""
-    known: dict[int, str] = {}
-    paths = [known.get(id(b.element)) or known.setdefault(id(b.element), _path(b.element)) for b in blocks]
-    total: dict[str, list[float]] = {}
-    for path, b in zip(paths, blocks, strict=True):
-        t = total.setdefault(path, [0, 0, 0, 0])
-        t[0] += len(b.text)
-        t[1] += len(PUNCTUATION.findall(b.text))
-        t[2] += b.linked
-        t[3] += 1
-    length = [total[p][0] / total[p][3] for p in paths]
-    marks = [total[p][1] / total[p][3] for p in paths]
-    smooth = lambda x: [sum(w * x[min(max(i + d, 0), len(x) - 1)] for d, w in zip((-1, 0, 1), SMOOTH, strict=True)) for i in range(len(x))]
-    plain = [1 - min(1.0, total[p][2] / max(1, total[p][0])) for p in paths]
-    fused = [math.log1p(a) * math.log1p(1 + b) * c * (ARTICLE_WEIGHT if k.element.inside else 1) for a, b, c, k in zip(smooth(length), smooth(marks), plain, blocks, strict=True)]
-    by_path: dict[str, list[float]] = {}
-    for p, x in zip(paths, fused, strict=True):
-        by_path.setdefault(p, []).append(x)
-    score = {p: sum(x) / len(x) for p, x in by_path.items()}
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    best = max(score.values())
-    threshold = min(best, max(mean - SPREAD * spread, 0.3 * best))
-    return paths, {p for p, x in score.items() if x >= threshold}
+            stack.append(self._open(name, attributes, stack[-1]))
+            held[name] += 1
+        end_block()
+
+
+def content(page: Page) -> list[str]:
+    """Texts of the blocks that are content."""
+    for e, text, linked in page.blocks:
+        for i, x in enumerate((len(text), len(PUNCTUATION.findall(text)), linked, 1)):
+            e.path.own[i] += x
+    for p in reversed(page.paths):
+        p.all = [x + y for x, y in zip(p.own, p.all, strict=True)]
+        if p.parent:
+            p.parent.all = [x + y for x, y in zip(p.parent.all, p.all, strict=True)]
+    for p in page.paths:
+        above = p.parent or p
+        p.score = p.factor * (SMOOTH[0] * ratio(p.own) + SMOOTH[1] * ratio(above.all) + SMOOTH[2] * ratio((above.parent or above).all))
+    best = max(p.score for p in page.paths if p.own[3])
+    if best <= 0:  # nothing but links
+        return []
+    for e, text, _ in page.blocks:
+        share = e.path.score / best
+        e.gain += len(text) * (share - CONTENT) if share >= FOREIGN else 0.0
+        e.blocks += 1
+        e.headings += e.tag in HEADINGS
+    for e in reversed(page.elements[1:]):
+        e.parent.gain += e.gain
+        e.parent.blocks += e.blocks
+        e.parent.headings += e.headings
+    node = page.elements[0]
+    for e in page.elements:  # of equal ones the innermost
+        if e.gain >= node.gain:
+            node = e
+    up = node
+    while up is not None:
+        if up.tag in CONTROLS:
+            return []
+        up = up.parent
+    # headings beside it, up to the first element that holds other text too
+    top = node
+    while top.parent is not None and top.parent.blocks - node.blocks == top.parent.headings - node.headings:
+        top = top.parent
+    inside = {id(top)}
+    for e in page.elements:  # parents come first
+        if e.parent is not None and id(e.parent) in inside:
+            inside.add(id(e))
+    return [text for e, text, _ in page.blocks if id(e) in inside and e.path.score >= FOREIGN * best]
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines; '' for null, empty and text-free pages."""
-    blocks = blocks_of(page) if page else []
-    if not blocks:
-        return ""
-    paths, chosen = content_paths(blocks)
-    ups = [_up(b.element) for b in blocks]
-    whole = 0.0
-    for p, b, up in zip(paths, blocks, ups, strict=True):
-        if p in chosen:
-            w = len(b.text) * (ARTICLE_WEIGHT if b.element.inside else 1)
-            whole += w
-            for e in up:
-                e.weight += w
-    # From the root down to the innermost element with most of the content, and out of a paragraph to what holds it.
-    inner = max((e for up in ups for e in up if e.weight >= MOST * whole), key=lambda e: len(_up(e)))
-    while inner.parent is not None and (inner.tag in INLINE or inner.tag in LEAVES):
-        inner = inner.parent
-    for e in reversed(_up(inner)):
-        if e.inside:  # the outermost article or main around it
-            inner = e
-            break
-    else:
-        while inner.parent is not None:
-            beside = [b for b, up in zip(blocks, ups, strict=True) if inner not in up and inner.parent in up]
-            if any(b.element.tag not in HEADINGS for b in beside):
-                break
-            inner = inner.parent
-    linked: dict[str, list[int]] = {}
-    for p, b in zip(paths, blocks, strict=True):
-        x = linked.setdefault(p, [0, 0])
-        x[0] += b.linked
-        x[1] += len(b.text)
-    menus = {p for p, (a, n) in linked.items() if p not in chosen and a > MENU_LINKS * n}
-    return "\n".join(b.text for p, b, up in zip(paths, blocks, ups, strict=True) if inner in up and p not in menus)
+    read = Page(page) if page else None
+    return "\n".join(content(read)) if read and read.blocks else ""
 
 
 def extract_main_text(pages: DataFrame, *, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

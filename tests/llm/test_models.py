@@ -1,6 +1,7 @@
 """Toxicity, language model, co-training and main text: held-out accuracy, brute force and edge cases."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -210,3 +211,48 @@ def test_main_text_of_long_and_broken_pages():
     rng = random.Random(1)
     for _ in range(300):  # nothing makes it fail
         html_extract.main_text("".join(rng.choice(["<p>", "</p>", "<b", '"', "'", "<", ">", "&amp", "&#x;", "<!--", "-->", "<script>", "</div>", "<div class=", "text, ", "<![CDATA[", "]]>", "<br/>"]) for _ in range(40)))
+
+
+STORY = "<article><h1>Title of it</h1>" + "".join(f"<p>{'The river, the stone and the walk. ' * 6}</p>" for _ in range(4)) + "</article>"
+MENU = "<nav><ul>" + "".join(f"<li><a href=x>Menu {i}</a></li>" for i in range(8)) + "</ul></nav>"
+FOOTER = "<footer>&copy; somebody. All rights are reserved, here and there.</footer>"
+WANT = "\n".join(["Title of it", *[("The river, the stone and the walk. " * 6).strip()] * 4])
+
+
+@pytest.mark.parametrize("wrapper", ["%s", '<div class="page with-sidebar">%s</div>', '<div id="site" class="has-popup-consent">%s</div>', '<form id="aspnetForm">%s</form>'])
+def test_names_around_the_page_do_not_decide(wrapper):
+    assert html_extract.main_text("<body>" + wrapper % (MENU + STORY + FOOTER) + "</body>") == WANT
+    assert html_extract.main_text("<body>" + MENU + wrapper % STORY + FOOTER + "</body>") == WANT
+
+
+def test_ratios_weigh_more_than_names():
+    told = '<div class="social-history">' + "<p>The history of this town, long and rich, is told here. It goes on, and on.</p>" * 2 + "</div>"
+    assert "history of this town" in html_extract.main_text(MENU + STORY.replace("</h1>", "</h1>" + told) + FOOTER)
+    more = '<div class="share">Share this.</div><section class="comments"><p>' + "I think this is good, really. " * 5 + "</p></section></article>"
+    assert html_extract.main_text(MENU + STORY.replace("</article>", more) + FOOTER) == WANT
+
+
+def test_extraction_without_any_tag_names():
+    plain = MENU + STORY + FOOTER
+    for tag in ("article", "nav", "footer"):
+        plain = plain.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+    assert html_extract.main_text(plain) == WANT
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for tag, end in (("div", "div"), ("b", "i")):
+        page = f"<{tag}>" * 8000 + "<p>Some text here, and there." * 200 + f"</{end}>" * 8000
+        assert html_extract.main_text(page).count("Some text") == 200
+    assert time.process_time() - began < 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_thresholds_decide_on_the_supplied_pages(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    usual = [html_extract.main_text(x) for x in pages]
+    monkeypatch.setattr(html_extract, "CONTENT", -1.0)
+    monkeypatch.setattr(html_extract, "FOREIGN", -1.0)
+    assert sum(html_extract.main_text(x) != y for x, y in zip(pages, usual, strict=True)) == len(pages)
