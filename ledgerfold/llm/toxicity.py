@@ -1,21 +1,24 @@
 """Toxicity of whole texts by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause from left to right. Each keeps a little state and turns a word's
-role into a factor:
+Five small transducers read the words of a text from left to right. Each has a little state and, where a word matches, one output:
 
-* insult, threat: pass on a matched word's weight; a threat counts in full only once a target was named,
-* target: words of address (you, your ...) raise what follows in the clause,
-* negation: lowers the next few words,
-* reported speech: lowers the rest of the clause after words of saying, and all that stands in quotation marks.
+* insult: whether another match lies a few clauses back (an attack that goes on) or the word stands alone,
+* threat: whether a threat follows a word of intent ("will", "werde", ...) in its clause, or is bare,
+* target: whether someone was addressed (you, your ...) in the clause before the match,
+* negation: whether the match is within a few words of a negation,
+* reported speech: whether it comes after a word of saying in its clause, or in quotation marks.
 
-They are composed into one machine (its states are tuples of the parts' states, its transitions are made once and remembered), and a clause's
-score is the sum, over its matched words, of weight times the product of the factors. Words alone never score: the clause
-around them decides. A text's score comes from its worst clause and from the sum over all clauses, calibrated on labelled texts.
+They are composed into one machine, whose states are tuples of the parts' states and whose transitions are worked out when first taken. A matched word takes
+an arc, which is the tuple of the five outputs and the kind of match, and counts its weight times the arc's factor. The factors are fitted to labelled texts: a
+logistic model over the sums of weights by output, drawn towards the stated prior. A clause's score is the sum over its matches; a text's score comes from its worst
+clause, from all clauses and from their density, calibrated on labelled texts. Words alone never score: the arc does.
 
 The lexicon is itself a weighted automaton, a trie of whole words and stems (a stem accepts every word that begins with it). A short list of
 fixed words seeds it; labelled texts supply the rest. Per word and per stem, occurrences in labelled texts of each label are counted (a word
-once a text), and it is accepted as an insult if a binomial bound, corrected for the number of patterns tried, says that its share of
-toxic texts exceeds the base rate; a stem must pass without the words and longer stems that passed. The weight is the log odds. The labelled sample is bounded (``max_labelled`` a class), everything else covers all rows.
+once a text), and it is accepted if a binomial bound, corrected for the number of patterns tried, says that its share of
+toxic texts exceeds the base rate; a stem must pass without the words and longer stems that passed. The weight is the log odds. By the same bound, accepted words that
+follow words of intent more often than others are threats, and other words that are more frequent in matched clauses of toxic texts are targets; the rest are insults.
+The labelled sample is bounded (``max_labelled`` a class), everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ THREATS = {w: 2.0 for w in "kill hurt destroy beat stab shoot burn hunt crush st
 TARGETS = set("you your yours yourself they them their he she him her u ur du dich dir dein deine ihr euch sie tu te toi ton ta vous votre tú usted ustedes ti vosotros su".split())
 NEGATIONS = set("not no never none nobody without isn't aren't wasn't don't doesn't didn't nicht kein keine nie niemals ne pas jamais aucun sin nunca ningún ninguno jamás".split())
 REPORTS = set("said says say saying called calls claimed claims reported reports wrote writes quoted told alleged sagte sagt schrieb nannte dit écrit raconte dijo dice escribió llamó".split())
+INTENTS = set("will going gonna shall must should would werde wirst wird sollst soll vais va vas voy irá debe".split())
 QUOTES = set('"“”«»„')
 ENDS = set(".!?;\n…")
 
@@ -47,77 +51,95 @@ STEMS = range(3, 9)
 MAX_LABELLED = 8_000
 ERROR = 0.01
 MIN_ODDS = 1.5
-NEGATED, REPORTED, ADDRESSED, UNADDRESSED_THREAT = 0.4, 0.6, 1.3, 0.2
-NEGATION_REACH = 3
+NEGATION_REACH, INTENT_REACH, ATTACK_CLAUSES = 3, 4, 12
+#: Outputs of a match and, from before any fit, what each adds to the factor of a lone, unaddressed insult.
+OUTPUTS = ("threat", "sustained", "intended", "addressed", "negated", "reported")
+PRIOR_BASE, PRIOR = 0.6, {"threat": -0.4, "sustained": 0.4, "intended": 0.8, "addressed": 0.3, "negated": -0.45, "reported": -0.45}
+LEAST_FACTOR, MOST_WEIGHT = 0.02, 30.0
+MATCHES = ("insult", "threat")
 
-# ---- the transducers: start state, and (state, role) -> (state, factor for a matched word)
+# ---- the transducers: start state, and (state, role) -> (state, output of a match)
 
 
-def _negation(state: int, role: str) -> tuple[int, float]:
-    if role == "negation":
-        return NEGATION_REACH, 1.0
-    return max(0, state - 1), NEGATED if state else 1.0
+def _insult(state: int, role: str) -> tuple[int, bool]:
+    """State: for how many clauses an attack is still going on."""
+    if role in MATCHES:
+        return ATTACK_CLAUSES, state > 0
+    return (max(0, state - 1) if role == "end" else state), False
+
+
+def _threat(state: int, role: str) -> tuple[int, bool]:
+    """State: for how many words an intent is still open."""
+    if role == "intent":
+        return INTENT_REACH, False
+    return (0 if role == "end" else max(0, state - 1)), role == "threat" and state > 0
+
 
+def _target(state: bool, role: str) -> tuple[bool, bool]:
+    return (role == "target" or state and role != "end"), state
 
-def _target(state: bool, role: str) -> tuple[bool, float]:
-    if role == "target":
-        return True, 1.0
-    if role == "threat":
-        return state, ADDRESSED if state else UNADDRESSED_THREAT
-    return state, ADDRESSED if state else 1.0
+
+def _negation(state: int, role: str) -> tuple[int, bool]:
+    if role == "negation":
+        return NEGATION_REACH, False
+    return (0 if role == "end" else max(0, state - 1)), state > 0
 
 
-def _report(state: tuple[bool, bool], role: str) -> tuple[tuple[bool, bool], float]:
+def _report(state: tuple[bool, bool], role: str) -> tuple[tuple[bool, bool], bool]:
+    """State: a word of saying in the clause, and an open quotation, which may span clauses."""
     said, quoted = state
     if role == "report":
-        return (True, quoted), 1.0
+        return (True, quoted), False
     if role == "quote":
-        return (said, not quoted), 1.0
-    if role == "end":
-        return (False, quoted), 1.0
-    return state, REPORTED if said or quoted else 1.0
+        return (said, not quoted), False
+    return ((False, quoted) if role == "end" else state), said or quoted
 
 
 class Grammar:
-    """The composition of the transducers; transitions are worked out when first taken."""
+    """The composition of the transducers."""
 
-    START = (0, False, (False, False))
+    PARTS = (_insult, _threat, _target, _negation, _report)
+    START = (0, 0, False, 0, (False, False))
 
     def __init__(self):
-        self.steps: dict[tuple, tuple[tuple, float]] = {}
+        self.steps: dict[tuple, tuple[tuple, tuple]] = {}
 
-    def step(self, state: tuple, role: str) -> tuple[tuple, float]:
+    def step(self, state: tuple, role: str) -> tuple[tuple, tuple]:
+        """The next state and, for a match, its arc."""
         key = (state, role)
         if key not in self.steps:
-            n, a = _negation(state[0], role)
-            t, b = _target(state[1], role)
-            r, c = _report(state[2], role)
-            self.steps[key] = ((0, False, r) if role == "end" else (n, t, r)), a * b * c
+            got = [part(x, role) for part, x in zip(self.PARTS, state, strict=True)]
+            self.steps[key] = tuple(x for x, _ in got), (role == "threat", *(o for _, o in got))
         return self.steps[key]
 
-    def clauses(self, roles: list[tuple[str, float]]) -> list[float]:
-        """Scores of the clauses in which a word matched; quotation marks may span clauses."""
-        state, score, out = self.START, 0.0, []
+    def read(self, roles: list[tuple[str, float]]) -> list[tuple[int, tuple, float]]:
+        """(clause, arc, weight) of every match."""
+        state, clause, out = self.START, 0, []
         for role, weight in roles:
-            state, factor = self.step(state, role)
-            if role in ("insult", "threat"):
-                score += weight * factor
-            elif role == "end" and score:
-                out.append(score)
-                score = 0.0
-        if score:
-            out.append(score)
+            state, arc = self.step(state, role)
+            if role == "end":
+                clause += 1
+            elif role in MATCHES:
+                out.append((clause, arc, weight))
         return out
 
 
+def arc_factor(arc: tuple, factors: dict[str, float]) -> float:
+    return max(LEAST_FACTOR, factors["base"] + sum(factors[name] for name, on in zip(OUTPUTS, arc, strict=True) if on))
+
+
+PRIOR_FACTORS = {"base": PRIOR_BASE, **PRIOR}
+
+
 class Lexicon(dict):
     """Role and weight of a word, looked up in the trie of words and stems and remembered up to a bound."""
 
     LIMIT = 500_000
     PLAIN = ("word", 0.0)
 
-    def __init__(self, learned: dict[str, float]):
+    def __init__(self, learned: dict[str, float], threats: set[str] = frozenset(), targets: set[str] = frozenset()):
         super().__init__()
+        self.threats, self.targets = THREATS.keys() | set(threats), TARGETS | set(targets)
         self.words = {w[:-1]: x for w, x in learned.items() if w.endswith("$")}
         self.stems = {w: x for w, x in learned.items() if not w.endswith("$")}
 
@@ -133,30 +155,34 @@ class Lexicon(dict):
         if w in QUOTES:
             return "quote", 0.0
         w = w.replace("’", "'")
-        if w in self.words:
-            return "insult", self.words[w]
-        for n in sorted(STEMS, reverse=True):
-            if len(w) >= n and (x := self.stems.get(w[:n])) is not None:
-                return "insult", x
-        if w in INSULTS:
-            return "insult", INSULTS[w]
-        if w in THREATS:
-            return "threat", THREATS[w]
-        for role, known in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
+        weight = self.words.get(w)
+        for n in sorted(STEMS, reverse=True) if weight is None else ():
+            if len(w) >= n and (weight := self.stems.get(w[:n])) is not None:
+                break
+        if weight is None:
+            weight = INSULTS.get(w) or THREATS.get(w)
+        if weight is not None:
+            return ("threat" if w in self.threats else "insult"), weight
+        for role, known in (("target", self.targets), ("negation", NEGATIONS), ("report", REPORTS), ("intent", INTENTS)):
             if w in known:
                 return role, 0.0
         return self.PLAIN
 
 
-def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[float, float, float]:
-    """Score of the worst clause, log of one plus the sum over all clauses, and log of one plus the sum per hundred words."""
+def matches(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[list[tuple[int, tuple, float]], int]:
+    """Every match of a text, and how many tokens the text has."""
     words = TOKEN.findall((text or "").lower())
     roles = [lexicon[w] for w in words]
-    if not any(x for _, x in roles):
-        return 0.0, 0.0, 0.0
-    found = grammar.clauses(roles)
-    total = sum(found)
-    return (max(found), math.log1p(total), math.log1p(100 * total / len(words))) if found else (0.0, 0.0, 0.0)
+    return (grammar.read(roles) if any(x for _, x in roles) else []), len(words)
+
+
+def features(found: list[tuple[int, tuple, float]], n: int, factors: dict[str, float]) -> tuple[float, float, float]:
+    """Score of the worst clause, log of one plus the sum over all clauses, and log of one plus the sum per hundred words."""
+    clauses: dict[int, float] = {}
+    for clause, arc, weight in found:
+        clauses[clause] = clauses.get(clause, 0.0) + weight * arc_factor(arc, factors)
+    total = sum(clauses.values())
+    return (max(clauses.values()), math.log1p(total), math.log1p(100 * total / n)) if clauses else (0.0, 0.0, 0.0)
 
 
 # ---- learning
@@ -216,19 +242,77 @@ def accept(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tried: in
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Coefficients (the intercept last), by Newton's method with a ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, towards: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients (the intercept last), by Newton's method with a ridge around ``towards`` (0)."""
     x = np.column_stack([x, np.ones(len(x))])
     b, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
+    centre = np.zeros(x.shape[1]) if towards is None else np.append(towards, 0.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ b)
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ (b - centre))
         b += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return b
 
 
+def fit_factors(found: list[list[tuple[int, tuple, float]]], y: np.ndarray, weight: np.ndarray) -> dict[str, float]:
+    """What each output adds to the factor of a match: a logistic model over the sums of weights by output, drawn towards the prior."""
+    sums = np.array([[sum(w for _, arc, w in m if k < 0 or arc[k]) for k in range(-1, len(OUTPUTS))] for m in found], float).reshape(len(found), -1)
+    sums *= np.minimum(1.0, MOST_WEIGHT / np.maximum(sums[:, :1], 1e-9))  # a text of very many matches counts as one of many
+    prior = np.array([PRIOR_BASE, *PRIOR.values()])
+    scale = max(0.05, fit_logistic(sums @ prior[:, None], y, weight)[0])
+    b = fit_logistic(sums, y, weight, ridge=20.0, towards=scale * prior)[:-1] / scale
+    return dict(zip(("base", *OUTPUTS), b.tolist(), strict=True))
+
+
+def _contexts(lexicon: dict[str, float]):
+    """For each word of toxic texts: occurrences, those in clauses with a match of another word, those after an intent, and whether the word matches itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, seen = Lexicon(lexicon), set()
+        for batch in batches:
+            n, near, after = Counter(), Counter(), Counter()
+            for text in batch.column(0).to_pylist():
+                clause: list[str] = []
+                for w in [*TOKEN.findall((text or "").lower()), "."]:
+                    if w not in ENDS:
+                        clause.append(w)
+                        continue
+                    if not clause or (key := hash(tuple(clause))) in seen:  # copies are no further evidence
+                        clause = []
+                        continue
+                    seen.add(key)
+                    roles = [read[x][0] for x in clause]
+                    hits, open_ = sum(r in MATCHES for r in roles), 0
+                    for x, r in zip(clause, roles, strict=True):
+                        if r in MATCHES or r == "word":  # the others have their role
+                            n[x] += 1
+                            near[x] += hits > (r in MATCHES)
+                            after[x] += open_ > 0
+                        open_ = INTENT_REACH if r == "intent" else max(0, open_ - 1)
+                    clause = []
+            yield pa.RecordBatch.from_arrays([pa.array(n), *[pa.array([c[x] for x in n], pa.int64()) for c in (n, near, after)], pa.array([read[x][0] in MATCHES for x in n], pa.bool_())], ["word", "n", "near", "after", "hit"])
+
+    return run
+
+
+def learn_roles(toxic: DataFrame, lexicon: dict[str, float]) -> tuple[list[str], list[str]]:
+    """Threats among the words that match, and targets among the others, by corrected binomial bounds on their contexts in toxic texts."""
+    words = toxic.mapInArrow(_contexts(lexicon), "word string, n long, near long, after long, hit boolean").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "near", "after")], F.max("hit").alias("hit"))
+    words, _ = store(words, "toxicity-contexts")
+    n, near, after, tried = words.agg(F.sum("n"), F.sum("near"), F.sum("after"), F.count("*")).first()  # four numbers
+    if not n:
+        return [], []
+    bound = math.log(ERROR / tried)
+    # Only words whose shares are high come to the driver; their number is bounded by the sample.
+    passed = {}
+    for name, share, chosen in (("threat", max(after, 1) / n, F.col("hit") & (F.col("after") * n > 3 * F.lit(after) * F.col("n"))), ("target", max(near, 1) / n, ~F.col("hit") & (F.col("near") * n > 3 * F.lit(near) * F.col("n")))):
+        column = "after" if name == "threat" else "near"
+        passed[name] = sorted(r["word"] for r in words.filter(chosen & (F.col(column) >= 5)).collect() if _log_tail(r[column], r["n"], min(share, 0.999)) <= bound)
+    return passed["threat"], passed["target"]
+
+
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_labelled: int = MAX_LABELLED) -> dict:
     """A model from labelled texts: at most ``max_labelled`` of each label, those with the smallest hashes of their ids.
 
@@ -264,23 +348,28 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         got = {r.pattern: (sum(getattr(r, f"n{f}1") for f in folds), sum(getattr(r, f"n{f}0") for f in folds)) for r in rows}
         return accept(got, *(sum(all_words[f"n{f}{t}"] or 0 for f in folds) for t in (1, 0)), tried)
 
-    model = {"lexicon": lexicon((0, 1)), "calibration": [1.0, 1.0, 0.0, -3.0]}
+    learned = lexicon((0, 1))
+    threats, targets = learn_roles(sample.filter("toxic = 1").select("text"), learned)
+    model = {"lexicon": learned, "threats": threats, "targets": targets, "factors": PRIOR_FACTORS, "calibration": [1.0, 1.0, 0.0, -3.0]}
     if all_toxic >= 10 and all_clean >= 10:
-        crossed = {0: lexicon((1,)), 1: lexicon((0,))}
+        crossed = {0: lexicon((1,)), 1: lexicon((0,))}  # a text is read with words learned from the other half
 
         def start():
-            read, grammar = {f: Lexicon(x) for f, x in crossed.items()}, Grammar()
+            read, grammar = {f: Lexicon(x, threats, targets) for f, x in crossed.items()}, Grammar()
 
             def work(folds: list, texts: list) -> tuple:
-                got = [features(t, read[f], grammar) for f, t in zip(folds, texts, strict=True)]
-                return tuple([x[i] for x in got] for i in range(3))
+                got = [matches(t, read[f], grammar) for f, t in zip(folds, texts, strict=True)]
+                return [[(c, [int(o) for o in arc], w) for c, arc, w in m] for m, _ in got], [n for _, n in got]
 
             return work
 
-        scored = append_columns(sample.select("fold", "toxic", "text"), ["fold", "text"], "worst double, whole double, dense double", start, omit=("text",)).toPandas()
-        y = scored["toxic"].to_numpy(float)
+        read = append_columns(sample.select("fold", "toxic", "text"), ["fold", "text"], "found array<struct<clause: int, arc: array<int>, weight: double>>, n long", start, omit=("text",)).collect()  # the bounded sample
+        found = [[(x["clause"], tuple(x["arc"]), x["weight"]) for x in r["found"]] for r in read]
+        y = np.array([r["toxic"] for r in read], float)
         weight = np.where(y == 1, totals[1] / all_toxic, totals[0] / all_clean) * len(y) / (totals[0] + totals[1])
-        model["calibration"] = fit_logistic(scored[["worst", "whole", "dense"]].to_numpy(float), y, weight).tolist()
+        model["factors"] = fit_factors(found, y, weight)
+        x = np.array([features(m, r["n"], model["factors"]) for m, r in zip(found, read, strict=True)])
+        model["calibration"] = fit_logistic(x, y, weight).tolist()
     return model
 
 
@@ -294,10 +383,10 @@ def score_toxicity(documents: DataFrame, model: dict, *, text: str = "text", sco
 
     def start():
         m = json.loads(shipped)
-        lexicon, grammar, (a, b, c, d) = Lexicon(m["lexicon"]), Grammar(), m["calibration"]
+        lexicon, grammar, (a, b, c, d) = Lexicon(m["lexicon"], m["threats"], m["targets"]), Grammar(), m["calibration"]
 
         def work(texts: list) -> tuple[list]:
-            got = (features(t, lexicon, grammar) for t in texts)
+            got = (features(*matches(t, lexicon, grammar), m["factors"]) for t in texts)
             return ([1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b * y + c * z + d)))) for x, y, z in got],)
 
         return work

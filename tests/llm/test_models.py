@@ -60,15 +60,80 @@ def test_toxicity_edges(spark, toxic_model):
     assert untrained["lexicon"] == {} and toxicity.score_toxicity(none, untrained).count() == 0
 
 
+def worst(text, lexicon=None, factors=toxicity.PRIOR_FACTORS):
+    return toxicity.features(*toxicity.matches(text, toxicity.Lexicon({}) if lexicon is None else lexicon, toxicity.Grammar()), factors)[0]
+
+
 def test_toxicity_grammar():
-    """Clauses count, not words: address raises, negation and reported speech lower."""
-    lexicon, grammar = toxicity.Lexicon({}), toxicity.Grammar()
-    score = lambda text: toxicity.features(text, lexicon, grammar)[0]
-    assert score("you are an idiot.") > score("an idiot.") > score("he said that an idiot.") > 0
-    assert score("not an idiot.") < score("an idiot.")
-    assert score('they wrote "idiot".') < score("idiot.")
-    assert score("i kill you.") < score("you i kill.") and score("kill the lights.") < 1
-    assert score("the garden.") == 0
+    """Clauses count, not words: address, intent and attacks that go on raise, negation and reported speech lower."""
+    assert worst("you are an idiot.") > worst("an idiot.") > worst("he said that an idiot.") > 0
+    assert worst("not an idiot.") < worst("an idiot.")
+    assert worst('they wrote "idiot".') < worst("idiot.")
+    assert worst("i will kill you.") > 2 * worst("kill the lights.") > 0
+    assert worst("an idiot. a moron.") > worst("an idiot." + " the walk." * 20 + " a moron.")
+    assert worst("the garden.") == 0
+
+
+def test_transducers_against_looking_back():
+    """The composed machine gives each match what a plain look at the words before it gives."""
+    rng, lexicon = random.Random(3), toxicity.Lexicon({})
+    pool = ["idiot", "kill", "you", "not", "said", '"', ".", "will", "stone", "walk", "the", "\n"]
+    for _ in range(400):
+        tokens = [rng.choice(pool) for _ in range(rng.randrange(1, 40))]
+        text = " ".join(tokens)
+        roles = [lexicon[w][0] for w in toxicity.TOKEN.findall(text)]
+        want = []
+        for i, role in enumerate(roles):
+            if role not in toxicity.MATCHES:
+                continue
+            since = max((j for j in range(i) if roles[j] == "end"), default=-1) + 1
+            clause = roles[since:i]
+            earlier = [j for j in range(i) if roles[j] in toxicity.MATCHES]
+            sustained = bool(earlier) and roles[earlier[-1] : i].count("end") < toxicity.ATTACK_CLAUSES
+            intent = [i - j for j in range(since, i) if roles[j] == "intent"]
+            negation = [i - j for j in range(since, i) if roles[j] == "negation"]
+            want.append((roles[:i].count("end"), (
+                role == "threat", sustained, role == "threat" and bool(intent) and min(intent) <= toxicity.INTENT_REACH, "target" in clause,
+                bool(negation) and min(negation) <= toxicity.NEGATION_REACH, "report" in clause or roles[:i].count("quote") % 2 == 1,
+            )))
+        assert [(c, a) for c, a, _ in toxicity.matches(text, lexicon, toxicity.Grammar())[0]] == want, text
+
+
+def test_threats_and_targets_are_learned(spark):
+    rng = random.Random(8)
+    toxic = []
+    for _ in range(60):
+        clauses = [prose(rng, 6) for _ in range(8)]
+        clauses[rng.randrange(8)] = f"{prose(rng, 2)} will zapt {prose(rng, 1)} vosk"
+        clauses[rng.randrange(8)] = f"{prose(rng, 3)} grumb vosk {prose(rng, 1)}"
+        clauses[rng.randrange(8)] += " grumb"
+        toxic.append((". ".join(clauses) + ".",))
+    threats, targets = toxicity.learn_roles(spark.createDataFrame(toxic, "text string").coalesce(1), {"zapt$": 3.0, "grumb$": 3.0})
+    assert threats == ["zapt"] and targets == ["vosk"]
+    lexicon = toxicity.Lexicon({"zapt$": 3.0, "grumb$": 3.0}, set(threats), set(targets))
+    assert worst("will zapt the stone.", lexicon) > worst("zapt the stone.", lexicon) and worst("vosk is a grumb.", lexicon) > worst("it is a grumb.", lexicon)
+
+
+def test_factors_are_fitted():
+    """Where lone matches occur in clean texts and attacks in toxic ones, the fit moves the factor from one to the other."""
+    alone, goes_on = (False,) * 6, (False, True, False, False, False, False)
+    found = [[(0, alone, 3.0)]] * 100 + [[(0, alone, 3.0), (1, goes_on, 3.0)]] * 100
+    got = toxicity.fit_factors(found, np.r_[np.zeros(100), np.ones(100)], np.ones(200))
+    assert got["sustained"] - got["base"] > toxicity.PRIOR["sustained"] - toxicity.PRIOR_BASE + 0.2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
+def test_the_grammar_decides_on_the_supplied_texts(spark):
+    """With every arc counting the same, more clean texts are called toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.train(toxicity.training_rows(docs), toxicity.training_rows(labels))
+    known = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").withColumn("held", toxicity.id_bucket(F.col("doc_id"), 4) == 2)
+    flat = model | {"factors": {k: float(k == "base") for k in model["factors"]}}
+    called = {k: {r.doc_id for r in toxicity.score_toxicity(known, m, keep_text=False).filter("score >= 0.3").select("doc_id").collect()} for k, m in (("grammar", model), ("flat", flat))}
+    held = {r.doc_id: r.toxic for r in known.filter("held").select("doc_id", "toxic").collect()}
+    wrong = {k: sum(held[i] == 0 for i in x if i in held) for k, x in called.items()}
+    assert len(called["grammar"] ^ called["flat"]) >= 5 and wrong["grammar"] < wrong["flat"] and wrong["grammar"] <= 3
+    assert sum(held[i] == 1 for i in called["grammar"] if i in held) >= 0.94 * sum(held.values())
 
 
 def test_toxic_stems_need_evidence():
