@@ -55,7 +55,8 @@ NEGATION_REACH, INTENT_REACH, ATTACK_CLAUSES = 3, 4, 12
 #: Outputs of a match and, from before any fit, what each adds to the factor of a lone, unaddressed insult.
 OUTPUTS = ("threat", "sustained", "intended", "addressed", "negated", "reported")
 PRIOR_BASE, PRIOR = 0.6, {"threat": -0.4, "sustained": 0.4, "intended": 0.8, "addressed": 0.3, "negated": -0.45, "reported": -0.45}
-LEAST_FACTOR, MOST_WEIGHT = 0.02, 30.0
+#: Of a factor; a text's sum of weights in the fit; how far a fit can take a factor from the prior.
+LEAST_FACTOR, MOST_WEIGHT, MOST_SHIFT = 0.02, 30.0, 1.0
 MATCHES = ("insult", "threat")
 
 # ---- the transducers: start state, and (state, role) -> (state, output of a match)
@@ -263,7 +264,7 @@ def fit_factors(found: list[list[tuple[int, tuple, float]]], y: np.ndarray, weig
     prior = np.array([PRIOR_BASE, *PRIOR.values()])
     scale = max(0.05, fit_logistic(sums @ prior[:, None], y, weight)[0])
     b = fit_logistic(sums, y, weight, ridge=20.0, towards=scale * prior)[:-1] / scale
-    return dict(zip(("base", *OUTPUTS), b.tolist(), strict=True))
+    return dict(zip(("base", *OUTPUTS), np.clip(b, prior - MOST_SHIFT, prior + MOST_SHIFT).tolist(), strict=True))
 
 
 def _contexts(lexicon: dict[str, float]):

@@ -117,9 +117,9 @@ def test_threats_and_targets_are_learned(spark):
 def test_factors_are_fitted():
     """Where lone matches occur in clean texts and attacks in toxic ones, the fit moves the factor from one to the other."""
     alone, goes_on = (False,) * 6, (False, True, False, False, False, False)
-    found = [[(0, alone, 3.0)]] * 100 + [[(0, alone, 3.0), (1, goes_on, 3.0)]] * 100
-    got = toxicity.fit_factors(found, np.r_[np.zeros(100), np.ones(100)], np.ones(200))
-    assert got["sustained"] - got["base"] > toxicity.PRIOR["sustained"] - toxicity.PRIOR_BASE + 0.2
+    found = [[(0, alone, 9.0)]] * 3000 + [[(0, alone, 3.0), (1, goes_on, 3.0)]] * 3000
+    got = toxicity.fit_factors(found, np.r_[np.zeros(3000), np.ones(3000)], np.ones(6000))
+    assert got["sustained"] > toxicity.PRIOR["sustained"] + 0.2 and got["base"] < toxicity.PRIOR_BASE
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
