@@ -10,8 +10,8 @@ the model is normalised over all texts.
 
 Vocabulary. ``least_count`` grows with the square root of the tokens, so the vocabulary does too, about: vectors are held whole by every task.
 
-Training. Noise-contrastive estimation at both levels: an outcome is told from outcomes drawn from the unigram (classes: the same noise for a batch; words: from the token's
-class), so a step never sums over the vocabulary. The model starts as the unigram. Training texts are dealt by hash to ``ROUNDS`` parts, whatever the size, and
+Training. Noise-contrastive estimation at both levels: classes and words are told from classes and words drawn from the unigram, the same for a batch, so a step never sums over
+the vocabulary. The model starts as the unigram. Training texts are dealt by hash to ``ROUNDS`` parts, whatever the size, and
 each round goes over one part, so that all texts are learned from once: every task learns from its texts of the part, from the same starting
 point; the parameters are averaged, each row weighted by how often the task has met it, and the next round starts from there. Parameters travel in slices.
 
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from ledgerfold.llm.common import drop, id_bucket, store
 
 HOT_WORDS = 400_000
-WIDTH, BATCH, BUFFER, RATE = 16, 4096, 1 << 18, 0.3
-#: Noise words a token, and noise classes a batch.
-NOISE, SHARED = 2, 128
-ROUNDS = 5
+WIDTH, BATCH, BUFFER, RATE = 16, 4096, 1 << 18, 0.1
+#: Noise words and noise classes a batch.
+SHARED = 48
+ROUNDS = 4
 ADD = 0.1
 FLUSH = 200_000
 #: Rows of parameters that travel together; tokens scored at once; largest matrix of scores.
@@ -50,7 +50,7 @@ OTHER, END = 0, 1
 
 def least_count(total: int) -> int:
     """Occurrences from which a word has vectors of its own, for a corpus of so many tokens."""
-    return max(3, math.ceil(math.sqrt(total) / 200))
+    return max(3, math.ceil(math.sqrt(total) / 50))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -149,7 +149,9 @@ def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.exp(-np.clip(x, -30, 30))
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _add_rows(to: np.ndarray, squares: np.ndarray, order: np.ndarray, rows: np.ndarray, starts: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -168,20 +170,25 @@ def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 class Trainer:
-    """Noise-contrastive estimation: at either level the outcome is told from ``NOISE`` outcomes drawn from the unigram, without any normalisation."""
+    """Noise-contrastive estimation: classes and words are told from classes and words drawn from the unigram, without any normalisation.
+
+    All tokens of a batch share their noise, so that its scores are one matrix product. Words are told from all words; the scores so learned hold in
+    every subset of the words, and so inside a class.
+    """
 
     def __init__(self, model: Model, seed: int, rate: float):
         self.m, self.rng, self.rate = model, np.random.default_rng(seed), rate
         self.squares = {x: np.ones_like(getattr(model, x)) for x in Model.NAMES}
-        self.hits = {x: np.zeros(len(model.e), np.int64) for x in ("e", "w")}
+        self.hits = {x: np.zeros(len(model.e), np.int32) for x in ("e", "w")}
         self.seen = 0
         p = model.unigram / model.unigram.sum()
-        self.upto = np.cumsum(p)
-        self.below = self.upto - p
         whole = np.add.reduceat(p, model.starts)
-        self.class_p, self.log_inside = whole / whole.sum(), np.log(p / whole[model.of]).astype(np.float32)
-        self.log_class = np.log(self.class_p).astype(np.float32)
+        self.log_class, self.class_upto = np.log(whole).astype(np.float32), np.cumsum(whole)
         self.alone = (model.ends - model.starts == 1)[model.of]
+        crowd = np.where(self.alone, 0.0, p)
+        self.log_word, self.word_upto = np.log(np.maximum(crowd, 1e-300) / max(crowd.sum(), 1e-300)).astype(np.float32), np.cumsum(crowd)
+        # biases are logarithms inside a class; NCE compares with the unigram of all words that share a class
+        self.shift = (np.log(whole) - math.log(max(crowd.sum(), 1e-300))).astype(np.float32)[model.of]
 
     def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
@@ -190,49 +197,37 @@ class Trainer:
             self._step(w[at], last[at], before[at])
         self.seen += len(w)
 
-    def _noise_words(self, of: np.ndarray) -> np.ndarray:
-        """``NOISE`` words for each class given, from the unigram inside it."""
-        m = self.m
-        low, high = self.below[m.starts[of]][:, None], self.upto[m.ends[of] - 1][:, None]
-        found = np.searchsorted(self.upto, low + (high - low) * self.rng.random((len(of), NOISE)), side="right")
-        return np.clip(found, m.starts[of][:, None], m.ends[of][:, None] - 1)
+    def _tell(self, hidden: np.ndarray, own: np.ndarray, upto: np.ndarray, log_p: np.ndarray, vectors: str, biases: str, shift: np.ndarray | None) -> np.ndarray:
+        """One level: steps on its vectors and biases, and the gradient of the predictions."""
+        v, b, size = getattr(self.m, vectors), getattr(self.m, biases), np.float32(math.log(SHARED))
+        drawn = np.minimum(np.searchsorted(upto, self.rng.random(SHARED) * upto[-1], side="right"), len(upto) - 1)
+        # the bias of an outcome less its logarithm as noise
+        own_gap, drawn_gap = (b[x] - log_p[x] + (0 if shift is None else shift[x]) for x in (own, drawn))
+        mine, noise = v[own], v[drawn]
+        g_own = _sigmoid(np.einsum("ij,ij->i", hidden, mine) + own_gap - size) - 1
+        g_noise = _sigmoid(hidden @ noise.T + (drawn_gap - size))
+        out = g_own[:, None] * mine + g_noise @ noise
+        order, rows, starts, n = _grouped(np.concatenate([own, drawn]))
+        _add_rows(v, self.squares[vectors], order, rows, starts, np.concatenate([g_own[:, None] * hidden, g_noise.T @ hidden]), self.rate)
+        _add_rows(b, self.squares[biases], order, rows, starts, np.concatenate([g_own, g_noise.sum(axis=0)]), self.rate)
+        if vectors in self.hits:
+            self.hits[vectors][rows] += n.astype(np.int32)
+        return out
 
     def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        m, n = self.m, len(w)
-        x1, x2, of = m.e[last], m.e[before], m.of[w]
+        m = self.m
+        x1, x2 = m.e[last], m.e[before]
         hidden = x1 @ m.c[0] + x2 @ m.c[1]
-        shift = np.float32(math.log(NOISE))
-
-        # Classes: all tokens of the batch share their noise, so that its scores are one matrix product.
-        drawn = self.rng.choice(len(m.k), SHARED, p=self.class_p)
-        log_shared = np.float32(math.log(SHARED))
-        g_own = _sigmoid(np.einsum("ij,ij->i", hidden, m.k[of]) + m.d[of] - self.log_class[of] - log_shared) - 1
-        g_noise = _sigmoid(hidden @ m.k[drawn].T + m.d[drawn] - self.log_class[drawn] - log_shared)
-        g_hidden = g_own[:, None] * m.k[of] + g_noise @ m.k[drawn]
-        order, rows, starts, _ = _grouped(np.concatenate([of, drawn]))
-        _add_rows(m.k, self.squares["k"], order, rows, starts, np.concatenate([g_own[:, None] * hidden, g_noise.T @ hidden]), self.rate)
-        _add_rows(m.d, self.squares["d"], order, rows, starts, np.concatenate([g_own, g_noise.sum(axis=0)]), self.rate)
-
-        # Words: noise of the token's own class. A class of one word has nothing to tell apart.
-        many = np.flatnonzero(~self.alone[w])
-        if len(many):
-            at = np.column_stack([w[many], self._noise_words(of[many])])
-            vectors, h = m.w[at], hidden[many]
-            g = _sigmoid(np.einsum("ikj,ij->ik", vectors, h) + m.b[at] - self.log_inside[at] - shift)
-            g[:, 0] -= 1
-            g_hidden[many] += np.einsum("ik,ikj->ij", g, vectors)
-            order, rows, starts, hits = _grouped(at.ravel())
-            _add_rows(m.w, self.squares["w"], order, rows, starts, (g[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]), self.rate)
-            _add_rows(m.b, self.squares["b"], order, rows, starts, g.ravel(), self.rate)
-            self.hits["w"][rows] += hits
-
+        g_hidden = self._tell(hidden, m.of[w], self.class_upto, self.log_class, "k", "d", None)
+        if len(many := np.flatnonzero(~self.alone[w])):  # a class of one word has nothing to tell apart
+            g_hidden[many] += self._tell(hidden[many], w[many], self.word_upto, self.log_word, "w", "b", self.shift)
         for k, x in enumerate((x1, x2)):
             g_c = x.T @ g_hidden
             self.squares["c"][k] += g_c * g_c
             m.c[k] -= self.rate * 0.3 * g_c / np.sqrt(self.squares["c"][k])
         order, rows, starts, hits = _grouped(np.concatenate([last, before]))
         _add_rows(m.e, self.squares["e"], order, rows, starts, np.concatenate([g_hidden @ m.c[0].T, g_hidden @ m.c[1].T]), self.rate)
-        self.hits["e"][rows] += hits
+        self.hits["e"][rows] += hits.astype(np.int32)
 
 
 def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,7 +271,7 @@ def _train(shared, seed: int):
         hashes, number, model = shared.value
         ids = HotIds(hashes)
         number = np.append(number, OTHER)  # place -1
-        trainer, held, size = Trainer(model.copy(), seed, RATE / (1 + seed / 2)), [], 0
+        trainer, held, size = Trainer(model.copy(), seed, RATE / (1 + seed / 4)), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens(text)
