@@ -9,14 +9,15 @@ slot of a document holds a value, no later rank can lower any of them. A documen
 Grouping
 1. Documents with equal sets are one; the smallest id stands for them.
 2. Signatures are cut into bands. ``plan(threshold)`` picks the rows of a band and so many bands that a pair at the
-   threshold is missed with a probability below 1e-5.
-3. Documents that share a band are joined to the smallest of them, and the components of these edges are clusters: no link
-   crosses clusters. Only their documents are read again, for their full sets.
-4. A cluster of bounded weight is settled in one task: signatures are compared in matrix blocks, pairs that can reach the threshold
-   are intersected exactly, and union-find names the groups.
-5. A heavier cluster is compared in blocks of bounded weight, block against block, each block pair in its own task; a cluster of very
-   many blocks is first taken apart by band values (equal buckets count once). A task returns at most one link a document (a
-   spanning forest of its exact links), never all pairs; components over these links name the groups.
+   threshold is missed with a probability below 1e-5. Documents that share a band share a bucket, and every pair that shares a bucket is a candidate, whatever the bucket's size.
+3. Stars. A bucket's documents are held against one of them, its pivot, on full sets; components over the links so found contract the bucket. First each document meets the smallest
+   pivot of its buckets, then the others that are still in another group, then one more pivot for each bucket that is still apart. A pivot with very many
+   documents is dealt over several tasks.
+4. What is still apart in a bucket (as a rule very little: documents outside its largest group that were no pivot) is held against the rest of the bucket, in
+   blocks of bounded size, block against block, each pair of blocks in its own task. A task returns at most one link a document (a spanning forest of its exact links), never all pairs.
+5. Union-find over all links names the groups.
+
+A bucket of a million near copies so costs a comparison a document, not one for each pair.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ MISS = 1e-5
 ROWS = 6
 TASK_DOCS, TASK_ITEMS = 1024, 2_000_000
 CHUNK_ITEMS = 200_000
-#: Heavy clusters of up to so many blocks are compared as a whole, larger ones by band values.
-WHOLE_BLOCKS = 64
+#: Documents that meet one pivot in one task, and pivots that a task remembers.
+STAR_DOCS, PIVOTS = 512, 64
 #: From so many pairs of a block on, intersections come from one matrix product of at most so many cells.
 MANY, MATRIX = 500, 1 << 25
 _U = np.uint64
@@ -49,7 +50,9 @@ def plan(threshold: float, rows: int = ROWS, miss: float = MISS) -> tuple[int, i
     """(bands, rows of a band) for a threshold."""
     rows = max(1, min(rows, int(math.log(0.2) / math.log(threshold)) if threshold < 1 else rows))
     bands = 1 if threshold >= 1 else math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
-    return min(bands, 255 // rows), rows
+    if bands * rows > 255:  # ranks have eight bits
+        raise ValueError(f"a threshold of {threshold} needs {bands} bands of {rows} rows; a signature has at most 255")
+    return bands, rows
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -203,15 +206,17 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray | Non
     return (ones(a) @ ones(b).T).astype(np.int64)
 
 
-def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, m: int = 64, block: int = 256) -> tuple[list[tuple[int, int]], UnionFind]:
+def forest(sets: list[np.ndarray], groups: list[int], left: np.ndarray, right: np.ndarray, percent: int, m: int = 64, block: int = 256) -> list[tuple[int, int]]:
     """Exact links (100 * intersection >= percent * union) that join groups, as a spanning forest.
 
-    Compares all of ``left`` with each other, or with ``right`` if given (indexes into ``sets``). Small signatures rule pairs out first, at
-    more than five standard deviations below the threshold; pairs already in one group are passed over.
+    Compares ``left`` with ``right`` (indexes into ``sets``). Small signatures rule pairs out first, at
+    more than five standard deviations below the threshold; pairs already in one group (``groups`` to begin with) are passed over.
     """
-    uf, links = UnionFind(len(sets)), []
+    uf, links, first = UnionFind(len(sets)), [], {}
+    for i, g in enumerate(groups):
+        uf.union(first.setdefault(g, i), i)
     sizes = np.array([len(s) for s in sets])
-    both = left if right is None else np.concatenate([left, right])
+    both = np.concatenate([left, right])
     sig = np.zeros((len(sets), m), np.uint32)
     for at in range(0, len(both), 4096):
         for part in _chunks([sets[i] for i in both[at : at + 4096]]):
@@ -219,16 +224,12 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, p
             sig[own] = signatures(np.concatenate([sets[i] for i in own]), np.cumsum(sizes[own]), m).view("<u4")[:, ::2]
     share = percent / 100
     least = math.floor(m * share - 5 * math.sqrt(m * share * (1 - share)))
-    other = left if right is None else right
     for i in range(0, len(left), block):
         a = left[i : i + block]
-        start = i if right is None else 0
-        for j in range(start, len(other), block):
-            b = other[j : j + block]
+        for j in range(0, len(right), block):
+            b = right[j : j + block]
             la, lb = _labels_of(uf, a), _labels_of(uf, b)
             can = la[:, None] != lb[None, :]
-            if right is None and i == j:
-                can &= np.triu(np.ones((len(a), len(b)), bool), 1)
             small, large = np.minimum(sizes[a][:, None], sizes[b][None, :]), np.maximum(sizes[a][:, None], sizes[b][None, :])
             can &= 100 * small >= percent * large
             if not can.any():
@@ -255,80 +256,85 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, p
                         continue
                 uf.union(x, y)
                 links.append((x, y))
-    return links, uf
+    return links
 
 
 def _labels_of(uf: UnionFind, at: np.ndarray) -> np.ndarray:
     return np.fromiter((uf.find(int(i)) for i in at), np.int64, len(at))
 
 
-def _settle(k: int, percent: int):
-    """Rows (cluster, doc, text), sorted by cluster: (doc, component), one cluster after the other."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def close(docs: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-        ranked = sorted(range(len(docs)), key=docs.__getitem__)
-        docs, sets = [docs[i] for i in ranked], [sets[i] for i in ranked]
-        _, uf = forest(sets, np.arange(len(docs)), None, percent)
-        return docs, [docs[uf.find(i)] for i in range(len(docs))]
+
+def _verify(k: int, percent: int):
+    """Rows (pivot, doc, pivot's text, text): the pairs that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cluster, docs, sets = WordHashes(), None, [], []
+        hashes, held = WordHashes(), {}
         for batch in batches:
-            out_docs, out_groups = [], []
-            for c, d, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if c != cluster and docs:
-                    got = close(docs, sets)
-                    out_docs += got[0]
-                    out_groups += got[1]
-                    docs, sets = [], []
-                cluster = c
-                docs.append(d)
-                sets.append(shingle_set(text, k, hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(out_docs, pa.int64()), pa.array(out_groups, pa.int64())], ["id", "component"])
-        if docs:
-            got = close(docs, sets)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], ["id", "component"])
+            a, b = [], []
+            for pivot, doc, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (mine := held.get((pivot, len(x)))) is None or mine[0] != x:
+                    if len(held) >= PIVOTS:
+                        held.clear()
+                    mine = held[pivot, len(x)] = (x, shingle_set(x, k, hashes))
+                if linked(mine[1], shingle_set(y, k, hashes), percent):
+                    a.append(pivot)
+                    b.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, k, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "items"])
+def _star(pairs: DataFrame, texts: DataFrame, k: int, percent: int, star_docs: int) -> DataFrame:
+    """The pairs (pivot, doc, distinct) that are linked. A pivot of many documents is dealt over several tasks."""
+    pairs, _ = store(pairs, "near-pairs")
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / star_docs).cast("int").alias("salts"))
+    salts, _ = store(salts, "near-pivots")
+    pivots = texts.join(salts, texts["doc"] == salts["pivot"]).select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("pivot_text"))
+    dealt = pairs.join(salts, "pivot").withColumn("salt", F.pmod(F.xxhash64("doc"), "salts").cast("int")).join(texts, "doc").select("pivot", "salt", "doc", "text")
+    found, _ = store(dealt.join(pivots, ["pivot", "salt"]).select("pivot", "doc", "pivot_text", "text").mapInArrow(_verify(k, percent), "a long, b long"), "near-links")
+    return found
 
-    return run
 
+def _block_pair(k: int, percent: int):
+    """Rows (doc, group, left, text) of one left and one right block: links between different groups."""
 
-def _block_pair(percent: int):
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        group = group.sort_values("doc").reset_index(drop=True)
-        sets = [np.frombuffer(x, _U) for x in group["items"]]
-        at = np.arange(len(group))
-        in_i = (group["block"] == i).to_numpy()
-        links, _ = forest(sets, at[in_i], None if i == j else at[~in_i], percent)
-        docs = group["doc"].to_numpy()
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc").reset_index(drop=True)
+        hashes = WordHashes()
+        sets = [shingle_set(x, k, hashes) for x in rows["text"]]
+        at, left = np.arange(len(rows)), rows["left"].to_numpy(bool)
+        docs = rows["doc"].to_numpy()
+        links = forest(sets, rows["group"].tolist(), at[left], at[~left], percent)
         return pd.DataFrame({"a": [docs[x] for x, _ in links], "b": [docs[y] for _, y in links]}, dtype="int64")
 
     return run
 
 
-def _heavy(members: DataFrame, spread: DataFrame, percent: int, task_docs: int, task_items: int) -> DataFrame:
-    """Exact links inside heavy clusters. ``members``: doc, n, items; ``spread``: doc, n, bucket."""
-    key = F.xxhash64("doc")
-    shape = spread.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("doc").alias("low"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y"))
-    shape = shape.filter("docs > 1").groupBy("docs", "weight", "low", "x", "y").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    blocks = F.greatest(F.ceil(F.col("docs") / task_docs), F.ceil(F.col("weight") / task_items)).cast("int")
-    dealt = spread.join(shape.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = dealt.withColumn("with", other).select("doc", "bucket", "block", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"))
-    full = pairs.join(members.select("doc", "items"), "doc")
-    return full.groupBy("bucket", "i", "j").applyInPandas(_block_pair(percent), "a long, b long")
+def _rest(apart: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: int, task_items: int) -> DataFrame:
+    """Links of what is still apart. ``apart``: bucket, doc, n, group, and ``rest`` for what is held against all of its bucket."""
+    blocks = lambda test, name: F.greatest(F.lit(1), F.ceil(F.count_if(test) / task_docs), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / task_items)).cast("int").alias(name)
+    sizes, _ = store(apart.groupBy("bucket").agg(blocks(F.col("rest"), "lefts"), blocks(F.lit(True), "rights")), "near-blocks")
+    dealt = apart.join(sizes, "bucket").withColumn("at", F.xxhash64("doc", F.lit(7)))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    own = lambda name: F.pmod("at", F.col(name)).cast("int")
+    left = dealt.filter("rest").select("bucket", "doc", "group", F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j"))
+    right = dealt.select("bucket", "doc", "group", F.lit(False).alias("left"), every("lefts").alias("i"), own("rights").alias("j"))
+    full = left.unionByName(right).join(texts, "doc")
+    return full.groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
+
 
+def _apart(state: DataFrame) -> DataFrame:
+    """Buckets with several groups (bucket, doc, n, group), with ``rest``: outside the bucket's largest group."""
+    counts = state.groupBy("bucket", "group").agg(F.count("*").alias("docs"))
+    largest = counts.groupBy("bucket").agg(F.max_by("group", F.struct("docs", "group")).alias("largest"), F.count("*").alias("groups")).filter("groups > 1")
+    return state.join(largest.select("bucket", "largest"), "bucket").select("bucket", "doc", "n", "group", (F.col("group") != F.col("largest")).alias("rest"))
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, task_docs: int = TASK_DOCS, task_items: int = TASK_ITEMS) -> DataFrame:
+
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, task_docs: int = TASK_DOCS, task_items: int = TASK_ITEMS, star_docs: int = STAR_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``documents``.
 
     A document's set: the distinct ``k``-word shingles of its words (runs without blanks, A-Z lower-cased); with fewer words, the whole
@@ -337,7 +343,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     Documents without words (null, empty, blank) have no shingles and are linked with nothing. Rows that share an id are one
     document for the grouping if their sets are equal; otherwise each row's links count for the id. A null id is never the smallest of a
-    group: its row has a null component_id if it stands alone, and is not kept. An empty table gives an empty result.
+    group: its row has a null component_id if it stands alone, and is not kept. Very long texts are read to their end; their sets are held one by one. Other columns are
+    ignored. An empty table gives an empty result.
     """
     spark = documents.sparkSession
     bands, rows = plan(percent / 100)
@@ -346,30 +353,38 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     # 1. equal sets
     reps = sketches.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps, _ = store(reps.filter("rep is not null"), "representatives")
-    # 2. and 3. buckets of more than one document, and the clusters they make
+    # 2. buckets of more than one document; of buckets with the same documents, one
     banded = reps.select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.min("doc").alias("low")).filter("docs > 1")
-    banded, _ = store(banded.join(shared.select("bucket", "low"), "bucket"), "buckets")
-    # A document hangs on the smallest of its buckets' lows; its other lows hang on that one. Documents of one group
-    # share most of these pairs, so they fall together before the graph is walked.
-    lows = banded.groupBy("doc").agg(F.min("low").alias("top"), F.collect_set("low").alias("lows"))
-    across = lows.select("top", F.explode(F.array_remove("lows", F.col("top"))).alias("low")).filter("low <> top").distinct()
-    clusters = components(lows.select(F.col("top").alias("a"), F.col("doc").alias("b")).union(across))
-    weights = clusters.join(reps.select(F.col("rep").alias("id"), "n"), "id")
-    sizes = weights.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
-    docs, items = F.col("docs") / task_docs, F.col("weight") / task_items
-    clusters, _ = store(weights.join(sizes, "component").select(F.col("id").alias("doc"), "n", F.col("component").alias("cluster"), (F.greatest(docs, items) > 1).alias("heavy"), (F.greatest(docs, items) <= WHOLE_BLOCKS).alias("whole")), "clusters")
-    texts = given.join(clusters, "doc")
-    light = texts.filter("not heavy").select("cluster", "doc", "text").repartition("cluster").sortWithinPartitions("cluster", "doc")
-    settled = light.mapInArrow(_settle(k, percent), "id long, component long")
-    heavy = clusters.filter("heavy")
-    if not heavy.isEmpty():
-        members, _ = store(texts.filter("heavy").select("doc", "text").mapInArrow(_sets(k), "doc long, items binary"), "heavy-sets")
-        whole = heavy.filter("whole").select("doc", "n", F.col("cluster").alias("bucket"))
-        apart = banded.join(heavy.filter("not whole").select("doc"), "doc", "left_semi").select("doc", "n", "bucket")
-        links, _ = store(_heavy(members, whole.unionByName(apart), percent, task_docs, task_items), "heavy-links")
-        settled = settled.unionByName(components(links))
-    settled = settled.groupBy("id").agg(F.min("component").alias("component"))
+    key = F.xxhash64("doc")
+    shape = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("doc").alias("low"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y")).filter("docs > 1")
+    shape = shape.groupBy("docs", "weight", "low", "x", "y").agg(F.min("bucket").alias("bucket"))
+    buckets, _ = store(banded.join(shape.select("bucket", "low"), "bucket"), "buckets")
+    texts, _ = store(given.join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-texts")
+    # 3. stars
+    sizes = buckets.select("doc", "n").distinct()
+    fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
+    sized = lambda pairs: pairs.join(sizes.select(F.col("doc").alias("pivot"), F.col("n").alias("pivot_n")), "pivot").filter(fits).select("pivot", "doc").distinct()
+    tried = sized(buckets.groupBy("doc", "n").agg(F.min("low").alias("pivot")).filter("doc <> pivot"))
+    links = _star(tried, texts, k, percent, star_docs)
+    grouped = lambda: buckets.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", "low", F.coalesce("component", "doc").alias("group"))
+    state = grouped()
+    lows = state.filter("doc = low").select("bucket", F.col("group").alias("low_group"))
+    more = state.join(lows.distinct(), "bucket").filter("group <> low_group").select("doc", "n", F.col("low").alias("pivot")).distinct()
+    links = links.unionByName(_star(sized(more), texts, k, percent, star_docs))
+    apart, _ = store(_apart(grouped().filter("doc <> low")), "near-apart")
+    if not apart.isEmpty():
+        second = apart.filter("rest").groupBy("bucket").agg(F.min_by(F.struct("doc", "group"), "doc").alias("p"))
+        second, _ = store(second.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.group").alias("pivot_group")), "near-second")
+        more = apart.join(second, "bucket").filter("group <> pivot_group").select("doc", "n", "pivot").distinct()
+        links = links.unionByName(_star(sized(more), texts, k, percent, star_docs))
+        # 4. the rest
+        left = grouped().filter("doc <> low").join(second.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
+        apart, _ = store(_apart(left), "near-apart")
+        if not apart.isEmpty():
+            rest, _ = store(_rest(apart, texts, k, percent, task_docs, task_items), "near-links")
+            links = links.unionByName(rest)
+    # 5. groups
+    settled = components(links)
     # every row gets its representative's group
     named = reps.select("s1", "s2", "rep").join(settled, reps["rep"] == settled["id"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
