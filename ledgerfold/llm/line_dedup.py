@@ -2,15 +2,16 @@
 
 A sharded minimal perfect hash (MPH) holds the repeated lines. Each line key has a 128-bit hash, two
 64-bit halves. Pass one counts, per hash, the documents that hold it and the largest of their ids;
-hashes held by fewer than ``min_docs`` documents go at once. The rest are dealt to shards; each shard becomes
+hashes that ``indexed_from`` documents do not hold are left out of the index to keep it small. The rest are dealt to shards; each shard becomes
 one MPH (bit arrays in levels; a key's slot is the rank of its bit) over three flat arrays: a 64-bit
 fingerprint, a count, and the document that keeps the line. Pass two reads the documents again and
-probes the arrays. No line is joined, and an unknown line fails at its fingerprint: a wrong drop takes a
-128-bit collision.
+probes the arrays: a line goes if its fingerprint is that of its slot, the count there is ``min_docs`` or more, and another document keeps it. No line
+is joined, and an unknown line fails at its fingerprint: a wrong drop takes a 128-bit collision.
 
 Where the arrays live. Their size is known before pass two (``ENTRY_BYTES`` an entry). Up to ``broadcast_bytes`` the shards
 are broadcast and the documents stay where they are. Beyond, documents send the hashes of their
-lines, not the lines, to tasks that each hold one shard; hot shards are salted, and the dropped lines come back by document id.
+lines, not the lines, to tasks that each hold one shard; a shard is dealt over as many salts as its own lines take (repeated lines are counted by shard, so a line
+that a third of all documents hold is split), and the dropped lines come back by document id.
 Both ways give the same rows.
 """
 
@@ -103,11 +104,11 @@ class Shard:
             left = left[~hit]
         return out
 
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key whether it is in the shard, and its keeper."""
+    def probe(self, h: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each key whether the shard has it with at least ``min_docs`` documents, and its keeper."""
         slot = self.slots(h)
         known = slot >= 0
-        known[known] = self.fingerprint[slot[known]] == h[known, 1]
+        known[known] = (self.fingerprint[slot[known]] == h[known, 1]) & (self.count[slot[known]] >= min_docs)
         keeper = np.zeros(len(h), np.int64)
         keeper[known] = self.keeper[slot[known]]
         return known, keeper
@@ -166,16 +167,16 @@ def repeated_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 def _build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     h = np.ascontiguousarray(group[["h1", "h2"]].to_numpy()).view(_U64)
-    return pd.DataFrame({"shard": [key[0]], "blob": [Shard.build(h, group["n"].to_numpy(), group["keeper"].to_numpy()).dump()]})
+    return pd.DataFrame({"shard": [key[0]], "lines": [group["n"].sum()], "blob": [Shard.build(h, group["n"].to_numpy(), group["keeper"].to_numpy()).dump()]})
 
 
-def _drops(doc_id: int | None, h: np.ndarray, shards: dict[int, Shard], n: int) -> np.ndarray:
+def _drops(doc_id: int | None, h: np.ndarray, shards: dict[int, Shard], n: int, min_docs: int) -> np.ndarray:
     """Which keys the document loses."""
     gone, shard = np.zeros(len(h), bool), np.mod(h[:, 0].view("<i8"), n)
     for s in np.unique(shard):
         if (held := shards.get(int(s))) is not None:
             at = np.flatnonzero(shard == s)
-            known, keeper = held.probe(h[at])
+            known, keeper = held.probe(h[at], min_docs)
             gone[at] = known & (keeper != (NULL_ID if doc_id is None else doc_id))
     return gone
 
@@ -187,7 +188,7 @@ def _rewrite(batch: pa.RecordBatch, at: int, texts: list[str], n_lines: list[int
     return pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
 
-def _probe_here(base: DataFrame, blobs: dict[int, bytes], shards: int, at_id: int, at_text: int, min_chars: int, counts: tuple[str, str]) -> DataFrame:
+def _probe_here(base: DataFrame, blobs: dict[int, bytes], shards: int, at_id: int, at_text: int, min_chars: int, min_docs: int, counts: tuple[str, str]) -> DataFrame:
     """Documents stay where they are; the shards are broadcast (their size was checked)."""
     held, width = base.sparkSession.sparkContext.broadcast(blobs), len(base.columns)
 
@@ -197,7 +198,7 @@ def _probe_here(base: DataFrame, blobs: dict[int, bytes], shards: int, at_id: in
             texts, totals, dropped = [], [], []
             for doc_id, text in zip(batch.column(at_id).to_pylist(), batch.column(at_text), strict=True):
                 lines, at, h = _keys(text.as_py(), min_chars)
-                gone = {at[i] for i in np.flatnonzero(_drops(doc_id, h, loaded, shards))} if at else ()
+                gone = {at[i] for i in np.flatnonzero(_drops(doc_id, h, loaded, shards, min_docs))} if at else ()
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
                 totals.append(len(lines))
                 dropped.append(len(gone))
@@ -206,8 +207,8 @@ def _probe_here(base: DataFrame, blobs: dict[int, bytes], shards: int, at_id: in
     return _map(base, base, run, counts)
 
 
-def _probe_there(base: DataFrame, index: DataFrame, shards: int, salts: int, at_id: int, at_text: int, min_chars: int, counts: tuple[str, str]) -> DataFrame:
-    """Hashes of lines go to the tasks that hold the shards; the hashes to drop come back by document id."""
+def _probe_there(base: DataFrame, index: DataFrame, salts: np.ndarray, at_id: int, at_text: int, min_chars: int, min_docs: int, counts: tuple[str, str]) -> DataFrame:
+    """Hashes of lines go to the tasks that hold the shards (``salts`` copies of each); the hashes to drop come back by document id."""
     width, (id_, gone) = len(base.columns), fresh(base, "of", "gone")
     ids, texts = base.columns[at_id], base.columns[at_text]
 
@@ -217,17 +218,19 @@ def _probe_there(base: DataFrame, index: DataFrame, shards: int, salts: int, at_
                 _, at, h = _keys(text.as_py(), min_chars)
                 if at:
                     h = np.unique(h, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.mod(h[:, 0].view("<i8"), shards)), pa.array([doc_id] * len(h), pa.int64()), pa.array(h[:, 0].view("<i8")), pa.array(h[:, 1].view("<i8"))], ["shard", "doc", "h1", "h2"])
+                    shard = np.mod(h[:, 0].view("<i8"), len(salts))
+                    salt = np.mod(np.int64(xxhash.xxh32_intdigest(str(doc_id))), salts[shard])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(salt.astype(np.int32)), pa.array([doc_id] * len(h), pa.int64()), pa.array(h[:, 0].view("<i8")), pa.array(h[:, 1].view("<i8"))], ["shard", "salt", "doc", "h1", "h2"])
 
     def probe(key: tuple, lines: pd.DataFrame, blob: pd.DataFrame) -> pd.DataFrame:
         if not len(blob) or not len(lines):
             return lines.iloc[:0][["doc", "h1", "h2"]]
         h = np.ascontiguousarray(lines[["h1", "h2"]].to_numpy()).view(_U64)
-        known, keeper = Shard.load(blob["blob"][0]).probe(h)
+        known, keeper = Shard.load(blob["blob"][0]).probe(h, min_docs)
         return lines[known & (lines["doc"].isna().to_numpy() | (keeper != lines["doc"].fillna(NULL_ID).to_numpy().astype(np.int64))) & ~(lines["doc"].isna().to_numpy() & (keeper == NULL_ID))][["doc", "h1", "h2"]]
 
-    salted = base.select(F.col(ids).cast("long"), F.col(texts)).mapInArrow(hashes, "shard long, doc long, h1 long, h2 long").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = base.select(F.col(ids).cast("long"), F.col(texts)).mapInArrow(hashes, "shard long, salt int, doc long, h1 long, h2 long")
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "blob")
     lost = salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "doc long, h1 long, h2 long")
     lost = lost.groupBy(F.col("doc").alias(id_)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
     joined = base.join(lost, base[ids].cast("long").eqNullSafe(lost[id_]), "left").drop(id_)
@@ -254,7 +257,7 @@ def _map(df: DataFrame, base: DataFrame, run, counts: tuple[str, str]) -> DataFr
 
 def dedup_lines(
     documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-    broadcast_bytes: int = BROADCAST_BYTES, shard_entries: int = SHARD_ENTRIES, task_lines: int = TASK_LINES, n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+    broadcast_bytes: int = BROADCAST_BYTES, shard_entries: int = SHARD_ENTRIES, task_lines: int = TASK_LINES, indexed_from: int | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped",
 ) -> DataFrame:
     """``documents`` with repeated lines dropped from ``text``, and two counts.
 
@@ -264,16 +267,24 @@ def dedup_lines(
     largest id that holds the key. The other lines stay as they are, joined by newlines. ``n_lines`` counts before dropping.
 
     Rows that share an id count as separate documents; all of them that hold a key and have its largest id keep it. A null id is
-    below every other. Other columns pass through; columns named ``n_lines`` and ``n_dropped`` are replaced. An
+    below every other. ``indexed_from`` (by default ``min_docs``) is how many documents a line needs to be in the index at all; the result does not
+    hang on it. Other columns pass through; columns named ``n_lines`` and ``n_dropped`` are replaced. An
     empty table gives an empty result.
     """
-    base = documents.drop(n_lines, n_dropped)
+    spark, base = documents.sparkSession, documents.drop(n_lines, n_dropped)
     at_id, at_text = base.columns.index(doc_id), base.columns.index(text)
     seen = Observation(f"lines-{uuid.uuid4().hex}")
-    repeated, _ = store(repeated_lines(documents, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs, seen=seen), "repeated-lines")
+    repeated, _ = store(repeated_lines(documents, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min(min_docs, indexed_from or min_docs), seen=seen), "repeated-lines")
     entries, lines = repeated.count(), seen.get["lines"] or 0
     shards = max(1, -(-entries // shard_entries))
-    index = repeated.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("long")).groupBy("shard").applyInPandas(_build, "shard long, blob binary")
+    index = repeated.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("long")).groupBy("shard").applyInPandas(_build, "shard long, lines long, blob binary")
     if entries * ENTRY_BYTES <= broadcast_bytes:
-        return _probe_here(base, {r["shard"]: bytes(r["blob"]) for r in index.toLocalIterator()}, shards, at_id, at_text, min_chars, (n_lines, n_dropped))
-    return _probe_there(base, index, shards, max(8, -(-lines // (shards * task_lines))), at_id, at_text, min_chars, (n_lines, n_dropped))
+        return _probe_here(base, {r["shard"]: bytes(r["blob"]) for r in index.toLocalIterator()}, shards, at_id, at_text, min_chars, min_docs, (n_lines, n_dropped))
+    index, _ = store(index, "line-index")
+    # One number a shard. Lines outside the index spread evenly.
+    loads = np.zeros(shards)
+    for r in index.select("shard", "lines").toLocalIterator():
+        loads[r["shard"]] = r["lines"]
+    salts = np.maximum(1, np.ceil((loads + max(0.0, lines - loads.sum()) / shards) / task_lines)).astype(np.int64)
+    index = index.join(spark.createDataFrame(pd.DataFrame({"shard": np.arange(shards), "salts": salts.astype(np.int32)})), "shard")
+    return _probe_there(base, index, salts, at_id, at_text, min_chars, min_docs, (n_lines, n_dropped))

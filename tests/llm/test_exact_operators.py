@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import decontaminate, line_dedup, mixing, quality_rules, superminhash, url_filter
+from ledgerfold.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,7 +53,7 @@ def empty(spark):
 # ---- URL filter
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"), ("a.org", "", "block"), ("a.org", "/x/", "allow"), ("a.org", "/x/y/", "block"), ("a.org", "/x/", "block"), (None, "/", "block"), ("b.c", None, "block"), ("d", "/", None)]
-URLS = [None, "", "nothing", "http://net", "http://NET/", "https://x.example.net/en/1?q#f", "http://example.net/de/", "http://a.org", "http://a.org/x/1", "http://z.a.org/x/y/2", "http://ba.org/fr/", "ftp://b.c?x", "http://xb.c/", "http://q.b.c/#", "http://d/", "x://u@://net/", "http://net/", "http:///p"]
+URLS = [None, "", "nothing", "http://net", "http://NET/", "https://x.example.net/en/1?q#f", "http://example.net/de/", "http://a.org", "http://a.org/x/1", "http://z.a.org/x/y/2", "http://ba.org/fr/", "ftp://b.c?x", "http://xb.c/", "http://q.b.c/#", "http://d/", "x://u@://net/", "http://net/", "http:///p", "http://a.org/x/\U0010ffff\U0010ffff", "http://a.org/x/y/" + "z" * 50_000, "http://\U0010ffff.net/ü"]
 
 
 def expected_rule(url):
@@ -69,10 +70,10 @@ def expected_rule(url):
     return host, path, won[2] if won else None, won[3] if won else "allow"
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_url_filter(spark, salts):
+@pytest.mark.parametrize("group_rows", [1, 3, 256])
+def test_url_filter(spark, group_rows):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id int, url string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), buckets=3, salts=salts).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), buckets=3, group_rows=group_rows).collect()}
     assert got == {i: expected_rule(u) for i, u in enumerate(URLS)}
 
 
@@ -84,6 +85,14 @@ def test_url_filter_edges(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_a_hot_host_is_split(spark):
+    """A host with most rows is dealt over several salts, and each still sees its rules."""
+    urls = [(i, f"http://net/{i}") for i in range(3000)] + [(5000 + i, f"http://h{i}.org/fr/") for i in range(200)]
+    rules = spark.createDataFrame([("net", "/", "block"), ("org", "/fr/", "allow"), ("net", "/12", "allow")], "host string, path string, verdict string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id int, url string"), rules, group_rows=64).collect()}
+    assert out == {i: ("net/12", "allow") if u.startswith("http://net/12") else ("net/", "block") if i < 5000 else ("org/fr/", "allow") for i, u in urls}
+
+
 # ---- line dedup
 
 
@@ -123,9 +132,27 @@ def test_minimal_perfect_hash():
     h = rng.integers(0, 2**63, (5000, 2)).astype(np.uint64)
     shard = line_dedup.Shard.load(line_dedup.Shard.build(h, np.arange(5000), np.arange(5000)).dump())
     assert sorted(shard.slots(h)) == list(range(5000))
-    known, keeper = shard.probe(h)
+    known, keeper = shard.probe(h, 0)
     assert known.all() and (keeper == np.arange(5000)).all()
-    assert not shard.probe(rng.integers(0, 2**63, (5000, 2)).astype(np.uint64))[0].any()
+    assert (shard.probe(h, 3000)[0] == (np.arange(5000) >= 3000)).all()  # the counts decide
+    assert not shard.probe(rng.integers(0, 2**63, (5000, 2)).astype(np.uint64), 0)[0].any()
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_counts_decide_which_lines_go(docs, limit):
+    """With every line in the index, the counts in it give the same result."""
+    out = line_dedup.dedup_lines(docs, broadcast_bytes=limit, indexed_from=1)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=str) == expected_lines(corpus())
+
+
+def test_a_shard_with_a_third_of_all_lines_is_dealt_over_tasks(spark, monkeypatch):
+    hot = "this very line stands in a third of all the documents there are"
+    rows = [(i, hot + "\n" + f"line {i} of its own, which is long enough to count" if i % 3 == 0 else f"line {i} of its own, which is long enough to count", "en", "s", 1) for i in range(900)]
+    salts, there = [], line_dedup._probe_there
+    monkeypatch.setattr(line_dedup, "_probe_there", lambda base, index, s, *a: salts.extend(s) or there(base, index, s, *a))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, DOC), broadcast_bytes=0, task_lines=100)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=str) == expected_lines(rows)
+    assert max(salts) >= 300 // 100
 
 
 # ---- near-dedup
@@ -155,8 +182,8 @@ def expected_groups(rows, k, percent):
 
 @pytest.mark.parametrize(("k", "percent", "task_docs"), [(3, 85, 2048), (5, 80, 2048), (3, 85, 2)])
 def test_near_duplicates(docs, k, percent, task_docs):
-    """The last case takes every cluster for a heavy one."""
-    out = superminhash.near_duplicates(docs.withColumn("n", F.lit(1)).withColumn("bands", F.lit("x")), k=k, percent=percent, task_docs=task_docs).collect()
+    """The last case has small blocks and stars over several tasks."""
+    out = superminhash.near_duplicates(docs.withColumn("n", F.lit(1)).withColumn("bands", F.lit("x")), k=k, percent=percent, task_docs=task_docs, star_docs=task_docs).collect()
     assert len(out) == docs.count()
     want = expected_groups(corpus(), k, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == want
@@ -164,6 +191,45 @@ def test_near_duplicates(docs, k, percent, task_docs):
     assert not any(r.kept for r in out if r.doc_id is None)
 
 
+@pytest.mark.parametrize("task_docs", [1024, 7])
+def test_chains_that_no_pivot_spans(spark, task_docs):
+    """Each text is linked to its neighbours alone, and several chains share their head: stars cannot join them, blocks must."""
+    rng = random.Random(11)
+    head, rows = [f"h{i}" for i in range(20)], []
+    for chain in range(4):
+        tape = [f"c{chain}x{i}" for i in range(400)]
+        rows += [(1000 * chain + i, " ".join(head + tape[4 * i : 4 * i + 70])) for i in range(30)]
+    rng.shuffle(rows)
+    want = expected_groups([(i, t) for i, t in rows], 3, 85)
+    assert len({g for _, g in want.values()}) < len(rows)
+    out = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, task_docs=task_docs, star_docs=task_docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+
+
+def test_what_is_apart_is_compared_in_blocks(spark):
+    """One bucket of texts, some linked and most not: blocks give what all pairs give."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = [f"b{i // 3}w{j}" for j in range(80)]
+        base[rng.randrange(80)] = "other"
+        rows.append((i, " ".join(base)))
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc long, text binary")
+    apart = spark.createDataFrame([(1, i, 78, i, i > 10) for i, _ in rows], "bucket long, doc long, n long, group long, rest boolean")
+    links = superminhash._rest(apart, texts, 3, 85, 7, 10**6)
+    got = {r.id: r.component for r in components(links).collect()}
+    want = {i: g for i, (_, g) in expected_groups(rows, 3, 85).items()}
+    groups = collections.Counter(want.values())
+    reached = lambda i: any(want[j] == want[i] and j != i and (i > 10 or j > 10) for j in want)
+    assert all(got.get(i) == g for i, g in want.items() if groups[g] > 1 and reached(i))
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_thresholds_beyond_a_signature_are_refused():
+    with pytest.raises(ValueError, match="bands"):
+        superminhash.plan(0.03)
+
+
 def test_near_duplicates_edges(spark):
     assert superminhash.near_duplicates(empty(spark)).count() == 0
     same = spark.createDataFrame([(7, "a b c d e f")] * 3 + [(8, "A B C D E F")], "doc_id long, text string")
@@ -184,8 +250,6 @@ def test_superminhash_estimates():
 
 
 def test_components(spark):
-    from ledgerfold.llm.components import components
-
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
@@ -206,30 +270,70 @@ def test_leaks(spark):
     rows = [
         (1, prose(rng, 30) + " " + items[0][1].upper() + ". " + prose(rng, 30)), (2, items[1][1].replace(" ", "\n")), (3, prose(rng, 9) + " " + " ".join(edited) + " " + prose(rng, 5)), (4, " ".join(shifted)),
         (5, " ".join(far)), (6, prose(rng, 200)), (7, None), (8, ""), (9, "a b"), (None, items[2][1]), (10, items[4][1] + " " + items[5][1] + " " + items[4][1]), (10, items[4][1]), (11, prose(rng, 15_000) + " " + items[5][1]),
+        (12, prose(rng, 8) + " Too short! " + prose(rng, 8)), (13, "too short"), (14, "too"),
     ]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item string")
     out = decontaminate.find_leaks(docs, spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n int")).collect()
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    bag = lambda w, k: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     want = {}
     for d, t in rows:
         w = words(t)
         for i, it in items:
             v = words(it)
-            if len(v) < 5 or len(w) < 5:
+            k = min(5, len(v))
+            if not v or len(w) < k:
                 continue
             for s in range(max(1, len(w) - len(v) + 1)):
-                a, b = bag(w[s : s + len(v)]), bag(v)
+                a, b = bag(w[s : s + len(v)], k), bag(v, k)
                 sim = sum((a & b).values()) / sum((a | b).values())
                 if sim >= 0.8 and (sim, -s) > want.get((d, i), (0, 0)):
                     want[d, i] = (sim, -s)
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), -r.start_word) for r in out} == {k: (round(a, 9), b) for k, (a, b) in want.items()}
-    assert (3, 3) in want and (4, 3) in want and (5, 3) not in want
+    assert (3, 3) in want and (4, 3) in want and (5, 3) not in want and (12, 91) in want and (13, 91) in want
     none = spark.createDataFrame([], "doc_id long, text string")
     assert decontaminate.find_leaks(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_long_and_repetitive_items(spark):
+    """An item of 5,000 words, with edits and shifts, and one of few words repeated: both by sums of intervals."""
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    edited = list(long)
+    for at in range(100, 5000, 120):
+        edited[at] = "other"
+    repeated = ("one two three four five six " * 12).split()
+    docs = spark.createDataFrame([(1, prose(rng, 50) + " " + " ".join(edited) + " " + prose(rng, 50)), (2, " ".join(long[300:])), (3, prose(rng, 20) + " " + " ".join(repeated[5:] + ["end"])), (4, " ".join(repeated * 5))], "doc_id long, text string")
+    out = decontaminate.find_leaks(docs, spark.createDataFrame([(1, " ".join(long)), (2, " ".join(repeated))], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in out}
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    similarity = lambda a, b: sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2)}
+    assert got[1, 1] == (pytest.approx(similarity(edited, long)), 50) and got[2, 1][0] == pytest.approx(similarity(long[300:], long))
+    assert got[4, 2] == (1.0, 0) and got[3, 2][0] >= 0.8
+
+
+def test_every_fingerprint_within_the_radius_shares_a_block(spark):
+    rng = random.Random(2)
+    rows = []
+    for radius in (0, 3, 8, 13, 21, 63):
+        for _ in range(40):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), radius):
+                b ^= 1 << bit
+            rows.append((radius, *[x - 2**64 if x >= 2**63 else x for x in (a, b)]))
+    df = spark.createDataFrame(rows, "radius int, a long, b long")
+    for side in "ab":
+        df = df.withColumn("fp", F.col(side)).withColumn(f"blocks_{side}", F.expr(decontaminate._BLOCKS))
+    assert df.filter(F.size(F.array_intersect("blocks_a", "blocks_b")) == 0).count() == 0
+    assert df.filter(F.size("blocks_a") != F.col("radius") + 1).count() == 0
+    # the blocks are the whole fingerprint
+    whole = F.expr("aggregate(blocks_a, 0, (s, x) -> s + bit_count(x.value))")
+    assert df.filter(whole != F.bit_count("a")).count() == 0
+
+
 # ---- mixing
 
 

@@ -249,6 +249,30 @@ def test_cotraining(spark):
     assert cotraining.classify(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
+def test_the_exchange_helps_on_held_out_texts(spark):
+    """Against labels alone: the content view keeps far fewer bad texts, both views together no more bad and no fewer good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    known = docs.filter(~learn).join(labels.select("doc_id", "quality"), "doc_id")
+    kept = {}
+    for rounds in (0, cotraining.ROUNDS):
+        out = cotraining.classify(known, cotraining.train(docs.filter(learn), labels.filter(learn), rounds=rounds))
+        kept[rounds] = {(r.quality, c): r[c] for r in out.groupBy("quality").agg(*[F.count_if(F.col(c) >= 0.5).alias(c) for c in ("score", "content_score")]).collect() for c in ("score", "content_score")}
+    alone, taught = kept[0], kept[cotraining.ROUNDS]
+    assert taught[0, "content_score"] <= 0.75 * alone[0, "content_score"] and taught[0, "score"] <= alone[0, "score"] <= 5 and taught[1, "score"] >= alone[1, "score"] >= 853
+
+
+def test_exchange_is_the_same_in_one_task_and_in_many_up_to_mixing(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(("junk%d" if i % 3 == 0 else "good%d") % rng.randrange(40) for _ in range(30)), "s", "en") for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(120)], "doc_id long, quality int")
+    for parts in (1, 7):
+        model = cotraining.train(docs.repartition(parts, "doc_id"), labels)
+        assert sum(model["taught"]) == 780  # every unlabelled text, once
+        assert sum((r.score >= 0.5) == (r.doc_id % 3 != 0) for r in cotraining.classify(docs, model).collect()) == 900
+
+
 # ---- main text
 
 ARTICLE = "<article><h1>A &amp; B</h1><p>First, a long sentence with   spaces.<p>Second<br>line, unclosed.<ul><li>one</li><li>two</li></ul><p>Ok.</p>{}</article>"
