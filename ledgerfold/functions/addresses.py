@@ -43,7 +43,7 @@ def _known(mapping: dict[str, str], key: Column) -> Column:
 
 
 def capitalize(t: Column) -> Column:
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1000)))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.lower(t.substr(F.lit(2), F.length(t))))
 
 
 def capitalize_words(c: Column) -> Column:
@@ -111,13 +111,21 @@ def has_street_number(c: Column) -> Column:
     return c.rlike(r"^\s*[0-9]")
 
 
+# Reasons, in the order in which they are tried, and the patterns of what is no address of one property.
+ADDRESS_PROBLEMS = {
+    "case_number_prefix": r"(?i)^\s*[0-9]{2}-CV-|^\s*[0-9]{2}-C-[0-9]|case no\.?\s*[0-9]", "legal_notice_text": r"(?i)notice of sale|notice of foreclosure", "multi_property_notice": r"(?i)\b(arta|et al)\b|i/r/t/a",
+    "office_suite": r"(?i)\b(suite|ste\.?)\s*[0-9]", "malformed_address": r"^\s*[0-9]+\s*,",
+}
+LONGEST_ADDRESS = 150
+
+
 def address_problem(c: Column) -> Column:
     """Why an address is no usable one; null if it is. Rules in order."""
-    s = F.btrim(c)
-    return (
-        F.when(c.isNull() | (s == ""), "empty").when(F.length(s) < 5, "too short").when(F.length(s) > 200, "too long").when(~s.rlike("[0-9]"), "no number").when(~s.rlike("[A-Za-z]"), "no street")
-        .when(s.rlike(r"(?i)^p\.?\s*o\.?\s*box"), "post box").when(s.rlike(r"^0+\s"), "number zero").when(s.rlike(r"(?i)\b(unknown|n/?a|none|tbd)\b"), "placeholder")
-    )
+    s = F.btrim(c, F.lit(" \t\r\n"))
+    out = F.when(c.isNull() | (s == ""), "empty_address")
+    for reason, pattern in ADDRESS_PROBLEMS.items():
+        out = out.when(s.rlike(pattern), reason)
+    return out.when(~s.rlike(r"^[0-9]+\s+\S"), "no_street_number").when(F.length(s) > LONGEST_ADDRESS, "address_too_long")
 
 
 def zip5(c: Column) -> Column:

@@ -17,6 +17,7 @@ class LeadRule:
     fresh_days: int = 4
     min_balance: float | None = None
     sold_guard_months: int = 12
+    enabled: bool = True
 
 
 def fresh_signals(signals: DataFrame, rule: LeadRule, now: Column) -> DataFrame:
@@ -30,8 +31,10 @@ def fresh_signals(signals: DataFrame, rule: LeadRule, now: Column) -> DataFrame:
 
 
 def retiring(leads: DataFrame, signals: DataFrame, buy_now: DataFrame, rule: LeadRule, now: Column) -> DataFrame:
-    """Active leads that no fresh signal supports, or whose parcel is for sale (two existence joins, no product)."""
+    """Active leads that no fresh signal supports, or whose parcel is for sale (two existence joins, no product). Of a type that is switched off, all."""
     keys = ["parcel_number", "market"]
+    if not rule.enabled:
+        return leads.filter((F.col("status") == "active") & (F.col("signal_type") == rule.signal_type))
     fresh = fresh_signals(signals, rule, now).select(*keys).distinct().withColumn("supported", F.lit(True))
     sale = buy_now.filter("status = 'active'").select(*keys).distinct().withColumn("for_sale", F.lit(True))
     active = leads.filter((F.col("status") == "active") & (F.col("signal_type") == rule.signal_type))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,25 +38,41 @@ def flag_addresses(listings: DataFrame) -> DataFrame:
     return listings.withColumn("address_status", F.when(~has_street_number(F.col("property_address")), "no_street_number"))
 
 
-def mark_transferred(listings: DataFrame, latest_sales: DataFrame) -> DataFrame:
-    """Sold after it was first seen, or a probate case whose parcel was sold in or after the case's year."""
+# Probate case numbers that begin with the filing year, markets whose foreclosure numbers do, and foreclosure types.
+YEAR_CASES = [r"^[0-9]{4}EST", r"^[0-9]{4} ES"]
+YEAR_FORECLOSURES = {"dayton": r"^[0-9]{4}"}
+FORECLOSURES = ["mortgage_foreclosure", "foreclosure_filing", "tax_delinquent_foreclosure"]
+
+
+def mark_transferred(listings: DataFrame, latest_sales: DataFrame, year_cases: list[str] = YEAR_CASES, year_foreclosures: dict[str, str] = YEAR_FORECLOSURES) -> DataFrame:
+    """Active rows whose parcel was sold out from under them: after it was first seen, or, in probate, from the case's year or the filing date on, or,
+    in markets whose foreclosure numbers begin with the year, from that year on."""
     joined = listings.join(latest_sales.select("parcel_number", "last_sale_date"), "parcel_number", "left")
-    year = F.regexp_extract("case_number", r"^([0-9]{4})\s?EST", 1).try_cast("int")
-    sold_later = F.col("last_sale_date") > F.col("first_seen")
-    probate = (F.col("signal_type") == "probate") & (F.col("last_sale_date") >= F.make_date(year, F.lit(1), F.lit(1)))
-    moved = F.col("status").isin("active", "not_listed") & (sold_later | probate)
+    case, sold = F.col("case_number"), F.col("last_sale_date")
+    year = F.make_date(F.substring(case, 1, 4).try_cast("int"), F.lit(1), F.lit(1))
+    of_year = lambda pattern: case.rlike(pattern) & (sold >= F.when(case.rlike(pattern), year))
+    rules = [sold > F.col("first_seen").cast("date")]
+    rules += [(F.col("signal_type") == "probate") & of_year(pattern) for pattern in year_cases]
+    if "filing_date" in listings.columns:
+        rules.append((F.col("signal_type") == "probate") & (sold >= F.col("filing_date")))
+    rules += [(F.col("market") == market) & F.col("signal_type").isin(FORECLOSURES) & of_year(pattern) for market, pattern in year_foreclosures.items()]
+    moved = (F.col("status") == "active") & reduce(lambda a, b: a | b, rules)
     return joined.withColumn("status", F.when(moved, "transferred").otherwise(F.col("status"))).drop("last_sale_date")
 
 
 def redemption_windows(listings: DataFrame, parcels: DataFrame) -> DataFrame:
-    """Tennessee tax deeds: days to redeem by years of delinquency, counted from the sale."""
+    """Tennessee tax deeds with a confirmation order: days to redeem by years of delinquency, counted from the order; pending from then on.
+
+    Rows that were redeemed or are final stay out.
+    """
     spine = parcels.select("parcel_number", "market", "tax_years_delinquent")
-    deeds = listings.filter("signal_type = 'tax_deed' and market = 'shelby' and sale_date is not null").join(spine, ["parcel_number", "market"], "left")
+    open_ = "signal_type = 'tax_deed' and market = 'shelby' and confirmation_order_date is not null and (redemption_status is null or redemption_status = 'pending')"
+    deeds = listings.filter(open_).join(spine, ["parcel_number", "market"], "left").withColumn("redemption_status", F.lit("pending"))
     years = F.col("tax_years_delinquent")
     out = deeds.withColumn("redemption_window_days", F.when(years >= 8, 90).when(years >= 5, 180).otherwise(365)).withColumn(
         "redemption_basis", F.when(years >= 8, "8yr_plus").when(years >= 5, "5_to_7yr").when(years.isNotNull(), "le_5yr").otherwise("default_assumed")
     )
-    return out.withColumn("redemption_ends", F.date_add("sale_date", F.col("redemption_window_days")))
+    return out.withColumn("redemption_ends", F.date_add("confirmation_order_date", F.col("redemption_window_days")))
 
 
 def michigan_redemption(listings: DataFrame, as_of: Column) -> DataFrame:
@@ -89,11 +107,14 @@ def attach_twins(listings: DataFrame) -> DataFrame:
     return keyed.filter("parcel_number is null").join(candidates, ["market", "address_key", "digits"]).select("id", "canonical")
 
 
-def owner_backfill(parcels: DataFrame, signals: DataFrame) -> DataFrame:
-    """Parcels without an owner that the latest tax signal can name: (parcel_number, market, owner_from)."""
-    tax = signals.filter("signal_type = 'tax_delinquent'").groupBy("parcel_number", "market").agg(F.max_by("source", F.struct("observed_at", "id")).alias("owner_from"))
-    return parcels.filter("owner_name is null or btrim(owner_name) = ''").join(tax, ["parcel_number", "market"]).select("parcel_number", "market", "owner_from")
+def owner_backfill(parcels: DataFrame, signals: DataFrame, market: str = "shelby") -> DataFrame:
+    """Parcels of the market without an owner, with the owner that the payload of the latest tax signal names (of any market): (parcel_number, market, owner_name)."""
+    owner = F.nullif(F.btrim(F.get_json_object("payload", "$.owner")), F.lit(""))
+    tax = signals.filter("signal_type = 'tax_delinquent'").groupBy("parcel_number").agg(F.max_by(owner, F.struct("observed_at", "id")).alias("found")).filter("found is not null")
+    blank = parcels.filter((F.col("market") == market) & (F.coalesce(F.btrim("owner_name"), F.lit("")) == ""))
+    return blank.join(tax, "parcel_number").select("parcel_number", "market", F.col("found").alias("owner_name"))
 
 
-def rank_newest(df: DataFrame, key: str, when: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(when))))
+def rank_newest(df: DataFrame, key: str, when: str, tie: str) -> DataFrame:
+    """Rank by time, newest first; of equal times the smaller ``tie`` first."""
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(when), tie)))

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.keys import plain_key
 from ledgerfold.functions.values import quoted
-
-# Fixed values.
-STALENESS = {"full_rescan": "absence retires", "cursor": "never by absence", "archive": "never by absence"}
-CATEGORIES = ["deal", "signal", "registry", "lead"]
-
+from ledgerfold.operators.lifecycle import FORECLOSURES
 
 def prefilter(rows: DataFrame, states: list[str]) -> DataFrame:
     """Adds ``reason``: why a landed row is not taken; null if it is. A blank state passes."""
@@ -34,28 +31,37 @@ def enrich_by_case(listings: DataFrame, target: str, donor: str) -> DataFrame:
 
 
 def address_contains(queries: DataFrame, spine: DataFrame) -> DataFrame:
-    """Spine parcels whose address has the query's house number as its first word and holds the query's street; blocked by the number, not compared all with all."""
-    q = queries.withColumn("house", F.element_at(F.split("address", " "), 1)).withColumn("street", F.upper(F.element_at(F.split("address", " "), 2)))
-    s = spine.filter("situs_address is not null").select(F.element_at(F.split("situs_address", " "), 1).alias("house"), F.col("situs_address"), F.col("parcel_number").alias("candidate"))
-    return q.join(s, "house").filter(F.contains(F.upper("situs_address"), F.col("street"))).select("id", "candidate")
+    """Spine parcels whose address has the query's house number as its first word and the query's street word among the others.
+
+    Blocked by house number and street word together, so a number that thousands of streets share makes no pairs.
+    """
+    words = lambda c: F.split(F.upper(F.btrim(c)), " +")
+    q = queries.select("id", F.get(words("address"), F.lit(0)).alias("house"), F.get(words("address"), F.lit(1)).alias("street"))
+    s = spine.filter("situs_address is not null").select(F.get(words("situs_address"), F.lit(0)).alias("house"), F.explode(F.array_distinct(F.slice(words("situs_address"), F.lit(2), F.size(words("situs_address"))))).alias("street"), F.col("parcel_number").alias("candidate"))
+    return q.join(s, ["house", "street"]).select("id", "candidate")
 
 
-def retire_empty(listings: DataFrame, parcels: DataFrame, latest: DataFrame) -> DataFrame:
-    """Active rows whose parcel has neither owner nor sale nor balance go to not_listed."""
-    facts = parcels.join(latest, "parcel_number", "left").select("parcel_number", "market", (F.col("owner_name").isNull() & F.col("last_sale_date").isNull() & (F.coalesce("current_tax_balance", F.lit(0)) <= 0)).alias("nothing"))
+def retire_empty(listings: DataFrame, parcels: DataFrame, latest: DataFrame, market: str, types: list[str] = FORECLOSURES) -> DataFrame:
+    """Active foreclosures of the market expire if their parcel has neither owner nor sale nor value."""
+    facts = parcels.filter(F.col("market") == market).join(latest, "parcel_number", "left")
+    facts = facts.select("parcel_number", "market", (F.col("owner_name").isNull() & F.col("last_sale_date").isNull() & F.col("current_market_value").isNull()).alias("nothing"))
     joined = listings.join(facts, ["parcel_number", "market"], "left")
-    return joined.withColumn("status", F.when((F.col("status") == "active") & F.col("nothing"), "not_listed").otherwise(F.col("status"))).drop("nothing")
+    return joined.withColumn("status", F.when((F.col("status") == "active") & F.col("signal_type").isin(types) & F.col("nothing"), "expired").otherwise(F.col("status"))).drop("nothing")
 
 
-def retire_outside(listings: DataFrame, inside: list[str]) -> DataFrame:
-    """Rows without a parcel whose city is known to lie outside."""
-    out = F.col("parcel_number").isNull() & (F.col("status") == "active") & ~F.lower(F.btrim("property_city")).isin(inside)
-    return listings.withColumn("status", F.when(out, "not_listed").otherwise(F.col("status")))
+def retire_outside(listings: DataFrame, inside: list[str], market: str, courthouse: str, types: list[str] = FORECLOSURES) -> DataFrame:
+    """Active foreclosures of the market expire if their address is the courthouse's, or if they have no parcel and a city that lies outside."""
+    city = F.lower(F.btrim("property_city"))
+    outside = (F.coalesce("parcel_number", F.lit("")) == "") & (city != "") & ~city.isin(inside)
+    gone = plain_key(F.col("property_address")).startswith(courthouse) | outside
+    return listings.withColumn("status", F.when((F.col("market") == market) & (F.col("status") == "active") & F.col("signal_type").isin(types) & F.coalesce(gone, F.lit(False)), "expired").otherwise(F.col("status")))
 
 
 def recheck(listings: DataFrame, checked: DataFrame) -> DataFrame:
-    """Court rechecks: a closed case expires the row, another status is taken over."""
-    joined = listings.join(checked.select("case_number", F.col("case_status").alias("found")), "case_number", "left")
+    """Court rechecks: a closed case expires the row, another status is taken over. A case that was checked more than once counts once: closed, if any check says so."""
+    closed_first = F.struct((~F.col("case_status").rlike("(?i)closed|dismissed|terminated")).alias("open"), "case_status")
+    one = checked.filter("case_status is not null").groupBy("case_number").agg(F.min_by("case_status", closed_first).alias("found"))
+    joined = listings.join(one, "case_number", "left")
     closed = F.coalesce(F.col("found").rlike("(?i)closed|dismissed|terminated"), F.lit(False))
     return joined.withColumn("status", F.when(closed, "expired").otherwise(F.col("status"))).withColumn("case_status", F.coalesce("found", "case_status")).drop("found")
 
@@ -78,9 +84,10 @@ def overmatched(listings: DataFrame, cap: int = 8) -> DataFrame:
     return listings.filter("signal_type = 'probate' and case_number is not null").groupBy("market", "case_number").agg(F.count_distinct("parcel_number").alias("parcels")).filter(F.col("parcels") > cap)
 
 
-def stale_open(signals: DataFrame, now: Column, days: int = 45) -> DataFrame:
-    """Open violations that nobody has confirmed for long."""
-    return signals.filter("signal_type = 'code_violation'").filter(F.col("last_seen_at") < now - F.make_dt_interval(F.lit(days))).select("id", "market", "last_seen_at")
+def stale_open(signals: DataFrame, now: Column, days: int = 45, most: int | None = 2000) -> DataFrame:
+    """Open violations that nobody has confirmed for long: a report of the ``most`` oldest (None: all)."""
+    old = signals.filter("signal_type = 'code_violation'").filter(F.col("last_seen_at") < now - F.make_dt_interval(F.lit(days))).select("id", "market", "last_seen_at")
+    return old if most is None else old.orderBy("last_seen_at", "id").limit(most)
 
 
 def long_zero_runs(runs: DataFrame, cursor: bool, share: float = 0.5) -> DataFrame:
@@ -115,9 +122,9 @@ def require_empty(breaches: DataFrame, what: str) -> None:
 
 
 def run_record(source: str, rows: DataFrame, new: str = "is_new", reason: str = "reason") -> DataFrame:
-    """The counters of a run in one pass; an error is a run that took nothing although rows came."""
-    out = rows.agg(F.count("*").alias("found"), F.count_if(F.col(reason).isNull()).alias("passed"), F.count_if(F.col(reason).isNotNull()).alias("filtered"), F.count_if(F.col(new) & F.col(reason).isNull()).alias("inserted"))
-    return out.select(F.lit(source).alias("source_site"), "*", F.when((F.col("found") > 0) & (F.col("passed") == 0), "error").otherwise("success").alias("status"))
+    """The counters of a run in one pass; a run with errors (rows whose reason is ``error``) that inserted nothing is one."""
+    out = rows.agg(F.count("*").alias("found"), F.count_if(F.col(reason).isNull()).alias("passed"), F.count_if(F.col(reason).isNotNull()).alias("filtered"), F.count_if(F.col(new) & F.col(reason).isNull()).alias("inserted"), F.count_if(F.col(reason) == "error").alias("errors"))
+    return out.select(F.lit(source).alias("source_site"), "*", F.when((F.col("errors") > 0) & (F.col("inserted") == 0), "error").otherwise("success").alias("status"))
 
 
 def retire_absent(state: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,15 +33,21 @@ def chips(own_type: Column, type_counts: Column) -> Column:
     return F.aggregate(labelled, start, lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
 
 
+def with_parcels(listings: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Listings with what their parcel tells, and whether its owner is an entity."""
+    keys = ["parcel_number", "market"]
+    spine = parcels.select(*keys, "owner_name", "property_class", "current_tax_balance", F.lit(True).alias("on_spine"))
+    return listings.join(spine, keys, "left").withColumn("owner_is_entity", is_entity(F.col("owner_name")))
+
+
 def enrich(listings: DataFrame, parcels: DataFrame, signals: DataFrame) -> DataFrame:
     """Listings with their parcel's owner and tax data, stacked signals, chips and the hot flag. Joined within the market."""
     keys = ["parcel_number", "market"]
-    spine = parcels.select(*keys, "owner_name", "property_class", "current_tax_balance", F.lit(True).alias("on_spine"))
-    out = listings.join(spine, keys, "left").join(stack_signals(signals), keys, "left")
+    out = with_parcels(listings, parcels).join(stack_signals(signals), keys, "left")
     out = out.withColumn("chips", chips(F.col("signal_type"), F.col("type_counts")))
     return out.withColumns(
         {
-            "owner_is_entity": is_entity(F.col("owner_name")), "registry_confirmed": F.coalesce("on_spine", F.lit(False)), "signal_count": F.coalesce("signal_count", F.lit(0).cast("long")),
+            "registry_confirmed": F.coalesce("on_spine", F.lit(False)), "signal_count": F.coalesce("signal_count", F.lit(0).cast("long")),
             "owner_name": F.coalesce("owner_name", F.lit("(Owner not found)")), "dimensions": F.size("chips"), "hot": F.size("chips") >= 2,
         }
     )
@@ -57,6 +63,11 @@ class ListingQuery:
     market: str | None = None
     city: str | None = None
     text: str | None = None
+    county: str | None = None
+    redemption_status: str | None = None
+    conviction_tier: str | None = None
+    min_tickets: int | None = None
+    absentee: bool | None = None
     has_signals: bool | None = None
     min_signals: int | None = None
     signal_type: str | None = None
@@ -74,7 +85,14 @@ def conditions(q: ListingQuery) -> list[Column]:
     c, out = F.col, []
     if q.distress_stage != "all":
         out.append(c("distress_stage") == q.distress_stage)
-    out += [c(k) == v for k, v in (("source_site", q.source_site), ("status", q.status), ("market", q.market)) if v is not None]
+    equal = (("source_site", q.source_site), ("status", q.status), ("market", q.market), ("redemption_status", q.redemption_status), ("conviction_tier", q.conviction_tier))
+    out += [c(k) == v for k, v in equal if v is not None]
+    if q.county is not None:
+        out.append(c("property_county").ilike(q.county))
+    if q.min_tickets is not None:
+        out.append(c("blight_ticket_count") >= q.min_tickets)
+    if q.absentee:
+        out.append(c("absentee_owner").eqNullSafe(True))
     if q.city is not None:
         out.append(c("property_city").ilike(q.city))
     if q.text is not None:
@@ -111,6 +129,20 @@ def page(enriched: DataFrame, q: ListingQuery) -> DataFrame:
     return select_listings(enriched, q).orderBy(order, "id").offset((q.page - 1) * q.page_size).limit(q.page_size)
 
 
+def listings_page(listings: DataFrame, parcels: DataFrame, signals: DataFrame, q: ListingQuery) -> DataFrame:
+    """:func:`page`, enriched as late as can be: unless the arguments ask for signals, the page is cut first, and only its rows' signals are read and stacked."""
+    if q.has_signals is not None or q.min_signals is not None or q.signal_type is not None:
+        return page(enrich(listings, parcels, signals), q)
+    rows = listings if q.owner_type is None and q.min_balance is None else with_parcels(listings, parcels)
+    cut = page(rows, q).select(*listings.columns)
+    keys = ["parcel_number", "market"]
+    # a page has at most page_size rows, so its keys are broadcast
+    few = F.broadcast(cut.select(*keys).distinct())
+    out = enrich(cut, parcels.join(few, keys, "left_semi"), signals.join(few, keys, "left_semi"))
+    key = F.col(SORT_KEYS.get(q.sort, "first_seen"))
+    return out.orderBy(key.desc_nulls_last() if q.descending else key.asc_nulls_last(), "id")
+
+
 def page_counts(enriched: DataFrame, q: ListingQuery) -> DataFrame:
     total = select_listings(enriched, q).agg(F.count("*").alias("total"))
     return total.select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / q.page_size)).cast("long").alias("pages"))
@@ -119,7 +151,8 @@ def page_counts(enriched: DataFrame, q: ListingQuery) -> DataFrame:
 def latest_per_key(df: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:
     """The newest row of each key, the smallest ``tie`` of equal ones; one aggregation, no sort."""
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(when), (-F.col(tie)) if dict(df.dtypes)[tie] in ("bigint", "int") else F.lit(0))).alias("row"))
+    age = F.coalesce(-F.unix_micros(F.col(when).cast("timestamp")), F.lit(2**63 - 1))  # rows without a time are the oldest
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(age, F.col(tie))).alias("row"))
     return best.select(*keys, "row.*")
 
 

@@ -34,22 +34,28 @@ def address_block_join(t):
     return policies.address_contains(wanted, t.parcels)
 
 
-@query("select id, case when l.status = 'active' and p.parcel_number is not null and owner_name is null and s.parcel_number is null and coalesce(current_tax_balance, 0) <= 0 then 'not_listed' else l.status end as status from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market left join (select distinct parcel_number from sales where price > 60000) s on p.parcel_number = s.parcel_number")
+@query("select id, case when l.status = 'active' and l.market = 'summit' and l.signal_type = 'mortgage_foreclosure' and p.parcel_number is not null and owner_name is null and day is null and current_tax_balance < 5000 then 'expired' else l.status end as status from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market left join (select parcel_number, max(sale_date) as day from sales group by 1 having max(sale_date) < date '1998-06-01') s on p.parcel_number = s.parcel_number")
 def retire_empty(t):
+    """Values and sales are unknown for some parcels: values where the balance is below 5000, sales where the last one is recent."""
     from ledgerfold.operators.folding import latest_sales
 
-    return policies.retire_empty(t.listings, t.parcels, latest_sales(t.sales.filter("price > 60000"))).select("id", "status")
+    latest = latest_sales(t.sales).withColumn("last_sale_date", F.when(F.col("last_sale_date") < "1998-06-01", F.col("last_sale_date")))
+    valued = t.parcels.withColumn("current_market_value", F.when(~(F.col("current_tax_balance") < 5000), F.lit(1)))
+    return policies.retire_empty(t.listings, valued, latest, "summit").select("id", "status")
 
 
-@query("select id, case when parcel_number is null and status = 'active' and lower(trim(property_city)) not in ('nation_1', 'nation_2', 'nation_3') then 'not_listed' else status end as status from listings")
+@query("select id, case when status = 'active' and market = 'summit' and signal_type = 'mortgage_foreclosure' and (property_address like '1%0 %' or (parcel_number is null and lower(trim(property_city)) not in (select lower(min(n_name)) from nation group by n_regionkey))) then 'expired' else status end as status from listings")
 def retire_outside(t):
-    return policies.retire_outside(t.listings, ["nation_1", "nation_2", "nation_3"]).select("id", "status")
+    inside = [r[0] for r in t.nation.groupBy("n_regionkey").agg(F.lower(F.min("n_name"))).select(F.col("lower(min(n_name))")).collect()]  # five rows
+    court = F.when(F.col("property_address").rlike("^1[0-9]*0 "), "41 n. perry st, Room 104").otherwise(F.col("property_address"))
+    return policies.retire_outside(t.listings.withColumn("property_address", court), inside, "summit", "41 N PERRY ST").select("id", "status")
 
 
 @query("select id, case when c.n % 2 = 0 then 'expired' else status end as status, case when c.n % 2 = 0 then 'Closed' when c.n is not null then 'Open again' else case_status end as case_status from listings l left join (select case_number, count(*) n from listings where case_number is not null group by 1 having count(*) > 2) c using (case_number)")
 def probate_recheck(t):
     found = t.listings.filter("case_number is not null").groupBy("case_number").agg(F.count("*").alias("n")).filter("n > 2")
-    return policies.recheck(t.listings, found.select("case_number", F.when(F.col("n") % 2 == 0, "Closed").otherwise("Open again").alias("case_status"))).select("id", "status", "case_status")
+    checks = found.select("case_number", F.when(F.col("n") % 2 == 0, "Closed").otherwise("Open again").alias("case_status"))
+    return policies.recheck(t.listings, checks.unionByName(checks).unionByName(checks.withColumn("case_status", F.lit("Zoned")))).select("id", "status", "case_status")
 
 
 @query("select action, count(*) as n from (select case when n is null then case when o in ('confirmed', 'probable') then 'retire' else 'noop' end when o is not distinct from n then 'keep' when n in ('confirmed', 'probable') then 'retier' when o in ('confirmed', 'probable') then 'hide' else 'noop' end as action from (select match_confidence o, case orderkey % 4 when 0 then 'confirmed' when 1 then 'review' when 2 then 'unverified' end n from listings where signal_type = 'probate')) group by 1")
@@ -68,7 +74,7 @@ def quality_overmatch(t):
     return policies.overmatched(t.listings, cap=1)
 
 
-@query(f"select id, market, last_seen_at from signals where signal_type = 'code_violation' and last_seen_at < {T} - interval 14 day")
+@query(f"select id, market, last_seen_at from signals where signal_type = 'code_violation' and last_seen_at < {T} - interval 14 day order by last_seen_at, id limit 2000")
 def quality_stale_open(t):
     return policies.stale_open(t.signals, t.now, days=14)
 
@@ -89,7 +95,7 @@ def infer_market(t):
     return policies.infer_market(rows, t.parcels.filter("custkey % 2 = 0"), {"TN": "shelby", "MI": "wayne"}).select("id", "market")
 
 
-@query("select source_site, count(*) as found, count(*) filter (property_address is not null) as passed, count(*) filter (property_address is null) as filtered, count(*) filter (orderkey % 2 = 0 and property_address is not null) as inserted, 'success' as status from listings where source_site = 'site_1' group by 1")
+@query("select source_site, count(*) as found, count(*) filter (property_address is not null) as passed, count(*) filter (property_address is null) as filtered, count(*) filter (orderkey % 2 = 0 and property_address is not null) as inserted, 0::bigint as errors, 'success' as status from listings where source_site = 'site_1' group by 1")
 def run_record(t):
     rows = t.listings.filter("source_site = 'site_1'").withColumn("is_new", F.col("orderkey") % 2 == 0)
     return policies.run_record("site_1", policies.prefilter(rows, ["OH", "TN", "MI"]))
@@ -130,10 +136,17 @@ def surname_mismatch(t):
     return t.part.select(F.col("p_partkey").alias("k"), names.decedent_surname(F.concat(n, F.lit(" Jr"))).alias("decedent"), names.owner_surname(n).alias("owner"), names.surname_mismatch(n, n).alias("mismatch"))
 
 
-@query("select id, case when property_address is null then 'empty' end as problem, property_address is null or regexp_matches(property_address, '^[0-9]') as numbered from listings")
+@query("""select id, case when property_address is null then 'empty_address' when k = 0 then 'case_number_prefix' when k = 1 then 'legal_notice_text' when k = 2 then 'multi_property_notice' when k = 3 then 'office_suite'
+  when k = 4 then 'malformed_address' when k in (5, 6) then 'no_street_number' when k = 7 then 'address_too_long' when k = 8 then 'empty_address' when k = 9 then 'case_number_prefix' end as problem, property_address is null or k in (0, 3, 4, 7) or k >= 10 as numbered
+  from (select *, orderkey % 13 k from listings)""")
 def address_sanity(t):
-    a = F.col("property_address")
-    return t.listings.select("id", addresses.address_problem(a).alias("problem"), F.coalesce(addresses.has_street_number(a), F.lit(True)).alias("numbered"))
+    """Landed addresses of every kind, by the order's number."""
+    a, k = F.col("property_address"), F.col("orderkey") % 13
+    landed = ["24-CV-118 ", "Notice of Sale: ", "ARTA ", None, None, "Rear of ", "No. ", None, None, "Case No. 7, Notice of Sale, "]
+    kinds = {0: F.concat(F.lit(landed[0]), a), 1: F.concat(F.lit(landed[1]), a), 2: F.concat(F.lit(landed[2]), a), 3: F.concat(a, F.lit(" Suite 20")), 4: F.concat(F.lit("12, "), a), 5: F.concat(F.lit(landed[5]), a), 6: F.concat(F.lit(landed[6]), a),
+             7: F.concat(a, F.repeat(F.lit(" far"), 60)), 8: F.when(a.isNotNull(), " "), 9: F.concat(F.lit(landed[9]), a)}
+    text = F.coalesce(*[F.when(k == n, v) for n, v in kinds.items()], F.when(k >= 10, a))
+    return t.listings.select("id", addresses.address_problem(text).alias("problem"), F.coalesce(addresses.has_street_number(text), F.lit(True)).alias("numbered"))
 
 
 @query("select id, case when case_status like 'CLOSED%' then 'Closed' when case_status = 'Open' then 'Open' else 'Unknown' end as bucket, regexp_replace(case_number, '[^0-9]', '', 'g') as digits, case when opening_bid_usd > 100000 then true end as delinquent from listings")

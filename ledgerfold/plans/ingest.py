@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerfold.plans import tables
 from ledgerfold.plans.registry import query
 from ledgerfold.sources import delimited, pages, prose
 from ledgerfold.streaming import delta
 
 
-@query("select o_orderkey as k, 'CV-' || o_custkey as case_number, o_totalprice::decimal(18,2)::double as bid, o_orderdate::date as day from orders", prelude=False)
+@query("select o_orderkey as k, 'CV-' || o_custkey as case_number, o_totalprice::decimal(18,2)::double as bid, o_orderdate::date as day, 'DAYTON' as city, lpad((o_custkey % 99999)::varchar, 5, '0') as zip from orders", prelude=False)
 def token_template_parse(t):
     o = t.orders
-    blob = F.concat(F.lit("@ACase #: CV-"), F.col("o_custkey").cast("string"), F.lit("@GOpening Bid: $"), F.format_number("o_totalprice", 2), F.lit("@GSale: "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit("@Gno label@A "))
+    blob = F.concat(F.lit("@ACase #: CV-"), F.col("o_custkey").cast("string"), F.lit("@GOpening Bid: $"), F.format_number("o_totalprice", 2), F.lit("@GSale: "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit("@GDAYTON , "), F.lpad((F.col("o_custkey") % 99999).cast("string"), 5, "0"), F.lit("@A "))
     items = o.select(F.col("o_orderkey").alias("k"), F.explode(pages.template_fields(blob)).alias("m"))
-    return items.select("k", F.col("m")["Case #"].alias("case_number"), F.regexp_replace(F.col("m")["Opening Bid"], r"[^0-9.]", "").cast("double").alias("bid"), F.to_date(F.col("m")["Sale"], "M/d/yyyy").alias("day"))
+    return items.select("k", F.col("m")["Case #"].alias("case_number"), F.regexp_replace(F.col("m")["Opening Bid"], r"[^0-9.]", "").cast("double").alias("bid"), F.to_date(F.col("m")["Sale"], "M/d/yyyy").alias("day"), F.btrim(F.split_part(F.col("m")["__city_zip__"], F.lit(","), F.lit(1))).alias("city"), F.btrim(F.split_part(F.col("m")["__city_zip__"], F.lit(","), F.lit(2))).alias("zip"))
 
 
 @query("select conv_id, count(*) as blocks, sum(length(b))::bigint as chars from (select conv_id, unnest(regexp_extract_all(text, '(?s)\\n[^\\n]*')) b from conversations) group by conv_id", prelude=False)
@@ -48,7 +49,7 @@ def registry_first_seen(t):
 def stream_delta_merge(t):
     """Events as a stream of deltas, merged by user and type into a versioned table."""
     spark = t.spark
-    where = (spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp()}").rstrip("/") + f"/delta-{spark.sparkContext.applicationId}-{id(t)}"
+    where = f"{tables.shared_folder(spark)}/delta-{uuid.uuid4().hex}"
     raw = t.events.select("user_id", "event_type", "event_id", F.col("ts").alias("seen"), "value")
     schema = raw.drop("event_id").schema
     # A file stream reads folders: the table's own folder, or, for a single file, the folder with a filter on its name.

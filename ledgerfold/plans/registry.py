@@ -91,12 +91,12 @@ def _row(df: DataFrame) -> DataFrame:
 
 @query(_ENRICH + f"select {_ROW} from r where distress_stage = 'buy_now' and {_GATES} order by first_seen desc nulls last, id limit 50")
 def listings_page(t):
-    return _row(reading.page(t.enriched, reading.ListingQuery()))
+    return _row(reading.listings_page(t.listings, t.parcels, t.signals, reading.ListingQuery()))
 
 
 @query(_ENRICH + f"select {_ROW} from r where status = 'active' and market = 'summit' and {_GATES} order by opening_bid_usd asc nulls last, id limit 20 offset 20")
 def listings_second_page(t):
-    return _row(reading.page(t.enriched, reading.ListingQuery(distress_stage="all", status="active", market="summit", sort="opening_bid", descending=False, page=2, page_size=20)))
+    return _row(reading.listings_page(t.listings, t.parcels, t.signals, reading.ListingQuery(distress_stage="all", status="active", market="summit", sort="opening_bid", descending=False, page=2, page_size=20)))
 
 
 @query(_ENRICH + f"select count(*) as total, greatest(1, ceil(count(*) / 50.0))::bigint as pages from r where distress_stage = 'buy_now' and signal_count > 0 and signal_count >= 2 and current_tax_balance >= 1000 and {_GATES} and property_city ilike 'nation_1%' and property_address ilike '%street%' and list_contains(list_transform(types, lambda x: x.t), 'eviction')")
@@ -204,17 +204,23 @@ def flag_address(t):
     return lifecycle.flag_addresses(t.listings).select("id", "address_status")
 
 
-@query("""select id, case when status in ('active', 'not_listed') and (d > first_seen or (signal_type = 'probate' and d >= make_date(try_cast(nullif(regexp_extract(case_number, '^([0-9]{4})\\s?EST', 1), '') as bigint), 1, 1))) then 'transferred' else status end as status
-from listings left join (select parcel_number, max(sale_date) d from sales group by 1) using (parcel_number)""")
+@query("""select id, case when status = 'active' and (d > first_seen or (signal_type = 'probate' and regexp_matches(c, '^[0-9]{4}( ES|EST)') and d >= make_date(try_cast(c[1:4] as bigint), 1, 1))
+  or (signal_type = 'probate' and d >= filing_date) or (market = 'lucas' and signal_type = 'mortgage_foreclosure' and regexp_matches(c, '^[0-9]{4}') and d >= make_date(try_cast(c[1:4] as bigint), 1, 1))) then 'transferred' else status end as status
+from (select *, case when market = 'shelby' then first_seen - 400 end filing_date, case when market = 'lucas' then (1990 + orderkey % 12) || 'CV' || orderkey when market = 'summit' then replace(case_number, 'EST', ' ES ') else case_number end c from listings)
+left join (select parcel_number, max(sale_date) d from sales group by 1) using (parcel_number)""")
 def mark_transferred(t):
-    return lifecycle.mark_transferred(t.listings, t.latest).select("id", "status")
+    case = F.when(F.col("market") == "lucas", F.concat((1990 + F.col("orderkey") % 12).cast("string"), F.lit("CV"), F.col("orderkey").cast("string"))).when(F.col("market") == "summit", F.replace("case_number", F.lit("EST"), F.lit(" ES "))).otherwise(F.col("case_number"))
+    rows = t.listings.withColumn("case_number", case).withColumn("filing_date", F.when(F.col("market") == "shelby", F.date_sub("first_seen", 400)))
+    return lifecycle.mark_transferred(rows, t.latest, year_foreclosures={"lucas": "^[0-9]{4}"}).select("id", "status")
 
 
 @query("""select id, case when y >= 8 then 90 when y >= 5 then 180 else 365 end as days, case when y >= 8 then '8yr_plus' when y >= 5 then '5_to_7yr' when y is not null then 'le_5yr' else 'default_assumed' end as basis,
-(sale_date + case when y >= 8 then 90 when y >= 5 then 180 else 365 end)::date as ends
-from (select l.*, p.tax_years_delinquent y from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market where signal_type = 'tax_deed' and l.market = 'shelby' and sale_date is not null)""")
+(ordered + case when y >= 8 then 90 when y >= 5 then 180 else 365 end)::date as ends, 'pending' as state
+from (select l.*, case when orderkey % 3 <> 0 then sale_date + (orderkey % 20)::int end ordered, p.tax_years_delinquent y from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market
+  where signal_type = 'tax_deed' and l.market = 'shelby' and (redemption_status is null or redemption_status = 'pending')) where ordered is not null""")
 def redemption_windows(t):
-    return lifecycle.redemption_windows(t.listings, t.parcels).select("id", F.col("redemption_window_days").alias("days"), F.col("redemption_basis").alias("basis"), F.col("redemption_ends").alias("ends"))
+    ordered = F.when(F.col("orderkey") % 3 != 0, F.date_add("sale_date", (F.col("orderkey") % 20).cast("int")))
+    return lifecycle.redemption_windows(t.listings.withColumn("confirmation_order_date", ordered), t.parcels).select("id", F.col("redemption_status").alias("state"), F.col("redemption_window_days").alias("days"), F.col("redemption_basis").alias("basis"), F.col("redemption_ends").alias("ends"))
 
 
 @query(f"select id, (sale_date + 180)::date as ends, case when sale_date < {D} and (sale_date + 180)::date >= {D} then 'pending' end as state from listings where market = 'wayne' and signal_type = 'mortgage_foreclosure' and sale_date is not null")
@@ -241,9 +247,10 @@ def dedup_twin(t):
     return lifecycle.attach_twins(t.listings)
 
 
-@query("select p.parcel_number, p.market, arg_max(s.source, {'t': s.observed_at, 'i': s.id}) as owner_from from parcels p join signals s on p.parcel_number = s.parcel_number and p.market = s.market where p.owner_name is null and s.signal_type = 'tax_delinquent' group by all")
+@query("select p.parcel_number, p.market, arg_max('OWNER ' || s.id, {'t': s.observed_at, 'i': s.id}) as owner_name from parcels p join signals s on p.parcel_number = s.parcel_number where p.owner_name is null and p.market = 'shelby' and s.signal_type = 'tax_delinquent' group by all")
 def owner_backfill(t):
-    return lifecycle.owner_backfill(t.parcels, t.signals)
+    named = t.signals.withColumn("payload", F.to_json(F.struct(F.concat(F.lit(" OWNER "), F.col("id").cast("string")).alias("owner"), "balance")))
+    return lifecycle.owner_backfill(t.parcels, named)
 
 
 # ---- leads
@@ -469,4 +476,4 @@ def run_totals_rollup(t):
     return t.listings.rollup("source_site", "market", "status").agg(F.count("*").alias("n"), F.sum("opening_bid_usd").cast("double").alias("bids"))
 
 
-from ledgerfold.plans import further, ingest  # noqa: E402,F401  register more queries
+from ledgerfold.plans import further, ingest, more  # noqa: E402,F401  register more queries

@@ -29,9 +29,13 @@ def nested_json(c: Column, schema: str) -> Column:
 
 
 def template_fields(blob: Column) -> Column:
-    """Records of a token template (@A between records, @G between fields, each 'label:value') as an array of maps."""
-    field = lambda f: F.struct(F.btrim(F.regexp_extract(f, r"^([^:]*):", 1)).alias("k"), F.btrim(F.regexp_extract(f, r"^[^:]*:(.*)$", 1)).alias("v"))
-    fields = lambda r: F.transform(F.filter(F.split(r, "@G"), lambda f: f.contains(":")), field)
+    """Records of a token template (@A between records, @G between fields, each 'label:value') as an array of maps.
+
+    A field without a label continues an address: it is kept as ``__city_zip__``.
+    """
+    labelled = lambda f: F.regexp_extract(f, r"(?s)^([^:]*):", 1)
+    field = lambda f: F.when(f.contains(":"), F.struct(F.btrim(labelled(f)).alias("k"), F.btrim(F.regexp_extract(f, r"(?s)^[^:]*:(.*)$", 1)).alias("v"))).otherwise(F.struct(F.lit("__city_zip__").alias("k"), F.btrim(f).alias("v")))
+    fields = lambda r: F.transform(F.filter(F.split(r, "@G"), lambda f: F.btrim(f) != ""), field)
     unique = lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y["k"] == x["k"]))
     return F.transform(F.filter(F.split(blob, "@A"), lambda r: F.btrim(r) != ""), lambda r: F.map_from_entries(unique(fields(r))))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,16 +59,31 @@ def delta(rows: DataFrame, updated: str, last_success, overlap_days: int = 1) ->
 def advance_cursor(found: DataFrame, cursor: int, misses: int = 25) -> tuple[int, bool]:
     """How far ids (column id) were read without a gap of ``misses`` or more, and whether that gap, the frontier, was reached.
 
-    The gap is found by a window over the ids beyond the cursor that came in one walk.
+    Ids fall into bins of ``misses``, of which only the least and the greatest id count, so the order is found over few rows; the first gap is one
+    aggregation over them.
     """
-    ids = found.select("id").filter(F.col("id") > cursor).distinct()
-    ahead = [r["id"] for r in ids.orderBy("id").limit(10_000).collect()]  # one walk is bounded
-    at = cursor
-    for i in ahead:
-        if i - at > misses:
-            return at, True
-        at = i
-    return at, False
+    ahead = found.select("id").filter(F.col("id") > cursor)
+    bins = ahead.groupBy(F.floor(F.col("id") / misses).alias("bin")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    # the bin before, if it is the neighbour or the one before that; otherwise there is a gap of more than ``misses``
+    near = bins.select("bin", "high").withColumn("bin", F.explode(F.array(F.col("bin") + 1, F.col("bin") + 2))).groupBy("bin").agg(F.max("high").alias("before"))
+    gaps = bins.join(near, "bin", "left").filter((F.col("low") - cursor > misses) & (F.col("before").isNull() | (F.col("low") - F.col("before") > misses)))
+    frontier = gaps.agg(F.min("low")).first()[0]
+    at = ahead.filter(F.col("id") < frontier if frontier is not None else F.lit(True)).agg(F.max("id")).first()[0]
+    return (cursor if at is None else at), frontier is not None
+
+
+def window_cursor(windows: DataFrame, cursor: datetime.date | None = None) -> datetime.date | None:
+    """How far a walk over date windows (start, end, ok) got: the end of the last window before the first that failed. Two aggregations, no order."""
+    failed = windows.filter(~F.coalesce("ok", F.lit(False))).agg(F.min("start")).first()[0]
+    done = windows.filter(F.col("start") < F.lit(failed)) if failed is not None else windows
+    end = done.agg(F.max("end")).first()[0]
+    return max(x for x in (cursor, end) if x is not None) if cursor or end else None
+
+
+def write_cursor(cursors: DataFrame, source: str, value: object) -> DataFrame:
+    """The cursor table (source_site, value as text) with the source's cursor set."""
+    new = cursors.sparkSession.createDataFrame([(source, str(value))], "source_site string, value string")
+    return upsert(cursors.select("source_site", "value"), new, ["source_site"]).drop("is_new")
 
 
 def windowed_counts(stream: DataFrame, when: str, size: str = "1 day", late: str = "1 day") -> DataFrame:
