@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,14 +25,14 @@ LOWER = UPPER.lower()
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (tests on one machine), a temporary folder is set.
+    Where the session names none, one machine (tests) uses its temporary folder; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='ledgerfold-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/ledgerfold-{spark.sparkContext.applicationId}"
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:

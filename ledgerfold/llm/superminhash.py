@@ -10,11 +10,12 @@ Grouping
 1. Documents with equal sets are one; the smallest id stands for them.
 2. Signatures are cut into bands. ``plan(threshold)`` picks the rows of a band and so many bands that a pair at the
    threshold is missed with a probability below 1e-5. Documents that share a band share a bucket, and every pair that shares a bucket is a candidate, whatever the bucket's size.
-3. Stars. A bucket's documents are held against one of them, its pivot, on full sets; components over the links so found contract the bucket. First each document meets the smallest
-   pivot of its buckets, then the others that are still in another group, then one more pivot for each bucket that is still apart. A pivot with very many
+3. Stars. A bucket's documents are held against one of them, its pivot; components over the links so found contract the bucket. First each document meets the smallest
+   pivot of its buckets, then the others that are still in another group, then one more pivot of each bucket of which more than a block is still apart, until none is. A pivot with very many
    documents is dealt over several tasks.
 4. What is still apart in a bucket (as a rule very little: documents outside its largest group that were no pivot) is held against the rest of the bucket, in
    blocks of bounded size, block against block, each pair of blocks in its own task. A task returns at most one link a document (a spanning forest of its exact links), never all pairs.
+   Everywhere short signatures go first: pairs more than five standard deviations below the threshold are ruled out, and only the texts of documents that have a pair left are sent, for full sets.
 5. Union-find over all links names the groups.
 
 A bucket of a million near copies so costs a comparison a document, not one for each pair.
@@ -41,6 +42,8 @@ TASK_DOCS, TASK_ITEMS = 1024, 2_000_000
 CHUNK_ITEMS = 200_000
 #: Documents that meet one pivot in one task, and pivots that a task remembers.
 STAR_DOCS, PIVOTS = 512, 64
+#: Slots of the short signatures, 16 bits each.
+SHORT = 128
 #: From so many pairs of a block on, intersections come from one matrix product of at most so many cells.
 MANY, MATRIX = 500, 1 << 25
 _U = np.uint64
@@ -142,22 +145,23 @@ def _chunks(sets: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def _sketch(k: int, bands: int, rows: int):
-    """doc, n, set hash (two halves; null for empty sets), band hashes."""
+    """doc, n, set hash (two halves; null for empty sets), band hashes, short signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, k, hashes) for t in batch.column(1).to_pylist()]
-            out = np.zeros((len(sets), bands), _U)
+            out, short = np.zeros((len(sets), bands), _U), np.zeros((len(sets), min(SHORT, bands * rows)), np.uint16)
             for part in _chunks(sets):
                 ends = np.cumsum([len(sets[i]) for i in part])
-                out[part] = _bands(signatures(np.concatenate([sets[i] for i in part]), ends, bands * rows), bands, rows)
+                best = signatures(np.concatenate([sets[i] for i in part]), ends, bands * rows)
+                out[part], short[part] = _bands(best, bands, rows), best[:, : short.shape[1]].astype(np.uint16)
             halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             empty = np.array([not len(s) for s in sets], bool)
             flat = pa.array(out.view("<i8").reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0], mask=empty), pa.array(halves[:, 1], mask=empty), lists], ["doc", "n", "s1", "s2", "bands"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0], mask=empty), pa.array(halves[:, 1], mask=empty), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc", "n", "s1", "s2", "bands", "sig"]
             )
 
     return run
@@ -288,17 +292,64 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _star(pairs: DataFrame, texts: DataFrame, k: int, percent: int, star_docs: int) -> DataFrame:
-    """The pairs (pivot, doc, distinct) that are linked. A pivot of many documents is dealt over several tasks."""
-    pairs, _ = store(pairs, "near-pairs")
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / star_docs).cast("int").alias("salts"))
-    salts, _ = store(salts, "near-pivots")
-    pivots = texts.join(salts, texts["doc"] == salts["pivot"]).select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("pivot_text"))
-    dealt = pairs.join(salts, "pivot").withColumn("salt", F.pmod(F.xxhash64("doc"), "salts").cast("int")).join(texts, "doc").select("pivot", "salt", "doc", "text")
-    found, _ = store(dealt.join(pivots, ["pivot", "salt"]).select("pivot", "doc", "pivot_text", "text").mapInArrow(_verify(k, percent), "a long, b long"), "near-links")
+def least_equal(m: int, percent: int) -> int:
+    """Slots in which a pair at the threshold agrees, less five standard deviations."""
+    share = percent / 100
+    return math.floor(m * share - 5 * math.sqrt(m * share * (1 - share)))
+
+
+def _likely(percent: int):
+    """Rows (pivot, salt, doc, pivot's signature, signature): pairs that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (3, 4))
+                keep = pa.array((x == y).sum(axis=1) >= least_equal(x.shape[1], percent))
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["pivot", "salt", "doc"])
+
+    return run
+
+
+def _star(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, star_docs: int) -> DataFrame:
+    """The pairs (pivot, doc) that are linked. A pivot of many documents is dealt over several tasks."""
+    pairs, _ = store(pairs.select("pivot", "doc").distinct(), "near-pairs")
+    # at most one row for every ``star_docs`` pairs
+    many, _ = store(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / star_docs).cast("int").alias("salts")).filter("salts > 1"), "near-pivots")
+    dealt = pairs.join(many, "pivot", "left").select("pivot", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "doc")
+    places = dealt.select("pivot", "salt").distinct()
+    signed = dealt.join(members.select("doc", "sig"), "doc").join(places.join(members.select(F.col("doc").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot"), ["pivot", "salt"])
+    likely, _ = store(signed.select("pivot", "salt", "doc", "pivot_sig", "sig").mapInArrow(_likely(percent), "pivot long, salt int, doc long"), "near-likely")
+    likely = likely.distinct()
+    pivots = likely.select("pivot", "salt").distinct().join(texts.select(F.col("doc").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    full = likely.join(texts, "doc").join(pivots, ["pivot", "salt"]).select("pivot", "doc", "pivot_text", "text")
+    found, _ = store(full.mapInArrow(_verify(k, percent), "a long, b long"), "near-links")
     return found
 
 
+def _block_likely(percent: int):
+    """Rows (bucket, i, j, doc, group, left, sig) of one left and one right block: those that have a likely partner in another group."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        left, group = rows["left"].to_numpy(bool), rows["group"].to_numpy()
+        a, b, keep = np.flatnonzero(left), np.flatnonzero(~left), np.zeros(len(rows), bool)
+        least = least_equal(sig.shape[1], percent)
+        for i in range(0, len(a), 256):
+            for j in range(0, len(b), 256):
+                x, y = a[i : i + 256], b[j : j + 256]
+                can = group[x][:, None] != group[y][None, :]
+                if can.any():
+                    equal = np.zeros(can.shape, np.uint16)
+                    for c in range(sig.shape[1]):
+                        equal += sig[x, c][:, None] == sig[y, c][None, :]
+                    can &= equal >= least
+                    keep[x[can.any(axis=1)]] = keep[y[can.any(axis=0)]] = True
+        return rows.loc[keep, ["bucket", "i", "j", "doc", "group", "left"]]
+
+    return run
+
+
 def _block_pair(k: int, percent: int):
     """Rows (doc, group, left, text) of one left and one right block: links between different groups."""
 
@@ -314,7 +365,7 @@ def _block_pair(k: int, percent: int):
     return run
 
 
-def _rest(apart: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: int, task_items: int) -> DataFrame:
+def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: int, task_items: int) -> DataFrame:
     """Links of what is still apart. ``apart``: bucket, doc, n, group, and ``rest`` for what is held against all of its bucket."""
     blocks = lambda test, name: F.greatest(F.lit(1), F.ceil(F.count_if(test) / task_docs), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / task_items)).cast("int").alias(name)
     sizes, _ = store(apart.groupBy("bucket").agg(blocks(F.col("rest"), "lefts"), blocks(F.lit(True), "rights")), "near-blocks")
@@ -323,8 +374,9 @@ def _rest(apart: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: i
     own = lambda name: F.pmod("at", F.col(name)).cast("int")
     left = dealt.filter("rest").select("bucket", "doc", "group", F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j"))
     right = dealt.select("bucket", "doc", "group", F.lit(False).alias("left"), every("lefts").alias("i"), own("rights").alias("j"))
-    full = left.unionByName(right).join(texts, "doc")
-    return full.groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
+    signed = left.unionByName(right).join(members.select("doc", "sig"), "doc")
+    likely, _ = store(signed.groupBy("bucket", "i", "j").applyInPandas(_block_likely(percent), "bucket long, i int, j int, doc long, group long, left boolean"), "near-likely")
+    return likely.distinct().join(texts, "doc").groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
 
 
 def _apart(state: DataFrame) -> DataFrame:
@@ -349,40 +401,40 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     spark = documents.sparkSession
     bands, rows = plan(percent / 100)
     given = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
-    sketches, _ = store(given.mapInArrow(_sketch(k, bands, rows), "doc long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    sketches, _ = store(given.mapInArrow(_sketch(k, bands, rows), "doc long, n long, s1 long, s2 long, bands array<long>, sig binary"), "sketches")
     # 1. equal sets
-    reps = sketches.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = sketches.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps, _ = store(reps.filter("rep is not null"), "representatives")
     # 2. buckets of more than one document; of buckets with the same documents, one
     banded = reps.select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("bucket"))
     key = F.xxhash64("doc")
-    shape = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("doc").alias("low"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y")).filter("docs > 1")
-    shape = shape.groupBy("docs", "weight", "low", "x", "y").agg(F.min("bucket").alias("bucket"))
-    buckets, _ = store(banded.join(shape.select("bucket", "low"), "bucket"), "buckets")
+    shape = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("doc").alias("low"), F.min_by("n", "doc").alias("low_n"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y")).filter("docs > 1")
+    shape = shape.groupBy("docs", "weight", "low", "low_n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    buckets, _ = store(banded.join(shape.select("bucket", "low", "low_n"), "bucket"), "buckets")
     texts, _ = store(given.join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-texts")
+    members, _ = store(reps.select(F.col("rep").alias("doc"), "sig").join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-signatures")
     # 3. stars
-    sizes = buckets.select("doc", "n").distinct()
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    sized = lambda pairs: pairs.join(sizes.select(F.col("doc").alias("pivot"), F.col("n").alias("pivot_n")), "pivot").filter(fits).select("pivot", "doc").distinct()
-    tried = sized(buckets.groupBy("doc", "n").agg(F.min("low").alias("pivot")).filter("doc <> pivot"))
-    links = _star(tried, texts, k, percent, star_docs)
-    grouped = lambda: buckets.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", "low", F.coalesce("component", "doc").alias("group"))
-    state = grouped()
-    lows = state.filter("doc = low").select("bucket", F.col("group").alias("low_group"))
-    more = state.join(lows.distinct(), "bucket").filter("group <> low_group").select("doc", "n", F.col("low").alias("pivot")).distinct()
-    links = links.unionByName(_star(sized(more), texts, k, percent, star_docs))
-    apart, _ = store(_apart(grouped().filter("doc <> low")), "near-apart")
+    star = lambda pairs: _star(pairs.filter(fits), members, texts, k, percent, star_docs)
+    smallest = F.min(F.struct("low", "low_n")).alias("p")
+    links = star(buckets.groupBy("doc", "n").agg(smallest).select("doc", "n", F.col("p.low").alias("pivot"), F.col("p.low_n").alias("pivot_n")).filter("doc <> pivot"))
+    grouped = lambda: buckets.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", "low", "low_n", F.coalesce("component", "doc").alias("group"))
+    state, _ = store(grouped(), "near-groups")
+    lows = state.filter("doc = low").groupBy("bucket").agg(F.min("group").alias("low_group"))
+    links = links.unionByName(star(state.join(lows, "bucket").filter("group <> low_group").select("doc", "n", F.col("low").alias("pivot"), F.col("low_n").alias("pivot_n"))))
+    pivots = buckets.filter("doc = low").select("bucket", "doc")
+    while True:
+        apart, _ = store(_apart(grouped().join(pivots, ["bucket", "doc"], "left_anti")), "near-apart")
+        large = apart.filter("rest").groupBy("bucket").agg(F.count("*").alias("left"), F.min(F.struct("doc", "n", "group")).alias("p")).filter(F.col("left") > task_docs)
+        large, _ = store(large.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.group").alias("pivot_group")), "near-large")
+        if large.isEmpty():
+            break
+        links = links.unionByName(star(apart.join(large, "bucket").filter("group <> pivot_group").select("doc", "n", "pivot", "pivot_n")))
+        pivots, _ = store(pivots.unionByName(large.select("bucket", F.col("pivot").alias("doc"))), "near-pivots")
+    # 4. the rest
     if not apart.isEmpty():
-        second = apart.filter("rest").groupBy("bucket").agg(F.min_by(F.struct("doc", "group"), "doc").alias("p"))
-        second, _ = store(second.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.group").alias("pivot_group")), "near-second")
-        more = apart.join(second, "bucket").filter("group <> pivot_group").select("doc", "n", "pivot").distinct()
-        links = links.unionByName(_star(sized(more), texts, k, percent, star_docs))
-        # 4. the rest
-        left = grouped().filter("doc <> low").join(second.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
-        apart, _ = store(_apart(left), "near-apart")
-        if not apart.isEmpty():
-            rest, _ = store(_rest(apart, texts, k, percent, task_docs, task_items), "near-links")
-            links = links.unionByName(rest)
+        rest, _ = store(_rest(apart, members, texts, k, percent, task_docs, task_items), "near-links")
+        links = links.unionByName(rest)
     # 5. groups
     settled = components(links)
     # every row gets its representative's group

@@ -216,7 +216,9 @@ def test_what_is_apart_is_compared_in_blocks(spark):
         rows.append((i, " ".join(base)))
     texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc long, text binary")
     apart = spark.createDataFrame([(1, i, 78, i, i > 10) for i, _ in rows], "bucket long, doc long, n long, group long, rest boolean")
-    links = superminhash._rest(apart, texts, 3, 85, 7, 10**6)
+    sketch = superminhash._sketch(3, *superminhash.plan(0.85))
+    members = texts.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, bands array<long>, sig binary").select("doc", "sig")
+    links = superminhash._rest(apart, members, texts, 3, 85, 7, 10**6)
     got = {r.id: r.component for r in components(links).collect()}
     want = {i: g for i, (_, g) in expected_groups(rows, 3, 85).items()}
     groups = collections.Counter(want.values())

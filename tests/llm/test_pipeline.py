@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     line = "this line stands in a great many of these documents, without any need"
     rows = [(i, prose(rng, 80) + ("\n" + line if 10 <= i < 20 else "") + "\n" + prose(rng, 5)) for i in range(60)]
     rows += [(60, rows[3][1]), (61, rows[4][1].replace(" ", "  ")), (62, rows[5][1] + " more")]
-    rows += [(70, prose(rng, 20) + " " + items[1][1] + " " + prose(rng, 20)), (80, prose(rng, 30) + ". you are a stupid idiot, worthless scum. " + prose(rng, 9)), (90, ""), (91, None), (None, prose(rng, 60))]
+    rows += [(70, prose(rng, 20) + " " + items[1][1] + " " + prose(rng, 20)), (80, prose(rng, 30) + ". you are a stupid idiot, worthless scum. " + prose(rng, 9)), (90, ""), (91, None), (None, prose(rng, 60)), (95, "twice the very same row, kept once"), (95, "twice the very same row, kept once"), (95, "another text of that id, kept too")]
     docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, toxic_score string")
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -44,6 +44,7 @@ def test_stages(spark, folder):
     assert ids["line_dedup"] == ids["toxicity"] and [i for i in lines if "great many" in (lines[i] or "")] == [19]
     assert all(r.n_chars == len(r.text) for r in left["line_dedup"])
     assert ids["line_dedup"] - ids["near_dedup"] == {60, 61, 62}
+    assert sorted(r.text for r in left["near_dedup"] if r.doc_id == 95) == ["another text of that id, kept too", "twice the very same row, kept once"]
     assert ids["near_dedup"] - ids["decontamination"] == {70}
     assert {r.doc_id for r in left["source_mix"]} <= ids["decontamination"]
     mixed = left["source_mix"]
