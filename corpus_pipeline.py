@@ -1,8 +1,9 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns what it leaves of ``docs``; :func:`run` writes that as Parquet into the
-shared folder and gives it to the next. All but the last return the columns of ``documents``. Rows without an id cannot be told apart
-by the stages that decide by id: near-dedup and decontamination let them pass.
+shared folder and gives it to the next. All but the last return the columns of ``documents``; other columns of the input are left behind. Rows without an id cannot be told apart
+by the stages that decide by id: near-dedup and decontamination let them pass. Null and empty texts pass every stage. Rows that share an id share its fate in
+those two stages; near-dedup keeps one row of each id and text, the one that sorts first by its other columns. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Five-word shingles, similarity 0.8."""
     extra = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(extra, "doc_id", "left_anti").select(COLUMNS)
+    extra, _ = store(extra, "near-extra")
+    rest = docs.select(COLUMNS).join(extra, "doc_id", "left_anti")
+    # repeated rows of an id: one of each text stays; rows without an id stay
+    twice = rest.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    several = rest.join(twice, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256)).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rest.join(twice, "doc_id", "left_anti").unionByName(several).select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
