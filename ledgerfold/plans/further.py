@@ -84,27 +84,30 @@ def long_zero_runs(t):
     return policies.long_zero_runs(t.runs, cursor=False, share=0.1)
 
 
-@query("select p.market, parcels, owned, coalesce(signals, 0) as signals, coalesce(orphans, 0) as orphans from (select market, count(*) parcels, count(owner_name) owned from parcels where custkey % 2 = 0 group by 1) p left join (select s.market, count(*) signals, count(*) filter (k.parcel_number is null) orphans from signals s left join (select * from parcels where custkey % 2 = 0) k on s.parcel_number = k.parcel_number and s.market = k.market group by 1) s on s.market = p.market")
+@query("select p.market, parcels, owned, coalesce(signals, 0) as signals, coalesce(orphans, 0) as orphans from (select market, count(*) parcels, count(owner_name) owned from parcels group by 1) p left join (select s.market, count(*) signals, count(*) filter (k.parcel_number is null) orphans from (select * replace (case when id % 7 = 0 then 'shelby' else market end as market) from signals) s left join parcels k on s.parcel_number = k.parcel_number and s.market = k.market group by 1) s on s.market = p.market")
 def identity_proof(t):
-    return policies.identity_proof(t.parcels.filter("custkey % 2 = 0"), t.signals)
+    return policies.identity_proof(t.parcels, t.signals.withColumn("market", F.when(F.col("id") % 7 == 0, "shelby").otherwise(F.col("market"))))
 
 
-@query("select id, coalesce(case when orderkey % 3 <> 0 then l.market end, p.market, case property_state when 'TN' then 'shelby' when 'MI' then 'wayne' end) as market from listings l left join (select parcel_number, market from parcels where custkey % 2 = 0) p using (parcel_number)")
+@query("select id, coalesce(case when orderkey % 3 <> 0 then l.market end, p.market, case property_state when 'TN' then 'shelby' when 'MI' then 'wayne' end) as market from listings l left join (select parcel_number, market from parcels) p using (parcel_number)")
 def infer_market(t):
     rows = t.listings.withColumn("market", F.when(F.col("orderkey") % 3 != 0, F.col("market")))
-    return policies.infer_market(rows, t.parcels.filter("custkey % 2 = 0"), {"TN": "shelby", "MI": "wayne"}).select("id", "market")
+    return policies.infer_market(rows, t.parcels, {"TN": "shelby", "MI": "wayne"}).select("id", "market")
 
 
 @query("select source_site, count(*) as found, count(*) filter (property_address is not null) as passed, count(*) filter (property_address is null) as filtered, count(*) filter (orderkey % 2 = 0 and property_address is not null) as inserted, 0::bigint as errors, 'success' as status from listings where source_site = 'site_1' group by 1")
 def run_record(t):
+    """A run is of one source, so the query reads one."""
     rows = t.listings.filter("source_site = 'site_1'").withColumn("is_new", F.col("orderkey") % 2 == 0)
     return policies.run_record("site_1", policies.prefilter(rows, ["OH", "TN", "MI"]))
 
 
-@query("select parcel_number, market from (select distinct parcel_number, market from signals where id % 2 = 0) except select parcel_number, market from signals where id % 50 = 1")
+@query(f"select parcel_number, market from (select distinct parcel_number, market from signals where observed_at < {T} - interval 2 day) except select parcel_number, market from signals where observed_at >= {T} - interval 2 day")
 def absence_retire(t):
+    """Signals of before and after a day: every row is on one side."""
+    cut = t.now - F.make_dt_interval(F.lit(2))
     keys = ["parcel_number", "market"]
-    return policies.retire_absent(t.signals.filter("id % 2 = 0").select(*keys).distinct(), t.signals.filter("id % 50 = 1"), keys)
+    return policies.retire_absent(t.signals.filter(F.col("observed_at") < cut).select(*keys).distinct(), t.signals.filter(F.col("observed_at") >= cut), keys)
 
 
 @query(f"select id, observed_at from signals where observed_at >= {T} - interval 5 day - interval 1 day")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,15 +145,17 @@ def sources_latest(t):
 # ---- upserts
 
 
-_HALVES = ", old as (select parcel_number, market, max(balance) balance, max(source) source, max(observed_at) seen from signals where id % 2 = 0 group by all), new as (select parcel_number, market, case when count(*) % 3 <> 0 then max(balance) end balance, max(source) source, case when count(*) % 2 = 0 then max(observed_at) end seen from signals where id % 2 = 1 group by all)"
+#: Signals of before and after a day: every row is on one side.
+_CUT, _FIRST = NOW - datetime.timedelta(days=15), NOW - datetime.timedelta(days=29)
+_HALVES = f", old as (select parcel_number, market, max(balance) balance, max(source) source, max(observed_at) seen from signals where observed_at < timestamp '{_CUT}' group by all), new as (select parcel_number, market, case when count(*) % 3 <> 0 then max(balance) end balance, max(source) source, case when count(*) % 2 = 0 then max(observed_at) end seen from signals where observed_at >= timestamp '{_CUT}' group by all)"
 
 
 @query(_HALVES + "select coalesce(o.parcel_number, n.parcel_number) as parcel_number, coalesce(o.market, n.market) as market, coalesce(n.balance, o.balance)::double as balance, coalesce(o.source, n.source) as source, case when n.parcel_number is not null then n.seen else o.seen end as seen, o.parcel_number is null as is_new from old o full join new n on o.parcel_number = n.parcel_number and o.market = n.market")
 def upsert_merge(t):
     keys = ["parcel_number", "market"]
     agg = [F.max("source").alias("source")]
-    old = t.signals.filter("id % 2 = 0").groupBy(*keys).agg(F.max("balance").alias("balance"), *agg, F.max("observed_at").alias("seen"))
-    new = t.signals.filter("id % 2 = 1").groupBy(*keys).agg(F.when(F.count("*") % 3 != 0, F.max("balance")).alias("balance"), *agg, F.when(F.count("*") % 2 == 0, F.max("observed_at")).alias("seen"))
+    old = t.signals.filter(F.col("observed_at") < F.lit(_CUT)).groupBy(*keys).agg(F.max("balance").alias("balance"), *agg, F.max("observed_at").alias("seen"))
+    new = t.signals.filter(F.col("observed_at") >= F.lit(_CUT)).groupBy(*keys).agg(F.when(F.count("*") % 3 != 0, F.max("balance")).alias("balance"), *agg, F.when(F.count("*") % 2 == 0, F.max("observed_at")).alias("seen"))
     return merging.upsert(old, new, keys, overwrite=("seen",), keep=("source",)).withColumn("balance", F.col("balance").cast("double"))
 
 
@@ -162,23 +165,24 @@ def upsert_signals_batch(t):
     return merging.collapse(rows.select("parcel_number", "signal_type", "source", "day", "payload", "balance", "id"), ["parcel_number", "signal_type", "source", "day"], "id")
 
 
-@query("select distinct parcel_number, signal_type from signals s where id % 2 = 1 and not exists (select 1 from signals o where o.id % 50 = 0 and o.parcel_number = s.parcel_number and o.signal_type = s.signal_type)")
+@query(f"select distinct parcel_number, signal_type from signals s where observed_at >= timestamp '{_FIRST}' and not exists (select 1 from signals o where o.observed_at < timestamp '{_FIRST}' and o.parcel_number = s.parcel_number and o.signal_type = s.signal_type)")
 def insert_absent(t):
     keys = ["parcel_number", "signal_type"]
-    return merging.insert_absent(t.signals.filter("id % 50 = 0"), t.signals.filter("id % 2 = 1").select(*keys), keys)
+    return merging.insert_absent(t.signals.filter(F.col("observed_at") < F.lit(_FIRST)), t.signals.filter(F.col("observed_at") >= F.lit(_FIRST)).select(*keys), keys)
 
 
-@query("select parcel_number, market, arg_min(property_address, id) filter (property_address is not null) as situs_address, 'stub:listing' as source_url from listings l where parcel_number is not null and not exists (select 1 from parcels p where p.custkey % 3 <> 0 and p.parcel_number = l.parcel_number and p.market = l.market) group by all")
+@query("select parcel_number, market, arg_min(property_address, id) filter (property_address is not null) as situs_address, 'stub:listing' as source_url from listings l where parcel_number is not null and not exists (select 1 from parcels p where p.owner_name is not null and p.parcel_number = l.parcel_number and p.market = l.market) group by all")
 def stub_parcels(t):
+    """The spine here has the parcels with a known owner; listings of the others need a stub."""
     rows = t.listings.filter("property_address is not null or parcel_number is not null")
     named = rows.groupBy("parcel_number", "market").agg(F.min_by("property_address", F.when(F.col("property_address").isNotNull(), F.col("id"))).alias("property_address"), F.min("id").alias("id"))
-    return merging.stub_parcels(named, t.parcels.filter("custkey % 3 <> 0"))
+    return merging.stub_parcels(named, t.parcels.filter("owner_name is not null"))
 
 
-@query("select parcel_number, coalesce(last_price, price)::double as price from (select parcel_number, max(case when custkey % 5 = 0 then null else current_tax_balance end) price from parcels group by 1) a join (select parcel_number, max(price) last_price from sales where price > 50000 group by 1) b using (parcel_number) where price is distinct from coalesce(last_price, price)")
+@query("select parcel_number, coalesce(last_price, price)::double as price from (select parcel_number, max(case when custkey % 5 = 0 then null else current_tax_balance end) price from parcels group by 1) a join (select parcel_number, max(price) last_price from sales group by 1) b using (parcel_number) where price is distinct from coalesce(last_price, price)")
 def overlay_changed(t):
     old = t.parcels.groupBy("parcel_number").agg(F.max(F.when(F.col("custkey") % 5 != 0, F.col("current_tax_balance"))).alias("price"))
-    new = t.sales.filter("price > 50000").groupBy("parcel_number").agg(F.max("price").alias("price"))
+    new = t.sales.groupBy("parcel_number").agg(F.max("price").alias("price"))
     return merging.overlay_changed(old, new, "parcel_number", ["price"]).withColumn("price", F.col("price").cast("double"))
 
 
@@ -343,11 +347,13 @@ def unique_key_resolution(t):
     return resolving.resolve_unique(records, F.col("name"), t.parcels, F.col("owner_name")).select("suppkey", "resolved")
 
 
-@query(", c as (select l.case_number, p.parcel_number from listings l join parcels p on l.property_city = p.property_city and l.market = p.market and p.custkey % 25 = 0 where l.signal_type = 'probate' group by all) select case_number, parcel_number from c where case_number is not null and case_number in (select case_number from c group by 1 having count(distinct parcel_number) <= 5)")
+@query(", c as (select l.case_number, p.parcel_number from listings l join parcels p on l.property_city = p.property_city and l.market = p.market and split_part(l.property_address, ' ', 1) = split_part(p.situs_address, ' ', 1) where l.signal_type = 'probate' group by all) select case_number, parcel_number from c where case_number is not null and case_number in (select case_number from c group by 1 having count(distinct parcel_number) <= 1)")
 def ambiguity_cap(t):
-    cases = t.listings.filter("signal_type = 'probate' and case_number is not null").select("case_number", "property_city", "market")
-    pairs = cases.join(t.parcels.filter("custkey % 25 = 0").select("property_city", "market", "parcel_number"), ["property_city", "market"]).select("case_number", "parcel_number").distinct()
-    return resolving.cap_ambiguous(pairs, "case_number", "parcel_number")
+    """Candidates share house number and city; a case with more than one resolves to nothing."""
+    house = lambda c: F.split_part(c, F.lit(" "), F.lit(1)).alias("house")
+    cases = t.listings.filter("signal_type = 'probate' and case_number is not null").select("case_number", "property_city", "market", house("property_address"))
+    pairs = cases.join(t.parcels.select("property_city", "market", "parcel_number", house("situs_address")), ["property_city", "market", "house"]).select("case_number", "parcel_number").distinct()
+    return resolving.cap_ambiguous(pairs, "case_number", "parcel_number", cap=1)
 
 
 @query()
@@ -357,18 +363,18 @@ def fuzzy_name_join(t):
     return resolving.fuzzy_name_join(wanted, people, query="query", owner="owner")
 
 
-@query("select k, coalesce(nullif(a.name, ''), b.name) as name, coalesce(nullif(a.bal, 0), b.bal)::double as bal from (select c_custkey k, case when c_custkey % 3 <> 0 then c_name else '' end as name, case when c_custkey % 4 = 0 then 0 else c_acctbal end bal from customer where c_custkey % 2 = 0) a full join (select s_suppkey k, s_name as name, nullif(s_acctbal, 0) bal from supplier) b using (k)", prelude=False)
+@query("select k, coalesce(nullif(a.name, ''), b.name) as name, coalesce(nullif(a.bal, 0), b.bal)::double as bal from (select c_custkey * 2 k, case when c_custkey % 3 <> 0 then c_name else '' end as name, case when c_custkey % 4 = 0 then 0 else c_acctbal end bal from customer) a full join (select s_suppkey k, s_name as name, nullif(s_acctbal, 0) bal from supplier) b using (k)", prelude=False)
 def two_reader_merge(t):
-    a = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("name"), F.when(F.col("c_custkey") % 4 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("bal"))
+    a = t.customer.select((F.col("c_custkey") * 2).alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("name"), F.when(F.col("c_custkey") % 4 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("bal"))
     return resolving.merge_readers(a, t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")), "k")
 
 
-_SURVEY = "(select c_custkey k, c_custkey % 5 as grade from customer where c_custkey % 3 = 0)"
+_SURVEY = "(select c_custkey * 3 k, c_custkey % 5 as grade from customer)"
 
 
 @query(f"select l.k, s.grade, 'live' as origin from (select s_suppkey k from supplier) l left join {_SURVEY} s using (k) union all select k, grade, 'survey' from {_SURVEY} where k not in (select s_suppkey from supplier)", prelude=False)
 def live_survey_anti(t):
-    survey = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 5).alias("grade"))
+    survey = t.customer.select((F.col("c_custkey") * 3).alias("k"), (F.col("c_custkey") % 5).alias("grade"))
     return resolving.live_and_survey(t.supplier.select(F.col("s_suppkey").alias("k")), survey, "k")
 
 
@@ -410,9 +416,10 @@ def quality_coverage(t):
     return audits.coverage_drift(t.runs)
 
 
-@query("select market, signal_type, count(*) as n from signals s where not exists (select 1 from parcels p where p.custkey % 2 = 0 and p.parcel_number = s.parcel_number and p.market = s.market) group by all")
+@query("select market, signal_type, count(*) as n from (select * replace (case when id % 7 = 0 then 'lost' else market end as market) from signals) s where not exists (select 1 from parcels p where p.parcel_number = s.parcel_number and p.market = s.market) group by all")
 def quality_orphans(t):
-    return audits.orphan_signals(t.signals, t.parcels.filter("custkey % 2 = 0"))
+    """A seventh of the signals came under a market that lacks their parcel."""
+    return audits.orphan_signals(t.signals.withColumn("market", F.when(F.col("id") % 7 == 0, "lost").otherwise(F.col("market"))), t.parcels)
 
 
 @query("select id, parcel_number, market from listings l where distress_stage = 'distress_signal' and status = 'active' and exists (select 1 from listings b where b.distress_stage = 'buy_now' and b.status = 'active' and b.parcel_number = l.parcel_number and b.market = l.market)")
@@ -440,9 +447,12 @@ def verification_verdicts(t):
 # ---- scalar functions over whole tables
 
 
-@query("select o_orderkey as k, case when length(d) = 8 then left(d, 3) || '-' || substr(d, 4, 2) || '-' || right(d, 3) when length(d) <= 7 then lpad(d, 7, '0') else d end as parcel from (select o_orderkey, o_custkey::varchar d from orders)", prelude=False)
+@query("select o_orderkey as k, case o_orderkey % 8 when 3 then '0' || right(d, 6) when 4 then right(d, 7) when 5 then '67' || right(d, 5) when 6 then 'UNKNOWN-PARCEL' when 7 then null else d[1:3] || '-' || d[4:5] || '-' || d[6:8] end as parcel from (select *, lpad(o_custkey::varchar, 8, '1') d from orders)", prelude=False)
 def parcel_normalize(t):
-    return t.orders.select(F.col("o_orderkey").alias("k"), parcels.parcel_number(F.col("o_custkey").cast("string")).alias("parcel"))
+    """Parcels as they land: eight digits, with blanks around, dashed, short, seven digits, in another form, and no number at all."""
+    digits = F.lpad(F.col("o_custkey").cast("string"), 8, "1")
+    forms = [digits, F.concat(F.lit("  "), digits, F.lit(" ")), F.concat_ws("-", F.left(digits, F.lit(3)), F.substring(digits, 4, 2), F.right(digits, F.lit(3))), F.right(digits, F.lit(6)), F.right(digits, F.lit(7)), F.concat(F.lit("67-"), F.right(digits, F.lit(5))), F.lit("UNKNOWN-PARCEL"), F.lit(" ")]
+    return t.orders.select(F.col("o_orderkey").alias("k"), parcels.parcel_number(F.get(F.array(*forms), (F.col("o_orderkey") % 8).cast("int"))).alias("parcel"))
 
 
 @query("select id, replace(regexp_replace(property_address, ' STREET$', ' St'), 'NATION', 'Nation') as address, regexp_replace(regexp_replace(lower(property_address), '_', '', 'g'), 'street$', 'st') as key from listings")
