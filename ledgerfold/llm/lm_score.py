@@ -388,7 +388,8 @@ def score_texts(documents: DataFrame, training: DataFrame, *, doc_id: str = "doc
     ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))), with the token's count c, all N and distinct V tokens of the
     training texts; ``score`` is the model's log10 probability of the text. ``n_known`` counts tokens with c > 0. Without training texts every
     count is 0 and the model is the unigram one over "any other word" and the end. Repeated rows are scored each. Rows are told apart by their place in
-    the input: ``documents`` must be a scan, or another frame that gives the same rows in the same order when recomputed.
+    the input: ``documents`` must be a scan, or another frame that gives the same rows in the same order when recomputed. Texts of any length are read whole, one after the
+    other. Other columns are ignored, whatever their names. An empty table gives an empty result.
     Words from ``least_count`` occurrences on have vectors; a caller that wants a smaller model gives the number of words as ``shortlist``.
     """
     spark = documents.sparkSession

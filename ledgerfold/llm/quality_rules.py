@@ -98,7 +98,10 @@ def judge_quality(
 
     Words are runs without blanks (space, tab to carriage return); null, empty and blank texts have none and fail the base rules. A null stratum is a
     stratum of its own. Of several labels for an id the lowest counts; labels that are null or not 0 or 1, and those without a
-    document, are left out. Rows that share an id each count in the holdout. Without labels only the base rules decide. Texts are read whole; only their measures are shuffled.
+    document, are left out. Rows that share an id each count in the holdout, and are judged each. Without labels only the base rules decide. Texts of any length are read whole; only their measures are
+    shuffled. Of cutoffs that reject as many bad texts the mildest is taken. Other columns are ignored, whatever their names. An empty table gives an empty result.
+
+    The guarantee is about good texts that pass the base rules; what the base rules reject is not part of it.
     """
     measured = base_measures(documents.select(F.col(doc_id).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")))
     measured, _ = store(measured, "quality-measures")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import cotraining, lm_score, toxicity
+from ledgerfold.llm import cotraining, lm_score, quality_rules, toxicity
 from ledgerfold.llm.common import id_bucket
 from ledgerfold.llm.decontaminate import find_leaks
 from ledgerfold.llm.html_extract import extract_main_text
@@ -116,6 +118,37 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
+def _op3_sql() -> str:
+    """The rules as DuckDB SQL, written out from the measures and their cutoffs."""
+    share, level = quality_rules.RISK / len(quality_rules.MEASURES), quality_rules.ERROR / len(quality_rules.MEASURES)
+    value = {m: re.sub(r"try_divide\((-?\w+), (\w+)\)", r"(\1::double / nullif(\2, 0))", v) for m, (v, _) in quality_rules.MEASURES.items()}
+    steps = " union all ".join(f"select stratum, quality, '{m}' as measure, {len(c)} as cutoffs, len(list_filter({c}, lambda c: {value[m]} > c)) as step from h" for m, (_, c) in quality_rules.MEASURES.items())
+    chosen = ", ".join(f"max(case when measure = '{m}' then {c}[level] end) as {m}" for m, (_, c) in quality_rules.MEASURES.items())
+    failed = ", ".join(f"case when {value[m]} > c.{m} then '{m}' end" for m in quality_rules.MEASURES)
+    return rf"""
+with w as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+u as (select doc_id, unnest(ws) as a, generate_subscripts(ws, 1) as i from w),
+v as (select *, lead(a) over (partition by doc_id order by i) as b, lead(a, 2) over (partition by doc_id order by i) as c from u),
+r as (select doc_id, i, (c is not null and count(*) over (partition by doc_id, a, b, c) > 1)::int as twice from v),
+n as (select doc_id, sum(hit)::bigint as n_repeat_words from (select doc_id, max(twice) over (partition by doc_id order by i rows between 2 preceding and current row) as hit from r) group by 1),
+m0 as (select w.doc_id, lang as stratum, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join n on w.doc_id = n.doc_id),
+m as (select * exclude (ls), (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, len(ls)::bigint as n_text_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m0),
+k as (select doc_id, min(quality) as quality from labels where quality in (0, 1) group by 1),
+hold as (select m.*, quality from m join k on m.doc_id = k.doc_id),
+h as (select * from hold where not base_failed),
+st as ({steps}),
+l as (select stratum, measure, cutoffs, step, quality, unnest(generate_series(1, cutoffs)) as level from st),
+g as (select stratum, measure, level, count(*) filter (quality = 1) as n, count(*) filter (quality = 1 and level > cutoffs - step) as k, count(*) filter (quality = 0 and level > cutoffs - step) as caught from l group by all),
+p as (select *, case when k > n * {share} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) end as p_value from g),
+f as (select *, max((p_value > {level} / (select greatest(1, count(*)) from (select distinct stratum from hold)))::int) over (partition by stratum, measure order by level rows unbounded preceding) as failed from p),
+b as (select stratum, measure, arg_max(level, {{'c': caught, 'l': -level}}) as level from f where failed = 0 and caught > 0 group by all),
+c as (select stratum, {chosen} from b group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = '' as kept, failed from (
+  select m.*, case when base_failed then 'base' else array_to_string(list_filter([{failed}], lambda x: x is not null), ',') end as failed from m left join c on m.stratum is not distinct from c.stratum)
+"""
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = id_bucket(F.col("doc_id"), 4) != 2
@@ -136,4 +169,4 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
+ORACLES = {"op3_quality_rules": _op3_sql(), "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
