@@ -34,7 +34,8 @@ def pdf_state_machine(t):
     return prose.list_state_machine(lines, "book", "n", "line", header="^TOWN", start="^1-").select("book", "record", "header", "body")
 
 
-@query()
+@query(r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages""", prelude=False)
 def html_text(t):
     return t.pages.select("page_id", pages.strip_tags(F.col("html")).alias("text"))
 
