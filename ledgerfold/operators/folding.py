@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,17 @@ def duplicates(records: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upper_median(records: DataFrame, key: str, value: str) -> DataFrame:
-    """The element at half the length of the sorted values (not interpolated)."""
-    return records.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).select(key, F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median"))
+    """The element at half the length of the sorted values (not interpolated): counts of distinct values are aggregated, no key's rows are collected."""
+    return records.groupBy(key).agg(upper_middle(value).cast(dict(records.dtypes)[value]).alias("median"))
+
+
+def upper_middle(value: str, condition: str = "true") -> Column:
+    """The aggregate behind :func:`upper_median`: the lower median of the negated values, negated; of the rows that meet the condition."""
+    return F.expr(f"-percentile_disc(0.5) within group (order by -`{value}`) filter (where {condition})")
 
 
 def stratified_sample(records: DataFrame, stratum: str, n: int, key: str, seed: int = 7) -> DataFrame:
-    """``n`` rows of each stratum by a hash of the key: the same rows wherever and whenever it runs. Top-n by aggregation, not by sorting all."""
+    """``n`` rows of each stratum by a hash of the key: the same rows wherever and whenever it runs. A window whose rank limit Spark applies before the shuffle."""
     from pyspark.sql import Window as W
 
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))

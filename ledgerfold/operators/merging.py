@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.values import is_delinquent
+
 
 def collapse(batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """One row a key: for each column the last non-null value in order of ``seq``, as if the rows came one by one."""
@@ -37,6 +39,19 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], *, overwrite:
     return joined.select(*[value(c).alias(c) for c in current.columns], old.isNull().alias("is_new"))
 
 
+#: Columns of a parcel that an update overwrites even with null.
+PARCEL_OVERWRITE = ("source_url", "last_seen", "property_state")
+
+
+def upsert_parcels(current: DataFrame, batch: DataFrame, *, balance: str = "current_tax_balance", flag: str = "delinquent_flag") -> DataFrame:
+    """Parcels merged by number and market: empty texts count as unknown, known values stay where the new ones are unknown, the page, the day and the state are
+    always those of the batch, and the delinquency flag follows from the flag or the balance that came."""
+    keys = ["parcel_number", "market"]
+    texts = [c for c, kind in batch.dtypes if kind == "string" and c not in keys]
+    clean = batch.withColumns({c: F.nullif(F.btrim(c), F.lit("")) for c in texts}).withColumn(flag, is_delinquent(F.col(flag), F.col(balance)))
+    return upsert(current, clean, keys, overwrite=PARCEL_OVERWRITE)
+
+
 def insert_absent(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the table lacks, one each (insert, on conflict do nothing)."""
     return rows.dropDuplicates(keys).join(current.select(*keys).distinct(), keys, "left_anti")

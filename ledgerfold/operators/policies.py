@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions.keys import plain_key
 from ledgerfold.functions.values import quoted
+from ledgerfold.operators.folding import upper_middle
 from ledgerfold.operators.lifecycle import FORECLOSURES
 
 def prefilter(rows: DataFrame, states: list[str]) -> DataFrame:
@@ -94,10 +95,9 @@ def long_zero_runs(runs: DataFrame, cursor: bool, share: float = 0.5) -> DataFra
     """Sources whose latest run fell by ``share`` against their upper median; cursor sources only after three empty runs in a row."""
     newest = W.partitionBy("source_site").orderBy(F.desc("started_at"))
     seen = runs.withColumn("rank", F.row_number().over(newest)).withColumn("hits", F.sum((F.col("found") > 0).cast("int")).over(newest.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    sums = seen.groupBy("source_site").agg(F.max(F.when(F.col("rank") == 1, F.col("found"))).alias("latest"), F.count_if(F.col("hits") == 0).alias("zeros"), F.sort_array(F.collect_list(F.when(F.col("rank") > 1, F.col("found")))).alias("v"))
-    usual = F.when(F.size("v") > 0, F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")))
-    fallen = (usual > 0) & (F.col("latest") <= (1 - share) * usual)
-    return sums.withColumn("usual", usual).filter(fallen & ((F.col("zeros") >= 3) | F.lit(not cursor))).select("source_site", "usual", "latest", "zeros")
+    sums = seen.groupBy("source_site").agg(F.max(F.when(F.col("rank") == 1, F.col("found"))).alias("latest"), F.count_if(F.col("hits") == 0).alias("zeros"), upper_middle("found", "rank > 1").cast(dict(runs.dtypes)["found"]).alias("usual"))
+    fallen = (F.col("usual") > 0) & (F.col("latest") <= (1 - share) * F.col("usual"))
+    return sums.filter(fallen & ((F.col("zeros") >= 3) | F.lit(not cursor))).select("source_site", "usual", "latest", "zeros")
 
 
 def identity_proof(parcels: DataFrame, signals: DataFrame) -> DataFrame:

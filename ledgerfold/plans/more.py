@@ -6,13 +6,11 @@ still runs over its whole tables.
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import attributes as A
 from ledgerfold.functions import keys as K
-from ledgerfold.operators import audits, lifecycle, passes, reading
+from ledgerfold.operators import audits, lifecycle, merging, passes, policies, reading
 from ledgerfold.plans.registry import D, T, query
 from ledgerfold.streaming import delta
 
@@ -53,6 +51,22 @@ def upsert_listings(t):
     return out.select("id", "status", "case_number", "parcel_number", F.col("opening_bid_usd").cast("double").alias("bid"), "last_seen", "is_new")
 
 
+@query("""select coalesce(o.parcel_number, n.parcel_number) as parcel_number, coalesce(o.market, n.market) as market, coalesce(n.owner_name, o.owner_name) as owner_name, coalesce(n.balance, o.balance)::double as balance, case when n.parcel_number is not null then n.url else 'old' end as source_url, coalesce(n.flag, false or o.flag) as flag
+from (select parcel_number, market, owner_name, current_tax_balance balance, custkey % 2 = 0 flag from parcels) o full join (select case when custkey % 50 = 0 then 'N' || custkey else parcel_number end parcel_number, market, case when custkey % 3 = 0 then null else 'NEW ' || custkey end owner_name,
+  case when custkey % 5 > 0 then current_tax_balance + 1 end balance, case when custkey % 4 > 0 then 'page' end url, case when custkey % 7 = 0 or (custkey % 5 > 0 and current_tax_balance + 1 > 0) then true end flag from parcels) n on o.parcel_number = n.parcel_number and o.market = n.market""")
+def upsert_parcels(t):
+    """Blank owners, unknown balances, pages that go, flags by balance, and new parcels."""
+    c, keys = F.col("custkey"), ["parcel_number", "market"]
+    columns = [*keys, "owner_name", "current_tax_balance", "source_url", "delinquent_flag"]
+    current = t.parcels.withColumn("source_url", F.lit("old")).withColumn("delinquent_flag", c % 2 == 0).select(*columns)
+    batch = t.parcels.withColumns({
+        "parcel_number": F.when(c % 50 == 0, F.concat(F.lit("N"), c.cast("string"))).otherwise(F.col("parcel_number")), "owner_name": F.when(c % 3 == 0, " ").otherwise(F.concat(F.lit("NEW "), c.cast("string"))),
+        "current_tax_balance": F.when(c % 5 > 0, F.col("current_tax_balance") + 1), "source_url": F.when(c % 4 > 0, "page").otherwise(""), "delinquent_flag": F.when(c % 7 == 0, F.lit(True)),
+    }).select(*columns)
+    out = merging.upsert_parcels(current, batch)
+    return out.select(*keys, "owner_name", F.col("current_tax_balance").cast("double").alias("balance"), "source_url", F.col("delinquent_flag").alias("flag"))
+
+
 # ---- reading
 
 
@@ -313,7 +327,11 @@ def newest_signals(t):
     return lifecycle.rank_newest(t.signals, "parcel_number", "last_seen_at", "id").select("id", "rank")
 
 
-AUDIT_DAY = datetime.date(1998, 1, 1)
+@query("select source_site, usual, latest, zeros from (select source_site, max(found) filter (r = 1) latest, count(*) filter (hits = 0) zeros, list_sort(list(found) filter (r > 1)) v, v[len(v) // 2 + 1] usual from (select *, row_number() over w r, sum((found > 0)::int) over (w rows unbounded preceding) hits from (select * replace (case when source_site like 'src1%' and dayofmonth(day) > 26 then 0 else found end as found) from runs) window w as (partition by source_site order by started_at desc)) group by 1) where usual > 0 and latest <= 0.5 * usual and zeros >= 3")
+def cursor_runs_dry(t):
+    """Sources of one prefix found nothing in their last days; read by cursor, they count only from three empty runs on."""
+    dry = F.when(F.col("source_site").startswith("src1") & (F.dayofmonth("day") > 26), 0).otherwise(F.col("found"))
+    return policies.long_zero_runs(t.runs.withColumn("found", dry.cast("long")), cursor=True)
 
 
 @query("select source_site, median, runs from (select source_site, median(found) filter (status = 'success' and found > 0) median, count(*) filter (status = 'success' and found > 0) runs from runs group by 1) where median >= 1 and runs >= 2 and source_site like 'src0%'")
