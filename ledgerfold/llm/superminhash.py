@@ -13,9 +13,10 @@ Grouping
 3. Stars. A bucket's documents are held against one of them, its pivot; components over the links so found contract the bucket. First each document meets the smallest
    pivot of its buckets, then the others that are still in another group, then one more pivot of each bucket of which more than a block is still apart, until none is. A pivot with very many
    documents is dealt over several tasks.
-4. What is still apart in a bucket (as a rule very little: documents outside its largest group that were no pivot) is held against the rest of the bucket, in
-   blocks of bounded size, block against block, each pair of blocks in its own task. A task returns at most one link a document (a spanning forest of its exact links), never all pairs.
-   Everywhere short signatures go first: pairs more than five standard deviations below the threshold are ruled out, and only the texts of documents that have a pair left are sent, for full sets.
+4. What is still apart in a bucket (as a rule very little: documents outside its largest group that were no pivot) is held against the rest of the bucket by short signatures, in
+   blocks of bounded size, block against block, each pair of blocks in its own task. Components over what is likely by them, across buckets, are compared on full sets in the same way, so a text is sent once
+   a block and not once a bucket. A task returns at most one pair a document (a spanning forest), never all pairs.
+   In stars, too, short signatures go first: pairs more than five standard deviations below the threshold are ruled out, and only the texts of the others are sent.
 5. Union-find over all links names the groups.
 
 A bucket of a million near copies so costs a comparison a document, not one for each pair.
@@ -328,24 +329,31 @@ def _star(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percen
 
 
 def _block_likely(percent: int):
-    """Rows (bucket, i, j, doc, group, left, sig) of one left and one right block: those that have a likely partner in another group."""
+    """Rows (doc, group, left, sig) of one left and one right block: each that has a likely partner in another group, with the smallest row it is so connected to."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        sig, docs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1), rows["doc"].to_numpy()
         left, group = rows["left"].to_numpy(bool), rows["group"].to_numpy()
-        a, b, keep = np.flatnonzero(left), np.flatnonzero(~left), np.zeros(len(rows), bool)
-        least = least_equal(sig.shape[1], percent)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        can, least = group[a][:, None] != group[b][None, :], least_equal(sig.shape[1], percent)
         for i in range(0, len(a), 256):
             for j in range(0, len(b), 256):
-                x, y = a[i : i + 256], b[j : j + 256]
-                can = group[x][:, None] != group[y][None, :]
-                if can.any():
-                    equal = np.zeros(can.shape, np.uint16)
+                x, y = slice(i, i + 256), slice(j, j + 256)
+                if can[x, y].any():
+                    equal = np.zeros(can[x, y].shape, np.uint16)
                     for c in range(sig.shape[1]):
-                        equal += sig[x, c][:, None] == sig[y, c][None, :]
-                    can &= equal >= least
-                    keep[x[can.any(axis=1)]] = keep[y[can.any(axis=0)]] = True
-        return rows.loc[keep, ["bucket", "i", "j", "doc", "group", "left"]]
+                        equal += sig[a[x], c][:, None] == sig[b[y], c][None, :]
+                    can[x, y] &= equal >= least
+        of_a, of_b, none = np.arange(len(a)), np.arange(len(a), len(rows)), len(rows)
+        while can.any():  # the smallest label spreads over likely pairs until nothing changes
+            new_a = np.minimum(of_a, np.where(can, of_b[None, :], none).min(axis=1))
+            new_b = np.minimum(of_b, np.where(can, new_a[:, None], none).min(axis=0))
+            if (new_a == of_a).all() and (new_b == of_b).all():
+                break
+            of_a, of_b = new_a, new_b
+        order = np.concatenate([a, b])
+        label, keep = np.concatenate([of_a, of_b]), np.concatenate([can.any(axis=1), can.any(axis=0)])
+        return pd.DataFrame({"a": docs[order[label[keep]]], "b": docs[order[keep]]}, dtype="int64")
 
     return run
 
@@ -365,8 +373,11 @@ def _block_pair(k: int, percent: int):
     return run
 
 
-def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: int, task_items: int) -> DataFrame:
-    """Links of what is still apart. ``apart``: bucket, doc, n, group, and ``rest`` for what is held against all of its bucket."""
+def _in_blocks(apart: DataFrame, task_docs: int, task_items: int) -> DataFrame:
+    """(bucket, i, j, doc, group, left): documents to be held against all of their bucket (``rest``) in left blocks, all in right ones; each pair of blocks is a task.
+
+    ``apart``: bucket, doc, n, group, rest.
+    """
     blocks = lambda test, name: F.greatest(F.lit(1), F.ceil(F.count_if(test) / task_docs), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / task_items)).cast("int").alias(name)
     sizes, _ = store(apart.groupBy("bucket").agg(blocks(F.col("rest"), "lefts"), blocks(F.lit(True), "rights")), "near-blocks")
     dealt = apart.join(sizes, "bucket").withColumn("at", F.xxhash64("doc", F.lit(7)))
@@ -374,9 +385,16 @@ def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percen
     own = lambda name: F.pmod("at", F.col(name)).cast("int")
     left = dealt.filter("rest").select("bucket", "doc", "group", F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j"))
     right = dealt.select("bucket", "doc", "group", F.lit(False).alias("left"), every("lefts").alias("i"), own("rights").alias("j"))
-    signed = left.unionByName(right).join(members.select("doc", "sig"), "doc")
-    likely, _ = store(signed.groupBy("bucket", "i", "j").applyInPandas(_block_likely(percent), "bucket long, i int, j int, doc long, group long, left boolean"), "near-likely")
-    return likely.distinct().join(texts, "doc").groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
+    return left.unionByName(right)
+
+
+def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: int, task_items: int) -> DataFrame:
+    """Links of what is still apart. ``apart``: bucket, doc, n, group, and ``rest`` for what is held against all of its bucket."""
+    signed = _in_blocks(apart, task_docs, task_items).join(members.select("doc", "sig"), "doc")
+    likely, _ = store(signed.groupBy("bucket", "i", "j").applyInPandas(_block_likely(percent), "a long, b long"), "near-likely")
+    clusters = components(likely).select(F.col("id").alias("doc"), F.col("component").alias("bucket"))
+    again, _ = store(_apart(apart.select("doc", "n", "group").distinct().join(clusters, "doc")), "near-apart")
+    return _in_blocks(again, task_docs, task_items).join(texts, "doc").groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
 
 
 def _apart(state: DataFrame) -> DataFrame:
