@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
         want = duck.sql(f"select {', '.join(columns)} from ({sql})").fetchall()
         assert sorted(duck.sql(sql).columns) == columns
         assert rows == sorted(repr(tuple(map(plain, r))) for r in want)
-    assert len(rows) > 0 or name in ("run_collapse", "zero_yield", "collapse_guard", "quality_coverage", "listings_second_page", "surface_retire", "surface_refresh", "ambiguity_cap", "dedup_twin", "case_explosion", "quality_transfer", "quality_overlap", "surface_insert", "fuzzy_name_join", "quality_overmatch", "long_zero_runs", "owner_backfill", "sale_targets")
+    assert len(rows) > 0 or name in ("run_collapse", "zero_yield", "collapse_guard", "quality_coverage", "listings_second_page", "surface_retire", "surface_refresh", "ambiguity_cap", "dedup_twin", "case_explosion", "quality_transfer", "quality_overlap", "surface_insert", "fuzzy_name_join", "quality_overmatch", "long_zero_runs", "owner_backfill", "sale_targets", "absence_retire", "cursor_runs_dry", "listings_rare_filters")
 
 
 def test_entry(spark):
