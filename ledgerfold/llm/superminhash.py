@@ -45,6 +45,8 @@ CHUNK_ITEMS = 200_000
 STAR_DOCS, PIVOTS = 512, 64
 #: Slots of the short signatures, 16 bits each.
 SHORT = 128
+#: Bits of the array of wanted ids for each of them, and its largest size in 64-bit numbers (16 MB).
+ID_BITS, MOST_NUMBERS = 16, 1 << 21
 #: From so many pairs of a block on, intersections come from one matrix product of at most so many cells.
 MANY, MATRIX = 500, 1 << 25
 _U = np.uint64
@@ -397,6 +399,20 @@ def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percen
     return _in_blocks(again, task_docs, task_items).join(texts, "doc").groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
 
 
+def _of(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``given`` whose doc is wanted. A bit array of the wanted ids, of bounded size, goes to the texts first, so that of the others hardly any are shuffled."""
+    n, numbers = wanted.count(), 64
+    while numbers * 64 < ID_BITS * n and numbers < MOST_NUMBERS:
+        numbers *= 2
+    place = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(numbers - 1))
+    hashed = wanted.select(F.xxhash64("doc").alias("h"))
+    set_ = hashed.groupBy(place("h").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    every = given.sparkSession.range(numbers).join(set_, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    bits, _ = store(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), "near-bits")
+    marked = given.withColumn("bits", bits.scalar()).filter(F.expr(f"getbit(bits[cast(shiftrightunsigned(xxhash64(doc), 6) & {numbers - 1}L as int)], cast(xxhash64(doc) & 63 as int)) = 1"))
+    return marked.drop("bits").join(wanted, "doc", "left_semi")
+
+
 def _apart(state: DataFrame) -> DataFrame:
     """Buckets with several groups (bucket, doc, n, group), with ``rest``: outside the bucket's largest group."""
     counts = state.groupBy("bucket", "group").agg(F.count("*").alias("docs"))
@@ -429,7 +445,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     shape = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("doc").alias("low"), F.min_by("n", "doc").alias("low_n"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y")).filter("docs > 1")
     shape = shape.groupBy("docs", "weight", "low", "low_n", "x", "y").agg(F.min("bucket").alias("bucket"))
     buckets, _ = store(banded.join(shape.select("bucket", "low", "low_n"), "bucket"), "buckets")
-    texts, _ = store(given.join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-texts")
+    wanted, _ = store(buckets.select("doc").distinct(), "near-wanted")
+    texts, _ = store(_of(given, wanted), "near-texts")
     members, _ = store(reps.select(F.col("rep").alias("doc"), "sig").join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-signatures")
     # 3. stars
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
