@@ -7,7 +7,7 @@ Either is a logistic model in numpy. Both start from the same labelled texts.
 Exchange. In each round both views judge all unlabelled texts, in the tasks. A text of which a view is certain, by its calibrated probability, teaches both views with that label, unless
 the other view is as certain of the opposite. Each task fits both views to the labelled texts and its taught ones (blocks of bounded size; labelled and taught texts weigh the same in all, however
 many there are), and the blocks' weights are averaged by their numbers of taught texts (parameter mixing). Every round judges all texts anew, so a text counts at most once in a
-round, and an early mistake can be taken back. What the last exchange teaches is fitted too.
+round, and an early mistake can be taken back. What the last exchange teaches is fitted too. A view takes an exchange's weights only if they predict the texts kept for calibration better.
 
 A part of the labelled texts is left out of all this: on it each view is calibrated (Platt) before each exchange, and at the end the two calibrated log odds are combined by a
 logistic model. All documents are then scored by both views, each alone, without a shuffle.
@@ -32,6 +32,8 @@ CONTENT_BITS, META_BITS = 14, 12
 MAX_LABELLED, ROUNDS, SURE = 3000, 2, 0.9
 #: Texts that a task fits at once; weights that travel together.
 BLOCK = 20_000
+#: Steps of a fit that goes on from the weights of the round before.
+STEPS_AGAIN = 40
 SLICE = 4096
 KEEP_FROM = 0.5
 SCALE = {"content": 10.0, "meta": 1.0}
@@ -187,7 +189,7 @@ def _exchange(shared):
                 both, labels = gold.with_(rows.take(sure)), np.r_[y, label[sure]]
                 weight = np.r_[balanced(y) / 2, balanced(label[sure]) / 2]
                 for v in WIDTH:
-                    total[v] += n * fit(both, v, weight, labels, model[v][0])
+                    total[v] += n * fit(both, v, weight, labels, model[v][0], steps=STEPS_AGAIN)
                 taught[:] += np.bincount(label[sure], minlength=2)
 
         for batch in batches:
@@ -218,6 +220,7 @@ def cotrain(pool: DataFrame, gold: Vectors, y: np.ndarray, held: Vectors, held_y
     """A model from labelled vectors and the packed vectors of all unlabelled texts (``pool``); ``held`` serves for calibration."""
     context = pool.sparkSession.sparkContext
     calibrated = lambda weights: {v: (w, _newton(held.odds(v, w)[:, None], held_y)) for v, w in weights.items()}
+    loss = lambda v, m: np.logaddexp(0, (1 - 2 * held_y) * (m[1][0] * held.odds(v, m[0]) + m[1][1])).mean()
     model, taught = calibrated({v: fit(gold, v, balanced(y), y) for v in WIDTH}), np.zeros(2)
     for _ in range(rounds):
         shared = context.broadcast((model, gold.packed, y))
@@ -231,7 +234,8 @@ def cotrain(pool: DataFrame, gold: Vectors, y: np.ndarray, held: Vectors, held_y
         taught = sums["taught"]
         if not taught.any():
             break
-        model = calibrated({v: sums[v] / taught.sum() for v in WIDTH})
+        again = calibrated({v: sums[v] / taught.sum() for v in WIDTH})
+        model = {v: min(model[v], again[v], key=lambda m, v=v: loss(v, m)) for v in WIDTH}
     odds = np.column_stack([a * held.odds(v, w) + b for v, (w, (a, b)) in model.items()])
     return model | {"both": _newton(odds, held_y), "taught": taught.tolist()}
 
