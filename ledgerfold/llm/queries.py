@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import cotraining, lm_score, quality_rules, toxicity
+from ledgerfold.llm import cotraining, lm_score, pii, quality_rules, resampling, spelling, toxicity
 from ledgerfold.llm.common import id_bucket
 from ledgerfold.llm.decontaminate import find_leaks
 from ledgerfold.llm.html_extract import extract_main_text
@@ -157,6 +157,72 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "content_score", "meta_score", "score", (F.col("score") >= cotraining.KEEP_FROM).alias("kept"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and ``base_sha256`` are of the strict forms; ``spans`` has them and what context adds, which ``n_added`` counts."""
+    found = pii.find_identifiers(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    strict = F.filter("spans", lambda s: s["strict"])
+    of = F.transform(strict, lambda s: s["kind"])
+    counts = [(F.size(strict) - F.size(F.array_remove(of, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.span_list(strict).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.span_list(F.col("spans")).alias("spans"), (F.size("spans") - F.size(strict)).cast("long").alias("n_added"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return resampling.resample(documents, target, keep_text=False).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _crc32_sql(text: str, table: str = "crc_table") -> str:
+    """DuckDB SQL: the CRC-32 of a text's UTF-8 bytes, which DuckDB lacks; needs the list of :data:`CRC_TABLE` in scope."""
+    code = f"hex(encode({text}))"
+    digits = f"list_transform(range(0, length({code}) // 2), lambda i: ('0x' || substr({code}, 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce({digits}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
+
+#: One row with the 256 remainders of the polynomial 0xEDB88320.
+CRC_TABLE = "crc as (select list_transform(range(256), lambda v: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, v::bigint)) as crc_table)"
+
+OP12_SQL = rf"""
+with recursive {CRC_TABLE},
+r as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+c as (select id, run, count(*) as n from r where length(run) >= 7 group by 1, 2),
+h as (select run, n, {_crc32_sql("id || ':' || run")} as h from c, crc),
+d as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+w as (select word, sum(n)::bigint as n from d where length(word) >= 7 group by 1 having sum(n) >= 2),
+x as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from w)),
+p as (select a.word, b.word as near, b.n as near_n from x a join x b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from x a join w b on a.rest = b.word
+  union select b.word, a.word, a.n from x a join w b on a.rest = b.word),
+g as (select word, count(*) as n_near, arg_min(near, {{'n': -near_n, 'w': near}}) as form, max(near_n) as form_n from p group by 1),
+j as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when g.form_n >= 10 * w.n then g.form end as form, case when g.form_n >= 10 * w.n then g.form_n end as form_n from w left join g on w.word = g.word),
+t(word, root) as (select word, form from j where form is not null union select t.word, j.form from t join j on t.root = j.word where j.form is not null),
+e as (select t.word, t.root from t join j on t.root = j.word where j.form is null)
+select j.word, j.form, coalesce(e.root, j.word) as root, j.n, j.n_near, j.form_n from j left join e on j.word = e.word
+"""
+
+OP13_SQL = rf"""
+with {CRC_TABLE},
+t as (select 's' as side, doc_id, text from documents union all select 't', null, text from benchmark),
+w as (select side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from t),
+f as (select side, doc_id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as feature from w),
+v as (select feature, {_crc32_sql("feature")} % 10000 as bucket from (select distinct feature from f), crc),
+b as (select f.side, f.doc_id, v.bucket from f join v on f.feature = v.feature),
+c as (select bucket, count(*) filter (side = 's') as s, count(*) filter (side = 't') as t from b group by 1),
+a as (select sum(s) as s_all, sum(t) as t_all from c),
+g as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain from c, a),
+m as (select doc_id, count(*) as n_features, floor(sum(gain) / count(*)::double)::bigint as weight from b join g on b.bucket = g.bucket where side = 's' group by 1),
+k as (select w.doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  ('0x' || substr(sha256('7:' || coalesce(w.doc_id::varchar, '')), 1, 8))::bigint as h from w left join m on w.doc_id = m.doc_id where side = 's'),
+z as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double)))::bigint as score from k),
+o as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, 25 * count(*) filter (n_words >= 20) over () // 100 as drawn from z)
+select doc_id, n_features::bigint as n_features, weight, score, case when n_words >= 20 and place <= drawn then place end as rank from o
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
@@ -168,5 +234,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_pii": op11_pii,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op3_quality_rules": _op3_sql(), "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
+ORACLES = {"op3_quality_rules": _op3_sql(), "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_importance_resampling": OP13_SQL}
