@@ -31,17 +31,6 @@ def enrich_by_case(listings: DataFrame, target: str, donor: str) -> DataFrame:
     return poor.join(give, ["case_number", "market"]).select("id", "case_number", "market", "given")
 
 
-def address_contains(queries: DataFrame, spine: DataFrame) -> DataFrame:
-    """Spine parcels whose address has the query's house number as its first word and the query's street word among the others.
-
-    Blocked by house number and street word together, so a number that thousands of streets share makes no pairs.
-    """
-    words = lambda c: F.split(F.upper(F.btrim(c)), " +")
-    q = queries.select("id", F.get(words("address"), F.lit(0)).alias("house"), F.get(words("address"), F.lit(1)).alias("street"))
-    s = spine.filter("situs_address is not null").select(F.get(words("situs_address"), F.lit(0)).alias("house"), F.explode(F.array_distinct(F.slice(words("situs_address"), F.lit(2), F.size(words("situs_address"))))).alias("street"), F.col("parcel_number").alias("candidate"))
-    return q.join(s, ["house", "street"]).select("id", "candidate")
-
-
 def retire_empty(listings: DataFrame, parcels: DataFrame, latest: DataFrame, market: str, types: list[str] = FORECLOSURES) -> DataFrame:
     """Active foreclosures of the market expire if their parcel has neither owner nor sale nor value."""
     facts = parcels.filter(F.col("market") == market).join(latest, "parcel_number", "left")

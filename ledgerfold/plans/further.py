@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import addresses, names, values
-from ledgerfold.operators import policies
+from ledgerfold.operators import policies, substrings
 from ledgerfold.plans.registry import D, T, query
 from ledgerfold.streaming import delta
 
@@ -31,7 +31,20 @@ def enrich_by_case(t):
 @query("select l.id, p.parcel_number as candidate from listings l join parcels p on split_part(l.property_address, ' ', 1) = split_part(p.situs_address, ' ', 1) and contains(upper(p.situs_address), upper(split_part(l.property_address, ' ', 2))) where l.parcel_number is null and l.property_address is not null")
 def address_block_join(t):
     wanted = t.listings.filter("parcel_number is null and property_address is not null").select("id", F.col("property_address").alias("address"))
-    return policies.address_contains(wanted, t.parcels)
+    return substrings.addresses_on_block(wanted, t.parcels).select("id", F.col("parcel_number").alias("candidate"))
+
+
+# One third of the listings ask for one street, in longer and shorter spellings.
+@query(r"""
+, q as (select id, case when orderkey % 3 = 0 then 'Nation_1 road' when orderkey % 3 = 1 then property_city || ' St.' else lower(property_city) end as street, split_part(property_address, ' ', 1) as house from listings where parcel_number is null and property_address is not null),
+ b as (select id, house, left(regexp_replace(street, '(?i) (road|st\.)$', ''), 20) as body from q)
+select b.id, p.parcel_number as candidate from b join parcels p on p.situs_address ilike '%' || b.house || '%' and p.situs_address ilike '%' || b.body || '%' where regexp_full_match(p.parcel_number, '[0-9]{7}')""")
+def address_substring_join(t):
+    street = F.when(F.col("orderkey") % 3 == 0, "Nation_1 road").when(F.col("orderkey") % 3 == 1, F.concat("property_city", F.lit(" St."))).otherwise(F.lower("property_city"))
+    address = F.concat_ws(" ", F.split_part("property_address", F.lit(" "), F.lit(1)), street)
+    wanted = t.listings.filter("parcel_number is null and property_address is not null").select("id", address.alias("address"))
+    spine = t.parcels.filter(F.col("parcel_number").rlike("^[0-9]{7}$")).select("parcel_number", "situs_address")
+    return substrings.address_candidates(wanted, spine).select("id", F.col("parcel_number").alias("candidate"))
 
 
 @query("select id, case when l.status = 'active' and l.market = 'summit' and l.signal_type = 'mortgage_foreclosure' and p.parcel_number is not null and owner_name is null and day is null and current_tax_balance < 5000 then 'expired' else l.status end as status from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market left join (select parcel_number, max(sale_date) as day from sales group by 1 having max(sale_date) < date '1998-06-01') s on p.parcel_number = s.parcel_number")
