@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.values import is_delinquent
@@ -14,11 +14,12 @@ def collapse(batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return batch.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rest])
 
 
-def upsert(current: DataFrame, batch: DataFrame, keys: list[str], *, overwrite: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+def upsert(current: DataFrame, batch: DataFrame, keys: list[str], *, overwrite: tuple[str, ...] = (), keep: tuple[str, ...] = (), mark_changes: bool = False) -> DataFrame:
     """``current`` with ``batch`` merged in: new values win where they are not null.
 
     Columns in ``overwrite`` take the new value even if null, columns in ``keep`` the old one if there is one. Both sides have one row a key; null
-    keys equal each other. ``is_new`` marks inserted rows. Columns of the batch that ``current`` lacks are left out.
+    keys equal each other. ``is_new`` marks inserted rows; ``mark_changes`` adds ``came``, whether the batch has the row, and ``is_changed``, whether an old row's values differ now (nulls compare as values).
+    Columns of the batch that ``current`` lacks are left out.
     """
     a, b = current.alias("a"), batch.withColumn("_new", F.lit(True)).alias("b")
     on = None
@@ -36,7 +37,29 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], *, overwrite:
             return F.coalesce(x, y)
         return F.coalesce(y, x)
 
-    return joined.select(*[value(c).alias(c) for c in current.columns], old.isNull().alias("is_new"))
+    marks = [old.isNull().alias("is_new")]
+    if mark_changes:
+        differs = F.lit(False)
+        for c in current.columns:
+            differs |= ~value(c).eqNullSafe(F.col(f"a.{c}"))
+        marks += [new.isNotNull().alias("came"), (old.isNotNull() & differs).alias("is_changed")]
+    return joined.select(*[value(c).alias(c) for c in current.columns], *marks)
+
+
+def write_counted(merged: DataFrame, path: str | None, *, mode: str = "errorifexists") -> dict[str, int]:
+    """Writes a merged table with marks (see :func:`upsert`) without them, and counts in the same pass: ``rows``, ``inserted``, ``updated``, ``confirmed`` (came, but
+    changed nothing) and ``untouched``. Without a path it is a dry run: the same plan runs and counts, and nothing is written."""
+    counts = Observation()
+    old = ~F.col("is_new")
+    watched = merged.observe(
+        counts, F.count(F.lit(1)).alias("rows"), F.count_if("is_new").alias("inserted"), F.count_if(old & F.col("is_changed")).alias("updated"), F.count_if(old & F.col("came") & ~F.col("is_changed")).alias("confirmed"),
+        F.count_if(old & ~F.col("came")).alias("untouched"),
+    ).drop("is_new", "came", "is_changed")
+    if path is None:
+        watched.write.format("noop").mode("overwrite").save()
+    else:
+        watched.write.mode(mode).parquet(path)
+    return counts.get
 
 
 #: Columns of a parcel that an update overwrites even with null.

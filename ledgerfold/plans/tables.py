@@ -3,26 +3,17 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.storage import shared_folder  # noqa: F401  used by the queries
+
 #: Reference dates; library code never asks for the current one.
 AS_OF = datetime.date(1998, 6, 15)
 NOW = datetime.datetime(2024, 1, 31)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``. On one machine any folder is shared."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/ledgerfold-{spark.sparkContext.applicationId}"
-
-
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
