@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +15,6 @@ ENTITY_WORDS = (
     "LLC|L L C|INC|CORP|LTD|LP|COMPANY|CAPITAL|PROPERTIES|PROPERTY|HOLDINGS|HOLDING|INVESTMENT|INVESTMENTS|INVESTOR|INVESTORS|REALTY|REAL ESTATE|RENTAL|RENTALS|HOMES|GROUP|PARTNERS|VENTURES|"
     "ASSET|ASSETS|EQUITY|ENTERPRISE|ENTERPRISES|MANAGEMENT|DEVELOPMENT"
 )
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 STRONG = 0.85
 
 
@@ -20,9 +23,27 @@ def is_entity(owner: Column) -> Column:
     return owner.rlike(rf"(?i)\b({ENTITY_WORDS})\b")
 
 
+@lru_cache
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of each character in ASCII: those of which one letter stays, and those of which several do."""
+    plain = lambda c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+    found = {c: p for c in map(chr, range(0x80, sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and (p := plain(c))}
+    return {c: p for c, p in found.items() if len(p) == 1}, {c: p for c, p in found.items() if len(p) > 1}
+
+
+def to_ascii(c: Column) -> Column:
+    """Accents off, ligatures, fractions and letters in other shapes as their plain letters; what has no form in ASCII goes."""
+    one, several = _decompositions()
+    parts = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(parts, x), x)), "")
+    whole = F.when(c.rlike("[" + "".join(several) + "]"), spread).otherwise(c)
+    folded = F.regexp_replace(F.translate(whole, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+
+
 def fold_name(name: Column) -> Column:
-    """Accents off, lower-cased, punctuation to spaces."""
-    plain = F.lower(F.translate(name, ACCENTED, PLAIN))
+    """In ASCII, lower-cased, punctuation to spaces."""
+    plain = F.lower(to_ascii(name))
     return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 

@@ -9,6 +9,10 @@ from ledgerfold.functions.addresses import bind
 from ledgerfold.functions.names import _parts, fold_name, name_confidence
 
 
+#: Blocks that hold this share of all entries and that many are split; there are at most as many as the inverse of the share.
+HOT_SHARE, HOT_LEAST = 1 / 1000, 1000
+
+
 def unique_keys(spine: DataFrame, key: Column, parcel: str = "parcel_number") -> DataFrame:
     """(key, parcel) for keys that belong to exactly one parcel. Pre-aggregated: least and greatest must agree."""
     keyed = spine.select(key.alias("key"), F.col(parcel).alias("parcel")).filter("key is not null and key <> ''")
@@ -44,9 +48,11 @@ def fuzzy_name_join(queries: DataFrame, owners: DataFrame, *, query: str, owner:
 
     ``least`` must be above 0.5, so names must be equal, or two parts of the query each strongly similar to a part of the owner, which may be the same. Two
     strongly similar parts share a key (see :func:`_part_keys`), so names are blocked on pairs of keys of two parts, by position, and on the
-    folded name; no pair is missed. Blocks join by equality; pairs that meet in several are made one before they are verified. Equal names
+    folded name; no pair is missed. Each pair is verified in the first of the blocks that it shares, so nothing has to be made one afterwards. Blocks are counted:
+    those that hold much of the owners (at most 1 / ``HOT_SHARE`` of them) are split by the hash of the owner, and the queries that ask for them repeated as often. Equal names
     should be made one before the call.
     """
+    least_confidence = least
     if not least > 0.5:
         raise ValueError("least must be above 0.5")
     q = queries.withColumn("_q", F.struct(*queries.columns))
@@ -59,11 +65,19 @@ def fuzzy_name_join(queries: DataFrame, owners: DataFrame, *, query: str, owner:
         keys = F.transform(_parts(fold_name(F.col(name))), _part_keys)
         return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), fold_name(F.col(name)))), bind(keys, pairs)))
 
-    left = q.select("_q", F.explode(blocks(query, 1)).alias("_block"))
-    right = o.select("_o", F.explode(blocks(owner, 0)).alias("_block"))
-    pairs = left.join(right, "_block").select("_q", "_o").distinct()
-    scored = pairs.withColumn("confidence", name_confidence(F.col(f"_q.{query}"), F.col(f"_o.{owner}")))
-    return scored.filter(F.col("confidence") >= least).select("_q.*", "_o.*", "confidence")
+    left = q.withColumn("_asked", blocks(query, 1)).select("_q", "_asked", F.explode("_asked").alias("_block"))
+    right = o.withColumn("_has", blocks(owner, 0)).select("_o", "_has", F.explode("_has").alias("_block"))
+    counts = right.groupBy("_block").agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(HOT_LEAST, int(total * HOT_SHARE))
+    hot = counts.filter(F.col("_n") >= least).select("_block", (F.floor(F.col("_n") / least) + 1).cast("bigint").alias("_parts"))
+    salts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    left = left.join(F.broadcast(hot), "_block", "left").withColumn("_salt", F.explode(F.sequence(F.lit(1).cast("bigint"), salts))).drop("_parts")
+    right = right.join(F.broadcast(hot), "_block", "left").withColumn("_salt", F.pmod(F.xxhash64("_o"), salts) + 1).drop("_parts")
+    first = F.get(F.filter("_asked", lambda x: F.array_contains("_has", x)), F.lit(0))
+    pairs = left.join(right, ["_block", "_salt"]).filter(F.col("_block") == first)
+    scored = pairs.select("_q", "_o", name_confidence(F.col(f"_q.{query}"), F.col(f"_o.{owner}")).alias("confidence"))
+    return scored.filter(F.col("confidence") >= least_confidence).select("_q.*", "_o.*", "confidence")
 
 
 def merge_readers(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -356,7 +356,14 @@ def ambiguity_cap(t):
     return resolving.cap_ambiguous(pairs, "case_number", "parcel_number", cap=1)
 
 
-@query()
+@query(r"""
+with o as (select p_name as owner, count(*) as parts, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as folded from part group by 1),
+q as (select distinct translate(p_name, 't', 'd') as query, trim(regexp_replace(regexp_replace(lower(translate(p_name, 't', 'd')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as folded from part),
+words as (select folded, i, w from (select folded, unnest(string_split(folded, ' ')) as w, generate_subscripts(string_split(folded, ' '), 1) as i from (select folded from o union select folded from q)) where length(w) >= 2 and upper(w) not in ('JR', 'SR', 'II', 'III', 'IV', 'V')),
+alike as (select a.w as x, b.w as y, 1 - levenshtein(a.w, b.w)::double / greatest(length(a.w), length(b.w), 1) as s from (select distinct w from words) a join (select distinct w from words) b on 1 - levenshtein(a.w, b.w)::double / greatest(length(a.w), length(b.w), 1) >= 0.85),
+best as (select a.folded as asked, a.i, b.folded as has, max(s) as s from words a join alike on a.w = x join words b on b.w = y where a.folded in (select folded from q) and b.folded in (select folded from o) group by 1, 2, 3),
+pair as (select asked, has, round(sum(s) / count(*), 4) as confidence from best where asked <> has group by 1, 2 having count(*) >= 2 union all select q.folded, o.folded, 1.0 from q join o on q.folded = o.folded group by 1, 2)
+select query, owner, parts, confidence from pair join q on asked = q.folded join o on has = o.folded where confidence >= 0.75""", prelude=False)
 def fuzzy_name_join(t):
     people = t.part.groupBy(F.col("p_name").alias("owner")).agg(F.count("*").alias("parts"))
     wanted = t.part.select(F.translate("p_name", "t", "d").alias("query")).distinct()
