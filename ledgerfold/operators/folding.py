@@ -36,12 +36,3 @@ def upper_median(records: DataFrame, key: str, value: str) -> DataFrame:
 def upper_middle(value: str, condition: str = "true") -> Column:
     """The aggregate behind :func:`upper_median`: the lower median of the negated values, negated; of the rows that meet the condition."""
     return F.expr(f"-percentile_disc(0.5) within group (order by -`{value}`) filter (where {condition})")
-
-
-def stratified_sample(records: DataFrame, stratum: str, n: int, key: str, seed: int = 7) -> DataFrame:
-    """``n`` rows of each stratum by a hash of the key: the same rows wherever and whenever it runs. A window whose rank limit Spark applies before the shuffle."""
-    from pyspark.sql import Window as W
-
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    ranked = records.withColumn("_order", order).withColumn("_rank", F.row_number().over(W.partitionBy(stratum).orderBy("_order", key)))
-    return ranked.filter(F.col("_rank") <= n).drop("_order", "_rank")

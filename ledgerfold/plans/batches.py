@@ -1,10 +1,13 @@
-"""Queries of upserts whose rows see each other, and of counted merges."""
+"""Queries of upserts whose rows see each other, counted merges, samples and migrations."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import merging, sequencing
+from ledgerfold.operators import merging, migrations, sampling, sequencing
+from ledgerfold.plans import tables
 from ledgerfold.plans.registry import query
 
 _GROUPS = ", g as (select source_site, case_number, parcel_number, min(id) as id, min(orderkey) as k from listings where case_number is not null and parcel_number is not null group by all)"
@@ -62,3 +65,45 @@ def upsert_signals_counted(t):
     if total != counts:
         raise AssertionError(f"the dry run counted {counts}, the table has {total}")
     return out
+
+
+@query("""
+, taken as (select id, signal_type, md5('7:' || id) as h from listings where signal_type in ('probate', 'tax_deed') qualify row_number() over (partition by signal_type order by substr(md5('7:' || id), 1, 15), id) <= 400),
+ rest as (select id, signal_type from listings where id not in (select id from taken) order by substr(md5('8:' || id), 1, 15), id limit (select greatest(0, 1500 - count(*)) from taken))
+select id, signal_type, false as filled from taken union all select id, signal_type, true from rest""")
+def sample_with_fill(t):
+    return sampling.quotas_and_fill(t.listings.select("id", "signal_type"), "signal_type", ["probate", "tax_deed"], 400, 1500, "id")
+
+
+_OLD = """
+, p as (select case when custkey % 5 = 0 then 'AB' || lpad(custkey::varchar, 12, '0') else parcel_number end as parcel_number, case when custkey % 7 = 0 then 'N' || custkey end as native, case when custkey % 9 = 0 then market end as market, case when custkey % 9 = 0 then property_state end as state, custkey from parcels),
+ l as (select l.id, p.parcel_number, case when orderkey % 11 <> 0 then case when l.property_state = 'MI' then 'OH' else l.property_state end end as state, case when orderkey % 10 = 0 then l.market end as market from listings l left join p on l.parcel_number = lpad(p.custkey::varchar, 7, '0')),
+ told as (select parcel_number, count(*) filter (state = 'TN') as tn, count(*) filter (state = 'OH') as oh from l group by 1),
+ p1 as (select p.*, case when market is not null then market when native is not null or regexp_full_match(parcel_number, '[0-9A-Za-z]{14}') then 'shelby' else 'cuyahoga' end as m1 from p),
+ p2 as (select p1.parcel_number, case when m1 = 'cuyahoga' and tn > 0 and oh = 0 then 'shelby' else m1 end as market,
+   case when m1 = 'cuyahoga' and tn > 0 and oh = 0 then 'TN' when p1.market is not null then state when m1 = 'shelby' then 'TN' else 'OH' end as state from p1 left join told on told.parcel_number = p1.parcel_number)"""
+
+
+@query(_OLD + """
+select 'parcel' as kind, parcel_number as id, market, state as property_state from p2
+union all select 'listing', l.id, coalesce(l.market, p2.market, case l.state when 'OH' then 'cuyahoga' when 'TN' then 'shelby' end), l.state from l left join p2 on l.parcel_number = p2.parcel_number and l.state = p2.state""")
+def market_migrations(t):
+    """Tables from before markets, landed as the first migration; columns are added, then markets filled in, each a migration with its guards."""
+    k, old = F.col("custkey"), t.parcels
+    p = old.select(
+        F.when(k % 5 == 0, F.concat(F.lit("AB"), F.lpad(k.cast("string"), 12, "0"))).otherwise(F.col("parcel_number")).alias("parcel_number"), F.when(k % 7 == 0, F.concat(F.lit("N"), k.cast("string"))).alias("native_parcel_id"),
+        F.when(k % 9 == 0, F.col("market")).alias("market"), F.when(k % 9 == 0, F.col("property_state")).alias("property_state"), F.col("parcel_number").alias("was"),
+    )
+    named = t.listings.join(p.select(F.col("was").alias("parcel_number"), F.col("parcel_number").alias("now")), "parcel_number", "left")
+    state = F.when(F.col("orderkey") % 11 != 0, F.when(F.col("property_state") == "MI", "OH").otherwise(F.col("property_state")))
+    listings = named.select("id", F.col("now").alias("parcel_number"), state.alias("property_state"), F.when(F.col("orderkey") % 10 == 0, F.col("market")).alias("market"))
+    unplaced = lambda x: x["parcels"].filter("market is null or property_state is null")
+    steps = [
+        migrations.Migration("001", lambda x: {"parcels": p.drop("was", "property_state"), "listings": listings}),
+        migrations.Migration("002", lambda x: {"parcels": migrations.with_column("property_state", "string")(x["parcels"]).drop("property_state").join(p.select("parcel_number", "property_state"), "parcel_number")}),
+        migrations.Migration("003", lambda x: {"parcels": migrations.parcel_markets(x["parcels"], x["listings"])}, after={"a parcel has no market": unplaced}),
+        migrations.Migration("004", lambda x: {"listings": migrations.row_markets(x["listings"], x["parcels"])}, before={"a parcel has no market": unplaced}),
+    ]
+    now = migrations.migrate(t.spark, f"{tables.shared_folder(t.spark)}/database-{uuid.uuid4().hex}", steps)
+    rows = lambda name, kind, key: now[name].select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "market", "property_state")
+    return rows("parcels", "parcel", "parcel_number").unionByName(rows("listings", "listing", "id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import addresses, names, parcels, values
-from ledgerfold.operators import audits, folding, leads, lifecycle, merging, reading, resolving
+from ledgerfold.operators import audits, folding, leads, lifecycle, merging, reading, resolving, sampling
 from ledgerfold.plans import tables
 from ledgerfold.plans.tables import AS_OF, NOW, PRELUDE
 
@@ -329,7 +329,7 @@ def run_upper_median(t):
 
 @query("select id, signal_type from (select id, signal_type, row_number() over (partition by signal_type order by md5('7:' || id), id) r from listings) where r <= 25")
 def stratified_sample(t):
-    return folding.stratified_sample(t.listings.select("id", "signal_type"), "signal_type", 25, "id")
+    return sampling.lowest(t.listings.select("id", "signal_type"), 25, "id", stratum="signal_type")
 
 
 @query("select distinct parcel_number, market from listings where parcel_number is not null union select distinct parcel_number, market from signals")
