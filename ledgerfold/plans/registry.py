@@ -493,4 +493,4 @@ def run_totals_rollup(t):
     return t.listings.rollup("source_site", "market", "status").agg(F.count("*").alias("n"), F.sum("opening_bid_usd").cast("double").alias("bids"))
 
 
-from ledgerfold.plans import batches, further, ingest, more, streams  # noqa: E402,F401  register more queries
+from ledgerfold.plans import batches, further, ingest, more, rows, streams  # noqa: E402,F401  register more queries
