@@ -86,14 +86,14 @@ def stub_parcels(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     return wanted.join(parcels.select("parcel_number", "market"), ["parcel_number", "market"], "left_anti").withColumn("source_url", F.lit("stub:listing"))
 
 
-def overlay_changed(current: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows whose values differ from the changes (nulls compare as values), with the new values; an unknown new value keeps the old."""
+def overlay_changed(current: DataFrame, changes: DataFrame, key: str, columns: list[str], *, keep_old: bool = True) -> DataFrame:
+    """Rows whose values differ from the changes (nulls compare as values), with the new values; an unknown new value keeps the old one, or with ``keep_old`` off replaces it."""
     joined = current.alias("a").join(changes.alias("b"), key)
-    differs = None
-    for c in columns:
-        d = ~F.col(f"a.{c}").eqNullSafe(F.coalesce(f"b.{c}", f"a.{c}"))
-        differs = d if differs is None else differs | d
-    return joined.filter(differs).select(key, *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in columns])
+    new = {c: F.coalesce(f"b.{c}", f"a.{c}") if keep_old else F.col(f"b.{c}") for c in columns}
+    differs = F.lit(False)
+    for c, x in new.items():
+        differs |= ~F.col(f"a.{c}").eqNullSafe(x)
+    return joined.filter(differs).select(key, *[x.alias(c) for c, x in new.items()])
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import items
-from ledgerfold.plans.registry import _ENTITY, _LABEL, _STACK, query
+from ledgerfold.operators import items, merging, readers
+from ledgerfold.plans.registry import _ENTITY, _LABEL, _STACK, D, query
 
 _WIDE = """
 , wl as (select l.*, case when orderkey % 6 = 0 then property_address || ' #3/4 ~*é, ' || property_city || ', OH' else property_address end as address, case when orderkey % 4 > 0 then lpad((orderkey % 99999)::varchar, 5, '0') end as zip, case when orderkey % 8 > 0 then property_city else '' end as city from listings l),
@@ -44,3 +44,91 @@ def listing_items(t):
     shown = ["id", "source_site", "signal_type", "property_address", "property_city", "property_state", "property_zip", "status", "sale_date", "opening_bid_usd", "case_number", "source_listing_id", "distress_stage", "case_status", "match_confidence", "match_score", "absentee_owner"]
     shown += ["redemption_status", "first_seen_at", "last_seen_at", "signal_count", "signal_type_count", "is_hot", "owner_name", "registry_confirmed", "owner_is_entity", "situs_address", "current_market_value", "current_tax_balance", "delinquent_flag", "street_view_url", "trustee_name", "deposit_usd"]
     return rows.select(*shown, text, "verify_links.*")
+
+
+_PAIRS = """
+with a as (select o_orderkey as seq, case when o_custkey % 9 > 0 then 'K' || (o_custkey % 400) end as k, case when o_orderkey % 3 = 0 then 0 else o_totalprice end::double as bid, case when o_orderkey % 4 > 0 then o_orderdate::date end as day, case when o_orderkey % 5 = 0 then '' else o_orderpriority end as place, o_orderkey % 50 = 0 as flag, 'first ' || o_orderkey as vendor from orders where o_orderkey % 2 = 0),
+ b as (select o_orderkey as seq, 'K' || (o_custkey % 500) as k, o_totalprice::double as bid, o_orderdate::date as day, o_orderpriority as place, null::boolean as flag, 'second ' || o_orderkey as vendor from orders where o_orderkey % 2 = 1),
+ p as (select distinct 'K' || (c_custkey % 400) as key, 'P' || (c_custkey % 100) as parcel from customer where c_custkey % 400 < 200),
+ u as (select *, 1 as r from a union all select *, 2 from b),
+ g as (select u.*, p.parcel, coalesce('parcel:' || p.parcel, 'addr:' || k, 'raw:' || r || ':' || seq) as group_key, {'r': r, 's': seq} as o from u left join p on u.k = p.key)"""
+
+
+@query(_PAIRS + """
+select group_key, arg_min(parcel, o) as parcel, arg_min(seq, o) as seq, coalesce(arg_min(bid, o) filter (coalesce(bid, 0) <> 0), arg_min(bid, o)) as bid, arg_min(day, o) filter (day is not null) as day, coalesce(arg_min(place, o) filter (place <> ''), arg_min(place, o)) as place, coalesce(bool_or(flag), false) as flag, arg_min(vendor, o) as vendor
+from g group by 1""", prelude=False)
+def readers_by_place(t):
+    """Even orders are one reader, odd ones the other; addresses lead to a parcel that two or more of them share, or to none, and some rows have no address."""
+    o, key, c = t.orders, F.col("o_orderkey"), F.col("o_custkey")
+    day = F.to_date("o_orderdate")
+    k = lambda n: F.concat(F.lit("K"), (c % n).cast("string"))
+    first = o.filter(key % 2 == 0).select(
+        key.alias("seq"), F.when(c % 9 > 0, k(400)).otherwise("").alias("k"), F.when(key % 3 == 0, 0).otherwise(F.col("o_totalprice")).cast("double").alias("bid"), F.when(key % 4 > 0, day).alias("day"),
+        F.when(key % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("place"), (key % 50 == 0).alias("flag"), F.concat(F.lit("first "), key.cast("string")).alias("vendor"),
+    )
+    second = o.filter(key % 2 == 1).select(key.alias("seq"), k(500).alias("k"), F.col("o_totalprice").cast("double").alias("bid"), day.alias("day"), F.col("o_orderpriority").alias("place"), F.concat(F.lit("second "), key.cast("string")).alias("vendor"))
+    n = F.col("c_custkey")
+    parcels = t.customer.filter(n % 400 < 200).select(F.concat(F.lit("K"), (n % 400).cast("string")).alias("key"), F.concat(F.lit("P"), (n % 100).cast("string")).alias("parcel"))
+    return readers.merge_by_place(first, second, parcels, key="k", order="seq", fill=["bid", "day", "place"], any_of=["flag"]).drop("k")
+
+
+@query("""
+with r as (select case when o_orderkey % 40 = 0 then ' ' else 'P' || o_custkey end as parcel, o_orderkey as seq, case when o_orderkey % 3 > 0 then 'OWNER ' || (o_orderkey % 10) end as owner, case when o_orderkey % 4 = 0 then 'n/a' else year(o_orderdate::date)::varchar end as y, case when o_orderkey % 5 > 0 then o_totalprice end as unpaid, case when o_orderkey % 6 = 0 then ' ' else ' ' || o_orderpriority end as authority from orders)
+select parcel, arg_min({'o': owner}, seq).o as owner, arg_min(owner, seq) filter (owner is not null) as first_owner, coalesce(sum(unpaid), 0)::double as unpaid, coalesce(string_agg(distinct nullif(trim(authority), ''), ',' order by nullif(trim(authority), '')), '') as authorities, string_agg(distinct coalesce(try_cast(y as int), 2020)::varchar, ',' order by coalesce(try_cast(y as int), 2020)::varchar) as years,
+  make_date(max(coalesce(try_cast(y as int), 2020))::int, 1, 1) as observed from r where trim(parcel) <> '' group by 1""", prelude=False)
+def tape_fold(t):
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        F.when(k % 40 == 0, " ").otherwise(F.concat(F.lit("P"), F.col("o_custkey").cast("string"))).alias("parcel"), k.alias("seq"), F.when(k % 3 > 0, F.concat(F.lit("OWNER "), (k % 10).cast("string"))).alias("owner"),
+        F.when(k % 4 == 0, "n/a").otherwise(F.year("o_orderdate").cast("string")).alias("y"), F.when(k % 5 > 0, F.col("o_totalprice").cast("decimal(18,2)")).alias("unpaid"), F.when(k % 6 == 0, " ").otherwise(F.concat(F.lit(" "), "o_orderpriority")).alias("authority"),
+    )
+    out = readers.fold_tape(rows, "parcel", "seq", year="y", unpaid="unpaid", authority="authority", keep=["owner"], fallback_year=2020)
+    return out.select("parcel", "owner", "first_owner", F.col("unpaid").cast("double").alias("unpaid"), F.array_join("authorities", ",").alias("authorities"), F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "observed")
+
+
+@query("select l.case_number, count(distinct upper(trim(owner_name))) as owners from (select *, case orderkey % 4 when 0 then 'composite' when 1 then 'name_match' end as method from listings) l join parcels p on l.parcel_number = p.parcel_number and l.market = p.market where coalesce(method, '') not in ('composite', 'address_anchor') and case_number is not null group by 1 having count(distinct upper(trim(owner_name))) > 2")
+def owner_explosions(t):
+    rows = t.listings.withColumn("match_method", F.when(F.col("orderkey") % 4 == 0, "composite").when(F.col("orderkey") % 4 == 1, "name_match")).join(t.parcels.select("parcel_number", "market", "owner_name"), ["parcel_number", "market"])
+    return readers.owner_explosions(rows, cap=2)
+
+
+@query(f"""
+, v as (select l.*, p.owner_name, s.d, s.price, p.custkey * 100.5 as mv, case when orderkey % 7 = 0 then 'in_redemption' end as auction, case when orderkey % 5 = 0 then null else date_diff('day', first_seen, {D}) end as age, coalesce(nullif(match_confidence, ''), 'legacy') as tier, coalesce(signal_type, '') = 'probate' as prob, coalesce(sale_date < {D}, false) as past
+  from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market left join (select parcel_number, max(sale_date) d, arg_max(price, {{'d': sale_date, 'p': price}}) price from sales group by 1) s on l.parcel_number = s.parcel_number),
+ w as (select *, case when status is distinct from 'active' then 'status=' || coalesce(status, 'None') when past and auction is null then 'sale_date in past' when prob and regexp_matches(coalesce(case_status, ''), '(?i)closed|dismissed|terminated') then 'case ' || case_status
+  when prob and regexp_matches(coalesce(case_number, ''), '^[0-9]{{4}}') and coalesce(year(d) >= try_cast(left(case_number, 4) as int), false) then 'TRANSFERRED - parcel sold ' || d || case when coalesce(price, 0) <> 0 then ' for $' || format('{{:,}}', floor(price)::bigint) else '' end || ' (case filed ' || left(case_number, 4) || ')' end as stale from v)
+select id, case when stale is not null then 'STALE' when (prob and tier = 'unverified') or owner_name is null then 'REVIEW' else 'VALID' end as verdict,
+  coalesce(stale, concat_ws(' | ', case when past then 'in redemption - live lead, sale_date past is expected' end, case when owner_name is not null then 'parcel real (owner: ' || owner_name || ', mv=$' || format('{{:,}}', coalesce(floor(mv)::bigint, 0)) || ')' else 'NO parcel registry match - confirm address' end,
+   case when prob then 'match=' || tier end, case when prob and tier = 'unverified' then 'name-only fuzzy join - verify owner==decedent' end, case when prob and age is not null then 'lead age: ' || age || 'd' end)) as notes from w""")
+def verdict_notes(t):
+    k = F.col("orderkey")
+    rows = t.listings.join(t.parcels.select("parcel_number", "market", "owner_name", (F.col("custkey") * 100.5).alias("current_market_value")), ["parcel_number", "market"], "left").join(t.latest, "parcel_number", "left")
+    rows = rows.withColumns({"auction_status": F.when(k % 7 == 0, "in_redemption"), "lead_age_days": F.when(k % 5 > 0, F.datediff(t.as_of, "first_seen"))})
+    return readers.verdict_with_notes(rows, t.as_of).select("id", "verdict", F.array_join("notes", " | ").alias("notes"))
+
+
+@query(f"""
+select o_orderkey as k, concat_ws(',', case when o_orderpriority = '1-URGENT' and o_orderstatus = 'O' then 'for sale' end, case when upper(trim(' ' || case o_orderstatus when 'O' then 'active' when 'F' then 'closed' end)) = 'ACTIVE' then 'active' end, case when coalesce(case o_orderstatus when 'P' then 'rm' when 'F' then 'OK' end, '') <> 'rm' then 'not removed' end,
+  case when coalesce(case when o_orderkey % 3 > 0 then o_orderkey % 3 - 1 end, 0) = 0 then 'not redeemed' end, case when o_orderpriority in ('2-HIGH', '3-MEDIUM') and o_orderpriority not in ('3-MEDIUM') then 'program' end, case when n_regionkey = 1 and n_nationkey % 2 = 1 then 'county' end, case when coalesce(case when o_orderkey % 11 > 0 then o_orderkey % 11 end < 5, true) then 'small' end,
+  case when coalesce(case when o_orderkey % 13 > 0 then o_orderdate::date end >= {D} - 90, true) then 'recent' end, case when year(o_orderdate::date) >= 1997 then 'year' end, case when left(o_orderstatus, 1) in ('O', 'F') then 'letter' end) as taken
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""", prelude=False)
+def source_filters(t):
+    """Which of the filters of single sources each order passes, its columns taken for theirs."""
+    k, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    day = F.to_date("o_orderdate")
+    tests = {
+        "for sale": readers.for_sale(F.when(priority == "1-URGENT", "FOR SALE").otherwise(priority), F.when(status == "O", "Y").otherwise("N")), "active": readers.case_active(F.when(status == "O", " active").when(status == "F", "closed")),
+        "not removed": readers.not_removed(F.when(status == "P", " rm").when(status == "F", "OK")), "not redeemed": readers.not_redeemed(F.when(k % 3 > 0, k % 3 - 1)), "program": readers.in_program(priority, ["2-HIGH", "3-MEDIUM"], ["3-MEDIUM"]),
+        "county": readers.in_county(F.when(F.col("n_regionkey") == 1, " mi"), F.when(F.col("n_nationkey") % 2 == 1, "Wayne "), ("MI", "WAYNE")), "small": readers.small_building(F.when(k % 11 > 0, k % 11)), "recent": readers.recent_notice(F.when(k % 13 > 0, day), t.as_of),
+        "year": readers.from_last_year(F.year(day), t.as_of), "letter": readers.of_counties(F.concat(F.lit(" "), F.lower(status)), "OF"),
+    }
+    return rows.select(k.alias("k"), F.concat_ws(",", *[F.when(v, name) for name, v in tests.items()]).alias("taken"))
+
+
+@query("select parcel_number, price, day from (select p.parcel_number, s.price::double as price, s.day, case when custkey % 2 = 0 then custkey * 10 end::double as old_price, date '1995-01-01' as old_day from parcels p join (select parcel_number, case when max(price) > 60000 then max(price) end::double price, max(sale_date) as day from sales group by 1) s using (parcel_number)) where price is distinct from old_price or day is distinct from old_day")
+def overlay_overwriting(t):
+    """Here an unknown new price replaces the old one."""
+    old = t.parcels.select("parcel_number", F.when(F.col("custkey") % 2 == 0, F.col("custkey") * 10).cast("double").alias("price"), F.lit("1995-01-01").cast("date").alias("day"))
+    new = t.sales.groupBy("parcel_number").agg(F.when(F.max("price") > 60000, F.max("price")).cast("double").alias("price"), F.max("sale_date").alias("day"))
+    return merging.overlay_changed(old, new, "parcel_number", ["price", "day"], keep_old=False)
