@@ -66,7 +66,7 @@ def canonical_address(c: Column) -> Column:
     A direction counts from the second word on as long as only directions come before it; after the second word
     only short forms count.
     """
-    clean = F.btrim(F.regexp_replace(F.btrim(unescape(c)), r"\s+", " "))
+    single = F.btrim(F.regexp_replace(F.btrim(unescape(c)), r"\s+", " "))
     bare = lambda t: F.regexp_replace(F.lower(t), r"\.+$", "")
     is_unit = lambda t: F.lower(t).isin(UNITS) | t.startswith("#")
     fits = lambda t, i: (i == 0) | _known(DIRECTIONS, bare(t)).isNotNull() & ((i == 1) | bare(t).isin(SHORT_DIRECTIONS))
@@ -82,7 +82,7 @@ def canonical_address(c: Column) -> Column:
         upto = F.when(first_other > 0, first_other.cast("int") - 1).otherwise(F.size(typed))
         return F.transform(typed, lambda t, i: F.when((i > 0) & (i < upto), _known(DIRECTIONS, bare(t))).otherwise(t))
 
-    return F.when(clean != "", F.array_join(bind(F.split(clean, " "), shorten), " "))
+    return bind(single, lambda clean: F.when(clean != "", F.array_join(bind(F.split(clean, " "), shorten), " ")))
 
 
 def match_address(c: Column) -> Column:

@@ -39,8 +39,8 @@ def zip_after_house(c: Column) -> Column:
 
 def street_zip_key(street: Column, zip_code: Column) -> Column:
     """``street|zip``, the street as for deduplication; an unknown zip leaves its place empty."""
-    key = _blank(match_address(canonical_address(street)))
-    return F.when(key.isNotNull(), F.concat_ws("|", key, F.coalesce(zip_code, F.lit(""))))
+    joined = lambda k: F.when(k != "", F.concat_ws("|", k, F.coalesce(zip_code, F.lit(""))))
+    return bind(bind(canonical_address(street), match_address), joined)
 
 
 def house_key(street: Column, zip_code: Column) -> Column:

@@ -12,8 +12,8 @@ from ledgerfold.functions.addresses import has_street_number
 
 
 def collapses(runs: DataFrame, share: float = 0.4, least: int = 50) -> DataFrame:
-    """Sources whose latest run found much less than the one before."""
-    newest = W.partitionBy("source_site").orderBy(F.desc("started_at"))
+    """Sources whose latest run found much less than the one before; of runs that began together the one that found more is the later."""
+    newest = W.partitionBy("source_site").orderBy(F.desc("started_at"), F.desc("found"))
     last = runs.filter("status = 'success'").withColumn("rank", F.row_number().over(newest)).withColumn("before", F.lead("found").over(newest)).filter("rank = 1 and before is not null")
     drop = F.col("before") - F.col("found")
     return last.filter((F.col("before") >= least) & (drop > share * F.col("before"))).select("source_site", "before", "found", F.round(drop / F.col("before"), 4).alias("drop_share"))

@@ -150,16 +150,20 @@ def live_parcels(rows: DataFrame, registry: DataFrame, answered: DataFrame, key:
 
 def per_address(filings: DataFrame, key: Column, filed: str, landlord: str) -> DataFrame:
     """Per address: filings, the latest day, and the landlord of that day (the first by name of several), else any."""
-    keyed = filings.withColumn("key", key).filter("key is not null")
+    keyed = filings.withColumn("key", key)
     named = F.nullif(F.btrim(landlord), F.lit(""))
     # later days first, rows without a day last; of one day the first name
     order = F.struct(F.coalesce(-F.unix_date(filed), F.lit(2**31 - 1)), named)
-    return keyed.groupBy("key").agg(F.count("*").alias("filings"), F.max(filed).alias("latest"), F.min_by(named, F.when(named.isNotNull(), order)).alias("landlord"))
+    # the key is dear: a filter on it would be moved below the grouping and compute it again, so what is filtered is an aggregate
+    sums = keyed.groupBy("key").agg(F.count("*").alias("filings"), F.max(filed).alias("latest"), F.min_by(named, F.when(named.isNotNull(), order)).alias("landlord"), F.count("key").alias("_keyed"))
+    return sums.filter("_keyed > 0").drop("_keyed")
 
 
 def case_sizes(listings: DataFrame) -> DataFrame:
-    """Adds how many rows share the case number."""
-    return listings.withColumn("case_rows", F.count("*").over(W.partitionBy("case_number")))
+    """Adds how many rows share the case number. Cases are counted and joined back, rows without one by their number alone, so none of them has to be in one task."""
+    known, without = listings.filter("case_number is not null"), listings.filter("case_number is null")
+    counts = known.groupBy("case_number").agg(F.count("*").alias("case_rows"))
+    return known.join(counts, "case_number").select(*listings.columns, "case_rows").unionByName(without.withColumn("case_rows", F.lit(without.count()).cast("bigint")))
 
 
 def sale_targets(parcels: DataFrame, signals: DataFrame, known: DataFrame, market: str, most: int, types: tuple[str, ...] = ("tax_delinquent", "code_violation")) -> DataFrame:

@@ -148,6 +148,19 @@ def page_counts(enriched: DataFrame, q: ListingQuery) -> DataFrame:
     return total.select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / q.page_size)).cast("long").alias("pages"))
 
 
+def listing_counts(listings: DataFrame, parcels: DataFrame, signals: DataFrame, q: ListingQuery) -> DataFrame:
+    """:func:`page_counts` without what the arguments do not ask for: parcels are joined only for an owner's kind or a balance, and signals only counted, by type if a type is asked for."""
+    keys = ["parcel_number", "market"]
+    rows = listings if q.owner_type is None and q.min_balance is None else with_parcels(listings, parcels)
+    if q.has_signals is not None or q.min_signals is not None or q.signal_type is not None:
+        found = F.count_if(F.col("signal_type") == q.signal_type) if q.signal_type is not None else F.lit(0)
+        counts = signals.groupBy(*keys).agg(F.count("*").alias("signal_count"), found.alias("_of_type"))
+        rows = rows.join(counts, keys, "left").withColumn("signal_count", F.coalesce("signal_count", F.lit(0).cast("long")))
+    if q.signal_type is not None:
+        rows = rows.filter("_of_type > 0")
+    return page_counts(rows, dataclasses.replace(q, signal_type=None))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:
     """The newest row of each key, the smallest ``tie`` of equal ones; one aggregation, no sort."""
     rest = [c for c in df.columns if c not in keys]
@@ -158,7 +171,8 @@ def latest_per_key(df: DataFrame, keys: list[str], when: str, tie: str) -> DataF
 
 def source_cards(runs: DataFrame, now: Column, hours: int = 4) -> DataFrame:
     """Latest run of each source: minutes since, and whether it counts as online."""
-    newest = W.partitionBy("source_site").orderBy(F.desc("started_at"))
+    rest = [F.desc(c) for c in runs.columns if c not in ("source_site", "started_at")]  # of runs that began together always the same one
+    newest = W.partitionBy("source_site").orderBy(F.desc("started_at"), *rest)
     last = runs.withColumn("rank", F.row_number().over(newest)).filter("rank = 1").drop("rank")
     seconds = F.unix_timestamp(now) - F.unix_timestamp("started_at")
     return last.withColumn("minutes_since", F.floor(seconds / 60).cast("long")).withColumn("online", (F.col("status") == "success") & (seconds <= hours * 3600))

@@ -46,7 +46,7 @@ def registry_first_seen(t):
     return delimited.first_seen(rows, "custkey", "first_order").join(t.customer.select(F.col("c_custkey").alias("custkey")), "custkey", "left_semi").select("custkey", "first_order", "price")
 
 
-@query()
+@query("select user_id, event_type, arg_max(ts, event_id) filter (ts is not null) as seen, arg_max(value, event_id) filter (value is not null) as value from events group by 1, 2", prelude=False)
 def stream_delta_merge(t):
     """Events as a stream of deltas, merged by user and type into a versioned table."""
     spark = t.spark

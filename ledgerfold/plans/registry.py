@@ -102,7 +102,7 @@ def listings_second_page(t):
 
 @query(_ENRICH + f"select count(*) as total, greatest(1, ceil(count(*) / 50.0))::bigint as pages from r where distress_stage = 'buy_now' and signal_count > 0 and signal_count >= 2 and current_tax_balance >= 1000 and {_GATES} and property_city ilike 'nation_1%' and property_address ilike '%street%' and list_contains(list_transform(types, lambda x: x.t), 'eviction')")
 def listings_count_filtered(t):
-    return reading.page_counts(t.enriched, reading.ListingQuery(has_signals=True, min_signals=2, min_balance=1000, city="nation_1%", text="street", signal_type="eviction"))
+    return reading.listing_counts(t.listings, t.parcels, t.signals, reading.ListingQuery(has_signals=True, min_signals=2, min_balance=1000, city="nation_1%", text="street", signal_type="eviction"))
 
 
 @query(_ENRICH + f"select market, count(*) as n from r where distress_stage = 'buy_now' and coalesce(entity, false) and {_GATES} group by market")
