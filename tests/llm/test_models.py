@@ -340,9 +340,35 @@ def test_deep_pages_take_linear_time():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
-def test_thresholds_decide_on_the_supplied_pages(spark, monkeypatch):
+def test_ratios_and_not_names_decide_on_the_supplied_pages(spark, monkeypatch):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     usual = [html_extract.main_text(x) for x in pages]
-    monkeypatch.setattr(html_extract, "CONTENT", -1.0)
-    monkeypatch.setattr(html_extract, "FOREIGN", -1.0)
-    assert sum(html_extract.main_text(x) != y for x, y in zip(pages, usual, strict=True)) == len(pages)
+    changed = lambda: sum(html_extract.main_text(x) != y for x, y in zip(pages, usual, strict=True))
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "ratio", lambda sums: 1.0)
+        assert changed() > 0.9 * len(pages)
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "factor", lambda *x: 1.0)
+        assert changed() <= 0.02 * len(pages)
+
+
+P = "<p>" + "The river, the stone and the walk. " * 3 + "</p>"
+LINE = ("The river, the stone and the walk. " * 3).strip()
+CASES = {
+    "script with a slash": ("<article><h1>T</h1>" + P * 3 + "<script src=/a.js/>var x = 1;</script>" + P + "</article>", ["T", *[LINE] * 4]),
+    "table": ("<body>" + MENU + "<article><h1>Head</h1><table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>" + P + "</article>" + FOOTER + "</body>", ["Head", "a", "1", "b", "2", LINE]),
+    "recipe": ("<body>" + MENU + "<main><h1>Soup</h1><ul><li>salt</li><li>water</li><li>an onion</li></ul><div>" + P * 3 + "</div></main>" + FOOTER + "</body>", ["Soup", "salt", "water", "an onion", *[LINE] * 3]),
+    "dosage": ("<body>" + MENU + "<article><h1>Pills</h1>" + P * 2 + '<section class="recommended-dosage"><p>Two a day.</p></section></article></body>', ["Pills", LINE, LINE, "Two a day."]),
+    "feedback": ("<body>" + MENU + "<article><h1>T</h1>" + P * 2 + '</article><div class="feedback">' + "<p>I like it, really. And so on, and on, and on it goes for long.</p>" * 50 + "</div></body>", ["T", LINE, LINE]),
+    "advert inside": ("<article><h1>T</h1>" + P * 3 + '<div class="ad">Buy this, now.</div>' + P + '<div class="related-links"><p>See this too.</p></div></article>', ["T", *[LINE] * 4]),
+    "two parts": ('<body>' + MENU + '<div id="c"><div class="lead">' + P * 8 + '</div><div class="more"><p>The end, at last.</p></div></div>' + FOOTER + "</body>", [*[LINE] * 8, "The end, at last."]),
+    "ids": ("<body>" + MENU + "<div>" + "".join(P.replace("<p>", f'<p id="p{i}" class="c{i}">') for i in range(5)) + "</div>" + FOOTER + "</body>", [LINE] * 5),
+    "short article": ("<body>" + MENU + '<div class="ad">Buy this, now. It is good.</div><article><h1>T</h1><p>One short text, and no more.</p></article><footer>&copy; somebody, of somewhere. All rights, reserved.</footer></body>', ["T", "One short text, and no more."]),
+    "header of the article": ("<body><header><h2>Site</h2></header>" + MENU + "<article><header><h1>T</h1><p>By somebody</p></header>" + P * 3 + "<form><p>Mail, please.</p></form><aside>See also, this.</aside></article></body>", ["T", "By somebody", *[LINE] * 3]),
+}
+
+
+@pytest.mark.parametrize("case", list(CASES))
+def test_articles_stay_whole(case):
+    page, want = CASES[case]
+    assert html_extract.main_text(page) == "\n".join(want)
