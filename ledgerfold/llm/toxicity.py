@@ -11,7 +11,8 @@ Five small transducers read the words of a text from left to right. Each has a l
 They are composed into one machine, whose states are tuples of the parts' states and whose transitions are worked out when first taken. A matched word takes
 an arc, which is the tuple of the five outputs and the kind of match, and counts its weight times the arc's factor. The factors are fitted to labelled texts: a
 logistic model over the sums of weights by output, drawn towards the stated prior. A clause's score is the sum over its matches; a text's score comes from its worst
-clause, from all clauses and from their density, calibrated on labelled texts. Words alone never score: the arc does.
+clause, from all clauses and from their density, calibrated on labelled texts. Words alone never score: a match counts only if its arc says that the attack goes on, that someone
+is addressed or that a threat is intended.
 
 The lexicon is itself a weighted automaton, a trie of whole words and stems (a stem accepts every word that begins with it). A short list of
 fixed words seeds it; labelled texts supply the rest. Per word and per stem, occurrences in labelled texts of each label are counted (a word
@@ -52,7 +53,7 @@ MAX_LABELLED = 8_000
 ERROR = 0.01
 MIN_ODDS = 1.5
 NEGATION_REACH, INTENT_REACH, ATTACK_CLAUSES = 3, 4, 12
-#: Outputs of a match and, from before any fit, what each adds to the factor of a lone, unaddressed insult.
+#: Outputs of a match and, from before any fit, what each adds to the base factor of a match that counts.
 OUTPUTS = ("threat", "sustained", "intended", "addressed", "negated", "reported")
 PRIOR_BASE, PRIOR = 0.6, {"threat": -0.4, "sustained": 0.4, "intended": 0.8, "addressed": 0.3, "negated": -0.45, "reported": -0.45}
 #: Of a factor; a text's sum of weights in the fit; how far a fit can take a factor from the prior.
@@ -125,7 +126,17 @@ class Grammar:
         return out
 
 
+#: Outputs of which a match must have one to count at all: a word that stands alone, meant for nobody, is no evidence.
+COUNTED = ("sustained", "intended", "addressed")
+
+
+def counts(arc: tuple) -> bool:
+    return any(on for name, on in zip(OUTPUTS, arc, strict=True) if name in COUNTED)
+
+
 def arc_factor(arc: tuple, factors: dict[str, float]) -> float:
+    if not counts(arc):
+        return 0.0
     return max(LEAST_FACTOR, factors["base"] + sum(factors[name] for name, on in zip(OUTPUTS, arc, strict=True) if on))
 
 
@@ -259,7 +270,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def fit_factors(found: list[list[tuple[int, tuple, float]]], y: np.ndarray, weight: np.ndarray) -> dict[str, float]:
     """What each output adds to the factor of a match: a logistic model over the sums of weights by output, drawn towards the prior."""
-    sums = np.array([[sum(w for _, arc, w in m if k < 0 or arc[k]) for k in range(-1, len(OUTPUTS))] for m in found], float).reshape(len(found), -1)
+    sums = np.array([[sum(w for _, arc, w in m if k < 0 or arc[k]) for k in range(-1, len(OUTPUTS))] for m in ([x for x in t if counts(x[1])] for t in found)], float).reshape(len(found), -1)
     sums *= np.minimum(1.0, MOST_WEIGHT / np.maximum(sums[:, :1], 1e-9))  # a text of very many matches counts as one of many
     prior = np.array([PRIOR_BASE, *PRIOR.values()])
     scale = max(0.05, fit_logistic(sums @ prior[:, None], y, weight)[0])
@@ -267,40 +278,46 @@ def fit_factors(found: list[list[tuple[int, tuple, float]]], y: np.ndarray, weig
     return dict(zip(("base", *OUTPUTS), np.clip(b, prior - MOST_SHIFT, prior + MOST_SHIFT).tolist(), strict=True))
 
 
+def _clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The clauses of texts, their words joined by spaces."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            clause: list[str] = []
+            for w in [*TOKEN.findall((text or "").lower()), "."]:
+                if w not in ENDS:
+                    clause.append(w)
+                elif clause:
+                    out.append(" ".join(clause))
+                    clause = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["clause"])
+
+
 def _contexts(lexicon: dict[str, float]):
-    """For each word of toxic texts: occurrences, those in clauses with a match of another word, those after an intent, and whether the word matches itself."""
+    """For each word of clauses: occurrences, those in clauses with a match of another word, those after an intent, and whether the word matches itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, seen = Lexicon(lexicon), set()
+        read = Lexicon(lexicon)
         for batch in batches:
             n, near, after = Counter(), Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                clause: list[str] = []
-                for w in [*TOKEN.findall((text or "").lower()), "."]:
-                    if w not in ENDS:
-                        clause.append(w)
-                        continue
-                    if not clause or (key := hash(tuple(clause))) in seen:  # copies are no further evidence
-                        clause = []
-                        continue
-                    seen.add(key)
-                    roles = [read[x][0] for x in clause]
-                    hits, open_ = sum(r in MATCHES for r in roles), 0
-                    for x, r in zip(clause, roles, strict=True):
-                        if r in MATCHES or r == "word":  # the others have their role
-                            n[x] += 1
-                            near[x] += hits > (r in MATCHES)
-                            after[x] += open_ > 0
-                        open_ = INTENT_REACH if r == "intent" else max(0, open_ - 1)
-                    clause = []
-            yield pa.RecordBatch.from_arrays([pa.array(n), *[pa.array([c[x] for x in n], pa.int64()) for c in (n, near, after)], pa.array([read[x][0] in MATCHES for x in n], pa.bool_())], ["word", "n", "near", "after", "hit"])
+            for clause in batch.column(0).to_pylist():
+                words = clause.split(" ")
+                roles = [read[x][0] for x in words]
+                hits, open_ = sum(r in MATCHES for r in roles), 0
+                for x, r in zip(words, roles, strict=True):
+                    if r in MATCHES or r == "word":  # the others have their role
+                        n[x] += 1
+                        near[x] += hits > (r in MATCHES)
+                        after[x] += open_ > 0
+                    open_ = INTENT_REACH if r == "intent" else max(0, open_ - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *[pa.array([c[x] for x in n], pa.int64()) for c in (n, near, after)], pa.array([read[x][0] in MATCHES for x in n], pa.bool_())], ["word", "n", "near", "after", "hit"])
 
     return run
 
 
 def learn_roles(toxic: DataFrame, lexicon: dict[str, float]) -> tuple[list[str], list[str]]:
-    """Threats among the words that match, and targets among the others, by corrected binomial bounds on their contexts in toxic texts."""
-    words = toxic.mapInArrow(_contexts(lexicon), "word string, n long, near long, after long, hit boolean").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "near", "after")], F.max("hit").alias("hit"))
+    """Threats among the words that match, and targets among the others, by corrected binomial bounds on their contexts in the different clauses of toxic texts; copies are no further evidence."""
+    words = toxic.mapInArrow(_clauses, "clause string").distinct().mapInArrow(_contexts(lexicon), "word string, n long, near long, after long, hit boolean").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "near", "after")], F.max("hit").alias("hit"))
     words, _ = store(words, "toxicity-contexts")
     n, near, after, tried = words.agg(F.sum("n"), F.sum("near"), F.sum("after"), F.count("*")).first()  # four numbers
     if not n:
@@ -318,7 +335,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     """A model from labelled texts: at most ``max_labelled`` of each label, those with the smallest hashes of their ids.
 
     Labels that are null or not 0 or 1 are left out; of several labels for one id the largest counts. Without texts of both
-    labels, the seed words and a fixed calibration remain.
+    labels, as in empty tables, the seed words and a fixed calibration remain.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
@@ -377,7 +394,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
 def score_toxicity(documents: DataFrame, model: dict, *, text: str = "text", score: str = "score", keep_text: bool = True) -> DataFrame:
     """``documents`` with a score from 0 to 1 for each whole text.
 
-    Only the text counts. Null, empty and word-free texts get the score of a text in which nothing matched. Long texts are
+    Only the text counts. Null, empty and word-free texts get the score of a text in which nothing matched; texts with equal matches and lengths have equal scores. An empty table gives an empty result. Long texts are
     read to their end. Repeated rows stay repeated; other columns pass through, and a column named like the score is replaced. There is no shuffle.
     """
     shipped = json.dumps(model)

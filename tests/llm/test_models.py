@@ -66,12 +66,12 @@ def worst(text, lexicon=None, factors=toxicity.PRIOR_FACTORS):
 
 def test_toxicity_grammar():
     """Clauses count, not words: address, intent and attacks that go on raise, negation and reported speech lower."""
-    assert worst("you are an idiot.") > worst("an idiot.") > worst("he said that an idiot.") > 0
-    assert worst("not an idiot.") < worst("an idiot.")
-    assert worst('they wrote "idiot".') < worst("idiot.")
-    assert worst("i will kill you.") > 2 * worst("kill the lights.") > 0
-    assert worst("an idiot. a moron.") > worst("an idiot." + " the walk." * 20 + " a moron.")
-    assert worst("the garden.") == 0
+    assert worst("you are an idiot.") > worst("you, he said, are an idiot.") > 0
+    assert worst("you are not an idiot.") < worst("you are an idiot.")
+    assert worst('you "idiot".') < worst("you idiot.")
+    assert worst("i will kill you.") > 0
+    assert worst("an idiot. a moron.") > 0
+    assert worst("an idiot.") == worst("kill the lights.") == worst("an idiot." + " the walk." * 20 + " a moron.") == worst("the garden.") == 0
 
 
 def test_transducers_against_looking_back():
@@ -115,25 +115,34 @@ def test_threats_and_targets_are_learned(spark):
 
 
 def test_factors_are_fitted():
-    """Where lone matches occur in clean texts and attacks in toxic ones, the fit moves the factor from one to the other."""
-    alone, goes_on = (False,) * 6, (False, True, False, False, False, False)
-    found = [[(0, alone, 9.0)]] * 3000 + [[(0, alone, 3.0), (1, goes_on, 3.0)]] * 3000
-    got = toxicity.fit_factors(found, np.r_[np.zeros(3000), np.ones(3000)], np.ones(6000))
-    assert got["sustained"] > toxicity.PRIOR["sustained"] + 0.2 and got["base"] < toxicity.PRIOR_BASE
+    """Where addressed matches occur in clean texts and attacks that go on in toxic ones, the fit moves the factor from one to the other; matches that don't count change nothing."""
+    alone, told, goes_on = (False,) * 6, (False, False, False, True, False, False), (False, True, False, False, False, False)
+    found, y = [[(0, told, 9.0)]] * 3000 + [[(0, told, 3.0), (1, goes_on, 3.0)]] * 3000, np.r_[np.zeros(3000), np.ones(3000)]
+    got = toxicity.fit_factors(found, y, np.ones(6000))
+    assert got["sustained"] > toxicity.PRIOR["sustained"] + 0.2 and got["addressed"] < toxicity.PRIOR["addressed"]
+    assert toxicity.fit_factors([[(0, alone, 50.0), *m] for m in found], y, np.ones(6000)) == got
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data here")
-def test_the_grammar_decides_on_the_supplied_texts(spark):
-    """With every arc counting the same, more clean texts are called toxic."""
+def test_the_grammar_decides_on_the_supplied_texts(spark, monkeypatch):
+    """With every match counting the same, and factors and calibration fitted to that, more held-out texts are judged wrong; words alone never score."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
-    model = toxicity.train(toxicity.training_rows(docs), toxicity.training_rows(labels))
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").withColumn("held", toxicity.id_bucket(F.col("doc_id"), 4) == 2)
-    flat = model | {"factors": {k: float(k == "base") for k in model["factors"]}}
-    called = {k: {r.doc_id for r in toxicity.score_toxicity(known, m, keep_text=False).filter("score >= 0.3").select("doc_id").collect()} for k, m in (("grammar", model), ("flat", flat))}
-    held = {r.doc_id: r.toxic for r in known.filter("held").select("doc_id", "toxic").collect()}
-    wrong = {k: sum(held[i] == 0 for i in x if i in held) for k, x in called.items()}
-    assert len(called["grammar"] ^ called["flat"]) >= 5 and wrong["grammar"] < wrong["flat"] and wrong["grammar"] <= 3
-    assert sum(held[i] == 1 for i in called["grammar"] if i in held) >= 0.94 * sum(held.values())
+    known = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.id_bucket(F.col("doc_id"), 4) == 2)
+
+    def run():
+        model = toxicity.train(toxicity.training_rows(docs), toxicity.training_rows(labels))
+        rows = toxicity.score_toxicity(known, model, keep_text=False).select("toxic", (F.col("score") >= 0.3).cast("int").alias("called")).collect()
+        return model, sum(r.called and not r.toxic for r in rows), sum(r.toxic and not r.called for r in rows), sum(r.toxic for r in rows)
+
+    model, false, missed, toxic = run()
+    assert false <= 1 and missed <= 0.07 * toxic
+    texts = {"idiot": 0, "The idiot walked home. It was late": 0, "kill": 0, "": 0, "you are an idiot": 1, "i will kill you": 1, "Du idiot. So dumm bist du, du moron": 1}
+    scores = {r.text: r.score for r in toxicity.score_toxicity(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    assert all(scores[t] > 0.8 if want else scores[t] < 0.1 for t, want in texts.items()), scores
+    monkeypatch.setattr(toxicity, "counts", lambda arc: True)
+    monkeypatch.setattr(toxicity, "arc_factor", lambda arc, factors: 1.0)
+    _, flat_false, flat_missed, _ = run()
+    assert flat_false > false
 
 
 def test_toxic_stems_need_evidence():
