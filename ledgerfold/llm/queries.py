@@ -110,6 +110,13 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of :func:`op4_lm_score` that SQL can give, from the same operator without vectors."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score_texts(documents, lm_score.training_rows(documents), shortlist=0)
+    return scored.select("doc_id", (id_bucket(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -223,7 +230,19 @@ select doc_id, n_features::bigint as n_features, weight, score, case when n_word
 """
 
 
+LM_BASE_SQL = rf"""
+with {CRC_TABLE},
+d as (select doc_id, {_crc32_sql("coalesce(doc_id::varchar, '')")} % 10 = 0 as held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents, crc),
+t as (select doc_id, held_out, unnest(ws) as w from d union all select doc_id, held_out, '' from d),
+c as (select w, count(*) as c from t where not held_out group by 1),
+a as (select sum(c) as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, any_value(n)::bigint as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 3) as base_score
+from t left join c on t.w = c.w, a group by doc_id, held_out
+"""
+
+
 QUERIES = {
+    "lm_base_scores": lm_base_scores,
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
     "op3_quality_rules": op3_quality_rules,
@@ -238,4 +257,4 @@ QUERIES = {
     "op12_spelling_variants": op12_spelling_variants,
     "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op3_quality_rules": _op3_sql(), "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLES = {"op3_quality_rules": _op3_sql(), "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mix": OP9_SQL, "op12_spelling_variants": OP12_SQL, "lm_base_scores": LM_BASE_SQL, "op13_importance_resampling": OP13_SQL}
