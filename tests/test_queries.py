@@ -1,4 +1,4 @@
-"""Every query against its SQL on the smallest tables."""
+"""Every query against its SQL, on the tables of sf0.01 (or of the folder in LEDGERFOLD_SF)."""
 
 import datetime
 import math
@@ -9,7 +9,7 @@ import pytest
 
 from ledgerfold.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("LEDGERFOLD_SF", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 
