@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ CITIES = (
     "newburgh heights,north randall,north royalton,beachwood,brook park,chagrin falls,cuyahoga heights,fairview park,gates mills,glenwillow,hunting valley,linndale,moreland hills,oakwood village,"
     "orange village,valley view,walton hills,woodmere,east cleveland,cleveland heights,strongsville,olmsted twp,oh"
 ).split(",")
-# The entities that occur in addresses.
-ENTITIES = {"&amp;": "&", "&#39;": "'", "&apos;": "'", "&quot;": '"', "&nbsp;": " ", "&lt;": "<", "&gt;": ">"}
+#: Names of characters in HTML, as Python has them; those that may stand without a semicolon have none here.
+ENTITIES = json.dumps(html5)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -34,7 +36,24 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """Character references of HTML decoded, named (the longest name that fits, where the semicolon is missing) and numbered; what is none stays."""
+
+    def number(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);?$", 1)
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
+        fits = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def named(ref: Column) -> Column:
+        names, name = F.from_json(F.lit(ENTITIES), "map<string,string>"), F.substring(ref, 2, 40)
+        # without its semicolon a name may run into the word behind it
+        lengths = F.sequence(F.greatest(F.length(name), F.lit(1)), F.lit(1), F.lit(-1))
+        hit = F.get(F.filter(lengths, lambda n: F.element_at(names, name.substr(F.lit(1), n)).isNotNull()), F.lit(0))
+        return F.when(hit.isNotNull(), F.concat(F.element_at(names, name.substr(F.lit(1), hit)), name.substr(hit + 1, F.lit(40)))).otherwise(ref)
+
+    part = lambda x: F.when(x.rlike("^&#[xX]?[0-9A-Fa-f]+;?$"), number(x)).when(x.rlike("^&[A-Za-z]"), named(x)).otherwise(x)
+    parts = F.regexp_extract_all(c, F.lit("&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, part), "")).otherwise(c)
 
 
 def _known(mapping: dict[str, str], key: Column) -> Column:

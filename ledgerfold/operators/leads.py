@@ -58,6 +58,31 @@ def refreshing(leads: DataFrame, signals: DataFrame, rule: LeadRule, now: Column
     return leads.filter((F.col("status") == "active") & (F.col("signal_type") == rule.signal_type)).join(seen, keys).select("id", F.to_date("seen").alias("seen"))
 
 
+@dataclasses.dataclass(frozen=True)
+class LeadSource:
+    """Where a market's leads of one type have their address and owner from: the parcel (``spine``) or a key of the signal's payload."""
+
+    address_source: str
+    state: str
+    address_key: str = "property_location"
+    owner_key: str | None = None
+
+
+def lead_fragments(source: LeadSource, payload: Column, situs: Column, owner: Column) -> dict[str, Column]:
+    """Address, city, zip and owner of a lead. The city stands before the state, the zip ends the address; both are looked for in the parcel's address or in the payload's, as the source says."""
+    told = F.get_json_object(payload, f"$.{source.address_key}")
+    if source.address_source == "spine":
+        place, address, named = situs, F.coalesce(F.nullif(situs, F.lit("")), told), owner
+        named = F.coalesce(owner, F.get_json_object(payload, f"$.{source.owner_key}")) if source.owner_key else owner
+    elif source.address_source == "payload":
+        place = address = told
+        named = F.get_json_object(payload, f"$.{source.owner_key}") if source.owner_key else F.lit(None).cast("string")
+    else:
+        raise ValueError(f"unknown address source {source.address_source!r}")
+    part = lambda pattern: F.when(place.rlike(pattern), F.regexp_extract(place, pattern, 1))
+    return {"address": address, "city": F.initcap(part(rf",\s*([A-Za-z .]+?),\s*{source.state}")), "zip": part(r"([0-9]{5})(?:-[0-9]{4})?\s*$"), "owner": named}
+
+
 def blight_tiers(signals: DataFrame, now: Column, fresh_days: int = 4) -> DataFrame:
     """Per parcel: tickets, their balance, and the tier: A from two tickets and 2000, B from two and 500, else C."""
     fresh = signals.filter((F.col("signal_type") == "blight_violation") & (F.col("last_seen_at") >= now - F.make_dt_interval(F.lit(fresh_days))))

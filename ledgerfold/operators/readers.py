@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.names import name_confidence
+
 # ---- filters of single sources, each a condition that is true for rows that are taken. The words and bounds of the sources.
 
 MOST_UNITS = 5
@@ -115,6 +117,26 @@ def owner_explosions(rows: DataFrame, cap: int = 5, anchors: tuple[str, ...] = (
     return by_name.groupBy("case_number").agg(F.count_distinct(owner).alias("owners")).filter(F.col("owners") > cap)
 
 
+def reresolve(rows: DataFrame, *, cap: int = 5, least: float = 0.75, high: float = 0.9, anchors: tuple[str, ...] = ("composite", "address_anchor")) -> DataFrame:
+    """Adds ``action`` (keep_confirmed, retier, hide, retire, noop), ``new_confidence`` and ``new_score`` for matches of estates, judged anew against the parcels' owners of now.
+
+    Reads match_method, match_confidence, match_score, decedent_name, owner_name, case_count (parcels of the case) and explosion (see :func:`owner_explosions`). Matches by address hold; in a building of many units only where the
+    owner is the decedent. Matches by name need an owner who agrees, in a case that does not lead to many people.
+    """
+    c = F.col
+    anchored = F.coalesce(c("match_method").isin(*anchors), F.lit(False))
+    known = (F.coalesce(F.btrim("decedent_name"), F.lit("")) != "") & (F.coalesce(F.btrim("owner_name"), F.lit("")) != "")
+    many = F.coalesce(c("case_count"), F.lit(0)) > cap
+    rows = rows.withColumn("_agree", F.when(known, name_confidence(c("decedent_name"), c("owner_name"))))
+    agree, hidden = c("_agree"), c("match_confidence").eqNullSafe("unverified")
+    by_address = F.when(many & ~known, "hide").when(many & (agree < least), "retire").when(c("match_confidence").eqNullSafe("confirmed"), "noop").otherwise("keep_confirmed")
+    by_name = F.when(c("explosion"), "retire").when(~known, F.when(many, "retire").when(hidden, "noop").otherwise("hide")).when(agree < least, "retire").otherwise("retier")
+    out = rows.withColumn("action", F.when(anchored, by_address).otherwise(by_name))
+    tier = F.when(c("action") == "keep_confirmed", "confirmed").when(c("action") == "retier", F.when(agree >= high, "probable").otherwise("unverified")).when(c("action") == "hide", "unverified").when(c("action") == "noop", c("match_confidence"))
+    score = F.when(c("action") == "keep_confirmed", F.greatest(F.coalesce(c("match_score").cast("double"), F.lit(0.0)), F.lit(0.95))).when(c("action") == "retier", agree)
+    return out.withColumns({"new_confidence": tier, "new_score": score}).drop("_agree")
+
+
 # ---- the verdict on a listing
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import items, merging, readers
+from ledgerfold.functions import addresses
+from ledgerfold.operators import items, leads, merging, readers
 from ledgerfold.plans.registry import _ENTITY, _LABEL, _STACK, D, query
+from ledgerfold.sources import property_pages as pp
 
 _WIDE = """
 , wl as (select l.*, case when orderkey % 6 = 0 then property_address || ' #3/4 ~*é, ' || property_city || ', OH' else property_address end as address, case when orderkey % 4 > 0 then lpad((orderkey % 99999)::varchar, 5, '0') end as zip, case when orderkey % 8 > 0 then property_city else '' end as city from listings l),
@@ -132,3 +134,69 @@ def overlay_overwriting(t):
     old = t.parcels.select("parcel_number", F.when(F.col("custkey") % 2 == 0, F.col("custkey") * 10).cast("double").alias("price"), F.lit("1995-01-01").cast("date").alias("day"))
     new = t.sales.groupBy("parcel_number").agg(F.when(F.max("price") > 60000, F.max("price")).cast("double").alias("price"), F.max("sale_date").alias("day"))
     return merging.overlay_changed(old, new, "parcel_number", ["price", "day"], keep_old=False)
+
+
+@query("""
+select o_orderkey as k, 'LOT ' || o_custkey || ' & ' || o_orderkey as legal_description, case when o_orderkey % 3 > 0 then (o_custkey % 9000 + 1000)::varchar end as land_use_code, case when o_orderkey % 3 > 0 then '1-FAMILY' end as land_use_description, case when o_orderkey % 4 = 0 then 'PUBLIC' end as util_water, case when o_orderkey % 4 = 0 then null when o_orderkey % 2 = 0 then 'YES' end as util_gas,
+  o_orderkey % 5 > 0 as present, case when o_orderkey % 5 > 0 then greatest(o_orderdate::date, date '1994-03-04') end as last_date, case when o_orderkey % 5 > 0 then o_custkey * 1000.5 end::double as last_price, case when o_orderkey % 5 > 0 then 2 else 0 end as transfers from orders""", prelude=False)
+def property_pages(t):
+    """Orders as pages of a property register: labels with and without values, codes with descriptions, histories with and without transfers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    p = lambda *xs: F.concat(*[F.concat(F.lit("<p>"), x if not isinstance(x, str) else F.lit(x), F.lit("</p>")) for x in xs])
+    use = F.when(k % 3 > 0, F.concat(text(c % 9000 + 1000), F.lit(" - 1-FAMILY"))).otherwise("Top")
+    tail = F.when(k % 4 == 0, p("Gas", "Water", "PUBLIC")).when(k % 2 == 0, p("Water", "Gas", "YES")).otherwise(p("Water", "Gas", "Sewer", "View Map"))
+    history = F.when(k % 5 == 0, p("No Information Found", "1/1/1999")).otherwise(F.concat(p(F.concat(F.lit("Transfer Date: "), F.date_format("o_orderdate", "M/d/yyyy"))), p(F.concat(F.lit("Sales Amt: $"), F.format_number(c * 1000.5, 2))), p("Transfer Date: 3/4/1994", "Sales Amt: $7")))
+    page = F.concat(F.lit('<h1>Gas</h1><p>1/2/2003</p><div class="dataBody">'), p("Description", F.concat(F.lit("LOT "), text(c), F.lit(" &amp; "), text(k)), "Land Use"), p(use), tail, F.lit("</div><h3>Transfer History</h3>"), history)
+    pages = t.orders.select(k.alias("k"), page.alias("page"))
+    read = pages.select("k", pp.label_values(F.col("page")).alias("f"), pp.transfer_history(F.col("page")).alias("h"))
+    return read.select("k", *[f"f.{c}" for c in ("legal_description", "land_use_code", "land_use_description", "util_water", "util_gas")], "h.*")
+
+
+@query(f"""
+with d as (select distinct o_orderdate::date as day from orders) select day, case dayofweek(day) when 5 then 'mortgage_foreclosure' else 'tax_delinquent_foreclosure' end as signal_type from d where day >= {D} and dayofweek(day) in (2, 5) and day(day) % 3 > 0""", prelude=False)
+def sale_calendar(t):
+    """A calendar a month, with an entry on the days that have orders but for every third."""
+    days = t.orders.select(F.to_date("o_orderdate").alias("day")).distinct()
+    cell = F.concat(F.lit("<div class='CALBOX' dayid='"), F.date_format("day", "MM/dd/yyyy"), F.lit("'>"), F.when(F.dayofmonth("day") % 3 > 0, "<span class='CALTEXT'>Sale</span>").otherwise("&nbsp;"), F.lit("</div>"))
+    months = days.groupBy(F.trunc("day", "month").alias("month")).agg(F.array_join(F.array_sort(F.collect_list(cell)), "\n").alias("page"))  # a month has at most 31 cells
+    return months.select(F.explode(pp.calendar_sales(F.col("page"), t.as_of)).alias("s")).select("s.*")
+
+
+@query("select n_nationkey as k, 'São ' || n_name || ' & Söhne''s' as city, upper(left(n_name, 1)) || lower(substr(n_name, 2)) || ' ½' as county from nation", prelude=False)
+def entity_names(t):
+    city = F.concat(F.lit(" s&atilde;o  "), "n_name", F.lit(" &AMP s&#xF6;hne&apos;s"))
+    nation = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 2, 99)))
+    same = F.replace(addresses.canonical_city(city), nation, F.col("n_name"))
+    return t.nation.select(F.col("n_nationkey").alias("k"), same.alias("city"), addresses.canonical_county(F.concat("n_name", F.lit(" &frac12; COUNTY "))).alias("county"))
+
+
+@query("""
+, x as (select s.id, p.owner_name as owner, s.id % 2 = 0 as spine, case when s.id % 3 > 0 then p.situs_address || ', ' || case when s.id % 4 < 2 then 'OAK' else replace(p.property_city, '_', ' no ') end || ' park, OH 4' || lpad((s.id % 9999)::varchar, 4, '0') || case when s.id % 5 = 0 then '-1234 ' else '' end when s.id % 3 = 0 then '' end as place, 'OWNER ' || s.id as told
+  from signals s join parcels p on s.parcel_number = p.parcel_number and s.market = p.market)
+select id, case when spine then coalesce(nullif(place, ''), 'at ' || id) else coalesce(place, '') end as address, case when place <> '' and id % 4 < 2 then 'Oak Park' end as city, case when place <> '' then '4' || lpad((id % 9999)::varchar, 4, '0') end as zip, case when spine then coalesce(owner, told) else told end as owner from x""")
+def lead_projection(t):
+    """Even signals take their parcel's address, odd ones what the payload says; cities with digits are none."""
+    k = F.col("id")
+    joined = t.signals.select("id", "parcel_number", "market").join(t.parcels.select("parcel_number", "market", "situs_address", "owner_name", "property_city"), ["parcel_number", "market"])
+    place = F.when(k % 3 > 0, F.concat("situs_address", F.lit(", "), F.when(k % 4 < 2, "OAK").otherwise(F.replace("property_city", F.lit("_"), F.lit(" no "))), F.lit(" park, OH 4"), F.lpad((k % 9999).cast("string"), 4, "0"), F.when(k % 5 == 0, "-1234 ").otherwise(""))).otherwise("")
+    told = F.when(k % 2 == 0, F.concat(F.lit("at "), k.cast("string"))).otherwise(F.coalesce(place, F.lit("")))
+    rows = joined.withColumns({"place": place, "payload": F.to_json(F.struct(told.alias("property_location"), F.concat(F.lit("OWNER "), k.cast("string")).alias("name")))})
+    spine, payload = (leads.lead_fragments(leads.LeadSource(s, "OH", owner_key="name"), F.col("payload"), F.col("place"), F.col("owner_name")) for s in ("spine", "payload"))
+    return rows.select("id", *[F.when(k % 2 == 0, spine[c]).otherwise(payload[c]).alias(c) for c in ("address", "city", "zip", "owner")])
+
+
+@query("""
+, r as (select l.*, p.owner_name, case orderkey % 5 when 0 then 'composite' when 1 then 'address_anchor' when 2 then 'name_match' end as method, case orderkey % 7 when 0 then null when 1 then ' ' when 2 then upper(p.owner_name) else 'someone else' end as decedent, orderkey % 9 as case_count, orderkey % 11 = 0 as explosion, orderkey % 100 / 100 as match_score
+  from listings l left join parcels p on l.parcel_number = p.parcel_number and l.market = p.market),
+ k as (select *, coalesce(method, '') in ('composite', 'address_anchor') as anchored, trim(coalesce(decedent, '')) <> '' and trim(coalesce(owner_name, '')) <> '' as known, lower(decedent) = lower(owner_name) as agree, case_count > 5 as many from r),
+ a as (select *, case when anchored then case when many and not known then 'hide' when many and not agree then 'retire' when match_confidence = 'confirmed' then 'noop' else 'keep_confirmed' end
+   when explosion then 'retire' when not known then case when many then 'retire' when match_confidence = 'unverified' then 'noop' else 'hide' end when not agree then 'retire' else 'retier' end as action from k)
+select id, action, case action when 'keep_confirmed' then 'confirmed' when 'retier' then 'probable' when 'hide' then 'unverified' when 'noop' then match_confidence end as new_confidence, case action when 'keep_confirmed' then greatest(match_score, 0.95) when 'retier' then 1.0 end::double as new_score from a""")
+def reresolution(t):
+    k = F.col("orderkey")
+    rows = t.listings.join(t.parcels.select("parcel_number", "market", "owner_name"), ["parcel_number", "market"], "left").withColumns({
+        "match_method": F.when(k % 5 == 0, "composite").when(k % 5 == 1, "address_anchor").when(k % 5 == 2, "name_match"), "decedent_name": F.when(k % 7 == 1, " ").when(k % 7 == 2, F.upper("owner_name")).when(k % 7 > 2, "someone else"),
+        "case_count": k % 9, "explosion": k % 11 == 0, "match_score": k % 100 / 100,
+    })
+    return readers.reresolve(rows).select("id", "action", "new_confidence", "new_score")
