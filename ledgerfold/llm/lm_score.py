@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ledgerfold.llm.common import drop, id_bucket, store
 
 HOT_WORDS = 400_000
-WIDTH, BATCH, BUFFER, RATE = 24, 256, 1 << 18, 0.1
+WIDTH, BATCH, BUFFER, RATE = 16, 256, 1 << 18, 0.1
 #: Noise words and noise classes a batch.
 SHARED = 128
 ROUNDS = 4
@@ -50,7 +50,7 @@ OTHER, END = 0, 1
 
 def least_count(total: int) -> int:
     """Occurrences from which a word has vectors of its own, for a corpus of so many tokens."""
-    return max(3, math.ceil(math.sqrt(total) / 100))
+    return max(3, math.ceil(math.sqrt(total) / 50))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
