@@ -146,7 +146,7 @@ PRIOR_FACTORS = {"base": PRIOR_BASE, **PRIOR}
 class Lexicon(dict):
     """Role and weight of a word, looked up in the trie of words and stems and remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
     PLAIN = ("word", 0.0)
 
     def __init__(self, learned: dict[str, float], threats: set[str] = frozenset(), targets: set[str] = frozenset()):
