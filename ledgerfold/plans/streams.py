@@ -49,7 +49,7 @@ def id_walk_stream(t):
     cases = cases.select(F.col("o_orderkey").alias("number"), F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").cast("double").alias("amount"), F.floor(F.col("o_orderkey") / 20_000).alias("bin"))
     cases.repartition(4, "bin").write.partitionBy("bin").parquet(f"{path}/landed")
     for _ in range(2):  # the second start finds nothing new
-        stream = walk.walk_ids(t.spark, f"{path}/landed", "number long, amount double", f"{path}/progress/at", id="number", scope={"kind": "O"}, misses=25, max_ids=10_000_000, bin_size=20_000)
+        stream = walk.walk_ids(t.spark, f"{path}/landed", "number long, amount double", f"{path}/progress/at", id="number", scope={"kind": "O"}, start=-1, misses=25, max_ids=10_000_000, bin_size=20_000)
         stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema("number long, amount double").parquet(f"{path}/out")
 
