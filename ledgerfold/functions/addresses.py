@@ -20,12 +20,13 @@ STREET_TYPES = {
 DIRECTIONS = {"north": "N", "n": "N", "south": "S", "s": "S", "east": "E", "e": "E", "west": "W", "w": "W", "northeast": "NE", "ne": "NE", "northwest": "NW", "nw": "NW", "southeast": "SE", "se": "SE", "southwest": "SW", "sw": "SW"}
 SHORT_DIRECTIONS = ["n", "s", "e", "w", "ne", "nw", "se", "sw"]
 UNITS = ["apt", "apartment", "unit", "suite", "ste", "bldg", "building"]
-CITIES = (
-    "cleveland,lakewood,parma,shaker heights,euclid,garfield heights,maple heights,westlake,north olmsted,brooklyn,berea,bedford,bedford heights,brecksville,broadview heights,independence,mayfield heights,"
-    "middleburg heights,olmsted falls,parma heights,pepper pike,richmond heights,rocky river,seven hills,solon,south euclid,university heights,warrensville heights,highland heights,mayfield village,"
-    "newburgh heights,north randall,north royalton,beachwood,brook park,chagrin falls,cuyahoga heights,fairview park,gates mills,glenwillow,hunting valley,linndale,moreland hills,oakwood village,"
-    "orange village,valley view,walton hills,woodmere,east cleveland,cleveland heights,strongsville,olmsted twp,oh"
-).split(",")
+CITIES = [
+    "cleveland", "lakewood", "parma", "shaker heights", "euclid", "garfield heights", "maple heights", "westlake", "north olmsted", "brooklyn", "berea", "bedford", "bedford heights", "brecksville",
+    "broadview heights", "independence", "mayfield heights", "middleburg heights", "olmsted falls", "parma heights", "pepper pike", "richmond heights", "rocky river", "seven hills", "solon",
+    "south euclid", "university heights", "warrensville heights", "highland heights", "mayfield village", "newburgh heights", "north randall", "north royalton", "beachwood", "brook park",
+    "chagrin falls", "cuyahoga heights", "fairview park", "gates mills", "glenwillow", "hunting valley", "linndale", "moreland hills", "oakwood village", "orange village", "valley view",
+    "walton hills", "woodmere", "east cleveland", "cleveland heights", "strongsville", "olmsted twp", "oh",
+]
 #: Names of characters in HTML, as Python has them; those that may stand without a semicolon have none here.
 ENTITIES = json.dumps(html5)
 
