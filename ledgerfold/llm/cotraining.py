@@ -243,7 +243,10 @@ def cotrain(pool: DataFrame, gold: Vectors, y: np.ndarray, held: Vectors, held_y
 def train(
     documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", quality: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS
 ) -> dict | None:
-    """The fitted model; None where either label has fewer than two texts to learn from or to calibrate on."""
+    """The fitted model; None where either label has fewer than two texts to learn from or to calibrate on, as in empty tables.
+
+    Of several labels for one id the smallest counts. The exchange is fitted in blocks of each task and averaged, so the weights depend, slightly, on how the rows are split.
+    """
     known = labels.select(F.col(doc_id).alias("id"), F.col(quality).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     order = F.xxhash64("id", F.lit(23))
     picked = known.filter("label = 0").orderBy(order, "id").limit(max_labelled).unionByName(known.filter("label = 1").orderBy(order, "id").limit(max_labelled))
@@ -265,7 +268,7 @@ def classify(documents: DataFrame, model: dict | None, *, text: str = "text", so
     """``documents`` without their text, with content_score, meta_score and score: probabilities of label 1 by either view and by both.
 
     Texts are read whole; null and empty texts have no words and are scored by what remains. Null sources and languages are values of their own. Without a
-    model all scores are 0.5. Other columns pass through; columns named like the scores are replaced. Repeated rows stay repeated.
+    model all scores are 0.5. Other columns pass through; columns named like the scores are replaced. Repeated rows stay repeated; equal rows have equal scores. An empty table gives an empty result.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     as_bytes = documents.withColumn(text, F.col(text).cast("binary")).withColumns({source: F.col(source).cast("string"), lang: F.col(lang).cast("string")})

@@ -327,7 +327,7 @@ def extract_main_text(pages: DataFrame, *, html: str = "html", text: str = "text
     Blocks come in page order, one a line; character references are decoded, white space inside a block becomes one space. A
     null or empty page, or one without text, gives ''. Pages that end inside a tag lose that tag only. Nothing
     is cut from long pages. Repeated rows stay repeated; other columns pass through, and columns named like the
-    two results are replaced. No row depends on another: there is no shuffle.
+    two results are replaced. Of elements that count alike the smallest, then the innermost, is the article. An empty table gives an empty result. No row depends on another: there is no shuffle.
     """
 
     def start():
