@@ -331,7 +331,7 @@ def _star(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percen
 
 
 def _block_likely(percent: int):
-    """Rows (doc, group, left, sig) of one left and one right block: each that has a likely partner in another group, with the smallest row it is so connected to."""
+    """Rows (doc, group, left, sig) of one left and one right block: each that has a likely partner in another group (b), with the smallest id it is so connected to (a)."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sig, docs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1), rows["doc"].to_numpy()
@@ -355,7 +355,9 @@ def _block_likely(percent: int):
             of_a, of_b = new_a, new_b
         order = np.concatenate([a, b])
         label, keep = np.concatenate([of_a, of_b]), np.concatenate([can.any(axis=1), can.any(axis=0)])
-        return pd.DataFrame({"a": docs[order[label[keep]]], "b": docs[order[keep]]}, dtype="int64")
+        found = pd.DataFrame({"label": label[keep], "b": docs[order[keep]]}, dtype="int64")
+        found["a"] = found.groupby("label")["b"].transform("min")
+        return found.loc[found["a"] != found["b"], ["a", "b"]].drop_duplicates()
 
     return run
 
@@ -390,11 +392,21 @@ def _in_blocks(apart: DataFrame, task_docs: int, task_items: int) -> DataFrame:
     return left.unionByName(right)
 
 
+def _through_hubs(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a < b) with the same components: each b keeps its smallest a, and its other ones are tied to that, which many documents do alike.
+
+    A document has one a for each task that it was in, so what is gathered for one is bounded by its bands times the blocks of a bucket.
+    """
+    hubs = edges.groupBy("b").agg(F.collect_set("a").alias("hubs")).select("b", "hubs", F.array_min("hubs").alias("a"))
+    return hubs.select("a", F.explode(F.array_append(F.array_remove("hubs", F.col("a")), F.col("b"))).alias("b")).distinct()
+
+
 def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, task_docs: int, task_items: int) -> DataFrame:
     """Links of what is still apart. ``apart``: bucket, doc, n, group, and ``rest`` for what is held against all of its bucket."""
     signed = _in_blocks(apart, task_docs, task_items).join(members.select("doc", "sig"), "doc")
     likely, _ = store(signed.groupBy("bucket", "i", "j").applyInPandas(_block_likely(percent), "a long, b long"), "near-likely")
-    clusters = components(likely).select(F.col("id").alias("doc"), F.col("component").alias("bucket"))
+    edges, _ = store(_through_hubs(_through_hubs(likely)), "near-edges")
+    clusters = components(edges).select(F.col("id").alias("doc"), F.col("component").alias("bucket"))
     again, _ = store(_apart(apart.select("doc", "n", "group").distinct().join(clusters, "doc")), "near-apart")
     return _in_blocks(again, task_docs, task_items).join(texts, "doc").groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
 

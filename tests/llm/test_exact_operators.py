@@ -227,6 +227,39 @@ def test_what_is_apart_is_compared_in_blocks(spark):
     assert all(want[i] == want[c] for i, c in got.items())
 
 
+def test_a_group_that_shares_many_buckets_gives_few_edges(spark, monkeypatch):
+    """Near copies below the threshold meet in bucket after bucket and block after block: their edges follow their number, and not their buckets and blocks."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        base = [f"w{j}" for j in range(100)]
+        for at in rng.sample(range(100), 2):
+            base[at] = f"own{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(100 + i, rows[i][1] + " more") for i in range(4)]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc long, text binary")
+    apart = spark.createDataFrame([(b, i, 98, i, True) for b in range(8) for i, _ in rng.sample(rows, 50)] + [(9, i, 98, i, True) for i, _ in rows], "bucket long, doc long, n long, group long, rest boolean")
+    sketch = superminhash._sketch(3, *superminhash.plan(0.85))
+    members = texts.mapInArrow(sketch, "doc long, n long, s1 long, s2 long, bands array<long>, sig binary").select("doc", "sig")
+    edges, real = [], superminhash.components
+    monkeypatch.setattr(superminhash, "components", lambda x: edges.append(x.filter("a <> b").distinct().count()) or real(x))
+    links = superminhash._rest(apart, members, texts, 3, 85, 30, 10**6)
+    got = {r.id: r.component for r in components(links).collect()}
+    want = {i: g for i, (_, g) in expected_groups(rows, 3, 85).items()}
+    sizes = collections.Counter(want.values())
+    assert got == {i: g for i, g in want.items() if sizes[g] > 1}
+    assert len(edges) == 1 and edges[0] <= 1.5 * len(rows)
+
+
+def test_edges_through_hubs_join_the_same(spark):
+    rng = random.Random(9)
+    for n in (5, 150):
+        edges = spark.createDataFrame([tuple(sorted(rng.sample(range(100), 2))) for _ in range(n)], "a long, b long")
+        few = superminhash._through_hubs(edges)
+        assert {tuple(r) for r in components(few).collect()} == {tuple(r) for r in components(edges).collect()}
+        assert few.filter("a >= b").count() == 0 and few.count() <= edges.distinct().count()
+
+
 def test_thresholds_beyond_a_signature_are_refused():
     with pytest.raises(ValueError, match="bands"):
         superminhash.plan(0.03)
