@@ -38,12 +38,12 @@ from ledgerfold.llm.common import drop, id_bucket, store
 HOT_WORDS = 400_000
 WIDTH, BATCH, BUFFER, RATE = 16, 256, 1 << 18, 0.1
 #: Noise words and noise classes a batch.
-SHARED = 128
+SHARED, SHARED_CLASSES = 96, 32
 ROUNDS = 4
 ADD = 0.1
 FLUSH = 200_000
 #: Rows of parameters that travel together; tokens scored at once; largest matrix of scores.
-SLICE, CHUNK, CELLS = 4096, 1 << 17, 1 << 19
+SLICE, CHUNK, CELLS = 4096, 1 << 17, 1 << 17
 #: The first two outcomes; the words follow.
 OTHER, END = 0, 1
 
@@ -129,7 +129,7 @@ class Model:
         step = max(1, CELLS // len(self.k))
         for at in (slice(i, i + step) for i in range(0, len(w), step)):
             out[at] = _log_share(hidden[at] @ self.k.T + self.d, of[at])
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.min_scalar_type(len(self.k))), kind="stable")  # small integers are sorted by radix
         cuts = np.flatnonzero(np.diff(of[order])) + 1
         for group in np.split(order, cuts):  # one matrix product a class
             a, z = self.starts[of[group[0]]], self.ends[of[group[0]]]
@@ -149,7 +149,10 @@ def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.exp(-np.clip(x, -30, 30))
+    """The logistic function; ``x`` is overwritten."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -157,16 +160,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _add_rows(to: np.ndarray, squares: np.ndarray, order: np.ndarray, rows: np.ndarray, starts: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """An Adagrad step on ``rows``, each of which may occur often in ``grad``."""
     g = np.add.reduceat(grad[order], starts, axis=0)
-    squares[rows] += g * g
-    to[rows] -= rate * g / np.sqrt(squares[rows])
+    s = squares[rows]
+    s += g * g
+    squares[rows] = s
+    g *= rate
+    g /= np.sqrt(s, out=s)
+    to[rows] -= g
 
 
 def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order by row, the rows, where each begins and how often it occurs."""
-    order = np.argsort(at, kind="stable")
+    order = at.argsort()
     sorted_at = at[order]
-    starts = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    return order, sorted_at[starts], starts, np.diff(np.r_[starts, len(at)])
+    new = np.ones(len(at) + 1, bool)
+    np.not_equal(sorted_at[1:], sorted_at[:-1], out=new[1:-1])
+    cuts = new.nonzero()[0]
+    starts = cuts[:-1]
+    return order, sorted_at[starts], starts, cuts[1:] - starts
 
 
 class Trainer:
@@ -178,17 +188,23 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int, rate: float):
         self.m, self.rng, self.rate = model, np.random.default_rng(seed), rate
-        self.squares = {x: np.ones_like(getattr(model, x)) for x in Model.NAMES}
+        # vectors of outcomes with their biases as last column, so that one step moves both; the model has views of them
+        self.joined = {x: np.column_stack([getattr(model, x), getattr(model, y)]) for x, y in (("w", "b"), ("k", "d"))}
+        model.w, model.b, model.k, model.d = (view for x in ("w", "k") for view in (self.joined[x][:, :-1], self.joined[x][:, -1]))
+        self.squares = {"e": np.ones_like(model.e), "c": np.ones_like(model.c)} | {x: np.ones_like(y) for x, y in self.joined.items()}
         self.hits = {x: np.zeros(len(model.e), np.int32) for x in ("e", "w")}
         self.seen = 0
         p = model.unigram / model.unigram.sum()
         whole = np.add.reduceat(p, model.starts)
-        self.log_class, self.class_upto = np.log(whole).astype(np.float32), np.cumsum(whole)
+        # what an outcome's score must exceed: the logarithm of how often it comes as noise in a batch
+        size, class_size = math.log(SHARED), math.log(SHARED_CLASSES)
+        self.class_gap, self.class_upto = (np.log(whole) + class_size).astype(np.float32), np.cumsum(whole)
         self.alone = (model.ends - model.starts == 1)[model.of]
         crowd = np.where(self.alone, 0.0, p)
-        self.log_word, self.word_upto = np.log(np.maximum(crowd, 1e-300) / max(crowd.sum(), 1e-300)).astype(np.float32), np.cumsum(crowd)
+        self.word_upto = np.cumsum(crowd)
         # biases are logarithms inside a class; NCE compares with the unigram of all words that share a class
-        self.shift = (np.log(whole) - math.log(max(crowd.sum(), 1e-300))).astype(np.float32)[model.of]
+        shift = (np.log(whole) - math.log(max(crowd.sum(), 1e-300)))[model.of]
+        self.word_gap = (np.log(np.maximum(crowd, 1e-300) / max(crowd.sum(), 1e-300)) - shift + size).astype(np.float32)
 
     def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
@@ -197,30 +213,33 @@ class Trainer:
             self._step(w[at], last[at], before[at])
         self.seen += len(w)
 
-    def _tell(self, hidden: np.ndarray, own: np.ndarray, upto: np.ndarray, log_p: np.ndarray, vectors: str, biases: str, shift: np.ndarray | None) -> np.ndarray:
-        """One level: steps on its vectors and biases, and the gradient of the predictions."""
-        v, b, size = getattr(self.m, vectors), getattr(self.m, biases), np.float32(math.log(SHARED))
-        drawn = np.minimum(np.searchsorted(upto, self.rng.random(SHARED) * upto[-1], side="right"), len(upto) - 1)
-        # the bias of an outcome less its logarithm as noise
-        own_gap, drawn_gap = (b[x] - log_p[x] + (0 if shift is None else shift[x]) for x in (own, drawn))
+    def _tell(self, hidden: np.ndarray, own: np.ndarray, upto: np.ndarray, noise_gap: np.ndarray, vectors: str) -> np.ndarray:
+        """One level: a step on its vectors and biases, and the gradient of the predictions. ``hidden`` has a last column of ones, for the biases."""
+        v = self.joined[vectors]
+        drawn = np.minimum(upto.searchsorted(self.rng.random(SHARED if vectors == "w" else SHARED_CLASSES) * upto[-1], side="right"), len(upto) - 1)
         mine, noise = v[own], v[drawn]
-        g_own = _sigmoid(np.einsum("ij,ij->i", hidden, mine) + own_gap - size) - 1
-        g_noise = _sigmoid(hidden @ noise.T + (drawn_gap - size))
-        out = g_own[:, None] * mine + g_noise @ noise
+        g_own = _sigmoid(np.einsum("ij,ij->i", hidden, mine) - noise_gap[own])
+        g_own -= 1
+        told = hidden @ noise.T
+        told -= noise_gap[drawn]
+        g_noise = _sigmoid(told)
+        out = g_noise @ noise
+        mine *= g_own[:, None]
+        out += mine
         order, rows, starts, n = _grouped(np.concatenate([own, drawn]))
         _add_rows(v, self.squares[vectors], order, rows, starts, np.concatenate([g_own[:, None] * hidden, g_noise.T @ hidden]), self.rate)
-        _add_rows(b, self.squares[biases], order, rows, starts, np.concatenate([g_own, g_noise.sum(axis=0)]), self.rate)
         if vectors in self.hits:
             self.hits[vectors][rows] += n.astype(np.int32)
-        return out
+        return out[:, :-1]
 
     def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         m = self.m
         x1, x2 = m.e[last], m.e[before]
-        hidden = x1 @ m.c[0] + x2 @ m.c[1]
-        g_hidden = self._tell(hidden, m.of[w], self.class_upto, self.log_class, "k", "d", None)
-        if len(many := np.flatnonzero(~self.alone[w])):  # a class of one word has nothing to tell apart
-            g_hidden[many] += self._tell(hidden[many], w[many], self.word_upto, self.log_word, "w", "b", self.shift)
+        hidden = np.ones((len(w), m.e.shape[1] + 1), np.float32)
+        hidden[:, :-1] = x1 @ m.c[0] + x2 @ m.c[1]
+        g_hidden = self._tell(hidden, m.of[w], self.class_upto, self.class_gap, "k")
+        if len(many := (~self.alone[w]).nonzero()[0]):  # a class of one word has nothing to tell apart
+            g_hidden[many] += self._tell(hidden[many], w[many], self.word_upto, self.word_gap, "w")
         for k, x in enumerate((x1, x2)):
             g_c = x.T @ g_hidden
             self.squares["c"][k] += g_c * g_c

@@ -236,6 +236,35 @@ def test_noise_contrastive_estimation_finds_the_distribution():
     assert trainer.m.log_p(w, last, last).mean() > blind + 0.7 * (best - blind)
 
 
+def test_noise_of_classes_has_its_own_size(monkeypatch):
+    """Classes are few and need less noise than words; each level corrects for its own."""
+    rng, sizes, grouped = np.random.default_rng(1), [], lm_score._grouped
+    monkeypatch.setattr(lm_score, "_grouped", lambda at: sizes.append(len(at)) or grouped(at))
+    n, given = 30, rng.dirichlet(np.full(30, 0.3), 30)
+    last = rng.integers(2, n, 40_000)
+    w = np.array([np.searchsorted(np.cumsum(given[x]), u * 0.9999) for x, u in zip(last, rng.random(len(last)), strict=True)])
+    unigram = np.bincount(w, minlength=n) + 0.5
+    trainer = lm_score.Trainer(lm_score.Model.start(unigram / unigram.sum()), 0, lm_score.RATE)
+    blind = trainer.m.log_p(w, last, last).mean()
+    for _ in range(8):
+        trainer.learn(w, last, last)
+    batch = lm_score.BATCH
+    assert sizes[0] - batch <= 32 < lm_score.SHARED and sizes[2] == 2 * batch
+    best = np.log(given[last, w] + 1e-12).mean()
+    assert trainer.m.log_p(w, last, last).mean() > blind + 0.6 * (best - blind)
+
+
+def test_steps_add_up_repeated_rows():
+    rng = np.random.default_rng(5)
+    at, grad, to, squares = rng.integers(0, 9, 50), rng.standard_normal((50, 4)), rng.standard_normal((9, 4)), np.ones((9, 4))
+    g = np.zeros((9, 4))
+    np.add.at(g, at, grad)
+    want = to - 0.1 * g / np.sqrt(1 + g * g)
+    order, rows, starts, n = lm_score._grouped(at)
+    lm_score._add_rows(to, squares, order, rows, starts, grad, 0.1)
+    assert np.allclose(to, want) and np.allclose(squares, 1 + g * g) and (n == np.bincount(at)[rows]).all()
+
+
 # ---- co-training
 
 
