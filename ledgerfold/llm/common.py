@@ -20,6 +20,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows of an intermediate table that share a file, where their number is known beforehand.
+FILE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,15 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/ledgerfold-{spark.sparkContext.applicationId}"
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def store(df: DataFrame, name: str, rows: int | None = None, each: int = FILE_ROWS) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
+    ``rows``: about how many it has at most. Its last stage then has a task, and so a file, for ``each`` of them instead of one for every
+    shuffle partition. Files are dear: on a local file system each makes the executor start two processes that set modes.
     This cuts lineage, and the files outlive any executor. Returns the reread frame and its
     path; give the path to :func:`drop` once nothing reads the frame any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // each)))).write.parquet(path)
     _kept[path] = spark
     return spark.read.schema(df.schema).parquet(path), path
 

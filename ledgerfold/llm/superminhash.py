@@ -43,6 +43,8 @@ TASK_DOCS, TASK_ITEMS = 1024, 2_000_000
 CHUNK_ITEMS = 200_000
 #: Documents that meet one pivot in one task, and pivots that a task remembers.
 STAR_DOCS, PIVOTS = 512, 64
+#: Pairs whose texts one task compares, where there are so many.
+TASK_PAIRS = 2_000
 #: Slots of the short signatures, 16 bits each.
 SHORT = 128
 #: Bits of the array of wanted ids for each of them, and its largest size in 64-bit numbers (16 MB).
@@ -314,19 +316,20 @@ def _likely(percent: int):
     return run
 
 
-def _star(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, star_docs: int) -> DataFrame:
-    """The pairs (pivot, doc) that are linked. A pivot of many documents is dealt over several tasks."""
-    pairs, _ = store(pairs.select("pivot", "doc").distinct(), "near-pairs")
+def _star(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, star_docs: int, most: int) -> DataFrame:
+    """The pairs (pivot, doc) that are linked, of at most ``most``. A pivot of many documents is dealt over several tasks."""
+    pairs, _ = store(pairs.select("pivot", "doc").distinct(), "near-pairs", most)
+    n = pairs.count()
     # at most one row for every ``star_docs`` pairs
-    many, _ = store(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / star_docs).cast("int").alias("salts")).filter("salts > 1"), "near-pivots")
+    many, _ = store(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / star_docs).cast("int").alias("salts")).filter("salts > 1"), "near-pivots", n)
     dealt = pairs.join(many, "pivot", "left").select("pivot", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "doc")
     places = dealt.select("pivot", "salt").distinct()
     signed = dealt.join(members.select("doc", "sig"), "doc").join(places.join(members.select(F.col("doc").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot"), ["pivot", "salt"])
-    likely, _ = store(signed.select("pivot", "salt", "doc", "pivot_sig", "sig").mapInArrow(_likely(percent), "pivot long, salt int, doc long"), "near-likely")
-    likely = likely.distinct()
+    likely, _ = store(signed.select("pivot", "salt", "doc", "pivot_sig", "sig").mapInArrow(_likely(percent), "pivot long, salt int, doc long"), "near-likely", n)
+    n, likely = likely.count(), likely.distinct()
     pivots = likely.select("pivot", "salt").distinct().join(texts.select(F.col("doc").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     full = likely.join(texts, "doc").join(pivots, ["pivot", "salt"]).select("pivot", "doc", "pivot_text", "text")
-    found, _ = store(full.mapInArrow(_verify(k, percent), "a long, b long"), "near-links")
+    found, _ = store(full.mapInArrow(_verify(k, percent), "a long, b long"), "near-links", n, TASK_PAIRS)
     return found
 
 
@@ -380,10 +383,10 @@ def _block_pair(k: int, percent: int):
 def _in_blocks(apart: DataFrame, task_docs: int, task_items: int) -> DataFrame:
     """(bucket, i, j, doc, group, left): documents to be held against all of their bucket (``rest``) in left blocks, all in right ones; each pair of blocks is a task.
 
-    ``apart``: bucket, doc, n, group, rest.
+    ``apart``: bucket, doc, n, group, rest; stored.
     """
     blocks = lambda test, name: F.greatest(F.lit(1), F.ceil(F.count_if(test) / task_docs), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / task_items)).cast("int").alias(name)
-    sizes, _ = store(apart.groupBy("bucket").agg(blocks(F.col("rest"), "lefts"), blocks(F.lit(True), "rights")), "near-blocks")
+    sizes, _ = store(apart.groupBy("bucket").agg(blocks(F.col("rest"), "lefts"), blocks(F.lit(True), "rights")), "near-blocks", apart.count())
     dealt = apart.join(sizes, "bucket").withColumn("at", F.xxhash64("doc", F.lit(7)))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     own = lambda name: F.pmod("at", F.col(name)).cast("int")
@@ -405,9 +408,9 @@ def _rest(apart: DataFrame, members: DataFrame, texts: DataFrame, k: int, percen
     """Links of what is still apart. ``apart``: bucket, doc, n, group, and ``rest`` for what is held against all of its bucket."""
     signed = _in_blocks(apart, task_docs, task_items).join(members.select("doc", "sig"), "doc")
     likely, _ = store(signed.groupBy("bucket", "i", "j").applyInPandas(_block_likely(percent), "a long, b long"), "near-likely")
-    edges, _ = store(_through_hubs(_through_hubs(likely)), "near-edges")
+    edges, _ = store(_through_hubs(_through_hubs(likely)), "near-edges", 2 * likely.count())
     clusters = components(edges).select(F.col("id").alias("doc"), F.col("component").alias("bucket"))
-    again, _ = store(_apart(apart.select("doc", "n", "group").distinct().join(clusters, "doc")), "near-apart")
+    again, _ = store(_apart(apart.select("doc", "n", "group").distinct().join(clusters, "doc")), "near-apart", apart.count())
     return _in_blocks(again, task_docs, task_items).join(texts, "doc").groupBy("bucket", "i", "j").applyInPandas(_block_pair(k, percent), "a long, b long")
 
 
@@ -457,27 +460,28 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     shape = banded.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("doc").alias("low"), F.min_by("n", "doc").alias("low_n"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 20)).alias("y")).filter("docs > 1")
     shape = shape.groupBy("docs", "weight", "low", "low_n", "x", "y").agg(F.min("bucket").alias("bucket"))
     buckets, _ = store(banded.join(shape.select("bucket", "low", "low_n"), "bucket"), "buckets")
-    wanted, _ = store(buckets.select("doc").distinct(), "near-wanted")
+    most = buckets.count()  # nothing below has more rows, but for the links themselves
+    wanted, _ = store(buckets.select("doc").distinct(), "near-wanted", most)
     texts, _ = store(_of(given, wanted), "near-texts")
-    members, _ = store(reps.select(F.col("rep").alias("doc"), "sig").join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-signatures")
+    members, _ = store(reps.select(F.col("rep").alias("doc"), "sig").join(buckets.select("doc").distinct(), "doc", "left_semi"), "near-signatures", most)
     # 3. stars
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    star = lambda pairs: _star(pairs.filter(fits), members, texts, k, percent, star_docs)
+    star = lambda pairs: _star(pairs.filter(fits), members, texts, k, percent, star_docs, most)
     smallest = F.min(F.struct("low", "low_n")).alias("p")
     links = star(buckets.groupBy("doc", "n").agg(smallest).select("doc", "n", F.col("p.low").alias("pivot"), F.col("p.low_n").alias("pivot_n")).filter("doc <> pivot"))
     grouped = lambda: buckets.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", "low", "low_n", F.coalesce("component", "doc").alias("group"))
-    state, _ = store(grouped(), "near-groups")
+    state, _ = store(grouped(), "near-groups", most)
     lows = state.filter("doc = low").groupBy("bucket").agg(F.min("group").alias("low_group"))
     links = links.unionByName(star(state.join(lows, "bucket").filter("group <> low_group").select("doc", "n", F.col("low").alias("pivot"), F.col("low_n").alias("pivot_n"))))
     pivots = buckets.filter("doc = low").select("bucket", "doc")
     while True:
-        apart, _ = store(_apart(grouped().join(pivots, ["bucket", "doc"], "left_anti")), "near-apart")
+        apart, _ = store(_apart(grouped().join(pivots, ["bucket", "doc"], "left_anti")), "near-apart", most)
         large = apart.filter("rest").groupBy("bucket").agg(F.count("*").alias("left"), F.min(F.struct("doc", "n", "group")).alias("p")).filter(F.col("left") > task_docs)
-        large, _ = store(large.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.group").alias("pivot_group")), "near-large")
+        large, _ = store(large.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.group").alias("pivot_group")), "near-large", most)
         if large.isEmpty():
             break
         links = links.unionByName(star(apart.join(large, "bucket").filter("group <> pivot_group").select("doc", "n", "pivot", "pivot_n")))
-        pivots, _ = store(pivots.unionByName(large.select("bucket", F.col("pivot").alias("doc"))), "near-pivots")
+        pivots, _ = store(pivots.unionByName(large.select("bucket", F.col("pivot").alias("doc"))), "near-pivots", most)
     # 4. the rest
     if not apart.isEmpty():
         rest, _ = store(_rest(apart, members, texts, k, percent, task_docs, task_items), "near-links")

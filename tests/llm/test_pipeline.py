@@ -67,3 +67,33 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_writes_few_files(spark, tmp_path, monkeypatch):
+    """Each file makes an executor start processes, so small tables must not have a file for every shuffle partition."""
+    from ledgerfold.llm import components, superminhash
+
+    files, store = {}, superminhash.store
+
+    def counted(df, name, *args):
+        out, path = store(df, name, *args)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out, path
+
+    for module in (superminhash, components):
+        monkeypatch.setattr(module, "store", counted)
+    set_ = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in set_}
+    for key, value in set_.items():
+        spark.conf.set(key, value)
+    try:
+        rng, rows = random.Random(3), []
+        for i in range(60):
+            text = prose(rng, 120)
+            rows += [(2 * i, text), (2 * i + 1, text + " " + prose(rng, 6))]
+        out = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in out)
+    assert all(max(files[name]) == 1 for name in ("links", "labels", "near-wanted", "near-pairs", "near-links", "near-groups", "near-apart"))
