@@ -43,7 +43,7 @@ ROUNDS = 4
 ADD = 0.1
 FLUSH = 200_000
 #: Rows of parameters that travel together; tokens scored at once; largest matrix of scores.
-SLICE, CHUNK, CELLS = 4096, 1 << 17, 1 << 17
+SLICE, CHUNK, CELLS = 4096, 1 << 18, 1 << 17
 #: The first two outcomes; the words follow.
 OTHER, END = 0, 1
 
@@ -124,28 +124,36 @@ class Model:
         return out
 
     def _log_p(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        hidden = self.e[last] @ self.c[0] + self.e[before] @ self.c[1]
-        of, out = self.of[w], np.empty(len(w))
-        step = max(1, CELLS // len(self.k))
-        for at in (slice(i, i + step) for i in range(0, len(w), step)):
-            out[at] = _log_share(hidden[at] @ self.k.T + self.d, of[at])
-        order = np.argsort(of.astype(np.min_scalar_type(len(self.k))), kind="stable")  # small integers are sorted by radix
-        cuts = np.flatnonzero(np.diff(of[order])) + 1
-        for group in np.split(order, cuts):  # one matrix product a class
-            a, z = self.starts[of[group[0]]], self.ends[of[group[0]]]
-            if z - a > 1:
-                vectors, step = self.w[a:z].T, max(1, CELLS // (z - a))
-                for part in (group[i : i + step] for i in range(0, len(group), step)):
-                    out[part] += _log_share(hidden[part] @ vectors + self.b[a:z], w[part] - a)
+        """Contexts come again and again: each is normalised once over the classes, and once over the words of each class that follows it."""
+        contexts, at = np.unique(last.astype(np.int64) * len(self.e) + before, return_inverse=True)
+        last, before = np.divmod(contexts, len(self.e))
+        hidden, of = self.e[last] @ self.c[0] + self.e[before] @ self.c[1], self.of[w]
+        whole, step = np.empty(len(contexts)), max(1, CELLS // len(self.k))
+        for i in range(0, len(contexts), step):
+            whole[i : i + step] = _log_sum(hidden[i : i + step] @ self.k.T + self.d)
+        predicted = hidden[at]
+        out = np.einsum("ij,ij->i", predicted, self.k[of]) + self.d[of] - whole[at]
+        many = np.flatnonzero((self.ends - self.starts > 1)[of])  # a class of one word has nothing to tell apart
+        pairs, pair = np.unique(of[many] * np.int64(len(contexts)) + at[many], return_inverse=True)  # by class
+        kind, context = np.divmod(pairs, len(contexts)) if len(many) else (pairs, pairs)
+        inside, cuts = np.empty(len(pairs)), np.flatnonzero(np.diff(kind)) + 1
+        for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(pairs)], strict=True) if len(many) else ():  # one matrix product a class
+            a, z = self.starts[kind[i]], self.ends[kind[i]]
+            vectors, step = self.w[a:z].T, max(1, CELLS // (z - a))
+            for x in range(i, j, step):
+                part = slice(x, min(x + step, j))
+                inside[part] = _log_sum(hidden[context[part]] @ vectors + self.b[a:z])
+        out[many] += np.einsum("ij,ij->i", predicted[many], self.w[w[many]]) + self.b[w[many]] - inside[pair]
         return out
 
 
-def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row of ``s`` at ``own``; ``s`` is overwritten."""
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row of ``s``, which is overwritten."""
+    top = 0.0
     if s.max() > 60:
-        s -= s.max(axis=1, keepdims=True)
-    mine = s[np.arange(len(s)), own]
-    return mine - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
+        top = s.max(axis=1)
+        s -= top[:, None]
+    return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32)) + top
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

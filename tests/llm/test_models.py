@@ -222,6 +222,27 @@ def test_model_is_normalised():
         assert abs(np.exp(model.log_p(np.arange(40), np.full(40, last), np.full(40, before))).sum() - 1) < 1e-4
 
 
+def test_contexts_that_come_again_are_normalised_once(monkeypatch):
+    rng, n = np.random.default_rng(4), 400
+    unigram = 1.0 / np.arange(1, n + 1)
+    model = lm_score.Model.start(unigram / unigram.sum())
+    model.c += 0.3 * rng.standard_normal(model.c.shape).astype(np.float32)
+    few = rng.integers(0, n, (3, 40))
+    w, last, before = few[:, rng.integers(0, 40, 5000)]
+    predicted = model.e[last].astype(float) @ model.c[0] + model.e[before].astype(float) @ model.c[1]
+    scores = predicted @ model.k.T + model.d
+    expected = scores[np.arange(len(w)), model.of[w]] - np.log(np.exp(scores).sum(axis=1))
+    inside = np.where(model.of[None, :] == model.of[w][:, None], predicted @ model.w.T + model.b, -np.inf)
+    expected += inside[np.arange(len(w)), w] - np.log(np.exp(inside).sum(axis=1))
+    cells, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **more: cells.append(np.size(x)) or exp(x, **more))
+    assert np.allclose(model.log_p(w, last, before), expected, atol=1e-4)
+    assert sum(cells) <= 40 * (len(model.k) + n)
+    model.d += 100  # scores too large for exponentials in single precision
+    assert np.allclose(model.log_p(w, last, before), expected, atol=1e-3)
+    assert len(model.log_p(w[:0], last[:0], before[:0])) == 0
+
+
 def test_noise_contrastive_estimation_finds_the_distribution():
     rng = np.random.default_rng(1)
     n, given = 30, rng.dirichlet(np.full(30, 0.3), 30)  # the next word depends on the last
