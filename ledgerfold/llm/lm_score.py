@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import io
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,8 @@ WIDTH, BATCH, BUFFER, RATE = 16, 256, 1 << 18, 0.1
 SHARED, SHARED_CLASSES = 96, 32
 ROUNDS = 4
 ADD = 0.1
-FLUSH = 200_000
+#: Words that a task counts at once.
+FLUSH = 1 << 20
 #: Rows of parameters that travel together; tokens scored at once; largest matrix of scores.
 SLICE, CHUNK, CELLS = 4096, 1 << 18, 1 << 17
 #: The first two outcomes; the words follow.
@@ -58,26 +59,29 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _signed(h: int) -> int:
-    return h - 2**64 if h >= 2**63 else h
+def hashes(text: bytes | None) -> np.ndarray:
+    """The words' 64-bit hashes."""
+    words = tokens(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 # ---- counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts)).view("<i8")
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["h", "n"])
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view("<i8")), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counts: Counter = Counter()
+    held, size = [], 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > FLUSH:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
+        for text in batch.column(0):
+            held.append(hashes(text.as_py()))
+            size += len(held[-1])
+            if size > FLUSH:
+                yield out(held)
+                held, size = [], 0
+    yield out(held)
 
 
 # ---- the model
@@ -127,12 +131,12 @@ class Model:
         """Contexts come again and again: each is normalised once over the classes, and once over the words of each class that follows it."""
         contexts, at = np.unique(last.astype(np.int64) * len(self.e) + before, return_inverse=True)
         last, before = np.divmod(contexts, len(self.e))
-        hidden, of = self.e[last] @ self.c[0] + self.e[before] @ self.c[1], self.of[w]
+        hidden, of = self.e.take(last, axis=0) @ self.c[0] + self.e.take(before, axis=0) @ self.c[1], self.of[w]
         whole, step = np.empty(len(contexts)), max(1, CELLS // len(self.k))
         for i in range(0, len(contexts), step):
             whole[i : i + step] = _log_sum(hidden[i : i + step] @ self.k.T + self.d)
-        predicted = hidden[at]
-        out = np.einsum("ij,ij->i", predicted, self.k[of]) + self.d[of] - whole[at]
+        predicted, ones = hidden.take(at, axis=0), np.ones(self.e.shape[1], np.float32)
+        out = ((predicted * self.k.take(of, axis=0)) @ ones + self.d[of]).astype(np.float64) - whole[at]
         many = np.flatnonzero((self.ends - self.starts > 1)[of])  # a class of one word has nothing to tell apart
         pairs, pair = np.unique(of[many] * np.int64(len(contexts)) + at[many], return_inverse=True)  # by class
         kind, context = np.divmod(pairs, len(contexts)) if len(many) else (pairs, pairs)
@@ -142,8 +146,9 @@ class Model:
             vectors, step = self.w[a:z].T, max(1, CELLS // (z - a))
             for x in range(i, j, step):
                 part = slice(x, min(x + step, j))
-                inside[part] = _log_sum(hidden[context[part]] @ vectors + self.b[a:z])
-        out[many] += np.einsum("ij,ij->i", predicted[many], self.w[w[many]]) + self.b[w[many]] - inside[pair]
+                inside[part] = _log_sum(hidden.take(context[part], axis=0) @ vectors + self.b[a:z])
+        words = w[many]
+        out[many] += (predicted.take(many, axis=0) * self.w.take(words, axis=0)) @ ones + self.b[words] - inside[pair]
         return out
 
 
@@ -157,23 +162,30 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function; ``x`` is overwritten."""
-    np.negative(x, out=x)
-    np.minimum(x, 30, out=x)
+    """The logistic function of ``-x``, which is overwritten."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+def _put_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``to[rows] = values``, each row copied as one item."""
+    whole = f"V{to.itemsize * to.shape[1]}"
+    to.view(whole)[:, 0][rows] = values.view(whole)[:, 0]
+
+
 def _add_rows(to: np.ndarray, squares: np.ndarray, order: np.ndarray, rows: np.ndarray, starts: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """An Adagrad step on ``rows``, each of which may occur often in ``grad``."""
-    g = np.add.reduceat(grad[order], starts, axis=0)
-    s = squares[rows]
+    g = grad.take(order, axis=0)
+    pairs = np.result_type(g, np.complex64) if g.shape[1] % 2 == 0 else g.dtype  # two numbers are added as one complex number: half the additions
+    g = np.add.reduceat(g.view(pairs), starts, axis=0).view(g.dtype)
+    s = squares.take(rows, axis=0)
     s += g * g
-    squares[rows] = s
-    g *= rate
+    _put_rows(squares, rows, s)
+    g *= -rate
     g /= np.sqrt(s, out=s)
-    to[rows] -= g
+    g += to.take(rows, axis=0)
+    _put_rows(to, rows, g)
 
 
 def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,71 +202,92 @@ def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 class Trainer:
     """Noise-contrastive estimation: classes and words are told from classes and words drawn from the unigram, without any normalisation.
 
-    All tokens of a batch share their noise, so that its scores are one matrix product. Words are told from all words; the scores so learned hold in
+    All tokens of a batch share their noise, so that its scores, of both levels, are one matrix product. Words are told from all words; the scores so learned hold in
     every subset of the words, and so inside a class.
     """
 
     def __init__(self, model: Model, seed: int, rate: float):
         self.m, self.rng, self.rate = model, np.random.default_rng(seed), rate
-        # vectors of outcomes with their biases as last column, so that one step moves both; the model has views of them
-        self.joined = {x: np.column_stack([getattr(model, x), getattr(model, y)]) for x, y in (("w", "b"), ("k", "d"))}
-        model.w, model.b, model.k, model.d = (view for x in ("w", "k") for view in (self.joined[x][:, :-1], self.joined[x][:, -1]))
-        self.squares = {"e": np.ones_like(model.e), "c": np.ones_like(model.c)} | {x: np.ones_like(y) for x, y in self.joined.items()}
-        self.hits = {x: np.zeros(len(model.e), np.int32) for x in ("e", "w")}
+        # vectors of words, then of classes, with their biases and a column of zeros (an even number of columns), so that one step moves all; the
+        # model has views of them
+        n, width = model.e.shape
+        self.joined = np.zeros((n + len(model.k), width + 2), np.float32)
+        for names, at in (("wb", slice(n)), ("kd", slice(n, None))):
+            views = self.joined[at, :width], self.joined[at, width]
+            for name, view in zip(names, views, strict=True):
+                view[:] = getattr(model, name)
+                setattr(model, name, view)
+        self.squares = {"e": np.ones_like(model.e), "c": np.ones_like(model.c), "joined": np.ones_like(self.joined)}
+        self.hits = {x: np.zeros(n, np.int32) for x in ("e", "w")}
         self.seen = 0
         p = model.unigram / model.unigram.sum()
         whole = np.add.reduceat(p, model.starts)
-        # what an outcome's score must exceed: the logarithm of how often it comes as noise in a batch
-        size, class_size = math.log(SHARED), math.log(SHARED_CLASSES)
-        self.class_gap, self.class_upto = (np.log(whole) + class_size).astype(np.float32), np.cumsum(whole)
         self.alone = (model.ends - model.starts == 1)[model.of]
         crowd = np.where(self.alone, 0.0, p)
-        self.word_upto = np.cumsum(crowd)
+        self.class_upto, self.word_upto = np.cumsum(whole), np.cumsum(crowd)
         # biases are logarithms inside a class; NCE compares with the unigram of all words that share a class
         shift = (np.log(whole) - math.log(max(crowd.sum(), 1e-300)))[model.of]
-        self.word_gap = (np.log(np.maximum(crowd, 1e-300) / max(crowd.sum(), 1e-300)) - shift + size).astype(np.float32)
+        # what an outcome's score must exceed: the logarithm of how often it comes as noise in a batch
+        word_gap = np.log(np.maximum(crowd, 1e-300) / max(crowd.sum(), 1e-300)) - shift + math.log(SHARED)
+        self.gap = np.concatenate([word_gap, np.log(whole) + math.log(SHARED_CLASSES)]).astype(np.float32)
 
     def learn(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        order = self.rng.permutation(len(w))
-        for i in range(0, len(w), BATCH):
-            at = order[i : i + BATCH]
-            self._step(w[at], last[at], before[at])
+        """Steps over all tokens in random order; what does not hang on the parameters is looked up for all of them at once."""
+        order, n = self.rng.permutation(len(w)), len(self.m.e)
+        w, context = w[order], np.stack([last[order], before[order]], axis=1)
+        of, alone = self.m.of[w] + n, self.alone[w]
+        steps = range(0, len(w), BATCH)
+        classes, words = self._draw(len(steps), SHARED_CLASSES, self.class_upto) + n, self._draw(len(steps), SHARED, self.word_upto)
+        with np.errstate(over="ignore"):  # of an exponential in a denominator
+            for i, *drawn in zip(steps, classes, words, strict=True):
+                at = slice(i, i + BATCH)
+                self._step(w[at], of[at], alone[at].nonzero()[0], context[at].ravel(), *drawn)
+        told = np.add.reduceat(~alone, steps, dtype=int) > 0 if len(w) else np.zeros(0, bool)
+        self.hits["e"] += np.bincount(context.ravel(), minlength=n).astype(np.int32)
+        self.hits["w"] += np.bincount(np.concatenate([w[~alone], words[told].ravel()]), minlength=n).astype(np.int32)
         self.seen += len(w)
 
-    def _tell(self, hidden: np.ndarray, own: np.ndarray, upto: np.ndarray, noise_gap: np.ndarray, vectors: str) -> np.ndarray:
-        """One level: a step on its vectors and biases, and the gradient of the predictions. ``hidden`` has a last column of ones, for the biases."""
-        v = self.joined[vectors]
-        drawn = np.minimum(upto.searchsorted(self.rng.random(SHARED if vectors == "w" else SHARED_CLASSES) * upto[-1], side="right"), len(upto) - 1)
-        mine, noise = v[own], v[drawn]
-        g_own = _sigmoid(np.einsum("ij,ij->i", hidden, mine) - noise_gap[own])
-        g_own -= 1
-        told = hidden @ noise.T
-        told -= noise_gap[drawn]
-        g_noise = _sigmoid(told)
-        out = g_noise @ noise
-        mine *= g_own[:, None]
-        out += mine
-        order, rows, starts, n = _grouped(np.concatenate([own, drawn]))
-        _add_rows(v, self.squares[vectors], order, rows, starts, np.concatenate([g_own[:, None] * hidden, g_noise.T @ hidden]), self.rate)
-        if vectors in self.hits:
-            self.hits[vectors][rows] += n.astype(np.int32)
-        return out[:, :-1]
-
-    def _step(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        m = self.m
-        x1, x2 = m.e[last], m.e[before]
-        hidden = np.ones((len(w), m.e.shape[1] + 1), np.float32)
-        hidden[:, :-1] = x1 @ m.c[0] + x2 @ m.c[1]
-        g_hidden = self._tell(hidden, m.of[w], self.class_upto, self.class_gap, "k")
-        if len(many := (~self.alone[w]).nonzero()[0]):  # a class of one word has nothing to tell apart
-            g_hidden[many] += self._tell(hidden[many], w[many], self.word_upto, self.word_gap, "w")
-        for k, x in enumerate((x1, x2)):
-            g_c = x.T @ g_hidden
-            self.squares["c"][k] += g_c * g_c
-            m.c[k] -= self.rate * 0.3 * g_c / np.sqrt(self.squares["c"][k])
-        order, rows, starts, hits = _grouped(np.concatenate([last, before]))
-        _add_rows(m.e, self.squares["e"], order, rows, starts, np.concatenate([g_hidden @ m.c[0].T, g_hidden @ m.c[1].T]), self.rate)
-        self.hits["e"][rows] += hits.astype(np.int32)
+    def _draw(self, steps: int, size: int, upto: np.ndarray) -> np.ndarray:
+        """Noise for so many steps."""
+        return np.minimum(upto.searchsorted(self.rng.random((steps, size)) * upto[-1], side="right"), len(upto) - 1)
+
+    def _step(self, w: np.ndarray, of: np.ndarray, alone: np.ndarray, context: np.ndarray, classes: np.ndarray, words: np.ndarray) -> None:
+        """A step on everything that a batch meets: its classes with their noise, its words with theirs, its contexts."""
+        m, size, width = self.m, len(w), self.m.e.shape[1]
+        both = m.e.take(context, axis=0).reshape(size, 2 * width)  # the matrices of the two positions, one above the other, are one
+        c = m.c.reshape(2 * width, width)
+        hidden = np.zeros((size, width + 2), np.float32)
+        hidden[:, :width], hidden[:, width] = both @ c, 1  # a one for the biases
+        sets = np.concatenate([of, classes]), np.concatenate([w, words])
+        at = np.concatenate(sets)
+        v, gap = self.joined.take(at, axis=0), self.gap.take(at)
+        x, y, z = size, len(sets[0]), len(sets[0]) + size
+        noise = np.concatenate([v[x:y], v[z:]])
+        against = -noise  # scores come out with the other sign, less what they must exceed
+        against[:, width] += np.concatenate([gap[x:y], gap[z:]])
+        g_noise, ones = _sigmoid(hidden @ against.T), np.ones(width + 2, np.float32)
+        if len(alone):  # a class of one word has nothing to tell apart
+            g_noise[alone, y - x :] = 0
+        g_hidden = g_noise @ noise
+        for own, which in ((v[:x], slice(x)), (v[y:z], slice(y, z))):
+            g_own = _sigmoid(gap[which] - (hidden * own) @ ones)
+            g_own -= 1
+            if which.start and len(alone):
+                g_own[alone] = 0
+            own *= g_own[:, None]
+            g_hidden += own
+            np.multiply(hidden, g_own[:, None], out=own)
+        g_noise = g_noise.T @ hidden
+        v[x:y], v[z:] = g_noise[: y - x], g_noise[y - x :]
+        (order, rows, starts, _), (more, more_rows, more_starts, _) = map(_grouped, sets)
+        _add_rows(self.joined, self.squares["joined"], np.concatenate([order, more + y]), np.concatenate([rows, more_rows]), np.concatenate([starts, more_starts + y]), v, self.rate)
+        g_hidden = g_hidden[:, :width]
+        g_c = (both.T @ g_hidden).reshape(m.c.shape)
+        g_both = (g_hidden @ c.T).reshape(2 * size, width)
+        self.squares["c"] += g_c * g_c
+        m.c -= self.rate * 0.3 * g_c / np.sqrt(self.squares["c"])
+        order, rows, starts, _ = _grouped(context)
+        _add_rows(m.e, self.squares["e"], order, rows, starts, g_both, self.rate)
 
 
 def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,22 +300,15 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return flat[at], flat[at - 1], flat[at - 2]
 
 
-class HotIds(dict):
-    """Word to its place in the hot table, or -1; remembered up to a bound."""
-
-    LIMIT = 1_000_000
+class Places:
+    """Places of words in a table of distinct hashes, or -1."""
 
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.hashes = hashes
+    def __init__(self, table: np.ndarray):
+        self.index = pd.Index(table)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        i = int(np.searchsorted(self.hashes, h))
-        out = self[word] = i if i < len(self.hashes) and self.hashes[i] == h else -1
-        return out
+    def find(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Of all words of the texts, one after the other."""
+        return self.index.get_indexer(np.concatenate([np.zeros(0, np.uint64), *texts]))
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
@@ -295,20 +321,22 @@ def _train(shared, seed: int):
     """Rows for each slice of the parameters after a task's texts, with how often each was met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number, model = shared.value
-        ids = HotIds(hashes)
-        number = np.append(number, OTHER)  # place -1
+        table, number, model = shared.value
+        places, number = Places(table), np.append(number, OTHER)  # place -1
         trainer, held, size = Trainer(model.copy(), seed, RATE / (1 + seed / 4)), [], 0
+
+        def learn() -> None:
+            trainer.learn(*contexts(np.split(number[places.find(held)], np.cumsum([len(x) for x in held])[:-1])))
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                held.append(number[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))])
-                size += len(words) + 1
+            for text in batch.column(0):
+                held.append(hashes(text.as_py()))
+                size += len(held[-1]) + 1
                 if size >= BUFFER:
-                    trainer.learn(*contexts(held))
+                    learn()
                     held, size = [], 0
         if held:
-            trainer.learn(*contexts(held))
+            learn()
         if trainer.seen:
             m, hits = trainer.m, trainer.hits
             for k, i in enumerate(range(0, len(m.e), SLICE)):
@@ -336,11 +364,11 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["slice", "blob"])
 
 
-def _learn(texts: DataFrame, model: Model, hashes: np.ndarray, number: np.ndarray, rounds: int) -> Model:
+def _learn(texts: DataFrame, model: Model, table: np.ndarray, number: np.ndarray, rounds: int) -> Model:
     """The model after so many rounds, each over its part of the texts."""
     spark = texts.sparkSession
     for i in range(rounds):
-        shared = spark.sparkContext.broadcast((hashes, number, model))
+        shared = spark.sparkContext.broadcast((table, number, model))
         part = texts.filter(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(rounds)) == i)
         trained, path = store(part.mapInArrow(_train(shared, i), "slice int, blob binary"), "lm-parameters")
         model = model.copy()
@@ -360,15 +388,15 @@ def _learn(texts: DataFrame, model: Model, hashes: np.ndarray, number: np.ndarra
 # ---- scoring
 
 
-def _runs(texts: list[bytes | None]) -> Iterator[list[int]]:
+def _runs(texts: pa.Array) -> Iterator[list[int]]:
     """Places of texts, in runs of a bounded number of bytes (longer texts are alone)."""
     run, size = [], 0
-    for i, x in enumerate(texts):
-        if run and size + len(x or b"") > 8 * CHUNK:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if run and size + n > 8 * CHUNK:
             yield run
             run, size = [], 0
         run.append(i)
-        size += len(x or b"")
+        size += n
     if run:
         yield run
 
@@ -377,33 +405,37 @@ def _score(shared):
     """A row for each text (h null: sums over the end and hot words) and for each of its other words (h, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, short, model, end_count, totals = shared.value
-        ids = HotIds(hashes)
+        table, counts, short, model, end_count, totals = shared.value
+        places, short = Places(table), np.append(short, OTHER)  # place -1
         base_denominator, other_denominator = totals
-        log_count, log10e = np.log10(counts + ADD), math.log10(math.e)
+        log_count, log10e = np.append(np.log10(counts + ADD), 0.0), math.log10(math.e)  # counts of words that are not hot come later
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+        def rows(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["rid", "doc", "h", "n", "known", "base", "score"])
+
         for batch in batches:
-            rids, docs, texts = (batch.column(i).to_pylist() for i in range(3))
-            out: dict[str, list] = {k: [] for k in ("rid", "doc", "h", "n", "known", "base", "score")}
-            for run in _runs(texts):  # so many texts that their tokens fill the matrices
-                found = [tokens(texts[i]) for i in run]
-                places = [np.fromiter(map(ids.__getitem__, x), np.int64, len(x)) for x in found]
-                numbers = [np.where(x >= 0, short[x] if len(short) else 0, OTHER) for x in places]
-                sums = np.add.reduceat(model.log_p(*contexts(numbers)), np.cumsum([0] + [len(x) + 1 for x in found])[:-1]) * log10e
-                for i, words, at, number, log_p in zip(run, found, places, numbers, sums, strict=True):
-                    hot = at >= 0
-                    others = number == OTHER
-                    # a word outside the vocabulary also pays for its share of "any other word"; counts of words that are not hot come later
-                    score = log_p + log_count[at[hot & others]].sum() - others.sum() * other_denominator
-                    base = log_count[at[hot]].sum() + math.log10(end_count + ADD) - (len(words) + 1) * base_denominator
-                    rows = [(None, len(words) + 1, int(hot.sum()) + (end_count > 0), base, score)]
-                    rest = Counter(words[j] for j in np.flatnonzero(~hot))
-                    rows += [(_signed(xxhash.xxh3_64_intdigest(x)), n, 0, 0.0, 0.0) for x, n in rest.items()]
-                    out["rid"] += [rids[i]] * len(rows)
-                    out["doc"] += [docs[i]] * len(rows)
-                    for k, values in zip(("h", "n", "known", "base", "score"), zip(*rows, strict=True), strict=True):
-                        out[k] += values
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], list(out))
+            for run in _runs(batch.column(2)):  # so many texts that their tokens fill the matrices
+                part = batch.slice(run[0], len(run))
+                rid, doc = part.column(0), part.column(1)
+                found = [hashes(x.as_py()) for x in part.column(2)]
+                size = np.array([len(x) for x in found])
+                at, of = places.find(found), np.repeat(np.arange(len(run)), size)
+                number = short[at]
+                log_p = np.add.reduceat(model.log_p(*contexts(np.split(number, np.cumsum(size)[:-1]))), np.cumsum(np.r_[0, size + 1])[:-1])
+                # a word outside the vocabulary also pays for its share of "any other word"
+                others, counted = number == OTHER, log_count[at]
+                score = log_p * log10e + np.bincount(of, np.where(others, counted - other_denominator, 0.0), len(run))
+                base = np.bincount(of, counted, len(run)) + math.log10(end_count + ADD) - (size + 1) * base_denominator
+                known = np.bincount(of, at >= 0, len(run)).astype(np.int64) + (end_count > 0)
+                yield rows(rid, doc, pa.nulls(len(run), pa.int64()), size + 1, known, base, score)
+                rest = at < 0
+                h, of = np.concatenate([np.zeros(0, np.uint64), *found])[rest], of[rest]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])][: len(h)])
+                n, zeros, of = np.diff(np.r_[new, len(h)]), np.zeros(len(new)), pa.array(of[new])
+                yield rows(rid.take(of), doc.take(of), h[new].view(np.int64), n, zeros.astype(np.int64), zeros, zeros)
 
     return run
 

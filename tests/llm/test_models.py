@@ -286,6 +286,25 @@ def test_steps_add_up_repeated_rows():
     assert np.allclose(to, want) and np.allclose(squares, 1 + g * g) and (n == np.bincount(at)[rows]).all()
 
 
+def test_a_step_moves_classes_and_words_at_once(monkeypatch):
+    """Rows of outcomes, classes and words alike, are moved in one pass a step, those of contexts in another; words are looked up by hash, all at once."""
+    moved, add = [], lm_score._add_rows
+    monkeypatch.setattr(lm_score, "_add_rows", lambda to, *more: moved.append(len(to)) or add(to, *more))
+    rng, n = np.random.default_rng(3), 50
+    unigram = 1.0 / np.arange(1, n + 1)
+    model = lm_score.Model.start(unigram / unigram.sum())
+    trainer, start = lm_score.Trainer(model, 0, lm_score.RATE), model.w.copy()
+    w, last, before = rng.integers(0, n, (3, 3 * lm_score.BATCH - 7))
+    trainer.learn(w, last, before)
+    assert moved == 3 * [n + len(model.k), n]
+    alone = np.flatnonzero((model.ends - model.starts == 1)[model.of])
+    assert len(alone) and (model.w[alone] == start[alone]).all() and not trainer.hits["w"][alone].any()  # they have nothing to be told from
+    assert trainer.hits["w"].sum() == 3 * lm_score.SHARED + (~np.isin(w, alone)).sum() and (trainer.hits["e"] == np.bincount(np.r_[last, before], minlength=n)).all()
+    table = np.sort(lm_score.hashes(b"a B c"))
+    found = lm_score.Places(table).find([lm_score.hashes(x) for x in (b"c  x A", None, b"b")])
+    assert [int(i) for i in found] == [*np.searchsorted(table, lm_score.hashes(b"c")), -1, *np.searchsorted(table, lm_score.hashes(b"a b"))]
+    assert len(lm_score.Places(table[:0]).find([])) == 0
+
 # ---- co-training
 
 
