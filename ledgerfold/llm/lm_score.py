@@ -122,8 +122,9 @@ class Model:
     def log_p(self, w: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of the words after their contexts: of the word's class, and of the word in it."""
         out = np.empty(len(w))
-        for i in range(0, len(w), CHUNK):
-            at = slice(i, i + CHUNK)
+        step = max(1, -(-len(w) // max(1, round(len(w) / CHUNK))))  # equal parts, none of them small
+        for i in range(0, len(w), step):
+            at = slice(i, i + step)
             out[at] = self._log_p(w[at], last[at], before[at])
         return out
 
@@ -134,7 +135,7 @@ class Model:
         hidden, of = self.e.take(last, axis=0) @ self.c[0] + self.e.take(before, axis=0) @ self.c[1], self.of[w]
         whole, step = np.empty(len(contexts)), max(1, CELLS // len(self.k))
         for i in range(0, len(contexts), step):
-            whole[i : i + step] = _log_sum(hidden[i : i + step] @ self.k.T + self.d)
+            whole[i : i + step] = _log_sum(hidden[i : i + step] @ self.k.T, self.d)
         predicted, ones = hidden.take(at, axis=0), np.ones(self.e.shape[1], np.float32)
         out = ((predicted * self.k.take(of, axis=0)) @ ones + self.d[of]).astype(np.float64) - whole[at]
         many = np.flatnonzero((self.ends - self.starts > 1)[of])  # a class of one word has nothing to tell apart
@@ -146,14 +147,15 @@ class Model:
             vectors, step = self.w[a:z].T, max(1, CELLS // (z - a))
             for x in range(i, j, step):
                 part = slice(x, min(x + step, j))
-                inside[part] = _log_sum(hidden.take(context[part], axis=0) @ vectors + self.b[a:z])
+                inside[part] = _log_sum(hidden.take(context[part], axis=0) @ vectors, self.b[a:z])
         words = w[many]
         out[many] += (predicted.take(many, axis=0) * self.w.take(words, axis=0)) @ ones + self.b[words] - inside[pair]
         return out
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of the exponentials of each row of ``s``, which is overwritten."""
+def _log_sum(s: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row of ``s`` plus ``bias``; ``s`` is overwritten."""
+    s += bias
     top = 0.0
     if s.max() > 60:
         top = s.max(axis=1)
@@ -249,15 +251,18 @@ class Trainer:
 
     def _draw(self, steps: int, size: int, upto: np.ndarray) -> np.ndarray:
         """Noise for so many steps."""
-        return np.minimum(upto.searchsorted(self.rng.random((steps, size)) * upto[-1], side="right"), len(upto) - 1)
+        drawn = np.sort(self.rng.random((steps, size)), axis=1)  # found faster in order, which means nothing in a step
+        return np.minimum(upto.searchsorted(drawn * upto[-1], side="right"), len(upto) - 1)
 
     def _step(self, w: np.ndarray, of: np.ndarray, alone: np.ndarray, context: np.ndarray, classes: np.ndarray, words: np.ndarray) -> None:
         """A step on everything that a batch meets: its classes with their noise, its words with theirs, its contexts."""
         m, size, width = self.m, len(w), self.m.e.shape[1]
         both = m.e.take(context, axis=0).reshape(size, 2 * width)  # the matrices of the two positions, one above the other, are one
         c = m.c.reshape(2 * width, width)
-        hidden = np.zeros((size, width + 2), np.float32)
-        hidden[:, :width], hidden[:, width] = both @ c, 1  # a one for the biases
+        wide = np.zeros((2 * width, width + 2), np.float32)
+        wide[:, :width] = c
+        hidden = both @ wide
+        hidden[:, width] = 1  # for the biases
         sets = np.concatenate([of, classes]), np.concatenate([w, words])
         at = np.concatenate(sets)
         v, gap = self.joined.take(at, axis=0), self.gap.take(at)
@@ -292,10 +297,13 @@ class Trainer:
 
 def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token with the last word before it and the one before that; texts begin after two ends and end with one."""
-    flat = np.concatenate([np.concatenate([(END, END), x, (END,)]) for x in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
-    starts = np.cumsum([0] + [len(x) + 3 for x in texts])[:-1]
+    size = np.array([len(x) for x in texts], np.int64)
+    flat, starts = np.full(size.sum() + 3 * len(size), END, np.int64), np.cumsum(size + 3) - size - 3
     token = np.ones(len(flat), bool)
     token[starts] = token[starts + 1] = False
+    word = token.copy()
+    word[starts + size + 2] = False
+    flat[word] = np.concatenate([np.zeros(0, np.int64), *texts])
     at = np.flatnonzero(token)
     return flat[at], flat[at - 1], flat[at - 2]
 
