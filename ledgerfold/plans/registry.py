@@ -476,10 +476,12 @@ def money_and_date_parse(t):
 
 @query("select c_custkey as k, 'Nation_' || c_nationkey as city, lpad((c_custkey % 100000)::varchar, 5, '0') as zip, c_custkey % 2 = 1 as absent from customer", prelude=False)
 def city_zip(t):
-    zip_ = F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0")
-    mail = F.concat(F.lit("1 A ST, OH "), F.when(F.col("c_custkey") % 2 == 1, F.lit("99999")).otherwise(zip_))
-    place = F.concat(F.lit("1 A ST, OH "), zip_, F.lit("-1234"))
-    return t.customer.select(F.col("c_custkey").alias("k"), addresses.canonical_city(F.concat(F.lit(" NATION_"), F.col("c_nationkey").cast("string"))).alias("city"), addresses.zip5(place).alias("zip"), addresses.absentee(mail, place).alias("absent"))
+    """Owners of odd numbers get their mail in the next zip, so it is another one whatever the zip."""
+    zip_of = lambda k: F.lpad((k % 100000).cast("string"), 5, "0")
+    k = F.col("c_custkey")
+    mail = F.concat(F.lit("1 A ST, OH "), zip_of(F.when(k % 2 == 1, k + 1).otherwise(k)))
+    place = F.concat(F.lit("1 A ST, OH "), zip_of(k), F.lit("-1234"))
+    return t.customer.select(k.alias("k"), addresses.canonical_city(F.concat(F.lit(" NATION_"), F.col("c_nationkey").cast("string"))).alias("city"), addresses.zip5(place).alias("zip"), addresses.absentee(mail, place).alias("absent"))
 
 
 @query("select event_id as id, json_extract(props, '$.k')::int as k, json_extract(props, '$.k')::int >= 50 as passes from events where json_extract(props, '$.k') is not null", prelude=False)
