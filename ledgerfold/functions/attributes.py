@@ -167,12 +167,13 @@ def source_label(site: Column) -> Column:
 
 
 def relative_time(then: Column, now: Column) -> Column:
-    """'just now', minutes, hours or days ago."""
-    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
+    """'just now', minutes, hours or days ago; only whole minutes count, to the microsecond."""
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
+    minutes = F.floor(micros / 60_000_000)
     text = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(f"{unit} ago"))
     return F.when(minutes < 1, "just now").when(minutes < 60, text(minutes, "m")).when(minutes < 1440, text(F.floor(minutes / 60), "h")).when(minutes.isNotNull(), text(F.floor(minutes / 1440), "d"))
 
 
 def currency(c: Column) -> Column:
-    """Whole dollars with thousands marked; a dash for none."""
-    return F.when(c.isNull(), "—").otherwise(F.concat(F.lit("$"), F.format_number(c.cast("double"), 0)))
+    """Whole dollars with thousands marked, halves to even; a dash for none. Less than half a dollar of debt is no dollar, without a sign."""
+    return F.when(c.isNull(), "—").otherwise(F.concat(F.lit("$"), F.format_number(F.bround(c.cast("double"), 0), 0)))
