@@ -1,13 +1,15 @@
 """An upsert whose rows see each other: the same table as if the batch came row by row, without going through it row by row.
 
-Two rows of a batch can only meet in the same listing if a chain of shared keys (case, parcel or address of a site) leads from one to the other, over
-rows of the batch or over listings that they touch. So the batch falls into components. In most of them all rows carry the same key: such a component is
+A row can only meet a listing through a lookup: by case and parcel together, by case, by parcel, or by address. So two rows of a batch can only meet if a chain
+of such keys leads from one to the other, over rows of the batch or over listings that hold a key which some row of the batch looks up; a key
+that is held but never looked up links nothing. So the batch falls into components. In most of them all rows carry the same key: such a component is
 one lookup, that of its first row, and one aggregation, however many rows it has. Only components with different keys are replayed in order, each in
-one task, all components of a partition in one pass.
+one task, all components of a partition in one pass, with an index of what each lookup finds.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +38,20 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _keys(site: Column, case: Column, parcel: Column, address: Column) -> Column:
-    """The keys by which a row can be found. The day of a sale is left out, as an update may change it."""
-    key = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.xxhash64(F.lit(kind), site, c))
-    return F.filter(F.array(key("case", case), key("parcel", parcel), key("address", address)), lambda k: k.isNotNull())
+def _keys(site: Column, case: Column, parcel: Column, address: Column) -> tuple[Column, Column]:
+    """The keys by which a row or listing can be found, and those that a row looks up. The day of a sale is left out, as an update may change it.
+
+    Enough for all meetings: a listing's case never changes, so what finds it by its case holds that case from the start; its parcel is changed only by rows that look
+    up that parcel (those without a case), and its address by rows that hold it. Empty cases and parcels are unknown, an empty address is an address, and an unknown site equals nothing.
+    """
+    known = lambda c: F.coalesce(site.isNotNull() & (c != ""), F.lit(False))
+    key = lambda kind, when, *of: F.when(when, F.xxhash64(F.lit(kind), site, *of))
+    some = lambda *k: F.filter(F.array(*k), lambda x: x.isNotNull())
+    has_case, has_parcel = known(case), known(parcel)
+    both, by_case, by_parcel, place = key("both", has_case & has_parcel, case, parcel), key("case", has_case, case), key("parcel", has_parcel, parcel), key("address", site.isNotNull() & address.isNotNull(), address)
+    held = some(both, by_case, by_parcel, place)
+    asked = F.when(has_case & has_parcel, some(both)).when(has_case, some(by_case)).when(has_parcel, some(by_parcel, place)).otherwise(some(place))
+    return held, asked
 
 
 class _Replay:
@@ -48,26 +60,40 @@ class _Replay:
     def __init__(self, values: list[str], known: set[str], parcel: str, seen: str):
         self.values, self.known, self.parcel, self.seen = values, known, parcel, seen
 
-    def find(self, table: list[dict], row: dict) -> dict | None:
-        """The first listing that the cascade of lookups finds; the table is in order of preference."""
-        case, parcel = row["case_number"] or None, row[self.parcel] or None
-        address = lambda t: t["property_address"] is not None and t["property_address"] == row["property_address"] and t["sale_date"] == row["sale_date"]
-        if case and parcel:
-            tests = [lambda t: t["case_number"] == case and t[self.parcel] == parcel]
-        elif case:
-            tests = [lambda t: t["case_number"] == case]
-        elif parcel:
-            tests = [lambda t: t[self.parcel] == parcel, address]
-        else:
-            tests = [address]
-        site = [t for t in table if t["source_site"] == row["source_site"]]
-        return next((t for test in tests for t in site if test(t)), None)
-
-    def apply(self, table: list[dict], row: dict) -> None:
-        hit = self.find(table, row)
-        if hit is None:
+    def held(self, t: dict) -> list[tuple]:
+        """What finds a listing: by case and parcel, by case, by parcel, by address and day."""
+        site, case, parcel, place = t["source_site"], t["case_number"] or None, t[self.parcel] or None, t["property_address"]
+        if site is None:
+            return []
+        keys = [("both", site, case, parcel)] if case and parcel else []
+        keys += [("case", site, case)] if case else []
+        keys += [("parcel", site, parcel)] if parcel else []
+        return keys + ([("address", site, place, t["sale_date"])] if place is not None else [])
+
+    def asked(self, row: dict) -> list[tuple]:
+        """The lookups of a row, in their order."""
+        keys = {k[0]: k for k in self.held(row)}
+        wanted = ["both"] if "both" in keys else ["case"] if "case" in keys else ["parcel", "address"]
+        return [keys[k] for k in wanted if k in keys]
+
+    def find(self, table: list[dict], index: dict[tuple, list[int]], row: dict) -> int | None:
+        """The first listing that the cascade of lookups finds; the table is in order of preference. The index holds places, also of listings that have moved on, which are dropped when met."""
+        for key in self.asked(row):
+            places = index.get(key, [])
+            while places and key not in self.held(table[places[0]]):
+                heapq.heappop(places)
+            if places:
+                return places[0]
+        return None
+
+    def apply(self, table: list[dict], index: dict[tuple, list[int]], row: dict) -> None:
+        at = self.find(table, index, row)
+        if at is None:
             table.append({c: row.get(c) if c in self.known else None for c in self.values} | {"id": f"new|{row['source_site']}|{row['_seq']}", "is_new": True})
+            self.enter(index, len(table) - 1, self.held(table[-1]))
             return
+        hit = table[at]
+        before = self.held(hit)
         for c in self.known:
             if c in NEVER or c == "id":
                 continue
@@ -75,13 +101,20 @@ class _Replay:
                 hit[c] = row[c]
             elif row[c] is not None:
                 hit[c] = max(hit[c], row[c]) if c == self.seen and hit[c] is not None else row[c]
-        hit["touched"] = True
+        self.enter(index, at, [k for k in self.held(hit) if k not in before])
+
+    def enter(self, index: dict[tuple, list[int]], at: int, keys: list[tuple]) -> None:
+        for k in keys:
+            heapq.heappush(index.setdefault(k, []), at)
 
     def __call__(self, rows: list[dict]) -> list[dict]:
         table = [dict(r, is_new=False) for r in rows if r["_seq"] is None]
         table.sort(key=lambda t: t["id"])
+        index: dict[tuple, list[int]] = {}
+        for at, t in enumerate(table):
+            self.enter(index, at, self.held(t))
         for row in sorted((r for r in rows if r["_seq"] is not None), key=lambda r: r["_seq"]):
-            self.apply(table, row)
+            self.apply(table, index, row)
         return table
 
 
@@ -89,24 +122,26 @@ def upsert_in_order(current: DataFrame, batch: DataFrame, seq: str, *, parcel: s
     """``current`` with a batch applied row by row in order of ``seq``; ``is_new`` marks inserted rows, whose id is ``new|site|seq`` of the row that inserted them.
 
     A row is looked up by (site, case, parcel) if it has both, by (site, case) without a parcel, by (site, parcel) and then (site, address, sale date) without a case, else by
-    (site, address, sale date); sale dates match as values, null addresses equal nothing. Of several listings the one with the smallest id is taken, and any that was there before
+    (site, address, sale date); sale dates match as values, null addresses and sites equal nothing. Of several listings the one with the smallest id is taken, and any that was there before
     the batch goes before new ones. Found: new values win where they are not null, ``OVERWRITE`` columns always, ``NEVER`` columns never, ``seen`` never goes back. Not found: the row is inserted as it is, and later
     rows find it. ``seq`` is an integer that no two rows share; empty cases and parcels count as unknown in lookups. Rows of an empty batch change nothing.
     """
     values = [c for c in current.columns if c != "id"]
     known = [c for c in values if c in batch.columns]
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    keys = _keys(F.col("source_site"), F.col("case_number"), F.col(parcel), F.col("property_address"))
-    rows = stored(batch.select(F.col(seq).cast("bigint").alias("_seq"), *known).withColumn("_keys", keys), "batch")
-
-    # a row's own node comes after all keys, so components are named by a key, and rows without any key stand alone
-    links = rows.filter(F.size("_keys") > 0).select("_seq", F.col("_keys")[0].alias("a"), F.explode("_keys").alias("b"))
-    asked = links.select(F.col("b").alias("key")).distinct()
-    touching = current.select("*", keys.alias("_keys")).select("id", F.explode("_keys").alias("key")).join(asked, "key")
-    first = touching.groupBy("id").agg(F.min("key").alias("a"))
+    held, asks = _keys(F.col("source_site"), F.col("case_number"), F.col(parcel), F.col("property_address"))
+    rows = stored(batch.select(F.col(seq).cast("bigint").alias("_seq"), *known).withColumn("_held", held).withColumn("_asks", asks), "batch")
+
+    # what a row looks up it also holds; rows without a key stand alone
+    asked = stored(rows.select(F.explode("_asks").alias("key")).distinct(), "asked")
+    holding = rows.select("_seq", F.explode("_held").alias("key")).join(asked, "key")
+    own_key = stored(holding.groupBy("_seq").agg(F.min("key").alias("_key")), "keyed")
+    links = holding.join(own_key, "_seq").select(F.col("_key").alias("a"), F.col("key").alias("b"))
+    touching = current.select("id", F.explode(held).alias("key")).join(asked, "key")
+    first = stored(touching.groupBy("id").agg(F.min("key").alias("a")), "touched")
     chained = touching.join(first, "id").select("a", F.col("key").alias("b"))
     names = connected(links.select("a", "b").union(chained))
-    named = rows.withColumn("_key", F.get("_keys", F.lit(0))).join(names.select(F.col("node").alias("_key"), F.col("component").alias("_part")), "_key", "left").drop("_key", "_keys")
+    named = rows.drop("_held", "_asks").join(own_key.join(names.select(F.col("node").alias("_key"), F.col("component").alias("_part")), "_key").select("_seq", "_part"), "_seq", "left")
     touched = first.join(names.select(F.col("node").alias("a"), F.col("component").alias("_part")), "a").select("id", "_part")
 
     day = F.coalesce(F.col("sale_date").cast("string"), F.lit("none"))

@@ -2,6 +2,9 @@
 
 import datetime
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from ledgerfold.operators import merging, sequencing
 
@@ -90,3 +93,34 @@ def test_a_dry_run_counts_as_the_real_one(spark, tmp_path):
     written = spark.read.parquet(f"file://{tmp_path}/t")
     assert written.columns == current.columns and written.count() == 41
     assert merging.snapshot_diff(current.filter("k is not null"), written.filter("k is not null"), "k", "v").groupBy("change").count().orderBy("change").collect() == [("added", 10), ("changed", 5)]
+
+
+def test_keys_that_no_row_looks_up_link_nothing(spark, monkeypatch):
+    """One case over many parcels: rows with case and parcel find one listing each, so there are as many components as listings, of two rows each."""
+    n, parts = 300, []
+    a = spark.createDataFrame([(f"L{i:03d}", "s", "CASE", f"P{i}", "SHARED", None, "active", "m", None, i, DAY) for i in range(n)], "id string, " + COLUMNS)
+    rows = [(2 * i, "s", "CASE", f"P{i}", f"MOVED {i}", None, "active", "m", None, i, DAY) for i in range(n)] + [(2 * i + 1, "s", None, None, f"MOVED {i}", None, "gone", "m", None, -i, DAY) for i in range(n)]
+    known = sequencing.connected
+    monkeypatch.setattr(sequencing, "connected", lambda edges: parts.append(known(edges)) or parts[-1])
+    out = sequencing.upsert_in_order(a, spark.createDataFrame(rows, "seq long, " + COLUMNS), "seq").select("id", "property_address", "status", "bid", "is_new")
+    assert sorted(map(tuple, out.collect())) == [(f"L{i:03d}", f"MOVED {i}", "gone", -i, False) for i in range(n)]
+    assert parts[0].select("component").distinct().count() == n
+
+
+def test_a_long_component_is_replayed_in_one_pass():
+    """Forty thousand rows at one address each go to a listing of their own; looking at every listing for every row would take minutes."""
+    n = 40_000
+    values = ["source_site", "case_number", "parcel_number", "property_address", "sale_date", "status"]
+    row = lambda i, seq, place: dict(zip(["id", *values, "_seq"], [None if seq is not None else f"L{i:06d}", "s", f"C{i}", None, place, None, "gone" if seq is not None else "active", seq], strict=True))
+    began = time.monotonic()
+    out = sequencing._Replay(values, set(values), "parcel_number", "last_seen")([row(i, None, "HERE") for i in range(n)] + [row(i, i, "THERE") for i in range(n)])
+    assert time.monotonic() - began < 30
+    assert [(t["id"], t["property_address"], t["status"]) for t in out] == [(f"L{i:06d}", "THERE", "gone") for i in range(n)]
+
+
+def test_empty_addresses_and_unknown_sites(spark):
+    """An empty address is an address like others, an unknown site equals none."""
+    rows = [(1, "s", None, None, "", None, "active", "m", None, 1, DAY), (2, "s", None, None, "", None, "gone", "m", None, 2, DAY), (3, None, "C", None, "A", None, "active", "m", None, 3, DAY), (4, None, "C", None, "A", None, "gone", "m", None, 4, DAY)]
+    b = spark.createDataFrame(rows, "seq long, " + COLUMNS)
+    out = sequencing.upsert_in_order(b.limit(0).drop("seq").withColumn("id", F.lit("x")), b, "seq")
+    assert sorted(tuple(r) for r in out.select("bid", "status").collect()) == [(2, "gone"), (3, "active"), (4, "gone")]
