@@ -11,8 +11,8 @@ Grouping
 2. Signatures are cut into bands. ``plan(threshold)`` picks the rows of a band and so many bands that a pair at the
    threshold is missed with a probability below 1e-5. Documents that share a band share a bucket, and every pair that shares a bucket is a candidate, whatever the bucket's size.
 3. Stars. A bucket's documents are held against one of them, its pivot; components over the links so found contract the bucket. First each document meets the smallest
-   pivot of its buckets, then the others that are still in another group, then one more pivot of each bucket of which more than a block is still apart, until none is. A pivot with very many
-   documents is dealt over several tasks.
+   pivot of its buckets, then the others that are still in another group, then some more pivots of each bucket of which more than a block is still apart, as long as a round joins an eighth of
+   that; so the rounds grow with the logarithm of the bucket, also where its documents are not linked. A pivot with very many documents is dealt over several tasks.
 4. What is still apart in a bucket (as a rule very little: documents outside its largest group that were no pivot) is held against the rest of the bucket by short signatures, in
    blocks of bounded size, block against block, each pair of blocks in its own task. Components over what is likely by them, across buckets, are compared on full sets in the same way, so a text is sent once
    a block and not once a bucket. A task returns at most one pair a document (a spanning forest), never all pairs.
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.common import store
@@ -45,6 +45,8 @@ CHUNK_ITEMS = 200_000
 STAR_DOCS, PIVOTS = 512, 64
 #: Pairs whose texts one task compares, where there are so many.
 TASK_PAIRS = 2_000
+#: Pivots of a bucket in each round, and the part of its rest (one in so many) that a round must join for there to be another.
+EACH_ROUND, GAIN = 4, 8
 #: Slots of the short signatures, 16 bits each.
 SHORT = 128
 #: Bits of the array of wanted ids for each of them, and its largest size in 64-bit numbers (16 MB).
@@ -435,6 +437,13 @@ def _apart(state: DataFrame) -> DataFrame:
     return state.join(largest.select("bucket", "largest"), "bucket").select("bucket", "doc", "n", "group", (F.col("group") != F.col("largest")).alias("rest"))
 
 
+def _pivots_of(apart: DataFrame) -> DataFrame:
+    """(bucket, pivot, pivot_n, pivot_group): ``EACH_ROUND`` documents of each bucket's rest by hash, of different groups, so large groups are likely to have one."""
+    one = apart.filter("rest").groupBy("bucket", "group").agg(F.min(F.struct(F.xxhash64("doc", F.lit(11)).alias("h"), "doc", "n")).alias("p"))
+    first = one.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("p"))).filter(F.col("at") <= EACH_ROUND)
+    return first.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("group").alias("pivot_group"))
+
+
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, task_docs: int = TASK_DOCS, task_items: int = TASK_ITEMS, star_docs: int = STAR_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``documents``.
 
@@ -473,15 +482,19 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     state, _ = store(grouped(), "near-groups", most)
     lows = state.filter("doc = low").groupBy("bucket").agg(F.min("group").alias("low_group"))
     links = links.unionByName(star(state.join(lows, "bucket").filter("group <> low_group").select("doc", "n", F.col("low").alias("pivot"), F.col("low_n").alias("pivot_n"))))
-    pivots = buckets.filter("doc = low").select("bucket", "doc")
+    pivots, before = buckets.filter("doc = low").select("bucket", "doc"), None
     while True:
         apart, _ = store(_apart(grouped().join(pivots, ["bucket", "doc"], "left_anti")), "near-apart", most)
-        large = apart.filter("rest").groupBy("bucket").agg(F.count("*").alias("left"), F.min(F.struct("doc", "n", "group")).alias("p")).filter(F.col("left") > task_docs)
-        large, _ = store(large.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.group").alias("pivot_group")), "near-large", most)
+        large = apart.filter("rest").groupBy("bucket").agg(F.count("*").alias("left")).filter(F.col("left") > task_docs)
+        if before is not None:  # where pivots join little, more of them would join little
+            large = large.join(before.select("bucket", F.col("left").alias("before")), "bucket").filter(F.col("left") * GAIN <= F.col("before") * (GAIN - 1)).select("bucket", "left")
+        large, _ = store(large, "near-large", most)
         if large.isEmpty():
             break
-        links = links.unionByName(star(apart.join(large, "bucket").filter("group <> pivot_group").select("doc", "n", "pivot", "pivot_n")))
-        pivots, _ = store(pivots.unionByName(large.select("bucket", F.col("pivot").alias("doc"))), "near-pivots", most)
+        chosen, _ = store(_pivots_of(apart.join(large, "bucket")), "near-chosen", most)
+        links = links.unionByName(star(apart.join(chosen, "bucket").filter("group <> pivot_group").select("doc", "n", "pivot", "pivot_n")))
+        pivots, _ = store(pivots.unionByName(chosen.select("bucket", F.col("pivot").alias("doc"))), "near-pivots", most)
+        before = large
     # 4. the rest
     if not apart.isEmpty():
         rest, _ = store(_rest(apart, members, texts, k, percent, task_docs, task_items), "near-links")

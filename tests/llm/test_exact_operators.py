@@ -251,6 +251,25 @@ def test_a_group_that_shares_many_buckets_gives_few_edges(spark, monkeypatch):
     assert len(edges) == 1 and edges[0] <= 1.5 * len(rows)
 
 
+def test_texts_that_share_a_bucket_and_are_not_linked_end_the_rounds(spark, monkeypatch):
+    """Ninety-nine texts with much in common, of which few are linked, in blocks of 24: rounds of pivots join nothing and must not go on pivot by pivot."""
+    rng, common = random.Random(21), [f"c{i}" for i in range(200)]
+    rows = [(i, " ".join(common + [f"own{i}x{j}" for j in range(50)])) for i in range(90)]
+    rows += [(100 + i, rows[7 * i][1] + f" more{i}") for i in range(9)]
+    rng.shuffle(rows)
+    rounds, star = [], superminhash._star
+
+    def counted(*a):
+        rounds.append(1)
+        assert len(rounds) <= 5, "one pivot after the other"
+        return star(*a)
+
+    monkeypatch.setattr(superminhash, "_star", counted)
+    out = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, task_docs=24, star_docs=24).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected_groups(rows, 3, 85)
+    assert len(rounds) > 2
+
+
 def test_edges_through_hubs_join_the_same(spark):
     rng = random.Random(9)
     for n in (5, 150):
