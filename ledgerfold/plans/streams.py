@@ -69,8 +69,9 @@ def lead_lifetimes(t):
     rows = t.signals.filter("signal_type is not null").select("parcel_number", "market", "signal_type", "last_seen_at", F.lit(None).cast("timestamp").alias("clock"), (F.xxhash64("id") % 4).alias("n"))
     ticks = t.spark.range(4).select(*[F.lit(None).cast(k).alias(c) for c, k in rows.dtypes[:4]], day(F.col("id").cast("int")).alias("clock"), F.col("id").alias("n"))
     both = rows.withColumn("n", F.pmod("n", F.lit(4))).unionByName(ticks)
-    for n in range(4):  # a delivery at a time, in order of its tick
-        both.filter(F.col("n") == n).drop("n").coalesce(1).write.mode("append").parquet(f"{path}/landed")
-    stream = t.spark.readStream.schema(both.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
-    lifetimes.run_lifetimes(stream, LIFETIMES, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    schema = both.drop("n").schema
+    for n in range(4):  # a run for each delivery, in order of its tick; a delivery is as many files as its rows need
+        both.filter(F.col("n") == n).drop("n").write.mode("append").parquet(f"{path}/landed")
+        stream = t.spark.readStream.schema(schema).parquet(f"{path}/landed")
+        lifetimes.run_lifetimes(stream, LIFETIMES, f"{path}/log", f"{path}/checkpoint").awaitTermination()
     return lifetimes.current_leads(t.spark.read.schema(lifetimes.LOG).parquet(f"{path}/log")).drop("version").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})

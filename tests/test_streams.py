@@ -140,3 +140,53 @@ def test_shuffled_deliveries_give_the_same_leads(spark, tmp_path):
         if order == 0:  # a lead that ran out by its timer, not by a signal
             again = log.groupBy(*lifetimes.KEYS, "sightings").agg(F.count_distinct("status").alias("n"))
             assert not again.filter("n = 2").isEmpty()
+
+
+def test_a_lead_is_read_and_written_once_and_has_one_timer():
+    """Each call to the state is a round trip; a lead that is seen again keeps its timer, which is set anew when it rings too early."""
+    calls, now = [], [0]
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.kept is not None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, row):
+            calls.append("update")
+            self.kept = row
+
+    class Handle:
+        def getValueState(self, *a):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def deleteTimer(self, at):
+            calls.append(-at)
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return now[0]
+
+    lead, key, day = lifetimes._Lifetimes({"code": 4}), ("p", "m", "code"), lifetimes.DAY
+    lead.init(Handle())
+    saw = lambda *at: [tuple(r) for r in lead.handleInputRows(key, iter([{"seen": a} for a in at]), Timers())]
+    rang = lambda: [tuple(r) for r in lead.handleExpiredTimer(key, Timers(), None)]
+    rings = [4 * day // 1000 + 1, 6 * day // 1000 + 1]
+    assert saw(0, None) == [(*key, 1, "active", 0, 0, 1)] and calls == ["get", rings[0], "update"]
+    calls.clear()
+    assert saw(2 * day, day) == [(*key, 2, "active", 0, 2 * day, 3)] and calls == ["get", "update"]
+    calls.clear()
+    now[0] = rings[0] + 1
+    assert rang() == [] and sorted(map(str, calls)) == sorted(["get", str(rings[1]), "update"])
+    now[0] = rings[1] + 1
+    assert rang() == [(*key, 3, "retired", 0, 2 * day, 3)]
+    calls.clear()
+    assert saw(10 * day) == [(*key, 4, "active", 0, 10 * day, 4)] and calls == ["get", 14 * day // 1000 + 1, "update"]
