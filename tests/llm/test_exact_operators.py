@@ -251,7 +251,8 @@ def test_a_group_that_shares_many_buckets_gives_few_edges(spark, monkeypatch):
     assert len(edges) == 1 and edges[0] <= 1.5 * len(rows)
 
 
-def test_texts_that_share_a_bucket_and_are_not_linked_end_the_rounds(spark, monkeypatch):
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_texts_that_share_a_bucket_and_are_not_linked_end_the_rounds(spark, monkeypatch, k, percent):
     """Ninety-nine texts with much in common, of which few are linked, in blocks of 24: rounds of pivots join nothing and must not go on pivot by pivot."""
     rng, common = random.Random(21), [f"c{i}" for i in range(200)]
     rows = [(i, " ".join(common + [f"own{i}x{j}" for j in range(50)])) for i in range(90)]
@@ -265,8 +266,8 @@ def test_texts_that_share_a_bucket_and_are_not_linked_end_the_rounds(spark, monk
         return star(*a)
 
     monkeypatch.setattr(superminhash, "_star", counted)
-    out = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, task_docs=24, star_docs=24).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected_groups(rows, 3, 85)
+    out = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent, task_docs=24, star_docs=24).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected_groups(rows, k, percent)
     assert len(rounds) > 2
 
 
